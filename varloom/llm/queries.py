@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varloom.llm import exact_dedup, mixing, packing, simhash, token_counts, toxicity
+from varloom.llm import exact_dedup, language_id, license_scan, lm_scoring, mixing, packing, simhash, token_counts, toxicity
 from varloom.llm.common import read_table, remainder
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -35,6 +35,12 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("n_tokens"), F.round("mix_weight", 6).alias("weight"), F.round("mix_rate", 6).alias("rate"), F.col("mix_kept").alias("kept"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    named = language_id.predict(docs.select("doc_id", "text"), language_id.fit(docs))
+    return named.select("doc_id", F.coalesce(remainder(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count_tokens(read_table(spark, sf_dir, "documents"), tokenizer_file(BYTE_BPE))
     return counted.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", "over_limit")
@@ -49,18 +55,55 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(read_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.simhash_groups(read_table(spark, sf_dir, "documents"))
     return groups.select(F.col("id").alias("doc_id"), simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(read_table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "template", F.round("containment", 6).alias("containment"), "first_word", "windows")
+
+
+def _license_sql() -> str:
+    """Every template against every text, shingle by shingle: no bands."""
+    values = ", ".join(f"('{name}', '{' '.join(license_scan.template_words(text))}')" for name, text in license_scan.TEMPLATES)
+    shingles = "list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))"
+    return f"""
+        WITH t AS (SELECT * FROM (VALUES {values}) v(template, body)),
+        tw AS (SELECT template, string_split(body, ' ') AS w FROM t),
+        ts AS (SELECT DISTINCT template, unnest({shingles}) AS s FROM tw),
+        tn AS (SELECT template, count(*) AS n FROM ts GROUP BY template),
+        d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM documents),
+        ds AS (SELECT doc_id, len(w) - 4 AS n, unnest({shingles}) AS s, unnest(range(0, len(w) - 4)) AS p FROM d WHERE len(w) >= 5),
+        hit AS (SELECT doc_id, ds.n, p, template, s FROM ds JOIN ts USING (s)),
+        win AS (
+            SELECT DISTINCT doc_id, template, s, unnest([p // 16 * 16, p // 16 * 16 - 16]) AS first_word, n FROM hit
+        ),
+        share AS (
+            SELECT doc_id, template, first_word, count(DISTINCT s) / any_value(tn.n) AS containment
+            FROM win JOIN tn USING (template)
+            WHERE first_word >= 0 AND first_word <= greatest(0, win.n - 17) GROUP BY doc_id, template, first_word
+        )
+        SELECT doc_id, template, round(max(containment), 6) AS containment, min_by(first_word, (-containment, first_word))::INTEGER AS first_word, count(*) AS windows
+        FROM share WHERE containment >= 0.8 GROUP BY doc_id, template
+    """
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_mixing": op2_mixing,
+    "op3_language_id": op3_language_id,
     "op4_token_counts": op4_token_counts,
     "op6_packing": op6_packing,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_simhash": op9_simhash,
+    "op10_license_scan": op10_license_scan,
 }
 
 ORACLE_SQL = {
@@ -69,4 +112,5 @@ ORACLE_SQL = {
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(content) AS text_sha256
         FROM d WINDOW g AS (PARTITION BY content)
     """,
+    "op10_license_scan": _license_sql(),
 }
