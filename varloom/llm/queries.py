@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varloom.llm import exact_dedup, language_id, license_scan, lm_scoring, mixing, packing, simhash, token_counts, toxicity
+from varloom.llm import exact_dedup, language_id, license_scan, lm_scoring, mixing, near_vectors, packing, simhash, token_counts, toxicity
 from varloom.llm.common import read_table, remainder
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -46,6 +46,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", "over_limit")
 
 
+def op5_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_vectors.near_vectors(read_table(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", "kept")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_file(WORD_BPE))
 
@@ -99,6 +104,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_language_id": op3_language_id,
     "op4_token_counts": op4_token_counts,
+    "op5_near_vectors": op5_near_vectors,
     "op6_packing": op6_packing,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_lm_scoring": op8_lm_scoring,
