@@ -172,7 +172,7 @@ def near_links(distinct: DataFrame, threshold: float, shards: int, beam: int, bl
     pairs of (shard, block) are dealt to tasks, so neither a shard nor all vectors ever meet the driver or one task alone.
     """
     n_blocks = block
-    rows = distinct.withColumns({"shard": F.pmod(F.xxhash64("node"), F.lit(shards)), "block": F.pmod(F.xxhash64("node", F.lit(1)), F.lit(n_blocks))})
+    rows = distinct.withColumns({"shard": F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int"), "block": F.pmod(F.xxhash64("node", F.lit(1)), F.lit(n_blocks)).cast("int")})
     index = rows.select("shard", "node", "v", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
     queries = rows.select("block", "node", "v", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
 
