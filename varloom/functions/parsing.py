@@ -99,7 +99,8 @@ def clinical_label(text: Column, strict: bool = True) -> Column:
     """0 or 1 from the keywords, summed and clipped; an unknown keyword is an error, or worth NULL if not strict."""
     table = F.create_map(*[F.lit(x) for kv in CLINICAL.items() for x in kv])
     value = lambda k: F.coalesce(table[k], F.raise_error(F.concat(F.lit("unknown keyword "), k)).cast("double")) if strict else table[k]
-    return F.least(F.lit(1.0), F.aggregate(keywords(text), F.lit(0.0), lambda a, k: a + value(k)))
+    total = F.aggregate(keywords(text), F.lit(0.0), lambda a, k: a + value(k))
+    return F.when(total.isNotNull(), F.least(F.lit(1.0), total))
 
 
 def masked(text: Column) -> Column:

@@ -45,8 +45,10 @@ def split_by_source(df: DataFrame, key: str, origin: str, ratio: float, seed: st
 def class_balance(df: DataFrame, label: Column) -> DataFrame:
     """One row: counts, bias ln(n+ / n-) and balanced weights; a class without rows is an error."""
     got = df.agg(F.count_if(label == 1).alias("n_pos"), F.count_if(label == 0).alias("n_neg"))
-    some = F.when((F.col("n_pos") == 0) | (F.col("n_neg") == 0), F.raise_error(F.lit("a class has no rows"))).otherwise(F.col("n_pos") + F.col("n_neg"))
-    return got.withColumn("n", some).withColumns({"bias": F.ln(F.col("n_pos") / F.col("n_neg")), "w_pos": F.col("n") / (2 * F.col("n_pos")), "w_neg": F.col("n") / (2 * F.col("n_neg"))})
+    none = (F.col("n_pos") == 0) | (F.col("n_neg") == 0)
+    checked = lambda x: F.when(none, F.raise_error(F.lit("a class has no rows")).cast("double")).otherwise(x)
+    n = F.col("n_pos") + F.col("n_neg")
+    return got.withColumns({"n": n, "bias": checked(F.ln(F.col("n_pos") / F.col("n_neg"))), "w_pos": checked(n / (2 * F.col("n_pos"))), "w_neg": checked(n / (2 * F.col("n_neg")))})
 
 
 def dropout(df: DataFrame, key: str, label: str, features: dict[str, object], p: float, value: int = 1) -> DataFrame:
