@@ -99,7 +99,7 @@ def fit(docs: DataFrame, per_language: int = 300, max_languages: int = 64, table
     most = max(1000, table_mb * 1_000_000 // (4 * size * n_lang))
     # The contexts that every tree may use: the most frequent over all languages. Those of fewer bytes come along.
     frequent = counts.where("depth > 0").groupBy("depth", "context").agg(F.sum("n").alias("total")).where("total >= 4").orderBy(F.desc("total"), "depth", "context").limit(most)
-    rows = counts.join(F.broadcast(frequent.select("depth", "context")), ["depth", "context"]).unionByName(counts.where("depth = 0").select("depth", "context", "lang", "symbol", "n")).toPandas()
+    rows = counts.join(F.broadcast(frequent.select("depth", "context")), ["depth", "context"]).unionByName(counts.where("depth = 0").select("depth", "context", "lang", "symbol", "n")).toArrow().to_pandas()
     rows["sym"] = alphabet[rows["symbol"].to_numpy()]
     lang_of = {n: i for i, n in enumerate(names)}
     rows["l"] = rows["lang"].map(lang_of)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varloom.llm import exact_dedup, language_id, license_scan, lm_scoring, mixing, near_vectors, packing, simhash, token_counts, toxicity
-from varloom.llm.common import read_table, remainder
+from varloom.llm.common import read_table, remainder, shared_dir
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
@@ -42,7 +44,9 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = token_counts.count_tokens(read_table(spark, sf_dir, "documents"), tokenizer_file(BYTE_BPE))
+    # A cache of its own, empty at first: the query does the whole work, whatever ran before it.
+    cache = f"{shared_dir(spark)}/varloom-token-cache-{uuid.uuid4().hex}"
+    counted = token_counts.count_tokens(read_table(spark, sf_dir, "documents"), tokenizer_file(BYTE_BPE), cache)
     return counted.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", "over_limit")
 
 

@@ -128,8 +128,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, vocabulary: i
     if not n["t"] or not n["c"]:
         return None
     # The most frequent words of toxic text are what can tell; ties go by name.
-    top = counts.where("t + c >= 3").orderBy(F.desc("t"), F.desc("c"), "w").limit(vocabulary).toPandas()
-    top_stems = stems.where("t + c >= 3").orderBy(F.desc("t"), F.desc("c"), "w").limit(vocabulary).toPandas()
+    top = counts.where("t + c >= 3").orderBy(F.desc("t"), F.desc("c"), "w").limit(vocabulary).toArrow().to_pandas()
+    top_stems = stems.where("t + c >= 3").orderBy(F.desc("t"), F.desc("c"), "w").limit(vocabulary).toArrow().to_pandas()
     shift = math.log(n["c"] / n["t"])  # by words, as toxic documents may be longer or shorter than others
     stem_t, stem_c = top_stems.t.to_numpy(float), top_stems.c.to_numpy(float)
     stem = dict(zip(top_stems.w, _odds(stem_t, stem_c, 0.5, 0.5, shift).tolist(), strict=True))
