@@ -9,7 +9,6 @@ from varloom.functions import parsing as P
 from varloom.plans.registry import query
 from varloom.plans.vehicles import V_CLNSIG, V_SCORED, V_SITES, clnsig, scored, site_a, table
 
-C = F.col("clnsig")
 _KEY = "list_transform(string_split_regex(lower(clnsig), '[|/,]'), lambda k: regexp_replace(k, '^_+|_+$', '', 'g'))"
 _MASKED = "['" + "','".join(P.MASKED) + "']"
 _USABLE = f"WITH {V_CLNSIG}, k AS (SELECT *, {_KEY} AS ks FROM v_clnsig), u AS (SELECT * FROM k WHERE NOT list_has_any(ks, {_MASKED}))"
@@ -18,17 +17,17 @@ _VALUE = "CASE " + " ".join(f"WHEN k = '{k}' THEN {v:.0f}e0" for k, v in P.CLINI
 
 @query("p22_keywords", f"WITH {V_CLNSIG} SELECT id, array_to_string({_KEY}, ';') AS keywords FROM v_clnsig")
 def keywords(spark, d):
-    return clnsig(spark, d).select("id", F.concat_ws(";", P.keywords(C)).alias("keywords"))
+    return clnsig(spark, d).select("id", F.concat_ws(";", P.keywords(F.col("clnsig"))).alias("keywords"))
 
 
 @query("f01_label_mask", f"{_USABLE} SELECT id FROM u")
 def label_mask(spark, d):
-    return clnsig(spark, d).where(~P.masked(C)).select("id")
+    return clnsig(spark, d).where(~P.masked(F.col("clnsig"))).select("id")
 
 
 @query("p23_label", f"{_USABLE} SELECT id, least(1e0, list_sum(list_transform(ks, lambda k: {_VALUE}))) AS label FROM u")
 def label(spark, d):
-    return clnsig(spark, d).where(~P.masked(C)).select("id", P.clinical_label(C).alias("label"))
+    return clnsig(spark, d).where(~P.masked(F.col("clnsig"))).select("id", P.clinical_label(F.col("clnsig")).alias("label"))
 
 
 @query("p24_plain_labels", f"WITH {V_CLNSIG} SELECT id, CASE giab WHEN 'benign' THEN 0e0 WHEN 'pathogenic' THEN 1e0 END AS giab, CASE mutacc WHEN 'benign' THEN 0e0 WHEN 'pathogenic' THEN 1e0 END AS mutacc FROM v_clnsig")
@@ -38,20 +37,20 @@ def plain_labels(spark, d):
 
 @query("p25_coalesce_label", f"{_USABLE} SELECT id, CASE WHEN clnsig <> '' THEN least(1e0, list_sum(list_transform(ks, lambda k: {_VALUE}))) WHEN giab <> '' THEN 0e0 ELSE 1e0 END AS label FROM u")
 def coalesce_label(spark, d):
-    sources = {"clnsig": P.clinical_label(C), "giab": P.binary_label(F.col("giab")), "mutacc": P.binary_label(F.col("mutacc"))}
-    return clnsig(spark, d).where(~P.masked(C)).select("id", P.only_label(sources).alias("label"))
+    sources = {"clnsig": P.clinical_label(F.col("clnsig")), "giab": P.binary_label(F.col("giab")), "mutacc": P.binary_label(F.col("mutacc"))}
+    return clnsig(spark, d).where(~P.masked(F.col("clnsig"))).select("id", P.only_label(sources).alias("label"))
 
 
 @query("p26_origin", f"{_USABLE} SELECT id, CASE WHEN clnsig <> '' THEN 'TRAIN' WHEN giab <> '' THEN 'TEST' ELSE 'BOTH' END AS origin FROM u")
 def origin(spark, d):
     names = {"clnsig": F.lit("TRAIN"), "giab": F.lit("TEST"), "mutacc": F.lit("BOTH")}
-    return clnsig(spark, d).where(~P.masked(C)).select("id", P.only_label(names).alias("origin"))
+    return clnsig(spark, d).where(~P.masked(F.col("clnsig"))).select("id", P.only_label(names).alias("origin"))
 
 
 @query("p27_blank_uncertain", f"WITH {V_CLNSIG} SELECT id, CASE WHEN regexp_matches(lower(clnsig), 'uncertain|conflicting') OR lower(clnsig) IN ('other', 'association') THEN '' ELSE clnsig END AS clnsig FROM v_clnsig")
 def blank_uncertain(spark, d):
-    low = F.lower(C)
-    return clnsig(spark, d).select("id", F.when(low.rlike("uncertain|conflicting") | low.isin("other", "association"), "").otherwise(C).alias("clnsig"))
+    low = F.lower(F.col("clnsig"))
+    return clnsig(spark, d).select("id", F.when(low.rlike("uncertain|conflicting") | low.isin("other", "association"), "").otherwise(F.col("clnsig")).alias("clnsig"))
 
 
 @query("p29_fill", f"WITH {V_SCORED} SELECT id, coalesce(frq, 0e0) AS frq, coalesce(nullif(consequence, 'view'), '') AS consequence FROM v_scored")

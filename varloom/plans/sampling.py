@@ -11,9 +11,6 @@ from varloom.operators.base import draw, numbered
 from varloom.plans.registry import query
 from varloom.plans.vehicles import V_SCORED, scored
 
-Y = F.col("label")
-
-
 def _u(seed: str, key: str = "id") -> str:
     return f"(cast('0x' || substr(md5(concat({key}::VARCHAR, ':{seed}')), 1, 8) AS BIGINT) / 4294967296e0)"
 
@@ -68,28 +65,28 @@ def resample(spark, d):
 @query("t08_interleave", f"WITH {V_SCORED}, c AS (SELECT sum(label) AS p, sum(1-label) AS n FROM v_scored), k AS (SELECT greatest(1, ceil(n/p::DOUBLE))::BIGINT AS k FROM c) SELECT id, unnest(range(CASE WHEN label = 1 THEN k ELSE 1 END))::BIGINT AS copy FROM v_scored, k")
 def interleave(spark, d):
     rows = scored(spark, d)
-    n = rows.agg(F.sum(Y).alias("p"), F.sum(1 - Y).alias("n")).first()
+    n = rows.agg(F.sum(F.col("label")).alias("p"), F.sum(1 - F.col("label")).alias("n")).first()
     times = max(1, -(-n["n"] // max(1, n["p"])))
-    return rows.select("id", F.explode(F.sequence(F.lit(0).cast("long"), F.when(Y == 1, F.lit(times - 1)).otherwise(F.lit(0)).cast("long"))).alias("copy"))
+    return rows.select("id", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("label") == 1, F.lit(times - 1)).otherwise(F.lit(0)).cast("long"))).alias("copy"))
 
 
 @query("t09_weights", f"WITH {V_SCORED} SELECT id, CASE WHEN label = 1 AND (coalesce(frq,0)+coalesce(frq2,0)+coalesce(frq3,0))/3 <= 5e-4 THEN 8e2 ELSE 1e0 END * CASE WHEN label = 0 AND coalesce(frq,0) >= 5e-4 THEN 16e2 ELSE 1e0 END AS weight FROM v_scored")
 def weights(spark, d):
-    return scored(spark, d).select("id", S.variant_weight(Y, [F.col("frq"), F.col("frq2"), F.col("frq3")]).alias("weight"))
+    return scored(spark, d).select("id", S.variant_weight(F.col("label"), [F.col("frq"), F.col("frq2"), F.col("frq3")]).alias("weight"))
 
 
 @query("t11_balanced", f"WITH {V_SCORED}, c AS (SELECT count(*) AS n, sum(label) AS p FROM v_scored) SELECT id, round(n / (2e0 * CASE WHEN label = 1 THEN p ELSE n - p END), 6) AS weight FROM v_scored, c")
 def balanced(spark, d):
     rows = scored(spark, d)
-    w = S.class_balance(rows, Y).select("w_pos", "w_neg")
-    return rows.crossJoin(F.broadcast(w)).select("id", F.round(F.when(Y == 1, F.col("w_pos")).otherwise(F.col("w_neg")), 6).alias("weight"))  # one row
+    w = S.class_balance(rows, F.col("label")).select("w_pos", "w_neg")
+    return rows.crossJoin(F.broadcast(w)).select("id", F.round(F.when(F.col("label") == 1, F.col("w_pos")).otherwise(F.col("w_neg")), 6).alias("weight"))  # one row
 
 
 @query("t12_fixed", f"WITH {V_SCORED}, c AS (SELECT avg(label) AS q FROM v_scored) SELECT id, round(CASE WHEN label = 1 THEN 100*0.5/q ELSE q/0.5 END, 6) AS weight FROM v_scored, c")
 def fixed(spark, d):
     rows = scored(spark, d)
     q = F.col("q")
-    return rows.crossJoin(F.broadcast(rows.agg(F.avg(Y).alias("q")))).select("id", F.round(F.when(Y == 1, 50.0 / q).otherwise(q / 0.5), 6).alias("weight"))
+    return rows.crossJoin(F.broadcast(rows.agg(F.avg(F.col("label")).alias("q")))).select("id", F.round(F.when(F.col("label") == 1, 50.0 / q).otherwise(q / 0.5), 6).alias("weight"))
 
 
 @query("t13_batches", f"WITH {V_SCORED} SELECT id, (row_number() OVER (ORDER BY {_u('shuffle')}, id) - 1) // 160 AS batch FROM v_scored")

@@ -9,9 +9,7 @@ from varloom.operators import thresholds as T
 from varloom.plans.registry import query
 from varloom.plans.vehicles import V_SCORED, scored
 
-A, B, Y = F.col("score_a"), F.col("score_b"), F.col("label")
 CUT = 0.1
-TP, TN, FP, FN = (F.col(c) for c in T.CELLS)
 
 _PRED = f"{V_SCORED}, p AS (SELECT *, CASE WHEN score_a >= 0.1 THEN 1 ELSE 0 END AS pred FROM v_scored)"
 _CELLS = "sum(CASE WHEN pred = 1 AND label = 1 THEN 1 ELSE 0 END)::BIGINT AS tp, sum(CASE WHEN pred = 0 AND label = 0 THEN 1 ELSE 0 END)::BIGINT AS tn, sum(CASE WHEN pred = 1 AND label = 0 THEN 1 ELSE 0 END)::BIGINT AS fp, sum(CASE WHEN pred = 0 AND label = 1 THEN 1 ELSE 0 END)::BIGINT AS fn"
@@ -36,11 +34,11 @@ def r6(*names):
 
 
 def _predicted(spark, d):
-    return scored(spark, d).withColumn("pred", F.when(A >= CUT, 1).otherwise(0))
+    return scored(spark, d).withColumn("pred", F.when(F.col("score_a") >= CUT, 1).otherwise(0))
 
 
 def _matrix(spark, d):
-    return _predicted(spark, d).groupBy("consequence", "dataset").agg(*M.confusion(F.col("pred"), Y))
+    return _predicted(spark, d).groupBy("consequence", "dataset").agg(*M.confusion(F.col("pred"), F.col("label")))
 
 
 @query("a01_confusion", f"{_BY} SELECT * FROM cm")
@@ -55,12 +53,12 @@ def add_matrices(spark, d):
 
 @query("a03_fbeta", f"{_BY} SELECT consequence, dataset, round({F1}, 6) AS f1, round(CASE WHEN 5*tp+4*fn+fp = 0 THEN 0e0 ELSE 5*tp/(5*tp+4*fn+fp)::DOUBLE END, 6) AS f2 FROM cm")
 def fbeta(spark, d):
-    return _matrix(spark, d).select("consequence", "dataset", F.round(M.f_beta(TP, FP, FN), 6).alias("f1"), F.round(M.f_beta(TP, FP, FN, 2.0), 6).alias("f2"))
+    return _matrix(spark, d).select("consequence", "dataset", F.round(M.f_beta(F.col("tp"), F.col("fp"), F.col("fn")), 6).alias("f1"), F.round(M.f_beta(F.col("tp"), F.col("fp"), F.col("fn"), 2.0), 6).alias("f2"))
 
 
 @query("a04_mcc_norm", f"{_BY} SELECT consequence, dataset, round({MCC_SCORE}, 6) AS mcc_score FROM cm")
 def mcc_norm(spark, d):
-    return _matrix(spark, d).select("consequence", "dataset", F.round(M.mcc_normalised(TP, TN, FP, FN), 6).alias("mcc_score"))
+    return _matrix(spark, d).select("consequence", "dataset", F.round(M.mcc_normalised(F.col("tp"), F.col("tn"), F.col("fp"), F.col("fn")), 6).alias("mcc_score"))
 
 
 @query("a05_mcc_f1", f"{_BY} SELECT consequence, dataset, round({MCC}, 6) AS mcc, round({F1}, 6) AS f1 FROM cm")
@@ -89,7 +87,7 @@ _SWEPT = f"""WITH {V_SCORED}, {_GRID}, p AS (SELECT i, threshold, label, CASE WH
 
 
 def _swept(spark, d):
-    return T.sweep(scored(spark, d), A, Y, [i / 49.0 for i in range(50)])
+    return T.sweep(scored(spark, d), F.col("score_a"), F.col("label"), [i / 49.0 for i in range(50)])
 
 
 @query("a08_sweep_grid", f"""{_SWEPT} SELECT i, round(threshold, 6) AS threshold, tp, tn, fp, fn, round({F1}, 6) AS f1, round({PRECISION}, 6) AS "precision", round({RECALL}, 6) AS recall, round({MCC}, 6) AS mcc FROM cm""")
@@ -105,7 +103,7 @@ _DATA_GRID = f"""WITH {V_SCORED}, e AS (SELECT min(score_b) AS lo, max(score_b)
 
 def _data_swept(spark, d):
     rows = scored(spark, d)
-    return T.sweep(rows.crossJoin(F.broadcast(T.data_grid(rows, B))), B, Y, F.col("steps"))  # one row of 100 numbers
+    return T.sweep(rows.crossJoin(F.broadcast(T.data_grid(rows, F.col("score_b")))), F.col("score_b"), F.col("label"), F.col("steps"))  # one row of 100 numbers
 
 
 @query("a09_sweep_data", f"{_DATA_GRID} SELECT i, round(threshold, 6) AS threshold, tp, tn, fp, fn FROM cm")
@@ -143,7 +141,7 @@ def auc(spark, d):
 def fold_stats(spark, d):
     from varloom.operators.splits import folds
 
-    per_fold = T.with_metrics(T.sweep(folds(scored(spark, d), [F.col("id")]), B, Y, [i / 20.0 for i in range(20)], by=["fold"]))
+    per_fold = T.with_metrics(T.sweep(folds(scored(spark, d), [F.col("id")]), F.col("score_b"), F.col("label"), [i / 20.0 for i in range(20)], by=["fold"]))
     return per_fold.groupBy("i").agg(
         F.round(F.avg("mcc_score"), 6).alias("mcc_mean"), F.round(F.stddev_pop("mcc_score"), 6).alias("mcc_std"), F.round(F.avg("f1"), 6).alias("f1_mean"), F.round(F.stddev_pop("f1"), 6).alias("f1_std")
     )
@@ -155,18 +153,18 @@ _CURVE = f"""WITH {V_SCORED}, s AS (SELECT score_a AS score, sum(label)::BIGINT
 
 @query("a13_roc_exact", f"{_CURVE} SELECT round(sum(n*(cum_tp - p/2e0))/(sum(p)*sum(n)), 6) AS auc, sum(p)::BIGINT AS positives, sum(n)::BIGINT AS negatives FROM c")
 def roc_exact(spark, d):
-    return T.roc_auc(scored(spark, d), A, Y).select(*r6("auc"), "positives", "negatives")
+    return T.roc_auc(scored(spark, d), F.col("score_a"), F.col("label")).select(*r6("auc"), "positives", "negatives")
 
 
 @query("w04_cumulative", f"{_CURVE} SELECT round(score, 6) AS score, cum_tp, cum_fp FROM c")
 def cumulative(spark, d):
-    return T.roc_curve(scored(spark, d), A, Y).select(*r6("score"), "cum_tp", "cum_fp")
+    return T.roc_curve(scored(spark, d), F.col("score_a"), F.col("label")).select(*r6("score"), "cum_tp", "cum_fp")
 
 
 @query("a14_toc", f"""{_SWEPT} SELECT i, tp AS hits, tp + fp AS flagged, least(tp+fn, tp+fp) AS upper_bound, greatest(0, tp+fp-(fp+tn)) AS lower_bound, round((tp+fp)*(tp+fn)/(tp+tn+fp+fn)::DOUBLE, 6) AS uniform_hits FROM cm""")
 def toc(spark, d):
-    n, pos = TP + TN + FP + FN, TP + FN
-    return _swept(spark, d).select("i", TP.alias("hits"), (TP + FP).alias("flagged"), F.least(pos, TP + FP).alias("upper_bound"), F.greatest(F.lit(0).cast("long"), TP + FP - (FP + TN)).alias("lower_bound"), F.round((TP + FP) * pos / n, 6).alias("uniform_hits"))
+    n, pos = F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn"), F.col("tp") + F.col("fn")
+    return _swept(spark, d).select("i", F.col("tp").alias("hits"), (F.col("tp") + F.col("fp")).alias("flagged"), F.least(pos, F.col("tp") + F.col("fp")).alias("upper_bound"), F.greatest(F.lit(0).cast("long"), F.col("tp") + F.col("fp") - (F.col("fp") + F.col("tn"))).alias("lower_bound"), F.round((F.col("tp") + F.col("fp")) * pos / n, 6).alias("uniform_hits"))
 
 
 @query("a15_recall_constrained", f"""{_SWEPT} SELECT max(threshold) AS best_threshold, round(max({MCC}), 6) AS best_mcc, round(max({PRECISION}), 6) AS best_precision FROM cm WHERE {RECALL} >= 0.5""")
@@ -186,7 +184,7 @@ def label_ratio(spark, d):
 def class_balance(spark, d):
     from varloom.operators.splits import class_balance as balance
 
-    return balance(scored(spark, d), Y).select("n_pos", "n_neg", *r6("bias", "w_pos", "w_neg"))
+    return balance(scored(spark, d), F.col("label")).select("n_pos", "n_neg", *r6("bias", "w_pos", "w_neg"))
 
 
 @query(
@@ -197,7 +195,7 @@ def class_balance(spark, d):
 def strata_regex(spark, d):
     terms = F.explode(F.array(*[F.lit(t) for t in ("err.*", "view", ".*i.*", "nothing")])).alias("term")
     rows = _predicted(spark, d).select("consequence", "pred", "label", terms).where(F.expr("consequence RLIKE concat('^(', term, ')$')"))
-    return rows.groupBy("term").agg(*M.confusion(F.col("pred"), Y)).select("term", (TP + TN + FP + FN).alias("size"), F.round(M.f_beta(TP, FP, FN), 6).alias("f1"))
+    return rows.groupBy("term").agg(*M.confusion(F.col("pred"), F.col("label"))).select("term", (F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")).alias("size"), F.round(M.f_beta(F.col("tp"), F.col("fp"), F.col("fn")), 6).alias("f1"))
 
 
 @query(
@@ -207,7 +205,7 @@ def strata_regex(spark, d):
 )
 def strata_frequency(spark, d):
     rows = _predicted(spark, d).where("frq > 0").withColumn("stratum", F.when(F.col("frq") <= 5e-4, "rare").otherwise("common"))
-    return rows.groupBy("stratum").agg(*M.confusion(F.col("pred"), Y)).select("stratum", (TP + TN + FP + FN).alias("size"), F.round(M.f_beta(TP, FP, FN), 6).alias("f1"))
+    return rows.groupBy("stratum").agg(*M.confusion(F.col("pred"), F.col("label"))).select("stratum", (F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")).alias("size"), F.round(M.f_beta(F.col("tp"), F.col("fp"), F.col("fn")), 6).alias("f1"))
 
 
 @query(
@@ -216,55 +214,55 @@ def strata_frequency(spark, d):
 )
 def rare_unsupported(spark, d):
     rows = _predicted(spark, d).where("frq > 0 AND frq <= 5e-4 AND frq2 IS NULL")
-    return rows.agg(*M.confusion(F.col("pred"), Y)).select((TP + TN + FP + FN).alias("size"), F.round(M.f_beta(TP, FP, FN), 6).alias("f1"))
+    return rows.agg(*M.confusion(F.col("pred"), F.col("label"))).select((F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")).alias("size"), F.round(M.f_beta(F.col("tp"), F.col("fp"), F.col("fn")), 6).alias("f1"))
 
 
 @query("a33_baseline_panel", f"""WITH {_PRED}, cm AS (SELECT dataset, {_CELLS} FROM p GROUP BY dataset) SELECT dataset, tp, tn, fp, fn, round({PRECISION}, 6) AS "precision", round({RECALL}, 6) AS recall, round({F1}, 6) AS f1, round({MCC}, 6) AS mcc FROM cm""")
 def baseline_panel(spark, d):
-    cm = _predicted(spark, d).groupBy("dataset").agg(*M.confusion(F.col("pred"), Y))
+    cm = _predicted(spark, d).groupBy("dataset").agg(*M.confusion(F.col("pred"), F.col("label")))
     return T.with_metrics(cm).select("dataset", *T.CELLS, *r6("precision", "recall", "f1", "mcc"))
 
 
 @query("a42_log_loss", f"WITH {V_SCORED} SELECT dataset, round(-avg(label*ln(least(1-1e-7, greatest(1e-7, score_b))) + (1-label)*ln(1-least(1-1e-7, greatest(1e-7, score_b)))), 6) AS loss FROM v_scored GROUP BY dataset")
 def log_loss(spark, d):
-    return scored(spark, d).groupBy("dataset").agg(F.round(M.log_loss(B, Y), 6).alias("loss"))
+    return scored(spark, d).groupBy("dataset").agg(F.round(M.log_loss(F.col("score_b"), F.col("label")), 6).alias("loss"))
 
 
 @query("p17_threshold_class", f"WITH {V_SCORED} SELECT id, CASE WHEN score_a >= 0.1 THEN 1e0 ELSE 0e0 END AS class FROM v_scored")
 def threshold_class(spark, d):
-    return scored(spark, d).select("id", F.when(A >= 0.1, 1.0).otherwise(0.0).alias("class"))
+    return scored(spark, d).select("id", F.when(F.col("score_a") >= 0.1, 1.0).otherwise(0.0).alias("class"))
 
 
 @query("p18_outcome", f"WITH {_PRED} SELECT id, CASE WHEN pred=1 AND label=1 THEN 'TP' WHEN pred=0 AND label=0 THEN 'TN' WHEN pred=1 THEN 'FP' ELSE 'FN' END AS outcome FROM p")
 def outcome(spark, d):
-    return _predicted(spark, d).select("id", M.outcome(F.col("pred"), Y).alias("outcome"))
+    return _predicted(spark, d).select("id", M.outcome(F.col("pred"), F.col("label")).alias("outcome"))
 
 
 @query("p19_residual", f"WITH {V_SCORED} SELECT id, round(label - score_a, 6) AS residual, round(score_a - score_b, 6) AS score_gap FROM v_scored")
 def residual(spark, d):
-    return scored(spark, d).select("id", F.round(Y - A, 6).alias("residual"), F.round(A - B, 6).alias("score_gap"))
+    return scored(spark, d).select("id", F.round(F.col("label") - F.col("score_a"), 6).alias("residual"), F.round(F.col("score_a") - F.col("score_b"), 6).alias("score_gap"))
 
 
 @query("p20_minmax", f"WITH {V_SCORED}, e AS (SELECT min(score_a) AS lo, max(score_a) AS hi FROM v_scored) SELECT id, round((score_a-lo)/(hi-lo), 6) AS scaled FROM v_scored, e")
 def minmax(spark, d):
     rows = scored(spark, d)
-    ends = rows.agg(F.min(A).alias("lo"), F.max(A).alias("hi"))
-    return rows.crossJoin(F.broadcast(ends)).select("id", F.round(F.try_divide(A - F.col("lo"), F.col("hi") - F.col("lo")), 6).alias("scaled"))
+    ends = rows.agg(F.min(F.col("score_a")).alias("lo"), F.max(F.col("score_a")).alias("hi"))
+    return rows.crossJoin(F.broadcast(ends)).select("id", F.round(F.try_divide(F.col("score_a") - F.col("lo"), F.col("hi") - F.col("lo")), 6).alias("scaled"))
 
 
 @query("p36_gate", f"WITH {V_SCORED} SELECT id, round(score_a*least(1e0, greatest(0e0, 2e0*score_b-0.95e0)), 6) AS combined FROM v_scored")
 def gate(spark, d):
-    return scored(spark, d).select("id", F.round(M.gate(A, B), 6).alias("combined"))
+    return scored(spark, d).select("id", F.round(M.gate(F.col("score_a"), F.col("score_b")), 6).alias("combined"))
 
 
 @query("p37_harmonic", f"WITH {V_SCORED} SELECT id, round(coalesce(2*score_a*score_b/nullif(score_a+score_b, 0), 0), 6) AS mean_score FROM v_scored")
 def harmonic(spark, d):
-    return scored(spark, d).select("id", F.round(M.harmonic(A, B), 6).alias("mean_score"))
+    return scored(spark, d).select("id", F.round(M.harmonic(F.col("score_a"), F.col("score_b")), 6).alias("mean_score"))
 
 
 @query("p38_sigmoid", f"WITH {V_SCORED} SELECT id, round(1/(1+exp(-(4e0*score_b-2e0))), 6) AS calibrated FROM v_scored")
 def sigmoid(spark, d):
-    return scored(spark, d).select("id", F.round(M.sigmoid(B, 4.0, -2.0), 6).alias("calibrated"))
+    return scored(spark, d).select("id", F.round(M.sigmoid(F.col("score_b"), 4.0, -2.0), 6).alias("calibrated"))
 
 
 @query("f02_frq_max", f"WITH {V_SCORED} SELECT id FROM v_scored WHERE greatest(coalesce(frq,0), coalesce(frq2,0), coalesce(frq3,0)) <= 5e-4")
