@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from collections import defaultdict
 
 import corpus_pipeline
@@ -47,3 +48,35 @@ def test_sql_queries(spark):
         names = [c[0] for c in want.description]
         assert sorted(names) == sorted(got.columns)
         assert sorted(map(str, (tuple(r[n] for n in names) for r in got.collect()))) == sorted(map(str, want.fetchall())), name
+
+
+def test_near_copies_leave_by_similarity(spark, odd, none):
+    """Groups of the near-copy stage are those of brute-force Jaccard >= 0.8 over five words."""
+    rng = random.Random(3)
+    rows = []
+    for base in range(40):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(60, 200))]
+        for copy in range(3):
+            changed = list(words)
+            for at in rng.sample(range(len(words)), copy * len(words) // 60):
+                changed[at] = f"x{rng.randrange(10**6)}"
+            rows.append((3 * base + copy, " ".join(changed)))
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in rows)}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    want = {i for i in sets if find(i) == i}
+    assert 40 < len(want) < len(rows)
+    stage = dict(corpus_pipeline.STAGES)["simhash_near_dedup"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(r["doc_id"] for r in stage(spark, docs, SF).collect()) == sorted(want)
+    assert stage(spark, none, SF).count() == 0
+    assert {r["doc_id"] for r in stage(spark, odd, SF).collect()} == {1, 3, 6, 7, -8}
