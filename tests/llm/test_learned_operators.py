@@ -156,6 +156,31 @@ def test_mixing(sample, odd, none):
     assert mixing.mix(none, sweeps=1).count() == 0
 
 
+def test_mixing_meets_targets_under_the_bound(spark):
+    """Rates of at most 1 meet feasible targets although raking without a bound asks some cells for more than they have."""
+    tokens = {("a", "x", "p"): 700, ("a", "y", "p"): 100, ("b", "x", "p"): 100, ("b", "y", "p"): 400, ("a", "x", "q"): 60, ("b", "y", "q"): 40}
+    cells = spark.createDataFrame([(*k, n) for k, n in tokens.items()], "source string, lang string, topic string, tokens long")
+    table = lambda d, **t: spark.createDataFrame(list(t.items()), f"{d} string, target double")
+    goals = {"source": table("source", a=800.0, b=600.0), "lang": table("lang", x=730.0, y=670.0), "topic": table("topic", p=1275.0, q=125.0)}
+    rows = mixing.bounded_rates(cells, goals, 0.79).collect()
+    assert max(0.79 * r["w"] for r in rows) > 1.05 and all(0 <= r["rate"] <= 1 for r in rows)
+    for d, table in goals.items():
+        for v, goal in table.collect():
+            assert abs(sum(r["rate"] * r["tokens"] for r in rows if r[d] == v) - 0.79 * goal) < 2, (d, v)
+
+
+def test_copies_meet_targets_and_budget(spark):
+    """Where a value has fewer tokens than its share of the budget, repeats reach the target; the report says what the draw misses."""
+    rows = [(i, "w " * 20 + ("!!" if i % 20 == 0 else "."), "es" if i % 11 == 0 else "en", "hot" if i % 3 else f"s{i % 7}", 40) for i in range(6000)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).cache()
+    sums = got.agg(F.sum("mix_tokens"), F.sum(F.col("mix_tokens") * F.col("mix_copies")), F.sum(F.col("mix_tokens") * F.col("mix_rate"))).first()
+    assert abs(sums[1] / sums[0] - 0.8) < 0.02 and abs(sums[2] / sums[0] - 0.8) < 1e-6
+    for r in mixing.report(got).collect():
+        assert abs(r["copied"] - r["target"]) < 0.015, r
+        if r["value"] in ("es", "loud"):
+            assert r["kept"] < r["target"] - 0.01 and abs(r["kept"] - r["natural"] / 0.8) < 0.01, r
+
+
 def test_vectors_equal_brute_force(spark):
     rng = np.random.default_rng(9)
     base = rng.normal(size=(60, 8))
