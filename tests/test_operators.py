@@ -90,11 +90,49 @@ def test_mark_report_without_match_is_an_error(spark):
 
 def test_severity(spark):
     row = one(spark, c="stop_gained&intron_variant").select(P.severity(F.col("c")).alias("s")).first()
-    assert row["s"] == P.CONSEQUENCES.index("stop_gained") + P.CONSEQUENCES.index("intron_variant")
+    assert row["s"] == 38 + 14
     with pytest.raises(Exception, match="unknown consequence"):
         one(spark, c="made_up").select(P.severity(F.col("c"))).collect()
 
 
+@pytest.mark.parametrize(
+    ("others", "worst"),
+    [
+        ("downstream_gene_variant", "upstream_gene_variant"),
+        ("start_lost", "start_lost&NMD_transcript_variant"),
+        ("intron_variant&NMD_transcript_variant", "stop_gained&frameshift_variant"),
+        ("splice_acceptor_variant", "splice_acceptor_variant&non_coding_transcript_variant"),
+        ("intron_variant", "intron_variant&NMD_transcript_variant"),
+        ("feature_truncation", "feature_elongation"),
+        ("sequence_variant", "intergenic_variant"),
+        ("synonymous_variant", "stop_retained_variant"),
+    ],
+)
+def test_the_worst_consequence(spark, others, worst):
+    for entries in ((others, worst), (worst, others), (others, worst, others)):
+        csq = ",".join(f"A|{c}|x" for c in entries)
+        row = one(spark, c=csq).select(P.worst_transcript(F.col("c"), ["Allele", "Consequence", "Other"]).alias("w")).first()
+        assert row["w"]["Consequence"] == worst
+
+
+def test_fixed_tables():
+    from varloom.plans.records import TERMS
+
+    assert list(P.CONSEQUENCES.values()) == list(range(41, 0, -1)) and tuple(P.CONSEQUENCES) == TERMS
+    assert sum(P.CLINICAL.values()) == 5 and len(P.CLINICAL) == 10 and len(P.MASKED) == 9 and not set(P.MASKED) & set(P.CLINICAL)
+
+
+def test_typed_values(spark):
+    t = lambda v: one(spark, v=v).select(P.typed(F.col("v")).alias("t")).first()["t"]
+    assert t(" 1.5e3 ")["number"] == 1500.0 and t(" abc ")["text"] == "abc" and t("abc")["kind"] == "text"
+    with pytest.raises(Exception, match="cannot be coerced"):
+        t("a\x07b")
+    row = one(spark, a="", b="x").select(P.stand_in(F.col("a")).alias("a"), P.stand_in(F.col("b")).alias("b"), P.stand_in(F.lit(3.0), True).alias("c"), P.stand_in(F.lit(None), True).alias("d")).first()
+    assert tuple(row) == ("N/A", "x", "numtype", "N/A")
+    with pytest.raises(Exception, match="unknown label"):
+        one(spark, a="unsure").select(P.binary_label(F.col("a"))).collect()
+
+
 def test_worst_transcript_first_of_equals_and_arity(spark):
     fields = ["Allele", "Consequence"]
     row = one(spark, c="A|stop_gained,B|stop_gained,C|intron_variant").select(P.worst_transcript(F.col("c"), fields).alias("w")).first()

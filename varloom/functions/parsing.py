@@ -5,23 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Consequence terms of the Sequence Ontology as variant annotators rank them, the mildest first.
-CONSEQUENCES = (
-    "intergenic_variant", "sequence_variant", "feature_truncation", "coding_transcript_variant", "feature_elongation", "regulatory_region_variant", "regulatory_region_amplification",
-    "regulatory_region_ablation", "TF_binding_site_variant", "TFBS_amplification", "TFBS_ablation", "downstream_gene_variant", "upstream_gene_variant", "non_coding_transcript_variant",
-    "NMD_transcript_variant", "intron_variant", "non_coding_transcript_exon_variant", "3_prime_UTR_variant", "5_prime_UTR_variant", "mature_miRNA_variant", "coding_sequence_variant",
-    "synonymous_variant", "stop_retained_variant", "start_retained_variant", "incomplete_terminal_codon_variant", "splice_polypyrimidine_tract_variant", "splice_donor_region_variant",
-    "splice_region_variant", "splice_donor_5th_base_variant", "protein_altering_variant", "missense_variant", "inframe_deletion", "inframe_insertion", "transcript_amplification",
-    "start_lost", "stop_lost", "frameshift_variant", "stop_gained", "splice_donor_variant", "splice_acceptor_variant", "transcript_ablation",
-)
+#: Consequence terms of the Sequence Ontology with their severity.
+CONSEQUENCES = {
+    "transcript_ablation": 41, "splice_acceptor_variant": 40, "splice_donor_variant": 39, "stop_gained": 38, "frameshift_variant": 37, "stop_lost": 36, "start_lost": 35,
+    "transcript_amplification": 34, "feature_elongation": 33, "feature_truncation": 32, "inframe_insertion": 31, "inframe_deletion": 30, "missense_variant": 29,
+    "protein_altering_variant": 28, "splice_donor_5th_base_variant": 27, "splice_region_variant": 26, "splice_donor_region_variant": 25, "splice_polypyrimidine_tract_variant": 24,
+    "incomplete_terminal_codon_variant": 23, "start_retained_variant": 22, "stop_retained_variant": 21, "synonymous_variant": 20, "coding_sequence_variant": 19,
+    "mature_miRNA_variant": 18, "5_prime_UTR_variant": 17, "3_prime_UTR_variant": 16, "non_coding_transcript_exon_variant": 15, "intron_variant": 14, "NMD_transcript_variant": 13,
+    "non_coding_transcript_variant": 12, "coding_transcript_variant": 11, "upstream_gene_variant": 10, "downstream_gene_variant": 9, "TFBS_ablation": 8, "TFBS_amplification": 7,
+    "TF_binding_site_variant": 6, "regulatory_region_ablation": 5, "regulatory_region_amplification": 4, "regulatory_region_variant": 3, "intergenic_variant": 2, "sequence_variant": 1,
+}
 
 #: Clinical-significance keywords of a benign (0) and a pathogenic (1) variant.
 CLINICAL = {
-    "benign": 0.0, "likely_benign": 0.0, "pathogenic": 1.0, "likely_pathogenic": 1.0, "risk_factor": 1.0, "drug_response": 0.0, "protective": 0.0, "affects": 1.0, "": 0.0,
+    "benign": 0.0, "likely_benign": 0.0, "affects": 0.0, "drug_response": 0.0, "protective": 0.0,
+    "pathogenic": 1.0, "likely_pathogenic": 1.0, "association": 1.0, "risk_factor": 1.0, "likely_risk_allele": 1.0,
 }
 
 #: Keywords whose rows have no usable label.
-MASKED = ("uncertain_significance", "conflicting_interpretations_of_pathogenicity", "not_provided", "other", "association", "no_interpretation")
+MASKED = (
+    ".", "uncertain_significance", "not_provided", "other", "confers_sensitivity", "association_not_found", "uncertain_risk_allele",
+    "conflicting_interpretations_of_pathogenicity", "low_penetrance",
+)
 
 
 def number(text: Column) -> Column:
@@ -61,7 +66,7 @@ def allele(text: Column) -> Column:
 
 def severity(consequence: Column, strict: bool = True) -> Column:
     """Sum of the ranks of the &-separated terms; an unknown term is an error, or worth NULL if not strict."""
-    ranks = F.create_map(*[x for i, t in enumerate(CONSEQUENCES) for x in (F.lit(t), F.lit(i))])
+    ranks = F.create_map(*[F.lit(x) for kv in CONSEQUENCES.items() for x in kv])
     known = lambda t: F.coalesce(ranks[t], F.raise_error(F.concat(F.lit("unknown consequence "), t)).cast("int")) if strict else ranks[t]
     return F.aggregate(F.split(consequence, "&"), F.lit(0), lambda a, t: a + known(t))
 
@@ -116,7 +121,34 @@ def only_label(columns: dict[str, Column]) -> Column:
 
 
 def binary_label(text: Column) -> Column:
-    return F.when(text == "pathogenic", 1.0).when(text == "benign", 0.0)
+    """1 for pathogenic, 0 for benign, NULL where not given ('' or NULL); any other text is an error."""
+    given = F.when(text == "pathogenic", 1.0).when(text == "benign", 0.0).when(F.coalesce(text, F.lit("")) == "", F.lit(None).cast("double"))
+    return given.otherwise(F.raise_error(F.concat(F.lit("unknown label "), text)).cast("double"))
+
+
+def typed(text: Column) -> Column:
+    """A field's text as (number, text): a number where it reads as one, else the text without surrounding blanks if it is
+    printable; anything else (control characters) is an error. NULL stays NULL."""
+    x = number(text)
+    plain = F.when(printable(text), F.trim(text)).otherwise(F.raise_error(F.concat(F.lit("value cannot be coerced: "), F.hex(text))))
+    return F.when(text.isNotNull(), F.struct(x.alias("number"), F.when(x.isNull(), plain).alias("text"), F.when(x.isNull(), "text").otherwise("number").alias("kind")))
+
+
+def passed_on(text: Column) -> Column:
+    """A field that is taken as it stands."""
+    return text
+
+
+def stand_in(text: Column, numeric: bool = False) -> Column:
+    """What stands for a value in word statistics: the text, N/A where it is missing or empty, numtype for any number."""
+    if numeric:
+        return F.when(text.isNull(), "N/A").otherwise("numtype")
+    return F.when(F.coalesce(text, F.lit("")) == "", "N/A").otherwise(text)
+
+
+def capped_low(raw: Column, normalised: Column, low: Column) -> Column:
+    """Whether a raw score lies below the bound at which normalisation caps it, and its normalised score is the cap's, 0."""
+    return (raw < low) & (normalised == 0)
 
 
 def tokens(text: Column) -> Column:

@@ -10,9 +10,11 @@ from varloom.plans.registry import query
 from varloom.plans.vehicles import V_CLNSIG, V_SCORED, V_SITES, clnsig, scored, site_a, table
 
 _KEY = "list_transform(string_split_regex(lower(clnsig), '[|/,]'), lambda k: regexp_replace(k, '^_+|_+$', '', 'g'))"
-_MASKED = "['" + "','".join(P.MASKED) + "']"
+_MASKED = "['.', 'uncertain_significance', 'not_provided', 'other', 'confers_sensitivity', 'association_not_found', 'uncertain_risk_allele', 'conflicting_interpretations_of_pathogenicity', 'low_penetrance']"
 _USABLE = f"WITH {V_CLNSIG}, k AS (SELECT *, {_KEY} AS ks FROM v_clnsig), u AS (SELECT * FROM k WHERE NOT list_has_any(ks, {_MASKED}))"
-_VALUE = "CASE " + " ".join(f"WHEN k = '{k}' THEN {v:.0f}e0" for k, v in P.CLINICAL.items()) + " END"
+_VALUE = "CASE WHEN k IN ('benign', 'likely_benign', 'affects', 'drug_response', 'protective') THEN 0e0 WHEN k IN ('pathogenic', 'likely_pathogenic', 'association', 'risk_factor', 'likely_risk_allele') THEN 1e0 END"
+_LABEL = f"least(1e0, list_sum(list_transform(ks, lambda k: {_VALUE})))"
+_PLAIN = "CASE {c} WHEN 'benign' THEN 0e0 WHEN 'pathogenic' THEN 1e0 END"
 
 
 @query("p22_keywords", f"WITH {V_CLNSIG} SELECT id, array_to_string({_KEY}, ';') AS keywords FROM v_clnsig")
@@ -25,17 +27,17 @@ def label_mask(spark, d):
     return clnsig(spark, d).where(~P.masked(F.col("clnsig"))).select("id")
 
 
-@query("p23_label", f"{_USABLE} SELECT id, least(1e0, list_sum(list_transform(ks, lambda k: {_VALUE}))) AS label FROM u")
+@query("p23_label", f"{_USABLE} SELECT id, {_LABEL} AS label FROM u WHERE clnsig <> ''")
 def label(spark, d):
-    return clnsig(spark, d).where(~P.masked(F.col("clnsig"))).select("id", P.clinical_label(F.col("clnsig")).alias("label"))
+    return clnsig(spark, d).where(~P.masked(F.col("clnsig")) & (F.col("clnsig") != "")).select("id", P.clinical_label(F.col("clnsig")).alias("label"))
 
 
-@query("p24_plain_labels", f"WITH {V_CLNSIG} SELECT id, CASE giab WHEN 'benign' THEN 0e0 WHEN 'pathogenic' THEN 1e0 END AS giab, CASE mutacc WHEN 'benign' THEN 0e0 WHEN 'pathogenic' THEN 1e0 END AS mutacc FROM v_clnsig")
+@query("p24_plain_labels", f"WITH {V_CLNSIG} SELECT id, {_PLAIN.format(c='giab')} AS giab, {_PLAIN.format(c='mutacc')} AS mutacc FROM v_clnsig")
 def plain_labels(spark, d):
     return clnsig(spark, d).select("id", P.binary_label(F.col("giab")).alias("giab"), P.binary_label(F.col("mutacc")).alias("mutacc"))
 
 
-@query("p25_coalesce_label", f"{_USABLE} SELECT id, CASE WHEN clnsig <> '' THEN least(1e0, list_sum(list_transform(ks, lambda k: {_VALUE}))) WHEN giab <> '' THEN 0e0 ELSE 1e0 END AS label FROM u")
+@query("p25_coalesce_label", f"{_USABLE} SELECT id, CASE WHEN clnsig <> '' THEN {_LABEL} WHEN giab <> '' THEN {_PLAIN.format(c='giab')} ELSE {_PLAIN.format(c='mutacc')} END AS label FROM u")
 def coalesce_label(spark, d):
     sources = {"clnsig": P.clinical_label(F.col("clnsig")), "giab": P.binary_label(F.col("giab")), "mutacc": P.binary_label(F.col("mutacc"))}
     return clnsig(spark, d).where(~P.masked(F.col("clnsig"))).select("id", P.only_label(sources).alias("label"))

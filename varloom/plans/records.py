@@ -6,17 +6,26 @@ from pyspark.sql import functions as F
 
 from varloom.functions import parsing as P
 from varloom.plans.registry import query
-from varloom.plans.vehicles import table
+from varloom.plans.vehicles import choose, table
 from varloom.sources import vcf
 
 FIELDS = ["Allele", "Consequence", "IMPACT"]
 
+#: Every consequence term, for the lines below.
+TERMS = (
+    "transcript_ablation", "splice_acceptor_variant", "splice_donor_variant", "stop_gained", "frameshift_variant", "stop_lost", "start_lost", "transcript_amplification", "feature_elongation",
+    "feature_truncation", "inframe_insertion", "inframe_deletion", "missense_variant", "protein_altering_variant", "splice_donor_5th_base_variant", "splice_region_variant",
+    "splice_donor_region_variant", "splice_polypyrimidine_tract_variant", "incomplete_terminal_codon_variant", "start_retained_variant", "stop_retained_variant", "synonymous_variant",
+    "coding_sequence_variant", "mature_miRNA_variant", "5_prime_UTR_variant", "3_prime_UTR_variant", "non_coding_transcript_exon_variant", "intron_variant", "NMD_transcript_variant",
+    "non_coding_transcript_variant", "coding_transcript_variant", "upstream_gene_variant", "downstream_gene_variant", "TFBS_ablation", "TFBS_amplification", "TF_binding_site_variant",
+    "regulatory_region_ablation", "regulatory_region_amplification", "regulatory_region_variant", "intergenic_variant", "sequence_variant",
+)
+
 #: A line and the values behind it; {s} is the engine's string type.
 _BASE = [
     "p_partkey AS n", "concat('chr', cast(1 + p_partkey % 22 AS {s})) AS chrom", "p_partkey + 1000 AS pos", "concat('v', cast(p_partkey AS {s})) AS id",
     "CASE p_partkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'AC' ELSE 'G' END AS ref", "CASE p_partkey % 4 WHEN 0 THEN 'T,C' ELSE 'T' END AS alt", "cast(p_size AS {s}) AS score", "p_size AS score_n",
-    "CASE p_partkey % 6 WHEN 0 THEN 'missense_variant&splice_region_variant' WHEN 1 THEN 'intron_variant' WHEN 2 THEN 'stop_gained' WHEN 3 THEN 'synonymous_variant' WHEN 4 THEN 'frameshift_variant' ELSE 'upstream_gene_variant' END AS c1",
-    "CASE p_partkey % 5 WHEN 0 THEN 'stop_gained' WHEN 1 THEN 'intron_variant' WHEN 2 THEN 'missense_variant' WHEN 3 THEN 'synonymous_variant' ELSE 'start_lost' END AS c2",
+    f"concat({choose('p_partkey', TERMS)}, CASE p_partkey % 6 WHEN 0 THEN '&splice_region_variant' WHEN 1 THEN '&NMD_transcript_variant' ELSE '' END) AS c1", f"{choose('p_partkey * 7 + p_partkey / 41', TERMS)} AS c2",
 ]
 _SQL = "b AS (SELECT " + ", ".join(c.format(s="VARCHAR") for c in _BASE) + " FROM part)"
 
@@ -94,8 +103,17 @@ def typed_access(spark, d):
     return vcf.records(lines(spark, d)).select("id", F.round(P.number(F.try_element_at("info", F.lit("Frq"))), 6).alias("frq"))
 
 
-_RANK = "CASE {c} " + " ".join(f"WHEN '{t}' THEN {i}" for i, t in enumerate(P.CONSEQUENCES)) + " END"
-_SEV = "list_sum(list_transform(string_split({c}, '&'), lambda k: " + _RANK.format(c="k") + "))"
+_SEVERITIES = """
+    CASE {c} WHEN 'transcript_ablation' THEN 41 WHEN 'splice_acceptor_variant' THEN 40 WHEN 'splice_donor_variant' THEN 39 WHEN 'stop_gained' THEN 38 WHEN 'frameshift_variant' THEN 37
+    WHEN 'stop_lost' THEN 36 WHEN 'start_lost' THEN 35 WHEN 'transcript_amplification' THEN 34 WHEN 'feature_elongation' THEN 33 WHEN 'feature_truncation' THEN 32 WHEN 'inframe_insertion' THEN 31
+    WHEN 'inframe_deletion' THEN 30 WHEN 'missense_variant' THEN 29 WHEN 'protein_altering_variant' THEN 28 WHEN 'splice_donor_5th_base_variant' THEN 27 WHEN 'splice_region_variant' THEN 26
+    WHEN 'splice_donor_region_variant' THEN 25 WHEN 'splice_polypyrimidine_tract_variant' THEN 24 WHEN 'incomplete_terminal_codon_variant' THEN 23 WHEN 'start_retained_variant' THEN 22
+    WHEN 'stop_retained_variant' THEN 21 WHEN 'synonymous_variant' THEN 20 WHEN 'coding_sequence_variant' THEN 19 WHEN 'mature_miRNA_variant' THEN 18 WHEN '5_prime_UTR_variant' THEN 17
+    WHEN '3_prime_UTR_variant' THEN 16 WHEN 'non_coding_transcript_exon_variant' THEN 15 WHEN 'intron_variant' THEN 14 WHEN 'NMD_transcript_variant' THEN 13 WHEN 'non_coding_transcript_variant' THEN 12
+    WHEN 'coding_transcript_variant' THEN 11 WHEN 'upstream_gene_variant' THEN 10 WHEN 'downstream_gene_variant' THEN 9 WHEN 'TFBS_ablation' THEN 8 WHEN 'TFBS_amplification' THEN 7
+    WHEN 'TF_binding_site_variant' THEN 6 WHEN 'regulatory_region_ablation' THEN 5 WHEN 'regulatory_region_amplification' THEN 4 WHEN 'regulatory_region_variant' THEN 3 WHEN 'intergenic_variant' THEN 2
+    WHEN 'sequence_variant' THEN 1 END"""
+_SEV = "list_sum(list_transform(string_split({c}, '&'), lambda k: " + _SEVERITIES.format(c="k") + "))"
 
 
 @query("p13_severity", f"WITH {_SQL} SELECT id, {_SEV.format(c='c1')}::INTEGER AS severity FROM b")

@@ -79,10 +79,20 @@ def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 V_WIDE = "v_wide AS (SELECT " + ", ".join(_WIDE) + " FROM lineitem)"
 
+
+
+def choose(number: str, values) -> str:
+    """A CASE over number modulo the number of values, which both engines read alike."""
+    return f"CASE cast(floor({number}) AS int) % {len(values)} " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values)) + " END"
+
+
+#: Every keyword that a clinical label may hold: those with a label, then those without.
+_LABELLED = choose("p_partkey", ("Benign", "likely_benign", "Affects", "drug_response", "protective", "Pathogenic", "likely_pathogenic", "association", "risk_factor", "Likely_risk_allele"))
+_UNLABELLED = choose("p_partkey", (".", "Uncertain_significance", "not_provided", "other", "confers_sensitivity", "association_not_found", "Uncertain_risk_allele", "Conflicting_interpretations_of_pathogenicity", "low_penetrance"))
 _CLNSIG = [
     "p_partkey AS id",
-    "CASE p_partkey % 6 WHEN 0 THEN 'Pathogenic|risk_factor' WHEN 1 THEN '_Benign/Likely_benign_' WHEN 2 THEN 'Uncertain_significance' WHEN 3 THEN 'Likely_pathogenic,Benign' WHEN 4 THEN '' ELSE 'Benign' END AS clnsig",
-    "CASE WHEN p_partkey % 6 = 4 AND p_partkey % 12 = 4 THEN 'benign' ELSE '' END AS giab", "CASE WHEN p_partkey % 12 = 10 THEN 'pathogenic' ELSE '' END AS mutacc",
+    f"CASE cast(floor(p_partkey / 7) AS int) % 6 WHEN 0 THEN concat('Pathogenic|', {_LABELLED}) WHEN 1 THEN concat('_', {_LABELLED}, '/Likely_benign_') WHEN 2 THEN {_UNLABELLED} WHEN 3 THEN concat({_LABELLED}, ',', {_UNLABELLED}) WHEN 4 THEN '' ELSE {_LABELLED} END AS clnsig",
+    "CASE WHEN cast(floor(p_partkey / 7) AS int) % 6 = 4 AND p_partkey % 2 = 0 THEN CASE WHEN p_partkey % 3 = 0 THEN 'pathogenic' ELSE 'benign' END ELSE '' END AS giab", "CASE WHEN cast(floor(p_partkey / 7) AS int) % 6 = 4 AND p_partkey % 2 = 1 THEN CASE WHEN p_partkey % 3 = 0 THEN 'benign' ELSE 'pathogenic' END ELSE '' END AS mutacc",
     "p_size AS size",
 ]
 
