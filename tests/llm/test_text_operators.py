@@ -196,3 +196,28 @@ def test_best_fit_keeps_every_capacity():
             assert mine.sum() <= 1000 and len(mine) <= 4 and (mine.astype(float) ** 2).sum() <= 400_000.0
             by = np.argsort(offset[bins == b])
             assert (offset[bins == b][by] == np.r_[0, np.cumsum(mine[by])[:-1]]).all()
+
+
+def test_pack_under_limits_differs_from_one_dimension(spark):
+    """Inside pack(): document and cost limits hold in every sequence, and place pieces elsewhere than tokens alone do."""
+    rng = np.random.default_rng(8)
+    lengths = np.minimum(1000, rng.lognormal(4.5, 1.3, 4000).astype(int) + 1)
+    pieces = spark.createDataFrame([(i, 0, 0, int(n), i) for i, n in enumerate(lengths)], packing.PIECES)
+    places = {}
+    for limits in ({}, {"max_docs": 8, "max_cost": 500_000.0}):
+        for rule in ("dot", "norm"):
+            rows = packing.pack(pieces, 1000, rule=rule, **limits).collect()
+            bins = defaultdict(list)
+            for r in rows:
+                bins[r["sequence_id"]].append((r["offset"], r["length"], r["doc_id"]))
+            for own in bins.values():
+                own.sort()
+                assert [o for o, *_ in own] == np.r_[0, np.cumsum([n for _, n, _ in own])[:-1]].tolist() and sum(n for _, n, _ in own) <= 1000
+                if limits:
+                    assert len(own) <= 8 and (len(own) == 1 or sum(n * n for _, n, _ in own) <= 500_000)
+            if not limits:
+                assert len(bins) <= -(-int(lengths.sum()) // 1000) + 2
+            places[rule, bool(limits)] = {frozenset(d for *_, d in own) for own in bins.values()}
+    for rule in ("dot", "norm"):
+        assert len(places[rule, True] & places[rule, False]) < 0.5 * len(places[rule, True])
+    assert places["dot", True] != places["norm", True]

@@ -7,11 +7,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varloom.llm.common import written
 
+#: Bytes of text encoded together (a longer text alone), which bounds a task's memory.
+TEXT_AT_ONCE = 8 << 20
+
+#: What tokens, documents and attention cost weigh where a bin is rated.
+WEIGHTS = np.array([1.0, 0.25, 0.25])
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -19,31 +27,44 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, id_col: str
     """(doc_id, piece, start, length, ids_crc32): the ids of every whole text and one end id, cut only where longer than
     capacity. The texts stay in the tasks that read them; what leaves is a few numbers a piece."""
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from varloom.llm.tokens import word_ids
 
         table = word_ids(tokenizer_path)
-        for pdf in batches:
-            rows = []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                ids = np.append(table.encode(text), np.uint32(end_id)).astype("<u4")
-                for piece, start in enumerate(range(0, len(ids), capacity)):
-                    part = ids[start : start + capacity]
-                    rows.append((doc_id, piece, start, len(part), zlib.crc32(part.tobytes())))
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(encode, PIECES)
-
-
-def best_fit(lengths: np.ndarray, capacity: int, max_docs: int, max_cost: float, rule: str = "norm") -> tuple[np.ndarray, np.ndarray]:
+        for batch in batches:
+            sizes = np.nan_to_num(pc.binary_length(batch["text"]).to_numpy(zero_copy_only=False).astype(float))
+            share = np.floor(np.cumsum(sizes) / TEXT_AT_ONCE)
+            for at, to in zip(np.r_[0, 1 + np.flatnonzero(np.diff(share))], np.r_[1 + np.flatnonzero(np.diff(share)), len(sizes)], strict=True):
+                yield _pieces(batch["doc_id"][at:to], *table.encode_column(batch["text"][at:to]), capacity, end_id)
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(encode, PIECES)
+
+
+def _pieces(doc_ids: pa.Array, ids: np.ndarray, counts: np.ndarray, capacity: int, end_id: int) -> pa.RecordBatch:
+    """The pieces of documents whose ids lie one after the other, `counts` each."""
+    n = len(counts)
+    flat = np.full(len(ids) + n, end_id, "<u4")
+    flat[np.arange(len(ids)) + np.repeat(np.arange(n), counts)] = ids
+    whole = counts + 1
+    pieces = -(-whole // capacity)
+    doc = np.repeat(np.arange(n), pieces)
+    piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    start = piece * capacity
+    length = np.minimum(capacity, whole[doc] - start)
+    begin = 4 * ((np.cumsum(whole) - whole)[doc] + start)
+    raw = memoryview(flat).cast("B")
+    crc = [zlib.crc32(raw[b:e]) for b, e in zip(begin.tolist(), (begin + 4 * length).tolist(), strict=True)]
+    columns = [doc_ids.take(pa.array(doc)), piece.astype(np.int32), start, length, np.array(crc, np.int64)]
+    return pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], ["doc_id", "piece", "start", "length", "ids_crc32"])
+
+
+def best_fit(lengths: np.ndarray, capacity: int, max_docs: int, max_cost: float, rule: str = "dot") -> tuple[np.ndarray, np.ndarray]:
     """Bin and offset of each item, longest first, under three capacities: tokens, documents and attention cost (the sum
     of squared lengths).
 
-    Items of one length are the same vector, so all open bins are rated at once for each length: by the norm of what is left
-    after the item (the smallest wins) or by the weighted dot product of item and residual (rule "dot": the largest
-    wins, over the bins where the item fits). The items of that length go to the best bins that can hold them under every
+    Items of one length are the same vector, so all open bins are rated at once for each length: by the weighted dot product
+    of item and residual (rule "dot": the largest wins, over the bins where the item fits, so that no capacity of a bin runs
+    out long before the others) or by the norm of what is left after the item (rule "norm": the smallest wins). The items of that length go to the best bins that can hold them under every
     capacity; those that none can hold open new bins.
     """
     full = np.array([capacity, max_docs, max_cost], float)
@@ -82,9 +103,9 @@ def best_fit(lengths: np.ndarray, capacity: int, max_docs: int, max_cost: float,
                 break
             residual = room[fits] / full
             if rule == "dot":
-                rating = -(residual * share * np.array([1.0, 0.25, 0.25])).sum(1)
+                rating = -(residual * share * WEIGHTS).sum(1)
             else:
-                rating = ((residual - share) ** 2 * np.array([1.0, 0.01, 0.01])).sum(1)
+                rating = ((residual - share) ** 2 * WEIGHTS).sum(1)
             n = min(len(waiting), len(fits))
             best = fits[np.argsort(rating, kind="stable")[:n]]
             bins = open_bins[best]
@@ -104,14 +125,15 @@ def pack(
     max_docs: int | None = None,
     max_cost: float | None = None,
     per_shard: int = 60_000,
-    rule: str = "norm",
+    rule: str = "dot",
 ) -> DataFrame:
     """pieces plus sequence_id and offset, gapless from 0 within each sequence.
 
     Pieces that fill a sequence are placed at once. The others are dealt evenly to shards of about per_shard pieces by the
     hash of document and piece, whatever their source, and each shard is packed by best_fit. A shard leaves at most a few
-    sequences half empty, which is one in thousands. max_docs and max_cost default to values that never bind. A piece with
-    more cost than max_cost alone has a sequence of its own. Repeated rows are packed each for itself.
+    sequences half empty, which is one in thousands. max_docs and max_cost default to what the token capacity allows, so that
+    no sequence is spent on them; they still rate the bins. A piece with more cost than max_cost alone has a sequence of its
+    own. Ties go by document and piece. Repeated rows are packed each for itself.
     """
     docs_limit = max_docs or capacity
     cost_limit = max_cost or float(capacity) ** 2

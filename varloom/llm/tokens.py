@@ -7,11 +7,13 @@ import re
 from collections.abc import Iterable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Characters for which the word tables below split a text as the tokenizers' own patterns do: ASCII without controls other
 #: than tab, line feed and carriage return, and printable Latin letters. A text with any other goes to the library whole.
 PLAIN = re.compile("[^\t\n\r -~¡-ſ]")
-#: Remembered words a process; then the table starts anew. A word takes some 150 bytes.
+#: Remembered words a process. A word takes some 150 bytes.
 MEMORY = 800_000
 
 _held: dict[str, object] = {}
@@ -39,24 +41,57 @@ class WordIds:
 
     def __init__(self, path: str):
         self.library = tokenizer(path)
-        self.special = re.compile("|".join(map(re.escape, specials(path))) or r"(?!)")
+        self.specials = specials(path)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, text: str | None) -> np.ndarray:
         """Unsigned 32-bit ids of the whole text."""
-        if not text:
-            return np.empty(0, np.uint32)
-        if PLAIN.search(text) or self.special.search(text):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
-        words = text.split()
-        known = self.known
-        try:
-            return np.frombuffer(b"".join([known[w] for w in words]), np.uint32)
-        except KeyError:
-            pass
-        if len(known) + len(words) > MEMORY:
-            known.clear()
-        missing = {w for w in words if w not in known}
+        return self.encode_column(pa.array([text], pa.string()))[0]
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and how many each text has.
+
+        Arrow splits the texts and numbers their distinct words; only those are looked up, and their ids are laid out by
+        position. Texts that the table may not split (see PLAIN) go to the library whole.
+        """
+        texts = texts.fill_null("")
+        odd = pc.match_substring_regex(texts, PLAIN.pattern)
+        for special in self.specials:
+            odd = pc.or_(odd, pc.match_substring(texts, special))
+        split = pc.ascii_split_whitespace(pc.if_else(odd, "", texts))
+        coded = split.flatten().dictionary_encode()
+        parts = self.lookup(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        held = np.frombuffer(b"".join(parts), np.uint32)
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        per_word = sizes[codes]
+        ends = np.cumsum(per_word)
+        from_ = np.repeat((np.cumsum(sizes) - sizes)[codes] - (ends - per_word), per_word)
+        ids = held[from_ + np.arange(len(from_))]
+        words = pc.list_value_length(split).to_numpy(zero_copy_only=False)
+        counts = np.diff(np.r_[0, np.r_[0, ends][np.cumsum(words)]])
+        whole = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        if not len(whole):
+            return ids, counts
+        given = {i: np.array(self.library.encode(texts[i].as_py(), add_special_tokens=False).ids, np.uint32) for i in whole.tolist()}
+        starts, out, last = np.cumsum(counts) - counts, [], 0
+        for i, own in given.items():
+            out += [ids[last : starts[i]], own]
+            last = starts[i]
+            counts[i] = len(own)
+        return np.concatenate([*out, ids[last:]]), counts
+
+    def lookup(self, words: list[str]) -> list[bytes]:
+        """The ids of each word as bytes; unknown ones are encoded together. When the table is full it becomes the older
+        one, from which words that occur again come back, so that frequent words are never forgotten."""
+        if len(self.known) > MEMORY:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        missing = [w for w in words if w not in known]
+        if older:
+            known.update((w, older[w]) for w in missing if w in older)
+            missing = [w for w in missing if w not in known]
         # The pattern parts a run of letters from a run of stops, and case is dropped: what remains is looked up first.
         parts = {}
         for w in missing:
@@ -68,7 +103,7 @@ class WordIds:
         known[""] = b""
         for w, (core, stops) in parts.items():
             known[w] = known[core] + known[stops]
-        return np.frombuffer(b"".join([known[w] for w in words]), np.uint32)
+        return [known[w] for w in words]
 
 
 class PieceCounts:
