@@ -106,22 +106,93 @@ def test_lm_baseline_equals_brute_force(sample, odd):
         assert {r["train_tokens"] for r in got} == {n} and all(r["score"] < 0 for r in got)
 
 
-def test_lm_join_equals_broadcast(sample):
-    docs = sample[0].limit(40)
-    scores = [{r["id"]: round(r["score"], 6) for r in lm_scoring.score_documents(docs, broadcast_keys=n).collect()} for n in (10**9, 0)]
-    assert scores[0] == scores[1]
-
-
-def test_lm_tree_is_a_distribution(spark):
-    """The bytes that may follow one context share one unit of probability, by a direct recursion over the tree."""
-    words = spark.createDataFrame([(b"abab", 3), (b"abc", 2), (b"b", 1), (lm_scoring.END, 4)], "word binary, learned long")
-    positions = lm_scoring.count_positions(words, 3)
-    every = spark.createDataFrame([(int(c) << 8 | b,) for c in {r["key"] >> 8 for r in positions.collect()} for b in range(256)], "key long")
-    full = every.join(positions, "key", "left").select("key", F.coalesce("n", F.lit(0)).alias("n"))
-    sums = Counter()
-    for r in lm_scoring.code_lengths(full, 3).collect():
-        sums[r["key"] >> 8] += 10 ** r["log10_p"]
-    assert sums and all(abs(s - 1) < 1e-9 for s in sums.values())
+class BruteTree:
+    """Context-tree weighting by direct recursion: a dictionary of counts, block probabilities and weighted predictions."""
+
+    def __init__(self, texts, depth):
+        self.depth, self.counts = depth, Counter()
+        for t in texts:
+            for context, byte in self.bytes_of(t):
+                for d in range(depth + 1):
+                    for i in range(8):
+                        self.counts[context[len(context) - d :], (256 | byte) >> (8 - i), byte >> (7 - i) & 1] += 1
+        self.nodes = {(c, place) for c, place, _ in self.counts}
+        self.children = {}
+        for c, place in self.nodes:
+            if c:
+                self.children.setdefault((c[1:], place), []).append((c, place))
+        self.own, self.mixed = {}, {}
+
+    def bytes_of(self, text):
+        raw = b"\t" * self.depth + b" ".join((text or "").encode().lower().split()) + b"\n"
+        return [(raw[i - self.depth : i], raw[i]) for i in range(self.depth, len(raw))]
+
+    def log_kt(self, node):
+        if node not in self.own:
+            a, b = self.counts[*node, 0], self.counts[*node, 1]
+            self.own[node] = math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+        return self.own[node]
+
+    def log_weighted(self, node):
+        if node not in self.mixed:
+            x = self.log_kt(node)
+            if len(node[0]) < self.depth:
+                y = sum(self.log_weighted(c) for c in self.children[node])
+                x = max(x, y) + math.log1p(math.exp(-abs(x - y))) - math.log(2)
+            self.mixed[node] = x
+        return self.mixed[node]
+
+    def bit(self, context, place, bit, d=0):
+        node = (context[len(context) - d :], place)
+        if node not in self.nodes:
+            return 0.5 if d == 0 else None
+        a, b = self.counts[*node, 0], self.counts[*node, 1]
+        own = ((b if bit else a) + 0.5) / (a + b + 1)
+        below = self.bit(context, place, bit, d + 1) if d < self.depth else None
+        if below is None:
+            return own
+        w = math.exp(self.log_kt(node) - math.log(2) - self.log_weighted(node))
+        return w * own + (1 - w) * below
+
+    def score(self, text):
+        return sum(math.log10(self.bit(c, (256 | byte) >> (8 - i), byte >> (7 - i) & 1)) for c, byte in self.bytes_of(text) for i in range(8))
+
+
+@pytest.mark.parametrize("depth", [3, 5])
+def test_lm_scores_equal_a_brute_force_tree(spark, odd, depth):
+    """Over whole texts, across word ends, in blocks and salts of any size, for training and held-out documents alike."""
+    rng = np.random.default_rng(6)
+    texts = [" ".join("".join(rng.choice(list("abcé"), int(rng.integers(1, 5)))) for _ in range(int(rng.integers(0, 12)))) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts, 100)), "doc_id long, text string").unionByName(odd.where("doc_id IS NULL OR doc_id <> 6").select("doc_id", "text"))
+    rows = docs.collect()
+    held = {r["doc_id"] for r in rows if r["doc_id"] is None or zlib.crc32(str(r["doc_id"]).encode()) % 5 == 1}
+    tree = BruteTree([r["text"] for r in rows if r["doc_id"] not in held], depth)
+    want = sorted((str(r["doc_id"]), tree.score(r["text"])) for r in rows)
+    for sizes in ({}, {"block_bytes": 40, "pairs": 5}):
+        got = lm_scoring.score_documents(docs.repartition(3), depth=depth, **sizes).collect()
+        have = sorted((str(r["id"]), r["score"]) for r in got)
+        assert [i for i, _ in have] == [i for i, _ in want] and np.allclose([x for _, x in have], [x for _, x in want], rtol=1e-9, atol=1e-9)
+        assert {r["id"] for r in got if r["held_out"]} == held - {None}
+    assert len({round(r["score"], 9) for r in got if r["id"] in (3, 4, 5)}) == 1, "NULL, empty and blank texts are the end alone"
+
+
+def test_lm_strides_do_not_matter(sample, monkeypatch):
+    docs = sample[0].limit(20)
+    whole = {r["id"]: r["score"] for r in lm_scoring.score_documents(docs).collect()}
+    monkeypatch.setattr(lm_scoring, "STRIDE", 1000)
+    assert all(abs(r["score"] - whole[r["id"]]) < 1e-9 * abs(whole[r["id"]]) for r in lm_scoring.score_documents(docs).collect())
+
+
+def test_lm_arrays_round_trip():
+    arrays = [np.array([-5, 2**60, 7]), np.array([], np.float64), np.array([0.1, -3.5]), np.array([True, False]), np.frombuffer(b"ab\nc", np.uint8), np.array([1, 2**31], np.uint32)]
+    for a, b in zip(arrays, lm_scoring.unpacked(lm_scoring.packed(*arrays)), strict=True):
+        assert a.dtype == b.dtype and a.tolist() == b.tolist()
+
+
+def test_lm_learns_nothing_without_training_documents(spark):
+    docs = spark.createDataFrame([(None, "a b"), (None, None)], "doc_id long, text string")
+    got = sorted(lm_scoring.score_documents(docs).collect(), key=lambda r: r["n_tokens"])
+    assert [r["train_tokens"] for r in got] == [0, 0] and [round(r["bits_per_byte"], 9) for r in got] == [8.0, 8.0]
 
 
 def test_lm_empty(none):

@@ -1,120 +1,162 @@
 """Language-model scoring by context-tree weighting over binary-decomposed bytes.
 
-Below the tree's byte depths stand two deeper ones that see further back than a few bytes: the whole word, and the whole
-sentence up to its stop. Each is weighted by the share of training text that it would have known (one minus the share of
-what was seen once) and mixed with all that stands above, so that the model stays one distribution over whole texts:
+A text is its words, joined by one blank and closed by one end byte. Each byte is eight binary decisions; each decision mixes
+the Krichevsky-Trofimov estimates of all context depths from 0 to DEPTH bytes, across word ends, by context-tree weighting. The
+score is the log10 probability of all bytes under the frozen tree of the training documents; nothing else is mixed in.
 
-    P(word)     = u c(word) / N + (1 - u) P_tree(word)
-    P(sentence) = v c(sentence) / M + (1 - v) product of P(word)
+Tables of contexts and words travel as packed arrays: a row a block of documents and bucket, not a row a context.
 """
 
 from __future__ import annotations
 
-import io
+import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varloom.llm.common import remainder, written
 
 #: Bytes of context of the deepest tree nodes, and of those at which the tree is dealt to tasks.
 DEPTH, SHARD_DEPTH = 5, 2
-#: Ends a word; starts the context of a word; stands for the end of a text in place of a word. White space cannot be part
-#: of a word, so these bytes are free.
-STOP, START, END = 0x20, 0x09, b"\n"
-LOG2, LOG10 = np.log(2.0), np.log(10.0)
-#: A sentence ends after a word that ends in a stop, or after so many words.
-SENTENCE = 32
+#: Joins the words; stands before a text; ends it. White space cannot be part of a word, so these bytes are free.
+STOP, START, END = b" ", b"\t", b"\n"
+LOG2 = np.log(2.0)
+#: Bytes whose contexts are held at a time.
+STRIDE = 4 << 20
+#: Buckets of contexts or words at most, and (block, context) pairs that one task merges; more pairs are salted by block.
+MOST_BUCKETS, PAIRS_A_TASK = 4096, 4_000_000
+
+
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays as bytes: like bytes of all numbers together, compressed."""
+    parts = []
+    for a in arrays:
+        raw = np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T).tobytes()
+        body = pa.compress(raw, "zstd", asbytes=True) if len(a) else b""
+        parts += [struct.pack("<2sqq", a.dtype.str[1:].encode(), len(a), len(body)), body]
+    return b"".join(parts)
+
+
+def unpacked(data: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(data):
+        kind, n, size = struct.unpack_from("<2sqq", data, at)
+        at += struct.calcsize("<2sqq")
+        dtype = np.dtype("<" + kind.decode())
+        raw = pa.decompress(data[at : at + size], n * dtype.itemsize, "zstd", asbytes=True) if n else b""
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(dtype.itemsize, n).T).view(dtype).ravel())
+        at += size
+    return out
 
 
-# ---- words of texts, block by block -------------------------------------------------------------------------------------
+# ---- blocks of documents ------------------------------------------------------------------------------------------------
 
 
-def sentence_ends(words: list[bytes]) -> list[int]:
-    """Positions after each sentence; the end of the text counts as the last word."""
-    out, last = [], 0
-    for i, w in enumerate(words, 1):
-        if i - last == SENTENCE or w[-1:] == b"." or w == END:
-            out.append(i)
-            last = i
-    return out
+def words_of(text: str | None) -> list[bytes]:
+    """The words, A-Z lower-cased; white space is tab to carriage return and the blank."""
+    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-def _coded(part: int, seq: int, ids: list, held: list[bool], texts: list) -> list[pd.DataFrame]:
-    """One block of documents as local word and sentence numbers, and its dictionaries with training counts."""
-    local: dict[bytes, int] = {END: 0}
-    known: dict[int, int] = {}
-    codes: list[np.ndarray] = []
-    ends: list[np.ndarray] = []
-    marks: list[np.ndarray] = []
-    n_bytes: list[int] = []
-    for t in texts:
-        words = (t.encode("utf-8", "surrogatepass").lower().split() if t else []) + [END]
-        codes.append(np.array([local.setdefault(w, len(local)) for w in words], np.uint32))
-        n_bytes.append(sum(map(len, words)) + len(words) - 1)
-        cuts = sentence_ends(words)
-        ends.append(np.array(cuts, np.uint32))
-        begin = [0, *cuts[:-1]]
-        hashes = [xxhash.xxh64_intdigest(b" ".join(words[i:j])) for i, j in zip(begin, cuts, strict=True)]
-        marks.append(np.array([known.setdefault(h, len(known)) for h in hashes], np.uint32))
-    learned, heard = np.zeros(len(local), np.int64), np.zeros(len(known), np.int64)
-    for c, m, h in zip(codes, marks, held, strict=True):
-        if not h:
-            learned += np.bincount(c, minlength=len(local))
-            heard += np.bincount(m, minlength=len(known))
-    chunk = (part << 32) | seq
-    block = _packed(
-        ids=np.array([-1 if pd.isna(i) else int(i) for i in ids], np.int64), null=np.array([bool(pd.isna(i)) for i in ids]), held=np.array(held, bool), lengths=np.array([len(c) for c in codes], np.int64),
-        sentences=np.array([len(e) for e in ends], np.int64), n_bytes=np.array(n_bytes, np.int64), heard=heard, codes=np.concatenate(codes), ends=np.concatenate(ends), marks=np.concatenate(marks),
-    )
-    none = dict.fromkeys(CODED_COLUMNS)
-    out = [pd.DataFrame([none | {"chunk": chunk, "kind": 0, "block": block}])]
-    names, hashes = list(local), np.fromiter(known, np.uint64, len(known)).view(np.int64)
-    for at in range(0, len(names), 100_000):
-        n = names[at : at + 100_000]
-        out.append(pd.DataFrame(none | {"chunk": chunk, "kind": 1, "word": n, "place": np.arange(at, at + len(n)), "learned": learned[at : at + len(n)]}, index=range(len(n))))
-    for at in range(0, len(hashes), 100_000):
-        n = hashes[at : at + 100_000]
-        out.append(pd.DataFrame(none | {"chunk": chunk, "kind": 2, "sentence": n, "place": np.arange(at, at + len(n)), "learned": heard[at : at + len(n)]}, index=range(len(n))))
-    return out
+def positions(flat: np.ndarray, depth: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(where, which, keys), STRIDE bytes at a time: the context of `depth` bytes and the byte itself, packed, of every byte
+    that is not START. Texts follow one another, each after `depth` START bytes."""
+    for at in range(depth, len(flat), STRIDE):
+        part = flat[at - depth : at + STRIDE]
+        n = len(part) - depth
+        key = np.zeros(n, np.int64)
+        for d in range(depth, -1, -1):
+            key = (key << 8) | part[depth - d : depth - d + n]
+        which = np.flatnonzero(part[depth:] != START[0])
+        yield at, which, key[which]
+
+
+def flat_text(texts: list[list[bytes]], depth: int) -> np.ndarray:
+    lead = START * depth
+    return np.frombuffer(b"".join([lead + STOP.join(w) + END for w in texts]), np.uint8)
+
+
+def counted(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and the sums of their counts."""
+    keys, n = np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts])
+    found, place = np.unique(keys, return_inverse=True)
+    return found, np.bincount(place, weights=n, minlength=len(found)).astype(np.int64)
 
 
-def _packed(**arrays: np.ndarray) -> bytes:
-    held = io.BytesIO()
-    np.savez(held, **arrays)
-    return zlib.compress(held.getvalue(), 1)
+def context_bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Contexts that share their last SHARD_DEPTH bytes lie in one bucket."""
+    last = (keys >> 8) & ((1 << (8 * SHARD_DEPTH)) - 1)
+    return ((last * 0x9E3779B1 >> 7) & 0x7FFFFFFF) % buckets
 
 
-def _unpacked(block: bytes) -> dict[str, np.ndarray]:
-    with np.load(io.BytesIO(zlib.decompress(block))) as arrays:
-        return dict(arrays)
+def word_buckets(words: list[bytes], buckets: int) -> np.ndarray:
+    return np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets
+
+
+CODED = "block long, kind int, bucket int, n long, payload binary"
+TEXTS, CONTEXTS, WORDS = 0, 1, 2
+
+
+def _coded(block: int, ids: list, held: list[bool], texts: list, buckets: int, depth: int) -> Iterator[pd.DataFrame]:
+    """One block of documents: its texts as word numbers, and its contexts and words with training counts, by bucket."""
+    order = np.argsort(np.array(held), kind="stable")  # training documents first
+    local: dict[bytes, int] = {}
+    split = [words_of(texts[i]) for i in order]
+    codes = [np.fromiter((local.setdefault(w, len(local)) for w in words), np.uint32, len(words)) for words in split]
+    n_train = len(held) - sum(held)
+    learned = np.zeros(len(local) + 1, np.int64)  # the last is the end
+    for c in codes[:n_train]:
+        learned[:-1] += np.bincount(c, minlength=len(local)) if len(c) > len(local) // 8 else 0
+        if len(c) <= len(local) // 8:
+            np.add.at(learned, c, 1)
+    learned[-1] = n_train
+    null = np.array([bool(pd.isna(ids[i])) for i in order], bool)
+    numbers = np.array([0 if pd.isna(ids[i]) else int(ids[i]) for i in order], np.int64)
+    names = [*local, b""]
+    text = packed(
+        numbers, null, np.array([held[i] for i in order], bool), np.array([len(c) for c in codes], np.int64), np.concatenate(codes), np.frombuffer(END.join(names), np.uint8)
+    )
+    rows = [(block, TEXTS, -1, len(texts), text)]
+    parts = []
+    for own, train in ((split[:n_train], 1), (split[n_train:], 0)):
+        for _, _, keys in positions(flat_text(own, depth), depth):
+            found, n = np.unique(keys, return_counts=True)
+            parts.append((found, n * train))
+    keys, n = counted(parts)
+    for kind, where, columns in ((CONTEXTS, context_bucket(keys, buckets), lambda i: (keys[i], n[i])), (WORDS, word_buckets(names, buckets), lambda i: (_joined([names[j] for j in i]), learned[i]))):
+        by = np.argsort(where, kind="stable")
+        for i in np.split(by, np.flatnonzero(np.diff(where[by])) + 1):
+            rows.append((block, kind, int(where[i[0]]), len(i), packed(*columns(i))))
+    yield pd.DataFrame(rows, columns=["block", "kind", "bucket", "n", "payload"])
+
 
+def _joined(words: list[bytes]) -> np.ndarray:
+    return np.frombuffer(END.join(words), np.uint8)
 
-CODED = "chunk long, kind int, block binary, word binary, sentence long, place int, learned long"
-CODED_COLUMNS = tuple(c.split()[0] for c in CODED.split(", "))
 
+def _parted(joined: np.ndarray) -> list[bytes]:
+    return joined.tobytes().split(END)
 
-def code_documents(docs: DataFrame, block_bytes: int = 16 << 20) -> DataFrame:
-    """Rows of three kinds for each block of documents: the block (ids, local numbers), and one row a distinct word or sentence.
 
-    A block closes at about block_bytes of text; a longer document is a block of its own. The texts never leave the task
-    that reads them, and a frequent word leaves it once a block.
+def code_documents(docs: DataFrame, buckets: int, depth: int = DEPTH, block_bytes: int = 16 << 20) -> DataFrame:
+    """Rows of three kinds for each block of documents (id, held, text): the texts, and the contexts and words of each bucket.
+
+    A block closes at about block_bytes of text; a longer document is a block of its own. A frequent context or word leaves
+    the task once a block.
     """
 
     def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        part, seq = TaskContext.get().partitionId(), 0
+        block = TaskContext.get().partitionId() << 32
         ids: list = []
         held: list[bool] = []
         texts: list = []
         size = 0
-
         for pdf in batches:
             for i, h, t in zip(pdf["id"], pdf["held"], pdf["text"], strict=True):
                 ids.append(i)
@@ -122,46 +164,71 @@ def code_documents(docs: DataFrame, block_bytes: int = 16 << 20) -> DataFrame:
                 texts.append(t)
                 size += len(t) if t else 0
                 if size >= block_bytes:
-                    yield from _coded(part, seq, ids, held, texts)
-                    seq, size = seq + 1, 0
+                    yield from _coded(block, ids, held, texts, buckets, depth)
+                    block, size = block + 1, 0
                     ids, held, texts = [], [], []
         if ids:
-            yield from _coded(part, seq, ids, held, texts)
+            yield from _coded(block, ids, held, texts, buckets, depth)
 
     return docs.mapInPandas(code, CODED)
 
 
-# ---- positions of words -------------------------------------------------------------------------------------------------
+# ---- tables over all blocks ---------------------------------------------------------------------------------------------
 
 
-def _positions(words: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte of each word and the stop after it: (row of the word, context of `depth` bytes and the byte, packed).
-    The end of a text is one byte in place of a word, with no stop after it. A context begins at the word's start."""
-    parts = [w if w == END else w + bytes([STOP]) for w in words]
-    lengths = np.fromiter(map(len, parts), np.int64, len(parts))
-    flat = np.frombuffer(b"".join(parts), np.uint8).astype(np.int64)
-    row = np.repeat(np.arange(len(parts)), lengths)
-    since = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    key = flat.copy()
-    for d in range(1, depth + 1):
-        before = np.zeros(len(flat), np.int64)
-        before[d:] = flat[:-d] if d < len(flat) else 0
-        before = np.where(since >= d, before, np.where(since == d - 1, START, 0))
-        key |= before << (8 * d)
-    return row, key
+def _merge_contexts(payloads: list[bytes]) -> tuple[np.ndarray, ...]:
+    return counted([tuple(unpacked(p)) for p in payloads])
 
 
-def count_positions(words: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(key, n): training count of every (context, byte) that any word needs; 0 where only held-out words need it."""
+def _merge_words(payloads: list[bytes]) -> tuple[np.ndarray, ...]:
+    parts = [unpacked(p) for p in payloads]
+    coded = pa.array([w for joined, _ in parts for w in _parted(joined)], pa.binary()).dictionary_encode()
+    n = np.bincount(coded.indices.to_numpy(), weights=np.concatenate([c for _, c in parts]), minlength=len(coded.dictionary))
+    return _joined(coded.dictionary.to_pylist()), n.astype(np.int64)
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            row, key = _positions(list(pdf["word"]), depth)
-            keys, place = np.unique(key, return_inverse=True)
-            n = np.bincount(place, weights=pdf["learned"].to_numpy(np.float64)[row], minlength=len(keys))
-            yield pd.DataFrame({"key": keys, "n": n.astype(np.int64)})
 
-    return words.select("word", "learned").mapInPandas(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+MERGED = "bucket int, total long, kinds long, payload binary"
+
+
+def merged(chunks: DataFrame, merge, salts: int) -> DataFrame:
+    """(bucket, total, kinds, payload): the chunks of all blocks merged, a row a bucket. Chunks of many blocks are merged by
+    salt first, so a bucket's task sees `salts` lists of distinct keys, however many blocks there are."""
+
+    def together(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        keys, n = merge(list(pdf["payload"]))
+        return pd.DataFrame({"bucket": [key[0]], "total": [int(n.sum())], "kinds": [int((n > 0).sum())], "payload": [packed(keys, n)]})
+
+    if salts > 1:
+        chunks = chunks.groupBy("bucket", F.pmod("block", F.lit(salts)).alias("salt")).applyInPandas(together, MERGED)
+    return chunks.groupBy("bucket").applyInPandas(together, MERGED)
+
+
+def answers(chunks: DataFrame, table: DataFrame, kind: int, find, salts: int) -> DataFrame:
+    """(block, kind, bucket, n, payload): find(chunk, table) for the chunk of every block and bucket. The table of a bucket meets
+    the chunks of one salt at a time."""
+
+    def meet(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found = find(left["payload"], right["payload"].iloc[0]) if len(left) else []
+        return pd.DataFrame({"block": left["block"], "kind": kind, "bucket": left["bucket"], "n": left["n"], "payload": found})
+
+    left = chunks.withColumn("salt", F.pmod("block", F.lit(salts)))
+    right = table.select("bucket", "payload", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
+    return left.groupBy("bucket", "salt").cogroup(right.groupBy("bucket", "salt")).applyInPandas(meet, CODED)
+
+
+def _find_contexts(chunks: pd.Series, table: bytes) -> list[bytes]:
+    known, value = unpacked(table)
+    out = []
+    for c in chunks:
+        keys = unpacked(c)[0]
+        out.append(packed(keys, value[np.searchsorted(known, keys)]))
+    return out
+
+
+def _find_words(chunks: pd.Series, table: bytes) -> list[bytes]:
+    joined, n = unpacked(table)
+    count = dict(zip(_parted(joined), n.tolist(), strict=True))
+    return [packed(np.fromiter((count[w] for w in _parted(unpacked(c)[0])), np.int64)) for c in chunks]
 
 
 # ---- the tree -----------------------------------------------------------------------------------------------------------
@@ -239,148 +306,100 @@ def _walk(levels: dict[int, tuple], keys: np.ndarray, start: np.ndarray | None,
     return p
 
 
-def code_lengths(positions: DataFrame, depth: int = DEPTH, shard_depth: int = SHARD_DEPTH) -> DataFrame:
-    """(key, log10_p): log10 probability of each byte in its context under the frozen tree.
+def code_lengths(table: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(bucket, payload): for each bucket of the merged contexts the keys and the log10 probability of each byte in its context
+    under the frozen tree; contexts that only held-out texts hold are there with count 0.
 
-    The tree is dealt by the last shard_depth bytes of context, many of them to a task of about KEYS_A_TASK keys: everything
-    deeper is one task's own affair. The few levels above are summed up from one row a (group, node): 65,536 contexts
-    times 255 places at most, whatever the corpus.
+    Everything deeper than SHARD_DEPTH bytes is one bucket's own affair. The few levels above are summed up from one row a node
+    of depth SHARD_DEPTH: 256 contexts times 255 places of level 1 are the most that reaches the driver, whatever the corpus.
     """
-    mask = (1 << (8 * shard_depth)) - 1
-    spark = positions.sparkSession
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-positions.count() // KEYS_A_TASK))
-    dealt = positions.withColumn("shard", F.pmod(F.xxhash64(F.shiftright("key", 8).bitwiseAND(F.lit(mask))), F.lit(buckets)))
-
-    def crown(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        keys, n = pdf["key"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64)
-        nodes, zeros, ones, _, mixed = _weigh(keys, n, shard_depth, depth)[shard_depth]
-        return pd.DataFrame({"node": nodes, "zeros": zeros.astype(np.int64), "ones": ones.astype(np.int64), "mixed": mixed})
-
-    level = written(dealt.groupBy("shard").applyInPandas(crown, "node long, zeros long, ones long, mixed double"), "ctw-crown")
-    upper = []
-    for d in range(shard_depth - 1, -1, -1):
-        parent = F.shiftright("node", 8).bitwiseAND(F.lit((1 << (8 * d)) - 1)) * 256 + F.col("node").bitwiseAND(F.lit(255))
-        sums = level.groupBy(parent.alias("node")).agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("mixed").alias("split"))
 
-        @F.pandas_udf("mixed double, weight double")
-        def mix(zeros: pd.Series, ones: pd.Series, split: pd.Series) -> pd.DataFrame:
-            own = _log_kt(zeros.to_numpy(float), ones.to_numpy(float))
-            mixed = np.logaddexp(own, split.to_numpy(float)) - LOG2
-            return pd.DataFrame({"mixed": mixed, "weight": np.exp(own - LOG2 - mixed)})
+    def crown(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for payload in pdf["payload"]:
+                nodes, zeros, ones, _, mixed = _weigh(*unpacked(payload), SHARD_DEPTH, depth)[SHARD_DEPTH]
+                yield pd.DataFrame({"node": nodes, "zeros": zeros.astype(np.int64), "ones": ones.astype(np.int64), "mixed": mixed})
 
-        level = written(sums.withColumn("m", mix("zeros", "ones", "split")).select("node", "zeros", "ones", "m.mixed", "m.weight"), f"ctw-level{d}")
-        upper.append((d, level))
-    # Levels above the shards, at most 256 contexts x 255 places each: bounded by the alphabet, not by the corpus.
+    @F.pandas_udf("mixed double, weight double")
+    def mix(zeros: pd.Series, ones: pd.Series, split: pd.Series) -> pd.DataFrame:
+        own = _log_kt(zeros.to_numpy(float), ones.to_numpy(float))
+        mixed = np.logaddexp(own, split.to_numpy(float)) - LOG2
+        return pd.DataFrame({"mixed": mixed, "weight": np.exp(own - LOG2 - mixed)})
+
+    level = table.mapInPandas(crown, "node long, zeros long, ones long, mixed double")
     above: dict[int, tuple] = {}
-    for d, table in upper:
-        t = table.toArrow().to_pandas().sort_values("node")
+    for d in range(SHARD_DEPTH - 1, -1, -1):
+        parent = F.shiftright("node", 8).bitwiseAND(F.lit((1 << (8 * d)) - 1)) * 256 + F.col("node").bitwiseAND(F.lit(255))
+        sums = level.groupBy(parent.alias("node")).agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("mixed").alias("split"))
+        level = written(sums.withColumn("m", mix("zeros", "ones", "split")).select("node", "zeros", "ones", "m.mixed", "m.weight"), f"ctw-level{d}")
+        t = level.toArrow().to_pandas().sort_values("node")
         above[d] = (t["node"].to_numpy(np.int64), t["zeros"].to_numpy(float), t["ones"].to_numpy(float), t["weight"].to_numpy(float), None)
-    shared = positions.sparkSession.sparkContext.broadcast(above)
+    shared = table.sparkSession.sparkContext.broadcast(above)  # levels 0 and 1: 65,535 nodes at most
 
-    def score(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        keys, n = pdf["key"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64)
-        levels = _weigh(keys, n, shard_depth, depth)
-        p = _walk(levels, keys, None, shard_depth, depth)
-        p = _walk(shared.value, keys, p, 0, shard_depth - 1)
-        return pd.DataFrame({"key": keys, "log10_p": np.log10(p).sum(0)})
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for bucket, payload in zip(pdf["bucket"], pdf["payload"], strict=True):
+                keys, n = unpacked(payload)
+                p = _walk(_weigh(keys, n, SHARD_DEPTH, depth), keys, None, SHARD_DEPTH, depth)
+                p = _walk(shared.value, keys, p, 0, SHARD_DEPTH - 1)
+                yield pd.DataFrame({"bucket": [bucket], "payload": [packed(keys, np.log10(p).sum(0))]})
 
-    return dealt.groupBy("shard").applyInPandas(score, "key long, log10_p double")
+    return table.mapInPandas(score, "bucket int, payload binary")
 
 
 # ---- scores -------------------------------------------------------------------------------------------------------------
 
-#: Keys that may be broadcast (16 bytes each); more are joined. Keys of the tree that one task weighs at a time.
-BROADCAST_KEYS = 3_000_000
-KEYS_A_TASK = 500_000
-
-
-def score_words(words: DataFrame, lengths: DataFrame, depth: int = DEPTH, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
-    """words plus log10_p, the sum over the word's bytes. The table of code lengths is counted first: if it is small it is
-    broadcast, else positions and table are joined by key."""
-    held = written(lengths, "ctw-lengths")
-    if held.count() <= broadcast_keys:
-        table = held.toArrow().to_pandas().sort_values("key")
-        shared = words.sparkSession.sparkContext.broadcast((table["key"].to_numpy(np.int64), table["log10_p"].to_numpy(float)))
-
-        @F.pandas_udf("double")
-        def of(series: pd.Series) -> pd.Series:
-            keys, value = shared.value
-            row, key = _positions(list(series), depth)
-            return pd.Series(np.bincount(row, weights=value[np.searchsorted(keys, key)], minlength=len(series)))
-
-        return words.withColumn("log10_p", of("word"))
-
-    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            row, key = _positions(list(pdf["word"]), depth)
-            yield pd.DataFrame({"word": pdf["word"].to_numpy()[row], "key": key})
-
-    sums = words.select("word").mapInPandas(spread, "word binary, key long").join(held, "key").groupBy("word").agg(F.sum("log10_p").alias("log10_p"))
-    return words.join(sums, "word")
-
-
 SCORED = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: int = 5, held: int = 1, depth: int = DEPTH, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: int = 5, held: int = 1, depth: int = DEPTH, block_bytes: int = 16 << 20, pairs: int = PAIRS_A_TASK) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) for every row.
 
     Learns from the documents whose crc32(id as text) mod `fold` is not `held`. Tokens are the ASCII-blank-separated words,
-    A-Z lower-cased, and one end. base_score is the smoothed unigram baseline; score the model's log10 probability of the words,
-    each word's bytes closed by a stop, and of the end; bits_per_byte its code length per byte. NULL and empty
-    texts are the end alone. A NULL id is neither held out nor learned from. Repeated rows count each. Without training
-    documents the counts are 0 and the estimates those of an untrained tree.
+    A-Z lower-cased, and one end. base_score is the smoothed unigram baseline; score the tree's log10 probability of the words
+    joined by blanks and closed by the end byte; bits_per_byte its code length per such byte. A context that training never
+    reached has no estimate: its longest reached suffix stands for it. NULL and empty texts are the end alone. A NULL id is
+    neither held out nor learned from. Repeated rows count, and are scored, each for itself; equal texts of one fold score
+    alike. Without training documents the counts are 0 and every bit costs one bit. Other columns of docs are ignored.
     """
+    spark = docs.sparkSession
     out = F.coalesce(remainder(F.col(id_col), fold) == held, F.lit(False))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), (out | F.col(id_col).isNull()).alias("held"), F.col(text_col).alias("text"))
-    coded = written(code_documents(rows), "lm-coded")
-    local = coded.where("kind = 1").select("chunk", "word", "place", "learned")
-    words = written(local.groupBy("word").agg(F.sum("learned").alias("learned")), "lm-words")
-    heard = coded.where("kind = 2").select("chunk", "sentence", "place", "learned")
-    # A sentence of one block alone needs nothing from elsewhere: its count there is its count everywhere.
-    same = Window.partitionBy("sentence")
-    repeated = written(
-        heard.withColumns({"blocks": F.count("*").over(same), "c": F.sum("learned").over(same)}).where("blocks > 1").select("chunk", "place", "learned", "c", (F.row_number().over(same.orderBy("chunk")) == 1).alias("first")), "lm-repeated"
-    )
-    n_all, once, kinds = _totals(words, "learned")
-    n_sentences, sentence_once, _ = _totals(heard, "learned")
-    moved = repeated.agg(F.count_if(F.col("learned") == 1).alias("local"), F.count_if(F.col("first") & (F.col("c") == 1)).alias("whole")).first()
-    sentence_once += moved["whole"] - moved["local"]
-    lengths = code_lengths(written(count_positions(words, depth), "ctw-positions"), depth)
-    scored = score_words(words, lengths, depth, broadcast_keys).select("word", F.col("learned").alias("c"), F.col("log10_p").cast("float").alias("log10_p"))
-    back = local.select("chunk", "word", "place").join(scored, "word").select("chunk", F.lit(1).alias("kind"), "place", "c", "log10_p")
-    repeated = repeated.select("chunk", F.lit(2).alias("kind"), "place", "c")
-    blocks = coded.where("kind = 0").select("chunk", "kind", "block")
-    both = blocks.unionByName(back, allowMissingColumns=True).unionByName(repeated, allowMissingColumns=True)
-    u, v = 1 - (once + 0.5) / (n_all + 1), 1 - (sentence_once + 0.5) / (n_sentences + 1)
-
-    def add_up(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        block = _unpacked(pdf["block"][pdf["kind"] == 0].iloc[0])
-        table = pdf[pdf["kind"] == 1].sort_values("place")
-        c, tree = table["c"].to_numpy(np.int64), table["log10_p"].to_numpy(float)
-        c_sentence = block["heard"].astype(float)
-        other = pdf[pdf["kind"] == 2]
-        c_sentence[other["place"].to_numpy(np.int64)] = other["c"].to_numpy(float)
+    buckets = min(MOST_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    coded = written(code_documents(rows, buckets, depth, block_bytes), "lm-coded")
+    contexts, words = coded.where(F.col("kind") == CONTEXTS), coded.where(F.col("kind") == WORDS)
+    sizes = {r["kind"]: r["n"] for r in coded.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
+    salts = {k: max(1, -(-sizes.get(k, 0) // (buckets * pairs))) for k in (CONTEXTS, WORDS)}
+    known = written(merged(words, _merge_words, salts[WORDS]), "lm-words")
+    totals = known.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n"), F.coalesce(F.sum("kinds"), F.lit(0)).alias("kinds")).first()
+    n_all, kinds = int(totals["n"]), int(totals["kinds"])
+    lengths = written(code_lengths(written(merged(contexts, _merge_contexts, salts[CONTEXTS]), "ctw-contexts"), depth), "ctw-lengths")
+    back = answers(contexts, lengths, CONTEXTS, _find_contexts, salts[CONTEXTS]).unionByName(answers(words, known, WORDS, _find_words, salts[WORDS]))
+
+    def add_up(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        kind = pdf["kind"].to_numpy()
+        numbers, null, held, lengths, codes, joined = unpacked(pdf["payload"][kind == TEXTS].iloc[0])
+        names = _parted(joined)
+        told = pdf[kind == WORDS].sort_values("bucket")
+        c = np.empty(len(names), np.int64)
+        c[np.argsort(word_buckets(names, buckets), kind="stable")] = np.concatenate([unpacked(p)[0] for p in told["payload"]])
         base = np.log10((c + 0.5) / (n_all + 0.5 * (kinds + 1)))
-        word = np.logaddexp(np.log(1 - u) + tree * LOG10, np.log(np.maximum(1e-300, u * c / max(1, n_all))))
-        codes, marks, lengths, sentences = block["codes"], block["marks"], block["lengths"], block["sentences"]
         begin = np.cumsum(lengths) - lengths
-        ends = block["ends"].astype(np.int64) + np.repeat(begin, sentences)
-        starts = np.r_[0, ends[:-1]]
-        spelled = np.add.reduceat(word[codes], starts)
-        whole = np.log(np.maximum(1e-300, v * c_sentence[marks] / max(1, n_sentences)))
-        score = np.add.reduceat(np.logaddexp(np.log(1 - v) + spelled, whole), np.cumsum(sentences) - sentences) / LOG10
-        add = lambda x: np.add.reduceat(x[codes], begin)  # noqa: E731  every document has at least its end
-        ids = pd.Series(block["ids"], dtype="Int64").mask(block["null"])
-        held = block["held"] & ~block["null"]
+        add = lambda x: np.add.reduceat(np.r_[x[codes], 0], begin) * (lengths > 0) + x[-1]  # noqa: E731  words, then the end
+        split = [names[i] for i in codes.tolist()]
+        texts = [split[b : b + n] for b, n in zip(begin.tolist(), lengths.tolist(), strict=True)]
+        flat = flat_text(texts, depth)
+        parts = [unpacked(p) for p in pdf["payload"][kind == CONTEXTS]]
+        index = pd.Index(np.concatenate([k for k, _ in parts]))
+        value = np.concatenate([v for _, v in parts])
+        cost = np.zeros(len(flat))
+        for at, which, keys in positions(flat, depth):
+            cost[at + which] = value[index.get_indexer(keys)]
+        n_bytes = np.array([sum(map(len, w)) + max(1, len(w)) for w in texts])
+        score = np.add.reduceat(cost, np.cumsum(n_bytes + depth) - n_bytes - depth)
+        ids = pd.Series(numbers, dtype="Int64").mask(null)
         return pd.DataFrame(
-            {"id": ids, "held_out": held, "n_tokens": lengths, "n_known": add((c > 0).astype(np.int64)), "train_tokens": n_all, "base_score": add(base), "score": score, "bits_per_byte": -score * LOG10 / LOG2 / block["n_bytes"]}
+            {"id": ids, "held_out": held & ~null, "n_tokens": lengths + 1, "n_known": add((c > 0).astype(np.int64)), "train_tokens": n_all, "base_score": add(base), "score": score, "bits_per_byte": -score / np.log10(2.0) / n_bytes}
         )
 
-    return both.groupBy("chunk").applyInPandas(add_up, SCORED)
-
-
-def _totals(table: DataFrame, count: str) -> tuple[int, int, int]:
-    """Sum of the counts, how many are one, and how many are more than nought."""
-    row = table.agg(F.coalesce(F.sum(count), F.lit(0)).alias("n"), F.count_if(F.col(count) == 1).alias("once"), F.count_if(F.col(count) > 0).alias("kinds")).first()
-    return int(row["n"]), int(row["once"]), int(row["kinds"])
+    return coded.where(F.col("kind") == TEXTS).unionByName(back).groupBy("block").applyInPandas(add_up, SCORED)
