@@ -272,6 +272,33 @@ def test_vectors_equal_brute_force(spark):
         assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (len(links.get(i, ())), min(reach), min(reach) == i)
 
 
+def test_vectors_with_null_and_repeated_ids(spark):
+    rows = [(5, [1.0, 0.0]), (5, [1.0, 0.0]), (None, [2.0, 0.0]), (3, [1.0, 0.01]), (None, [0.0, 1.0]), (None, None), (8, [-1.0, 0.0])]
+    got = near_vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("n_links", F.lit("clash"))).collect()
+    assert sorted((str(r["id"]), r["n_links"], str(r["component_id"]), r["kept"]) for r in got) == [
+        ("3", 3, "3", True), ("5", 3, "3", False), ("5", 3, "3", False), ("8", 0, "8", True), ("None", 0, "None", True), ("None", 0, "None", True), ("None", 3, "3", False),
+    ]
+
+
+def test_vectors_over_several_shards_and_groups(spark):
+    """Counts and groups of clusters of many sizes equal brute force, and the audit has seen links."""
+    rng = np.random.default_rng(12)
+    sizes = [150, 60, 60, 20, 10, 5, 3, 2, 2, 2]
+    x = np.concatenate([c + rng.normal(scale=0.03, size=(n, 16)) for n, c in zip(sizes, rng.normal(size=(len(sizes), 16)), strict=True)] + [rng.normal(size=(400, 16))])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    near = (x @ x.T >= 0.95) & ~np.eye(len(x), dtype=bool)
+    got = {r["id"]: r for r in near_vectors.near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), recall=1.0).collect()}
+    assert got[0]["audited_recall"] == 1.0
+    label = np.arange(len(x))
+    while True:
+        new = np.minimum(label, np.where(near, label[None, :], len(x)).min(1))
+        if (new == label).all():
+            break
+        label = new
+    assert [got[i]["component_id"] for i in range(len(x))] == label.tolist()
+    assert [got[i]["n_links"] for i in range(len(x))] == near.sum(1).tolist()
+
+
 def test_vectors_empty(spark):
     assert near_vectors.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 

@@ -1,7 +1,12 @@
-"""Embedding near-dedup: a navigable small-world graph per shard, searched by every vector."""
+"""Embedding near-dedup: a navigable small-world graph per shard, searched by every vector.
+
+Every shard's graph is built once and written; the vectors of all shards then stream past each graph. What leaves a task is the
+number of links of each vector and a spanning forest of the links, never all pairs of a group.
+"""
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varloom.llm.common import cut, written
+from varloom.llm.common import written
 from varloom.llm.components import connected_components
 
 #: Neighbours of a node (twice as many on the ground level), beam while building, vectors searched in step.
@@ -39,6 +44,20 @@ class SmallWorld:
             done += len(batch)
             step = min(STEP, max(1, done // 2))
 
+    def dump(self, **more: np.ndarray) -> bytes:
+        held = io.BytesIO()
+        np.savez(held, entry=np.array([self.entry]), **{f"level{i}": t for i, t in enumerate(self.levels)}, **more)
+        return held.getvalue()
+
+    @classmethod
+    def load(cls, arrays, unit: np.ndarray) -> SmallWorld:
+        self = cls.__new__(cls)
+        self.unit = np.ascontiguousarray(unit, np.float32)
+        self.entry = int(arrays["entry"][0])
+        self.levels = [arrays[f"level{i}"] for i in range(sum(name.startswith("level") for name in arrays))]
+        self.top = len(self.levels) - 1
+        return self
+
     def _insert(self, batch: np.ndarray, level: np.ndarray, before: np.ndarray) -> None:
         q = self.unit[batch]
         at = np.full(len(batch), self.entry, np.int64)
@@ -155,74 +174,134 @@ class SmallWorld:
 
 
 def unit_vectors(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id, v): the vectors scaled to length 1 in double precision; those that link with nothing are left out."""
+    """(id, v): the vectors scaled to length 1 in double precision; v is NULL for those that link with nothing."""
     v = F.transform(F.col(vec_col), lambda x: x.cast("double"))
     good = F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    most = F.array_max(F.transform("v", F.abs))
-    rows = vectors.select(F.col(id_col).alias("id"), v.alias("v")).where(good).withColumn("most", most).where("most > 0")
-    rows = rows.select("id", F.transform("v", lambda x: x / F.col("most")).alias("v"))  # no overflow in the squares
+    rows = vectors.select(F.col(id_col).alias("id"), v.alias("v")).withColumn("v", F.when(good, F.col("v")))
+    rows = rows.withColumn("most", F.array_max(F.transform("v", F.abs)))
+    rows = rows.select("id", F.when(F.col("most") > 0, F.transform("v", lambda x: x / F.col("most"))).alias("v"))  # no overflow in the squares
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     return rows.withColumn("norm", norm).select("id", F.transform("v", lambda x: x / F.col("norm")).alias("v"))
 
 
-def near_links(distinct: DataFrame, threshold: float, shards: int, beam: int, block: int) -> DataFrame:
-    """(a, b): for every vector (node, v) all found nodes with cosine >= threshold, in either direction, verified in double.
+def build_graphs(nodes: DataFrame, shards: int) -> DataFrame:
+    """(shard, graph): one row for each shard and vector length, the graph with its vectors, names and copies, built once."""
+
+    def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("node", kind="stable")
+        dims = pdf["v"].map(len).to_numpy()
+        out = []
+        for dim in np.unique(dims):
+            own = pdf[dims == dim]
+            base = np.stack(own["v"].to_list())
+            out.append(SmallWorld(base).dump(base=base, name=own["node"].to_numpy(np.int64), copies=own["copies"].to_numpy(np.int64)))
+        return pd.DataFrame({"shard": key[0], "graph": out})
+
+    return shard_of(nodes, shards).groupBy("shard").applyInPandas(build, "shard int, graph binary")
+
+
+def shard_of(nodes: DataFrame, shards: int) -> DataFrame:
+    return nodes.withColumn("shard", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int"))
+
+
+class Shard:
+    """A loaded graph, and the union-find of what its searches have linked so far."""
+
+    def __init__(self, graph: bytes):
+        with np.load(io.BytesIO(graph)) as held:
+            arrays = dict(held)
+        self.base, self.name, self.copies = arrays["base"], arrays["name"], arrays["copies"]
+        self.world = SmallWorld.load(arrays, self.base)
+        self.root = np.arange(len(self.base))
+
+    def links(self, q: np.ndarray, names: np.ndarray, threshold: float, beam: int) -> Iterator[tuple[int, int, list[int]]]:
+        """(row, copies of all nodes at or above threshold, those nodes whose link to the row joins something new)."""
+        for r, found in self.world.search(q, threshold - 1e-4, beam):
+            found = found[self.base[found] @ q[r] >= threshold]
+            found = found[self.name[found] != names[r]]
+            if not len(found):
+                continue
+            roots = self.root[found]
+            while (deeper := self.root[roots]).tolist() != roots.tolist():
+                roots = deeper
+            self.root[found] = roots
+            apart, first = np.unique(roots, return_index=True)
+            self.root[apart] = apart[0]
+            yield r, int(self.copies[found].sum()), self.name[found[first]].tolist()
+
 
-    Every shard is indexed once for each block of queries that it meets; all rows are queries, all rows are indexed. The
-    pairs of (shard, block) are dealt to tasks, so neither a shard nor all vectors ever meet the driver or one task alone.
+def near_links(nodes: DataFrame, graphs: DataFrame, shards: int, threshold: float, beam: int) -> DataFrame:
+    """(a, near, b): for every node (a) and shard the copies of the shard's nodes with cosine >= threshold, verified in double,
+    and with b links that connect whatever these do: at most a row a node and one a union of the shard's nodes.
+
+    A graph goes to as many tasks as it takes to keep all shuffle partitions busy, and each node to one task a shard; both
+    are sorted so that the graph comes first and the nodes stream past it.
     """
-    n_blocks = block
-    rows = distinct.withColumns({"shard": F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int"), "block": F.pmod(F.xxhash64("node", F.lit(1)), F.lit(n_blocks)).cast("int")})
-    index = rows.select("shard", "node", "v", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
-    queries = rows.select("block", "node", "v", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-
-    def meet(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out_a, out_b = [], []
-        if len(left) and len(right):
-            left = left.sort_values("node", kind="stable")
-            node, q_node = left["node"].to_numpy(np.int64), right["node"].to_numpy(np.int64)
-            for dim in {len(v) for v in left["v"]}:
-                mine = np.array([len(v) == dim for v in left["v"]])
-                theirs = np.array([len(v) == dim for v in right["v"]])
-                if not theirs.any():
-                    continue
-                base, q = np.stack(left["v"][mine].to_list()), np.stack(right["v"][theirs.tolist()].to_list())
-                names, q_names = node[mine], q_node[theirs]
-                graph = SmallWorld(base)
-                for r, found in graph.search(q, threshold - 1e-4, beam):
-                    found = found[base[found] @ q[r] >= threshold]
-                    found = found[names[found] != q_names[r]]
-                    out_a.append(np.full(len(found), q_names[r]))
-                    out_b.append(names[found])
-        none = np.empty(0, np.int64)
-        return pd.DataFrame({"a": np.concatenate(out_a or [none]), "b": np.concatenate(out_b or [none])})
-
-    return index.groupBy("shard", "block").cogroup(queries.groupBy("shard", "block")).applyInPandas(meet, "a long, b long")
-
-
-def audit(distinct: DataFrame, links: DataFrame, threshold: float, sample: int = 64) -> float:
-    """Recall of the links of a fixed number of vectors against brute force over all vectors; 1 if they have none."""
-    probes = distinct.orderBy(F.xxhash64("node", F.lit("audit"))).limit(sample)
-    held = probes.toPandas()
-    if held.empty:
-        return 1.0
-    names = held["node"].to_numpy(np.int64)
-    vectors = list(held["v"])
-
-    def true_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    parts = max(1, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")) // shards)
+    each = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    index = graphs.select("shard", each(parts, "part"), F.lit(0).alias("asks"), "graph", F.lit(None).cast("long").alias("node"), F.lit(None).cast("array<double>").alias("v"))
+    asked = nodes.select("node", "v", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(parts)).cast("int").alias("part"))
+    asked = asked.select(each(shards, "shard"), "part", F.lit(1).alias("asks"), F.lit(None).cast("binary").alias("graph"), "node", "v")
+    dealt = index.unionByName(asked).repartition(shards * parts, "shard", "part").sortWithinPartitions("shard", "part", "asks")
+
+    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, held = None, {}
+        for pdf in batches:
+            for key, own in pdf.groupby(["shard", "part"], sort=True):
+                if key != at:
+                    at, held = key, {}
+                for graph in own["graph"][own["asks"] == 0]:
+                    shard = Shard(graph)
+                    held[shard.base.shape[1]] = shard
+                own = own[own["asks"] == 1]
+                dims = own["v"].map(len).to_numpy()
+                for dim in np.unique(dims):
+                    if dim not in held:
+                        continue
+                    some = own[dims == dim]
+                    names, out = some["node"].to_numpy(np.int64), []
+                    for r, near, news in held[dim].links(np.stack(some["v"].to_list()), names, threshold, beam):
+                        out += [(names[r], near if i == 0 else 0, b) for i, b in enumerate(news)]
+                    yield pd.DataFrame(out, columns=["a", "near", "b"])
+
+    return dealt.mapInPandas(stream, "a long, near long, b long")
+
+
+#: The audit asks this many vectors first, and eight times as many each time, up to the last, until it has seen LINKS_SEEN true
+#: links of at least PROBES_SEEN vectors.
+FIRST_PROBES, MOST_PROBES, LINKS_SEEN, PROBES_SEEN = 128, 8192, 400, 40
+
+
+def audit(nodes: DataFrame, near: DataFrame, threshold: float) -> float | None:
+    """Recall of the counts `near` (a, near) against brute force over all nodes, averaged over the probes that have a true link;
+    None if MOST_PROBES probes have none. Found links are verified, so a count falls short by what was missed."""
+    probes = FIRST_PROBES
+    while True:
+        held = nodes.orderBy(F.xxhash64("node", F.lit("audit"))).limit(probes).select("node", "v").toPandas()  # at most MOST_PROBES rows
+        truth = _true_counts(nodes, held["node"].to_numpy(np.int64), list(held["v"]), threshold)
+        rows = truth.join(near.groupBy("a").agg(F.sum("near").alias("near")), "a", "left").select("true", F.coalesce("near", F.lit(0)).alias("near")).collect()
+        if probes >= MOST_PROBES or len(held) < probes or (sum(r["true"] for r in rows) >= LINKS_SEEN and len(rows) >= PROBES_SEEN):
+            return sum(min(1.0, r["near"] / r["true"]) for r in rows) / len(rows) if rows else None
+        probes = min(MOST_PROBES, 8 * probes)
+
+
+def _true_counts(nodes: DataFrame, names: np.ndarray, vectors: list, threshold: float) -> DataFrame:
+    """(a, true): for each probe that has any, the copies of the other nodes with cosine >= threshold."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for dim in {len(v) for v in pdf["v"]}:
-                rows = pdf[[len(v) == dim for v in pdf["v"]]]
-                mine = [i for i, v in enumerate(vectors) if len(v) == dim]
-                if not mine:
+            dims = pdf["v"].map(len).to_numpy()
+            for dim in np.unique(dims):
+                mine = np.array([i for i, v in enumerate(vectors) if len(v) == dim], np.int64)
+                if not len(mine):
                     continue
-                hit = np.argwhere(np.stack(rows["v"].to_list()) @ np.stack([vectors[i] for i in mine]).T >= threshold)
-                pairs = pd.DataFrame({"a": names[mine][hit[:, 1]], "b": rows["node"].to_numpy(np.int64)[hit[:, 0]]})
-                yield pairs[pairs["a"] != pairs["b"]]
+                rows = pdf[dims == dim]
+                hit = np.stack(rows["v"].to_list()) @ np.stack([vectors[i] for i in mine]).T >= threshold
+                hit &= rows["node"].to_numpy(np.int64)[:, None] != names[mine][None, :]
+                total = rows["copies"].to_numpy(np.int64) @ hit
+                yield pd.DataFrame({"a": names[mine][total > 0], "true": total[total > 0]})
 
-    truth = distinct.mapInPandas(true_links, "a long, b long")
-    both = truth.join(links.withColumn("hit", F.lit(1)), ["a", "b"], "left").agg(F.count("*").alias("n"), F.count("hit").alias("k")).first()
-    return both["k"] / both["n"] if both["n"] else 1.0
+    return nodes.mapInPandas(count, "a long, true long").groupBy("a").agg(F.sum("true").alias("true"))
 
 
 def near_vectors(
@@ -230,39 +309,38 @@ def near_vectors(
     threshold: float = 0.95,
     id_col: str = "vec_id",
     vec_col: str = "embedding",
-    per_shard: int = 100_000,
+    shard_mb: int = 128,
     least_shards: int = 6,
     beam: int = 24,
     recall: float = 0.97,
 ) -> DataFrame:
-    """(id, n_links, component_id, kept) for every row of vectors.
+    """(id, n_links, component_id, kept, audited_recall) for every row of vectors.
 
     Rows with the same direction are one node of the graphs, so that copies of one vector cost nothing; they link with each
     other and share their node's links. NULL, zero and non-finite vectors link with nothing. Vectors of different length
-    never link. Beams double until an audit finds `recall` of the true links. Components are joined over nodes; the smallest
-    id names them. A NULL id is a row that links like any other but names no component.
+    never link. Beams double until an audit finds `recall` of the true links; audited_recall is what it found at the last, NULL
+    where no probe had a link. Components are joined over nodes; the smallest id names them. A NULL id is a row that links
+    like any other but names no component unless all ids of it are NULL; repeated rows and ids are rows each for itself. A
+    shard holds shard_mb of vectors, so every vector is sent to all vectors / shard_mb shards.
     """
     units = written(unit_vectors(vectors, id_col, vec_col), "unit-vectors")
-    nodes = written(
-        units.groupBy("v").agg(F.min("id").alias("least"), F.count("*").alias("copies")).withColumn("node", F.monotonically_increasing_id()), "vector-nodes"
-    )
-    n = nodes.count()
-    shards = max(least_shards, -(-n // per_shard))
-    blocks = max(1, -(-n // per_shard))
-    links = None
+    good = units.where("v IS NOT NULL")
+    nodes = written(good.groupBy("v").agg(F.min("id").alias("least"), F.count("*").alias("copies")).withColumn("node", F.monotonically_increasing_id()), "vector-nodes")
+    size = nodes.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("v") * 8), F.lit(0)).alias("bytes")).first()
+    n, shards = int(size["n"]), max(least_shards, -(-int(size["bytes"]) // (shard_mb << 20)))
+    graphs = written(build_graphs(nodes.select("node", "v", "copies"), shards), "vector-graphs")
     while True:
-        links = written(near_links(nodes.select("node", "v"), threshold, shards, beam, blocks), "vector-links")
-        links = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-        if beam >= n or audit(nodes.select("node", "v"), links, threshold) >= recall:
+        links = written(near_links(nodes.select("node", "v"), graphs, shards, threshold, beam), "vector-links")
+        found = audit(nodes, links, threshold)
+        if found is None or found >= recall or beam >= n:
             break
         beam *= 2
     groups = connected_components(links)
-    degree = links.join(nodes.select(F.col("node").alias("b"), "copies"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("copies").alias("near"))
-    placed = nodes.join(groups, "node", "left").join(degree, "node", "left").select("v", "least", "copies", F.coalesce("component", "node").alias("label"), F.coalesce("near", F.lit(0)).alias("near"))
-    placed = cut(placed)
+    degree = links.groupBy(F.col("a").alias("node")).agg(F.sum("near").alias("near"))
+    placed = nodes.join(groups, "node", "left").join(degree, "node", "left")
+    placed = written(placed.select("v", "least", "copies", F.coalesce("component", "node").alias("label"), F.coalesce("near", F.lit(0)).alias("near")), "vector-placed")
     named = placed.groupBy("label").agg(F.min("least").alias("component_id"))
     by_node = placed.join(named, "label").select("v", "component_id", (F.col("near") + F.col("copies") - 1).alias("n_links"))
-    linked = units.join(by_node, "v").select("id", "n_links", "component_id")
-    every = vectors.select(F.col(id_col).alias("id"))
-    alone = every.exceptAll(linked.select("id")).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
+    linked = good.join(by_node, "v").select("id", "n_links", "component_id")
+    alone = units.where("v IS NULL").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    return linked.unionByName(alone).withColumns({"kept": F.col("id").eqNullSafe(F.col("component_id")), "audited_recall": F.lit(found).cast("double")})
