@@ -71,21 +71,93 @@ def test_toxicity_without_labels(toxic, none):
     assert {r["tox_score"] for r in toxicity.score_toxicity(docs, None).collect()} == {0.0}
 
 
+class BrutePpm:
+    """PPM-C with exclusion, straight from its definition, over a dictionary of counts."""
+
+    def __init__(self, texts, order=3):
+        self.order, self.counts = order, {}
+        for t in texts:
+            for context, byte in self.bytes_of(t):
+                for d in range(order + 1):
+                    self.counts.setdefault(context[order - d :], Counter())[byte] += 1
+
+    def bytes_of(self, text):
+        raw = b" " * self.order + (text or "").encode().lower()
+        return [(raw[i - self.order : i], raw[i]) for i in range(self.order, len(raw))]
+
+    def p(self, context, byte):
+        if context not in self.counts:
+            return 1 / 256 if not context else self.p(context[1:], byte)
+        n = self.counts[context]
+        below = lambda b: self.p(context[1:], b) if context else 1 / 256
+        if len(n) == 256:
+            return n[byte] / sum(n.values())
+        if byte in n:
+            return n[byte] / (sum(n.values()) + len(n))
+        return len(n) / (sum(n.values()) + len(n)) * below(byte) / (1 - sum(below(b) for b in n))
+
+    def bits(self, text):
+        return -sum(math.log2(self.p(c, b)) for c, b in self.bytes_of(text))
+
+
 def test_language_id(spark, odd, none):
     rng = np.random.default_rng(4)
     parts = {"aa": ["ba", "na", "ka", "lo"], "bb": ["tri", "stro", "pli", "gru"]}
     rows = [(i, " ".join("".join(rng.choice(parts[lang], 3)) for _ in range(12)), lang) for i, lang in enumerate(["aa", "bb"] * 100)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    model = language_id.fit(docs)
-    got = language_id.predict(docs, model).collect()
+    models = language_id.fit(docs)
+    assert [m.languages for m in models] == [["aa", "bb"]]
+    got = language_id.predict(docs.withColumn("lang_pred", F.lit("clash")), models).collect()
     assert all(r["lang"] == r["lang_pred"] for r in got if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
-    marks = {r["doc_id"]: r for r in language_id.predict(odd, model).collect()}
+    marks = {r["doc_id"]: r for r in language_id.predict(odd, models).collect()}
     assert marks[3]["lang_pred"] == marks[4]["lang_pred"] == marks[5]["lang_pred"] == "und" and marks[3]["lang_score"] == 0.0
     assert all(0 <= r["lang_score"] <= 1 for r in marks.values())
-    assert language_id.fit(none) is None and language_id.predict(odd, None).where("lang_pred <> 'und'").count() == 0
-    assert language_id.predict(none, model).count() == 0
-    prob = np.exp2(-model.bits.astype(float))
-    assert np.allclose(prob.sum(1), 1, atol=1e-3), "each context is a distribution over symbols in each language"
+    assert language_id.fit(none) == [] and language_id.predict(odd, []).where("lang_pred <> 'und'").count() == 0
+    assert language_id.predict(none, models).count() == 0
+
+
+def test_only_letters_make_a_language(spark):
+    texts = ["²", "½ ① Ⅷ", "12_34 !?", "\u0301", "ª", "é", "日", "ʰ", None, ""]
+    docs = spark.createDataFrame([(1, "some words of text", "xx")] + [(i + 10, t, None) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    got = {r["text"]: r["lang_pred"] for r in language_id.predict(docs, language_id.fit(docs)).collect()}
+    assert [got[t] for t in texts] == ["und"] * 4 + ["xx"] * 4 + ["und"] * 2
+
+
+@pytest.mark.parametrize("table_mb", [64, 0])
+def test_code_lengths_equal_brute_force(spark, table_mb, monkeypatch):
+    """For texts of the languages, of other bytes and of all bytes, over block borders; with all languages in one model and with one each."""
+    monkeypatch.setattr(language_id, "BLOCK", 37)
+    rng = np.random.default_rng(11)
+    alphabet = {"aa": "abc é", "bb": "bcd ß", "cc": "xyz,"}
+    rows = [(i, "".join(rng.choice(list(alphabet[lang]), int(rng.integers(0, 60)))), lang) for i, lang in enumerate(["aa", "bb", "cc"] * 30)]
+    rows += [(1000 + i, None, "aa") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    models = language_id.fit(docs, table_mb=table_mb)
+    assert len(models) == (1 if table_mb else 3)
+    trees = {lang: BrutePpm([t for i, t, own in rows if own == lang and zlib.crc32(str(i).encode()) % 5]) for lang in alphabet}
+    texts = [t for _, t, _ in rows[:20]] + ["QRS tuv", "a", "".join(map(chr, range(1, 300))), "日本", None, "ab" * 200]
+    for m in models:
+        got = m.totals(texts)
+        for k, lang in enumerate(m.languages):
+            assert np.allclose(got[:, k], [trees[lang].bits(t) for t in texts], rtol=1e-9, atol=1e-9)
+    asked = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in language_id.predict(asked, models).collect():
+        if language_id.has_letter(r["text"]):
+            want = {lang: trees[lang].bits(r["text"]) for lang in alphabet}
+            best = min(want, key=lambda x: (round(want[x], 6), x))
+            assert r["lang_pred"] == best and abs(r["lang_score"] - 1 / sum(2 ** (want[best] - w) for w in want.values())) < 1e-6
+
+
+def test_samples_are_bounded_and_whole(spark):
+    from varloom.llm.common import first_by_hash
+
+    rows = spark.range(5000).select("id", F.when(F.col("id") < 4900, "hot").otherwise("rare").alias("k"))
+    for n in (300, 50):
+        got = {r["k"]: r["n"] for r in first_by_hash(rows.repartition(5), "k", "id", n).groupBy("k").agg(F.count("*").alias("n")).collect()}
+        assert got == {"hot": n, "rare": min(n, 100)}
+    hashes = rows.where("k = 'hot'").select("id", F.xxhash64("id").alias("h")).orderBy("h").limit(300)
+    assert first_by_hash(rows, "k", "id", 300).where("k = 'hot'").select("id").exceptAll(hashes.select("id")).count() == 0
+    assert first_by_hash(rows.limit(0), "k", "id", 3).count() == 0
 
 
 def tokens(t):

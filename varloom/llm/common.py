@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,12 +16,15 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which driver and executors share.
 
-    Only where the session names none (single-machine tests) is a temporary folder set.
+    Only where the session names none and runs on one machine (tests) is a temporary folder set.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        held = spark.sparkContext.getCheckpointDir()
-        folder = held or tempfile.mkdtemp(prefix="varloom-shared-")
+        folder = spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="varloom-shared-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -53,16 +57,16 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
 
 
-def first_by_hash(df: DataFrame, key: Column, id_col: str, n: int, salts: int = 32) -> DataFrame:
-    """At most n rows per key, those with the smallest xxhash64 of their id: a bounded sample that does not depend on the
-    partitioning. Ranked per (key, salt) first, so that a hot key is never ranked in one task."""
-    from pyspark.sql import Window
+def first_by_hash(df: DataFrame, key: str, id_col: str, n: int) -> DataFrame:
+    """At most n rows per value of column key, those with the smallest xxhash64 of their id: a bounded sample that does not
+    depend on the partitioning. ids must be distinct within a key.
 
-    h = F.xxhash64(F.col(id_col))
-    rows = df.withColumns({"__key": key, "__h": h, "__salt": F.pmod(h, F.lit(salts))})
-    order = [F.col("__h"), F.col(id_col)]
-    local = Window.partitionBy("__key", "__salt").orderBy(*order)
-    total = Window.partitionBy("__key").orderBy(*order)
-    rows = rows.withColumn("__n", F.row_number().over(local)).where(F.col("__n") <= n)
-    rows = rows.withColumn("__n", F.row_number().over(total)).where(F.col("__n") <= n)
-    return rows.drop("__key", "__h", "__salt", "__n")
+    Counts first give each key a hash below which a little over n of its rows lie; only those hashes are gathered, so a key
+    that holds most rows is never ranked whole, and no key's list is longer than about 1.25 n.
+    """
+    rows = df.withColumn("__h", F.xxhash64(F.col(id_col)))
+    share = F.least(F.lit(1.0), F.lit(1.25 * n + 100) / F.count("*"))
+    counts = rows.groupBy(F.col(key).alias("__key")).agg((share * F.lit(2.0**64) - F.lit(2.0**63)).alias("__most"))
+    few = rows.join(counts, F.col(key) == F.col("__key")).where(F.col("__h") <= F.col("__most")).drop("__key", "__most")
+    last = few.groupBy(F.col(key).alias("__key")).agg(F.get(F.sort_array(F.collect_list("__h")), F.lit(n - 1)).alias("__last"))
+    return few.join(last, F.col(key) == F.col("__key")).where("__last IS NULL OR __h <= __last").drop("__key", "__last", "__h")

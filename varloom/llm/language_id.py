@@ -14,145 +14,208 @@ from pyspark.sql import functions as F
 from varloom.llm.common import first_by_hash, remainder, written
 
 ORDER = 3
-LETTER = re.compile(r"[^\W\d_]")
+ASCII_LETTER = re.compile("[A-Za-z]")
+#: What stands before a text, as context only.
+LEAD = b" " * ORDER
 #: Bytes taken at a time, so that a very long text needs bounded memory.
-BLOCK = 1 << 19
+BLOCK = 1 << 20
 
 
-def _symbols(text: str) -> np.ndarray:
-    """The text's bytes, A-Z lower-cased, after three blanks of context."""
-    return np.frombuffer(b"   " + text.encode("utf-8", "surrogatepass").lower(), np.uint8)
+def has_letter(text: str | None) -> bool:
+    """Whether any character is a letter (Unicode category L)."""
+    return bool(text) and (ASCII_LETTER.search(text) is not None or any(map(str.isalpha, text)))
+
+
+def flat_bytes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' bytes, A-Z lower-cased, each after LEAD; and where each text begins, the end last."""
+    parts = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
+    starts = np.cumsum([0, *(len(p) + ORDER for p in parts)]) + ORDER
+    return np.frombuffer(b"".join([LEAD + p for p in parts]), np.uint8), starts
+
+
+def keys_of(flat: np.ndarray, at: int, to: int) -> np.ndarray:
+    """The last ORDER bytes and the byte itself, packed, of the bytes from at to before to."""
+    key = np.zeros(to - at, np.int64)
+    for d in range(ORDER, -1, -1):
+        key = (key << 8) | flat[at - d : to - d]
+    return key
+
+
+@dataclass
+class Tree:
+    """One language's frozen tree. For each depth the sorted contexts with their escape costs, and the sorted (context, byte)
+    pairs that were seen with their code lengths, in bits. Nothing that was counted is left out."""
+
+    contexts: list[np.ndarray]
+    escape: list[np.ndarray]
+    pairs: list[np.ndarray]
+    bits: list[np.ndarray]
+
+    @classmethod
+    def of(cls, counts: pd.DataFrame) -> Tree:
+        """From (depth, pair, n). Method C: a new byte is as likely as there were kinds of bytes, and the shorter context shares
+        that out among the bytes not seen here; where all 256 were seen nothing is shared."""
+        tree = cls([], [], [], [])
+        for depth in range(ORDER + 1):
+            own = counts[counts["depth"] == depth].sort_values("pair")
+            pair, n = own["pair"].to_numpy(np.int64), own["n"].to_numpy(np.float64)
+            contexts, place, kinds = np.unique(pair >> 8, return_inverse=True, return_counts=True)
+            total = np.bincount(place, weights=n, minlength=len(contexts))
+            if depth == 0:
+                below = np.full(len(pair), 1 / 256)
+            else:
+                shorter = ((pair >> 8) & ((1 << (8 * (depth - 1))) - 1)) << 8 | (pair & 255)
+                below = np.exp2(-tree.bits[-1][np.searchsorted(tree.pairs[-1], shorter)])
+            left = np.maximum(1e-15, 1 - np.bincount(place, weights=below, minlength=len(contexts)))
+            full = kinds == 256
+            escape = np.where(full, 0.0, kinds / (total + kinds))
+            tree.contexts.append(contexts)
+            tree.escape.append(np.where(full, np.inf, -np.log2(np.where(full, 1.0, escape / left))))
+            tree.pairs.append(pair)
+            tree.bits.append(-np.log2(n / total[place] * (1 - escape[place])))
+        return tree
+
+    def code_lengths(self, keys: np.ndarray) -> np.ndarray:
+        """Bits of each byte in its context, down from the longest context."""
+        cost, todo = np.zeros(len(keys)), np.arange(len(keys))
+        for depth in range(ORDER, -1, -1):
+            if not len(self.pairs[depth]):
+                continue
+            pair = keys[todo] & ((1 << (8 * (depth + 1))) - 1)
+            at = np.minimum(np.searchsorted(self.pairs[depth], pair), len(self.pairs[depth]) - 1)
+            seen = self.pairs[depth][at] == pair
+            cost[todo[seen]] += self.bits[depth][at[seen]]
+            todo, context = todo[~seen], pair[~seen] >> 8
+            at = np.minimum(np.searchsorted(self.contexts[depth], context), len(self.contexts[depth]) - 1)
+            known = self.contexts[depth][at] == context
+            cost[todo[known]] += self.escape[depth][at[known]]
+        cost[todo] += 8.0
+        return cost
 
 
 @dataclass
 class PpmModel:
-    """alphabet: byte to symbol; node: code of the last three symbols to the deepest known context; bits: for each context,
-    symbol and language the code length under that language's frozen tree."""
+    """Some languages' trees, and a table of the code lengths of every (context, byte) that any of them has seen."""
 
     languages: list[str]
-    alphabet: np.ndarray
-    size: int
-    node: np.ndarray
-    bits: np.ndarray
-
-    def code_lengths(self, text: str) -> np.ndarray:
-        """Bits that each language's tree needs for the whole text."""
-        raw = _symbols(text)
-        total = np.zeros(len(self.languages))
-        for at in range(ORDER, len(raw), BLOCK):
-            s = self.alphabet[raw[at - ORDER : at + BLOCK]]
-            code = (s[:-3] * self.size + s[1:-2]) * self.size + s[2:-1]
-            total += self.bits[self.node[code], s[3:]].sum(0, dtype=np.float64)
-        return total
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """The language with the shortest code, and its share if all languages were equally likely before."""
-        if not text or not LETTER.search(text):
-            return "und", 0.0
-        total = self.code_lengths(text)
-        weight = np.exp2(-(total - total.min()))
-        best = int(np.argmin(total))
-        return self.languages[best], float(weight[best] / weight.sum())
+    trees: list[Tree]
+
+    def __post_init__(self):
+        self.keys = np.unique(np.concatenate([t.pairs[ORDER] for t in self.trees]))
+        self.table = self.lengths(self.keys)
+
+    def lengths(self, keys: np.ndarray) -> np.ndarray:
+        return np.stack([t.code_lengths(keys) for t in self.trees], 1)
+
+    def totals(self, texts: list[str | None]) -> np.ndarray:
+        """Bits that each language's tree needs for each whole text."""
+        if not hasattr(self, "index"):
+            self.index = pd.Index(self.keys)
+        flat, starts = flat_bytes(texts)
+        lead = np.zeros(len(flat) + ORDER, bool)
+        for d in range(1, ORDER + 1):
+            lead[starts - d] = True
+        out = np.zeros((len(texts), len(self.trees)))
+        for at in range(ORDER, len(flat), BLOCK):
+            to = min(at + BLOCK, len(flat))
+            keys = keys_of(flat, at, to)
+            place = self.index.get_indexer(keys)
+            cost = self.table[place]
+            new = np.flatnonzero(place < 0)
+            if len(new):
+                distinct, back = np.unique(keys[new], return_inverse=True)
+                cost[new] = self.lengths(distinct)[back]
+            cost[lead[at:to]] = 0
+            first, last = np.searchsorted(starts, at, "right") - 1, np.searchsorted(starts, to - 1, "right") - 1
+            if last < len(texts):
+                begins = np.maximum(0, starts[first : last + 1] - at)
+                out[first : last + 1] += np.add.reduceat(cost, np.minimum(begins, to - at - 1)) * (begins < to - at)[:, None] if len(begins) > 1 else cost.sum(0)
+        return out
 
 
 def count_contexts(sample: DataFrame) -> DataFrame:
-    """(lang, depth, context, symbol, n) over the sample, counted by block in the tasks and summed by Spark."""
+    """(lang, depth, pair, n) over the sample: how often each byte followed each context of 0 to ORDER bytes, the context and
+    the byte packed in one number. Counted by block in the tasks and summed by Spark."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for lang, texts in pdf.groupby("lang")["text"]:
-                raw = np.concatenate([_symbols(t) for t in texts if t] or [np.empty(0, np.uint8)]).astype(np.int64)
-                for at in range(0, max(0, len(raw) - ORDER), BLOCK):
-                    part = raw[at : at + BLOCK + ORDER]
-                    last = part[ORDER:]
+                flat, starts = flat_bytes(list(texts))
+                lead = np.zeros(len(flat) + ORDER, bool)
+                for d in range(1, ORDER + 1):
+                    lead[starts - d] = True
+                for at in range(ORDER, len(flat), BLOCK):
+                    to = min(at + BLOCK, len(flat))
+                    keys = keys_of(flat, at, to)[~lead[at:to]]
                     for depth in range(ORDER + 1):
-                        code = np.zeros(len(last), np.int64)
-                        for d in range(depth, 0, -1):
-                            code = code * 256 + part[ORDER - d : len(part) - d]
-                        keys, n = np.unique(code * 256 + last, return_counts=True)
-                        yield pd.DataFrame({"lang": lang, "depth": depth, "context": keys >> 8, "symbol": keys & 255, "n": n})
+                        found, n = np.unique(keys & ((1 << (8 * (depth + 1))) - 1), return_counts=True)
+                        yield pd.DataFrame({"lang": lang, "depth": depth, "pair": found, "n": n})
+
+    counts = sample.select("lang", "text").mapInPandas(count, "lang string, depth int, pair long, n long")
+    return counts.groupBy("lang", "depth", "pair").agg(F.sum("n").alias("n"))
 
-    counts = sample.select("lang", "text").mapInPandas(count, "lang string, depth int, context long, symbol int, n long")
-    return counts.groupBy("lang", "depth", "context", "symbol").agg(F.sum("n").alias("n"))
 
+def fit(docs: DataFrame, per_language: int = 300, table_mb: int = 64, id_col: str = "doc_id", text_col: str = "text") -> list[PpmModel]:
+    """Learns one tree a language from at most per_language documents each (a documented bound, drawn by the hash of the id; rows
+    that repeat an id count each); an empty list if no document names a language.
 
-def fit(docs: DataFrame, per_language: int = 300, max_languages: int = 64, table_mb: int = 48, id_col: str = "doc_id", text_col: str = "text") -> PpmModel | None:
-    """Learns one tree a language from at most per_language documents each (a documented bound, drawn by the hash of the id);
-    None if no document names a language. The languages are the max_languages with the most labelled documents; their
-    tables together take at most table_mb, for which the least used contexts are left out of all trees alike."""
+    Every language is learned, and of its sample every byte and every context. A model holds as many languages as a table of
+    table_mb can serve, so many languages make several models, each of bounded size; predict() asks them all.
+    """
     labelled = docs.where(F.col("lang").isNotNull() & F.col(id_col).isNotNull() & (remainder(F.col(id_col), 5) != 0)).select(F.col(id_col).alias("id"), "lang")
-    names = [r["lang"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
-    if not names:
-        return None
-    chosen = first_by_hash(labelled.where(F.col("lang").isin(names)).distinct(), F.col("lang"), "id", per_language)
-    sample = written(
-        docs.select(F.col(id_col).alias("id"), "lang", F.col(text_col).alias("text")).join(F.broadcast(chosen), ["id", "lang"], "left_semi"), "lang-sample"
-    )
-    names.sort()
-    n_lang = len(names)
+    chosen = first_by_hash(labelled.distinct(), "lang", "id", per_language)
+    sample = written(docs.select(F.col(id_col).alias("id"), "lang", F.col(text_col).alias("text")).join(chosen, ["id", "lang"], "left_semi"), "lang-sample")
     counts = written(count_contexts(sample), "lang-contexts")
-    used = counts.where("depth = 0").groupBy("symbol").agg(F.sum("n").alias("n")).toPandas()
-    known = used.sort_values(["n", "symbol"], ascending=[False, True])["symbol"].to_numpy()[:95]
-    size = len(known) + 1  # the last symbol stands for all other bytes
-    alphabet = np.full(256, size - 1, np.int64)
-    alphabet[known] = np.arange(len(known))
-    most = max(1000, table_mb * 1_000_000 // (4 * size * n_lang))
-    # The contexts that every tree may use: the most frequent over all languages. Those of fewer bytes come along.
-    frequent = counts.where("depth > 0").groupBy("depth", "context").agg(F.sum("n").alias("total")).where("total >= 4").orderBy(F.desc("total"), "depth", "context").limit(most)
-    rows = counts.join(F.broadcast(frequent.select("depth", "context")), ["depth", "context"]).unionByName(counts.where("depth = 0").select("depth", "context", "lang", "symbol", "n")).toArrow().to_pandas()
-    rows["sym"] = alphabet[rows["symbol"].to_numpy()]
-    lang_of = {n: i for i, n in enumerate(names)}
-    rows["l"] = rows["lang"].map(lang_of)
-    contexts = rows[["depth", "context"]].drop_duplicates().sort_values(["depth", "context"]).to_numpy()
-    place = {(int(d), int(c)): i for i, (d, c) in enumerate(contexts)}
-    n_of = np.zeros((len(contexts), size, n_lang), np.float32)
-    at = [place[d, c] for d, c in zip(rows["depth"].tolist(), rows["context"].tolist(), strict=True)]
-    np.add.at(n_of, (at, rows["sym"].to_numpy(), rows["l"].to_numpy()), rows["n"].to_numpy(np.float32))
-    prob = np.empty_like(n_of)
-    suffix = np.zeros(len(contexts), np.int64)
-    uniform = np.full((size, n_lang), 1.0 / size)
-    for i, (depth, context) in enumerate(contexts.tolist()):
-        shorter = uniform
-        for d in range(depth - 1, -1, -1):
-            j = place.get((d, context & ((1 << (8 * d)) - 1)))
-            if j is not None:
-                shorter, suffix[i] = prob[j], j
-                break
-        n = n_of[i].astype(float)
-        total, kinds = n.sum(0), (n > 0).sum(0)
-        # Method C: a new symbol is as likely as there were kinds of symbols; the shorter context shares that out among the
-        # symbols not seen here. Where all were seen, or none, nothing is left to share or nothing is known.
-        rest = np.where(n > 0, 0.0, shorter)
-        left = rest.sum(0)
-        escape = np.where(left > 0, kinds / np.maximum(1.0, total + kinds), 0.0)
-        seen = n / np.maximum(1.0, total) * (1 - escape)
-        prob[i] = np.where(total > 0, seen + rest / np.maximum(left, 1e-300) * escape, shorter)
-    node = np.zeros(size**3, np.int32)
-    for i, (depth, context) in enumerate(contexts.tolist()):  # deeper contexts come later and replace their suffix
-        s = [alphabet[(context >> (8 * k)) & 255] for k in range(depth)]  # last symbol first
-        if depth == 1:
-            node.reshape(size, size, size)[:, :, s[0]] = i
-        elif depth == 2:
-            node.reshape(size, size, size)[:, s[1], s[0]] = i
-        elif depth == 3:
-            node[(s[2] * size + s[1]) * size + s[0]] = i
-    return PpmModel(names, alphabet, size, node, (-np.log2(prob)).astype(np.float32))
-
-
-def predict(docs: DataFrame, model: PpmModel | None, text_col: str = "text") -> DataFrame:
-    """docs plus lang_pred and lang_score for every row.
-
-    `und` with score 0 for NULL, empty and letterless texts, and for all if no language was learned. Only the text is looked
-    at. Ties go to the language that comes first by name. Columns of docs with the new names are replaced.
+    sizes = {r["lang"]: r["n"] for r in counts.where(F.col("depth") == ORDER).groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
+    parts: list[list[str]] = []
+    keys = 0
+    for lang in sorted(sizes):
+        if not parts or (keys + sizes[lang]) * 8 * (len(parts[-1]) + 1) > table_mb << 20:
+            parts.append([])
+            keys = 0
+        parts[-1].append(lang)
+        keys += sizes[lang]
+    models = []
+    for names in parts:
+        rows = counts.where(F.col("lang").isin(names)).toArrow().to_pandas()
+        models.append(PpmModel(names, [Tree.of(rows[rows["lang"] == lang]) for lang in names]))
+    return models
+
+
+def predict(docs: DataFrame, models: list[PpmModel], text_col: str = "text") -> DataFrame:
+    """docs plus lang_pred and lang_score (the language's share if all were equally likely before) for every row.
+
+    `und` with score 0 for NULL and empty texts, for texts without any letter (Unicode category L), and for all if no language
+    was learned. Only the text is looked at. Ties go to the language that comes first by name. Rows with a NULL or repeated id
+    are judged each for itself. Columns of docs with the new names are replaced.
     """
-    named = docs.drop("lang_pred", "lang_score", "__lang")
-    if model is None:
+    named = docs.drop("lang_pred", "lang_score", *[f"__bits{i}" for i in range(len(models) + 1)])
+    if not models:
         return named.withColumns({"lang_pred": F.lit("und"), "lang_score": F.lit(0.0)})
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most table_mb and a table of size^3 places
-
-    @F.pandas_udf("lang string, score double")
-    def judge(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([shared.value.predict(t) for t in texts], columns=["lang", "score"])
-
-    judged = named.withColumn("__lang", judge(F.col(text_col)))
-    return judged.withColumns({"lang_pred": F.col("__lang.lang"), "lang_score": F.col("__lang.score")}).drop("__lang")
+    judged = named
+    for i, model in enumerate(models):
+        judged = judged.withColumn(f"__bits{i}", _totals(docs, model)(F.col(text_col)))
+        if i + 1 < len(models):
+            judged = written(judged, "lang-bits")  # one model at a time in a worker's memory
+    bits = F.concat(*[f"__bits{i}" for i in range(len(models))])
+    least = F.array_min("__all")
+    share = 1 / F.aggregate("__all", F.lit(0.0), lambda a, x: a + F.pow(F.lit(2.0), least - x))
+    names = F.array(*[F.lit(n) for m in models for n in m.languages])
+    judged = judged.withColumn("__all", bits).withColumns({"lang_pred": F.coalesce(F.get(names, F.array_position("__all", least).cast("int") - 1), F.lit("und")), "lang_score": F.coalesce(share, F.lit(0.0))})
+    return judged.select(*named.columns, "lang_pred", "lang_score")
+
+
+def _totals(docs: DataFrame, model: PpmModel):
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a table of at most table_mb and the trees behind it
+
+    @F.pandas_udf("array<double>")
+    def totals(texts: pd.Series) -> pd.Series:
+        held = texts.tolist()
+        out: list = [None] * len(held)
+        asked = [i for i, t in enumerate(held) if has_letter(t)]
+        if asked:
+            for i, row in zip(asked, shared.value.totals([held[i] for i in asked]), strict=True):
+                out[i] = row
+        return pd.Series(out)
+
+    return totals

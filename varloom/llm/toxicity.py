@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import OrderedDict
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -61,7 +60,6 @@ class ToxicityModel:
     ln_k: float = 0.0
     slope: float = 1.0
     bias: float = 0.0
-    held: OrderedDict = field(default_factory=OrderedDict, repr=False)
 
     def token_scores(self, text: str | None) -> tuple[list[str], np.ndarray]:
         tokens = WORD.findall(text.lower()) if text else []
@@ -89,13 +87,14 @@ class ToxicityModel:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, y, text): at most per_class documents of each label; ids with contradicting labels count as toxic.
+    """(id, y, text): at most per_class documents of each label; ids with contradicting labels count as toxic, ids with several
+    texts are learned from the first of them in order, and repeated rows once.
 
-    The sample is bounded (2 x per_class ids, a documented parameter), so it may be broadcast to the scan of docs.
+    The sample is bounded (2 x per_class ids, a documented parameter), so its ids may be broadcast to the scan of docs.
     """
     marks = labels.where(F.col("toxic").isin(0, 1) & F.col(id_col).isNotNull() & (remainder(F.col(id_col), 4) != 2))
     marks = marks.groupBy(F.col(id_col).alias("id")).agg(F.max("toxic").cast("int").alias("y"))
-    chosen = first_by_hash(marks, F.col("y"), "id", per_class)
+    chosen = first_by_hash(marks, "y", "id", per_class)
     found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
     return found.groupBy("id").agg(F.max("y").alias("y"), F.min("text").alias("text"))
 
@@ -108,12 +107,12 @@ def _odds(t, c, prior_t, prior_c, shift: float):
     return np.sign(odds) * np.maximum(0.0, np.abs(odds) - 2.2 * np.sqrt(1 / a + 1 / b))
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, vocabulary: int = 60_000, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel | None:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel | None:
     """Learns from a bounded sample; None where a class has no labelled document.
 
     A word counts once a document. Its Dirichlet prior is what its stem shows, and the stem's is even between the classes.
-    Counting runs in Spark; the driver receives at most `vocabulary` words and as many stems, and the 2 x per_class numbers
-    that the calibration needs.
+    Counting runs in Spark; the driver receives the words and stems of the sample, all of them, and the 2 x per_class numbers
+    that the calibration needs: what the bounded sample holds, whatever the corpus.
     """
     sample = written(labelled_sample(docs, labels, per_class, id_col, text_col), "toxic-sample")
 
@@ -127,9 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, vocabulary: i
     n = counts.agg(F.sum("t").alias("t"), F.sum("c").alias("c")).first()
     if not n["t"] or not n["c"]:
         return None
-    # The most frequent words of toxic text are what can tell; ties go by name.
-    top = counts.where("t + c >= 3").orderBy(F.desc("t"), F.desc("c"), "w").limit(vocabulary).toArrow().to_pandas()
-    top_stems = stems.where("t + c >= 3").orderBy(F.desc("t"), F.desc("c"), "w").limit(vocabulary).toArrow().to_pandas()
+    top, top_stems = counts.toArrow().to_pandas().sort_values("w"), stems.toArrow().to_pandas().sort_values("w")
     shift = math.log(n["c"] / n["t"])  # by words, as toxic documents may be longer or shorter than others
     stem_t, stem_c = top_stems.t.to_numpy(float), top_stems.c.to_numpy(float)
     stem = dict(zip(top_stems.w, _odds(stem_t, stem_c, 0.5, 0.5, shift).tolist(), strict=True))
@@ -203,18 +200,21 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel | None, text_col: str =
     """docs plus tox_score (0 to 1, higher: likelier toxic) and tox_segments (number of significant passages).
 
     NULL and empty texts have no segment and get the score of no evidence. Without a model (a class was never seen) every
-    score is 0. Columns of docs with the new names are replaced.
+    score is 0. Rows with a NULL or repeated id are scored each for itself; equal texts score alike; very long texts are
+    scored whole. Columns of docs with the new names are replaced.
     """
-    named = docs.drop("tox_score", "tox_segments", "__tox")
+    named = docs.drop("tox_score", "tox_segments")
     if model is None:
         return named.withColumns({"tox_score": F.lit(0.0), "tox_segments": F.lit(0)})
 
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # the words of the bounded sample
+
     @F.pandas_udf("score double, segments int")
     def judge(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([model.score(t) for t in texts], columns=["score", "segments"])
+        return pd.DataFrame([shared.value.score(t) for t in texts], columns=["score", "segments"])
 
-    judged = named.withColumn("__tox", judge(F.col(text_col)))
-    return judged.withColumns({"tox_score": F.col("__tox.score"), "tox_segments": F.col("__tox.segments")}).drop("__tox")
+    judged = named.withColumn("__tox_judged", judge(F.col(text_col)))
+    return judged.select(*named.columns, F.col("__tox_judged.score").alias("tox_score"), F.col("__tox_judged.segments").alias("tox_segments"))
 
 
 def toxic_passages(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
