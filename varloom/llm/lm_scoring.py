@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,7 +27,7 @@ DEPTH, SHARD_DEPTH = 5, 2
 STOP, START, END = b" ", b"\t", b"\n"
 LOG2 = np.log(2.0)
 #: Bytes whose contexts are held at a time.
-STRIDE = 4 << 20
+STRIDE = 1 << 20
 #: Buckets of contexts or words at most, and (block, context) pairs that one task merges; more pairs are salted by block.
 MOST_BUCKETS, PAIRS_A_TASK = 4096, 4_000_000
 
@@ -75,9 +75,9 @@ def positions(flat: np.ndarray, depth: int) -> Iterator[tuple[int, np.ndarray, n
         yield at, which, key[which]
 
 
-def flat_text(texts: list[list[bytes]], depth: int) -> np.ndarray:
-    lead = START * depth
-    return np.frombuffer(b"".join([lead + STOP.join(w) + END for w in texts]), np.uint8)
+def spelled(words: list[bytes], depth: int) -> bytes:
+    """The bytes of a text after `depth` START bytes."""
+    return START * depth + STOP.join(words) + END
 
 
 def counted(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -101,29 +101,23 @@ CODED = "block long, kind int, bucket int, n long, payload binary"
 TEXTS, CONTEXTS, WORDS = 0, 1, 2
 
 
-def _coded(block: int, ids: list, held: list[bool], texts: list, buckets: int, depth: int) -> Iterator[pd.DataFrame]:
+def _coded(block: int, ids: list, held: list[bool], texts: Iterable[str | None], buckets: int, depth: int) -> pa.RecordBatch:
     """One block of documents: its texts as word numbers, and its contexts and words with training counts, by bucket."""
-    order = np.argsort(np.array(held), kind="stable")  # training documents first
     local: dict[bytes, int] = {}
-    split = [words_of(texts[i]) for i in order]
-    codes = [np.fromiter((local.setdefault(w, len(local)) for w in words), np.uint32, len(words)) for words in split]
-    n_train = len(held) - sum(held)
-    learned = np.zeros(len(local) + 1, np.int64)  # the last is the end
-    for c in codes[:n_train]:
-        learned[:-1] += np.bincount(c, minlength=len(local)) if len(c) > len(local) // 8 else 0
-        if len(c) <= len(local) // 8:
-            np.add.at(learned, c, 1)
-    learned[-1] = n_train
-    null = np.array([bool(pd.isna(ids[i])) for i in order], bool)
-    numbers = np.array([0 if pd.isna(ids[i]) else int(ids[i]) for i in order], np.int64)
+    codes, raw = [], ([], [])
+    for text, h in zip(texts, held, strict=True):
+        words = words_of(text)
+        codes.append(np.fromiter((local.setdefault(w, len(local)) for w in words), np.uint32, len(words)))
+        raw[h].append(spelled(words, depth))
+    lengths = np.array([len(c) for c in codes], np.int64)
+    codes, held = np.concatenate(codes), np.array(held, bool)
+    learned = np.r_[np.bincount(codes[np.repeat(~held, lengths)], minlength=len(local)), (~held).sum()].astype(np.int64)  # the last is the end
     names = [*local, b""]
-    text = packed(
-        numbers, null, np.array([held[i] for i in order], bool), np.array([len(c) for c in codes], np.int64), np.concatenate(codes), np.frombuffer(END.join(names), np.uint8)
-    )
-    rows = [(block, TEXTS, -1, len(texts), text)]
+    text = packed(np.array([0 if i is None else i for i in ids], np.int64), np.array([i is None for i in ids], bool), held, lengths, codes, _joined(names))
+    rows = [(block, TEXTS, -1, len(ids), text)]
     parts = []
-    for own, train in ((split[:n_train], 1), (split[n_train:], 0)):
-        for _, _, keys in positions(flat_text(own, depth), depth):
+    for own, train in ((raw[False], 1), (raw[True], 0)):
+        for _, _, keys in positions(np.frombuffer(b"".join(own), np.uint8), depth):
             found, n = np.unique(keys, return_counts=True)
             parts.append((found, n * train))
     keys, n = counted(parts)
@@ -131,7 +125,8 @@ def _coded(block: int, ids: list, held: list[bool], texts: list, buckets: int, d
         by = np.argsort(where, kind="stable")
         for i in np.split(by, np.flatnonzero(np.diff(where[by])) + 1):
             rows.append((block, kind, int(where[i[0]]), len(i), packed(*columns(i))))
-    yield pd.DataFrame(rows, columns=["block", "kind", "bucket", "n", "payload"])
+    types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["block", "kind", "bucket", "n", "payload"])
 
 
 def _joined(words: list[bytes]) -> np.ndarray:
@@ -142,14 +137,14 @@ def _parted(joined: np.ndarray) -> list[bytes]:
     return joined.tobytes().split(END)
 
 
-def code_documents(docs: DataFrame, buckets: int, depth: int = DEPTH, block_bytes: int = 16 << 20) -> DataFrame:
+def code_documents(docs: DataFrame, buckets: int, depth: int = DEPTH, block_bytes: int = 8 << 20) -> DataFrame:
     """Rows of three kinds for each block of documents (id, held, text): the texts, and the contexts and words of each bucket.
 
     A block closes at about block_bytes of text; a longer document is a block of its own. A frequent context or word leaves
     the task once a block.
     """
 
-    def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         block = TaskContext.get().partitionId() << 32
@@ -157,20 +152,20 @@ def code_documents(docs: DataFrame, buckets: int, depth: int = DEPTH, block_byte
         held: list[bool] = []
         texts: list = []
         size = 0
-        for pdf in batches:
-            for i, h, t in zip(pdf["id"], pdf["held"], pdf["text"], strict=True):
+        for batch in batches:
+            for i, h, t in zip(batch["id"].to_pylist(), batch["held"].to_pylist(), batch["text"], strict=True):
                 ids.append(i)
-                held.append(bool(h))
-                texts.append(t)
-                size += len(t) if t else 0
+                held.append(h)
+                texts.append(t)  # still in the batch's own memory
+                size += len(t.as_buffer()) if t.is_valid else 0
                 if size >= block_bytes:
-                    yield from _coded(block, ids, held, texts, buckets, depth)
+                    yield _coded(block, ids, held, (t.as_py() for t in texts), buckets, depth)
                     block, size = block + 1, 0
                     ids, held, texts = [], [], []
         if ids:
-            yield from _coded(block, ids, held, texts, buckets, depth)
+            yield _coded(block, ids, held, (t.as_py() for t in texts), buckets, depth)
 
-    return docs.mapInPandas(code, CODED)
+    return docs.mapInArrow(code, CODED)
 
 
 # ---- tables over all blocks ---------------------------------------------------------------------------------------------
@@ -352,7 +347,7 @@ def code_lengths(table: DataFrame, depth: int = DEPTH) -> DataFrame:
 SCORED = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: int = 5, held: int = 1, depth: int = DEPTH, block_bytes: int = 16 << 20, pairs: int = PAIRS_A_TASK) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: int = 5, held: int = 1, depth: int = DEPTH, block_bytes: int = 8 << 20, pairs: int = PAIRS_A_TASK) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) for every row.
 
     Learns from the documents whose crc32(id as text) mod `fold` is not `held`. Tokens are the ASCII-blank-separated words,
@@ -386,17 +381,14 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         base = np.log10((c + 0.5) / (n_all + 0.5 * (kinds + 1)))
         begin = np.cumsum(lengths) - lengths
         add = lambda x: np.add.reduceat(np.r_[x[codes], 0], begin) * (lengths > 0) + x[-1]  # noqa: E731  words, then the end
-        split = [names[i] for i in codes.tolist()]
-        texts = [split[b : b + n] for b, n in zip(begin.tolist(), lengths.tolist(), strict=True)]
-        flat = flat_text(texts, depth)
+        parts = [spelled([names[i] for i in codes[b : b + n]], depth) for b, n in zip(begin.tolist(), lengths.tolist(), strict=True)]
+        n_bytes = np.array([len(p) - depth for p in parts])
+        flat, starts = np.frombuffer(b"".join(parts), np.uint8), np.cumsum(n_bytes + depth) - n_bytes - depth
         parts = [unpacked(p) for p in pdf["payload"][kind == CONTEXTS]]
-        index = pd.Index(np.concatenate([k for k, _ in parts]))
-        value = np.concatenate([v for _, v in parts])
-        cost = np.zeros(len(flat))
+        index, value = pd.Index(np.concatenate([k for k, _ in parts])), np.concatenate([v for _, v in parts])
+        score = np.zeros(len(lengths))
         for at, which, keys in positions(flat, depth):
-            cost[at + which] = value[index.get_indexer(keys)]
-        n_bytes = np.array([sum(map(len, w)) + max(1, len(w)) for w in texts])
-        score = np.add.reduceat(cost, np.cumsum(n_bytes + depth) - n_bytes - depth)
+            score += np.bincount(np.searchsorted(starts, at + which, "right") - 1, weights=value[index.get_indexer(keys)], minlength=len(score))
         ids = pd.Series(numbers, dtype="Int64").mask(null)
         return pd.DataFrame(
             {"id": ids, "held_out": held & ~null, "n_tokens": lengths + 1, "n_known": add((c > 0).astype(np.int64)), "train_tokens": n_all, "base_score": add(base), "score": score, "bits_per_byte": -score / np.log10(2.0) / n_bytes}
