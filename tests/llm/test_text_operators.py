@@ -8,6 +8,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -42,6 +43,28 @@ def test_exact_dedup(odd, none):
     assert exact_dedup.exact_dedup(none).count() == 0
 
 
+@pytest.mark.parametrize("weak", [False, True])
+def test_exact_dedup_compares_contents(spark, odd, weak):
+    """Also where a digest says next to nothing; clashing columns come back; repeated winners leave one row."""
+    digest = {"digest": lambda c: F.struct((F.length(c) % 2).alias("h"))} if weak else {}
+    rows = [(i, f"text {i % 7} {'AbC' if i % 2 else 'aBc'}") for i in range(60)] + [(59, "text 3 abc"), (None, "nobody"), (None, "Nobody"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("keep_id", F.lit("mine")).repartition(4)
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[ascii_lower(t)].append(i)
+    largest = {t: max((i for i in ids if i is not None), default=None) for t, ids in groups.items()}
+    got = exact_dedup.exact_dedup(docs, **digest).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        t = ascii_lower(r["text"])
+        assert (r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) == (largest[t], len(groups[t]), r["doc_id"] == largest[t], hashlib.sha256(t.encode()).hexdigest())
+    one = exact_dedup.keep_one_copy(docs, **digest)
+    assert one.columns == docs.columns
+    assert sorted((ascii_lower(r["text"]), str(r["doc_id"]), r["keep_id"]) for r in one.collect()) == sorted((t, str(i), "mine") for t, i in largest.items())
+    assert exact_dedup.keep_one_copy(docs.limit(0), **digest).count() == 0
+    assert exact_dedup.keep_one_copy(odd).count() == odd.select(F.lower(F.coalesce("text", F.lit("")))).distinct().count()
+
+
 def brute_fingerprint(text, words):
     w = (text or "").encode().lower().split()
     if not w:
@@ -96,12 +119,22 @@ def test_simhash_links_of_random_fingerprints(spark):
     assert {f: got.get(f, f) for f in fps} == {f: find(f) for f in fps}
 
 
-def test_near_copies_leave_one(sample):
-    docs = sample[0]
-    kept = simhash.keep_one_of_each(docs)
-    assert kept.columns == docs.columns
-    groups = simhash.simhash_groups(docs, words=5)
-    assert kept.count() == groups.select("component_id").distinct().count()
+def test_tally_and_its_minimum():
+    """Every pair within the radius reaches the minimum of shared positional bytes; pairs below it and pairs beyond the radius go."""
+    rng = np.random.default_rng(7)
+    a = rng.integers(-(2**63), 2**63 - 1, 500)
+    b = a.copy()
+    for i in range(500):
+        for bit in rng.integers(0, 64, int(rng.integers(0, 6))):
+            b[i] ^= np.int64(np.uint64(1 << int(bit)).astype(np.int64))
+    same = [sum((int(x) >> 8 * p & 255) == (int(y) >> 8 * p & 255) for p in range(8)) for x, y in zip(a, b, strict=True)]
+    bits = np.array([((int(x) ^ int(y)) & (2**64 - 1)).bit_count() for x, y in zip(a, b, strict=True)])
+    assert simhash.tally(a, b).tolist() == same
+    for radius in (1, 2):
+        assert (simhash.tally(a, b)[bits <= radius] >= 8 - radius).all()
+        pairs = np.stack([np.arange(500), np.arange(500) + 500], 1)
+        assert simhash.checked(np.r_[a, b], pairs, radius)[:, 0].tolist() == np.flatnonzero(bits <= radius).tolist()
+    assert (np.array(same)[bits == 3] < 6).any(), "the minimum filters something"
 
 
 def test_license_scan(spark, odd, none):
@@ -116,6 +149,46 @@ def test_license_scan(spark, odd, none):
     assert license_scan.scan(none).count() == 0
 
 
+def brute_scan(rows, containment=0.8):
+    """Every window of every text against every template, on the shingles themselves."""
+    out = {}
+    for i, text in rows:
+        w = license_scan.template_words(text or "")
+        own = [" ".join(w[j : j + 5]) for j in range(len(w) - 4)]
+        for name, body in license_scan.TEMPLATES:
+            known, width = set(license_scan.template_shingles(body)), license_scan.window_width(body)
+            starts = range(0, max(0, len(own) - 1 - width) + 1, width) if own else ()
+            shares = [(len(known & set(own[s : s + 2 * width])) / len(known), s) for s in starts]
+            good = [(-c, s) for c, s in shares if c >= containment]
+            if good:
+                out[i, name] = (round(-min(good)[0], 9), min(good)[1], len(good))
+    return out
+
+
+def test_license_bodies_equal_brute_force(spark):
+    """Whole licences, with words lost or changed, short and long, between other text and at either end."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for n, (_, body) in enumerate(license_scan.TEMPLATES):
+        words = body.split()
+        for k, lost in enumerate((0, 1, 4)):
+            mine = [w for at, w in enumerate(words) if not (lost and at % (len(words) // lost + 1) == len(words) // (2 * lost))]
+            filler = lambda m: [f"f{rng.integers(0, 50)}" for _ in range(m)]
+            rows.append((10 * n + k, " ".join(filler(int(rng.integers(0, 90))) + mine + filler(int(rng.integers(0, 300))))))
+    rows += [(1000, " ".join(b for _, b in license_scan.TEMPLATES)), (1001, None), (1002, "mit"), (1003, ""), (1004, "free of charge " * 3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("template", F.lit("clash"))
+    got = {(r["id"], r["template"]): (round(r["containment"], 9), r["first_word"], r["windows"]) for r in license_scan.scan(docs).collect()}
+    want = brute_scan(rows)
+    assert len(want) > 60 and got == want
+
+
+def test_each_template_has_a_sketch_of_its_own():
+    sizes = {n: license_scan.sketch_size(license_scan.window_width(t), len(license_scan.template_shingles(t))) / (2 * license_scan.window_width(t)) for n, t in license_scan.TEMPLATES}
+    assert sizes["mit"] < 0.1 and sizes["bsd-3-clause"] < 0.05 and sizes["gpl-3.0-header"] < 0.1
+    with pytest.raises(ValueError):
+        license_scan.template_shingles("only four words here")
+
+
 def test_license_templates_longer_than_a_window(spark):
     words = [f"word{i}" for i in range(90)]
     body = " ".join(words)

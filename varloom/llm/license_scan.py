@@ -8,19 +8,12 @@ from math import comb
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WORDS = 5
+from varloom.llm.common import written
+from varloom.llm.license_texts import TEMPLATES
 
-#: Notices to look for, as (name, text); a parameter of the operator.
-TEMPLATES = (
-    ("apache-2.0-notice", "Licensed under the Apache License, Version 2.0"),
-    ("mit-notice", "Released under the MIT License"),
-    ("cc-by-nc-4.0-notice", "Licensed under CC BY-NC 4.0"),
-    ("gpl-3.0-notice", "This work is licensed under the GNU General Public License, version 3"),
-    ("cc-by-4.0-notice", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("mpl-2.0-notice", "This Source Code Form is subject to the terms of the Mozilla Public License"),
-    ("mit-grant", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
-    ("bsd-grant", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
-)
+WORDS = 5
+#: Templates of fewer shingles have no sketch: all their shingles are looked up.
+SKETCHED = 5
 
 
 def words_of(text: Column) -> Column:
@@ -28,6 +21,13 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
+def shingle_hashes(words: Column) -> Column:
+    """The hash of each shingle from those of its five words; the last four places hold no shingle."""
+    each = lambda v: F.transform(v, lambda x, i: F.xxhash64(x, *[F.get(v, i + j) for j in range(1, WORDS)]))
+    # An array of one, so that the words are hashed once however the expression is moved.
+    return F.get(F.transform(F.array(F.transform(words, lambda x: F.xxhash64(x))), each), 0)
+
+
 def sketch_size(width: int, shingles: int, containment: float = 0.8, miss: float = 0.001) -> int:
     """How many smallest hashes a window must keep, so that a window that holds `containment` of a template of that many
     shingles has one of them in common with the template's own but for a chance of `miss`. Each kept hash is a band of one
@@ -44,6 +44,22 @@ def template_words(text: str) -> list[str]:
     return [w for w in re.split(r"[^\w]+|_", text.lower()) if w]
 
 
+def template_shingles(text: str) -> list[str]:
+    """The distinct five-word shingles of a template; fewer than five words are refused."""
+    w = template_words(text)
+    if len(w) < WORDS:
+        raise ValueError(f"a template has fewer than {WORDS} words: {text}")
+    return sorted({" ".join(w[i : i + WORDS]) for i in range(len(w) - WORDS + 1)})
+
+
+def window_width(text: str) -> int:
+    """A power of two, 16 at least, that holds the template's shingles."""
+    width = 16
+    while width < len(template_words(text)) - WORDS + 1:
+        width *= 2
+    return width
+
+
 def scan(
     docs: DataFrame,
     templates=TEMPLATES,
@@ -56,54 +72,47 @@ def scan(
 
     A template of at most `width` shingles lies whole in one window of 2 x width shingles that starts at a multiple of
     width; widths are powers of two from 16 up to what the longest template needs, and only those that occur are used. A
-    window keeps its smallest shingle hashes (bottom-k MinHash, each a band), whose join with the templates' own retrieves
-    candidates; each candidate is then verified on the words themselves. The template table is a constant of the call, so
-    it may be broadcast. Nothing but matches is shuffled. NULL and empty texts and texts under five words match nothing; a
-    template of fewer than five words is refused. Repeated rows of one id count as one text.
+    window keeps its k smallest shingle hashes (bottom-k MinHash, each a band) with k solved for each template by itself, and
+    their join with the template's own k retrieves candidates; templates of under SKETCHED shingles, for which no sketch is
+    smaller than the window, are retrieved by any shingle. Each candidate is then verified on the words themselves.
+
+    A text that holds none of the hashes that any template could be retrieved by has no candidate and is left out before
+    windows are cut. The template table is a constant of the call, so it may be broadcast. Nothing but matches is shuffled.
+    NULL and empty texts and texts under five words match nothing; very long texts are scanned whole. Of windows of equal
+    containment the first is named. Rows of one id, repeated or not, count as one text's windows; a NULL id is an id.
     """
     spark = docs.sparkSession
     rows = []
     for name, text in templates:
-        w = template_words(text)
-        if len(w) < WORDS:
-            raise ValueError(f"template {name} has fewer than {WORDS} words")
-        shingles = sorted({" ".join(w[i : i + WORDS]) for i in range(len(w) - WORDS + 1)})
-        width = 16
-        while width < len(w) - WORDS + 1:
-            width *= 2
-        rows.append((name, width, shingles))
-    words = docs.select(F.col(id_col).alias("id"), words_of(F.col(text_col)).alias("w"))
-
-    def shingles(w: str, value) -> Column:
-        """value(five words) for each shingle of the word array w; none for fewer words."""
-        n = F.size(w) - (WORDS - 1)
-        each = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: value(*[F.get(w, i + (j - 1)) for j in range(WORDS)]))
-        return F.when(n > 0, each).otherwise(F.lit(None))
-
-    hashed = words.withColumn("wh", F.transform("w", lambda x: F.xxhash64(x)))
-    # The hash of a shingle is that of its words' hashes; the last four places have no shingle.
-    hashed = hashed.withColumn("h", F.transform("wh", lambda x, i: F.xxhash64(x, *[F.get("wh", i + j) for j in range(1, WORDS)])))
-    n = F.greatest(F.lit(0), F.size("w") - (WORDS - 1))
+        known, width = template_shingles(text), window_width(text)
+        k = 2 * width if len(known) < SKETCHED else sketch_size(width, len(known), containment)
+        rows.append((name, width, k, known))
+    table = spark.createDataFrame(rows, "template string, width int, k int, shingles array<string>")
+    own = F.sort_array(F.transform("shingles", lambda s: F.xxhash64(*[F.xxhash64(F.split_part(s, F.lit(" "), F.lit(j + 1))) for j in range(WORDS)])))
+    bands = table.select("template", "width", "k", "shingles", F.explode(F.slice(own, 1, F.col("k"))).alias("band"))
+    sought = [r["band"] for r in bands.select("band").distinct().collect()]  # constants of the call: k hashes a template at most
+
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    held = docs.select(F.col(id_col).alias("id"), text.alias("text")).where(F.exists(shingle_hashes(words_of(F.col("text"))), lambda x: x.isin(sought)))
+    held = written(held, "licence-texts").withColumn("w", words_of(F.col("text")))
+    hashed = held.select("id", "w", shingle_hashes(F.col("w")).alias("h"), F.greatest(F.lit(0), F.size("w") - (WORDS - 1)).alias("n"))
     found = None
     for width in sorted({r[1] for r in rows}):
-        mine = [r for r in rows if r[1] == width]
-        k = max(sketch_size(width, len(r[2]), containment) for r in mine)
-        known = spark.createDataFrame([(r[0], r[2]) for r in mine], "template string, shingles array<string>")
-        own = F.sort_array(F.transform("shingles", lambda s: F.xxhash64(*[F.xxhash64(F.split_part(s, F.lit(" "), F.lit(j + 1))) for j in range(WORDS)])))
-        bands = known.select("template", "shingles", F.explode(F.slice(own, 1, k)).alias("band"))
-        starts = F.sequence(F.lit(0), F.greatest(F.lit(0), n - 1 - F.lit(width)), F.lit(width))
+        starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("n") - 1 - F.lit(width)), F.lit(width))
         # Each window takes along its own words and hashes alone, so that a very long text is never copied as a whole.
         cut_out = F.transform(
             starts,
-            lambda s: F.struct(s.alias("first_word"), F.slice("w", s + 1, 2 * width + WORDS - 1).alias("win"), F.slice("h", s + 1, F.least(F.lit(2 * width), F.col("n") - s)).alias("own")),
+            lambda s: F.struct(s.alias("first_word"), F.slice("w", s + 1, 2 * width + WORDS - 1).alias("win"), F.slice("h", s + 1, F.least(F.lit(2 * width), F.col("n") - s)).alias("own")),  # noqa: B023  called at once
         )
-        windows = hashed.select("id", "w", "h", n.alias("n")).select("id", F.explode(cut_out).alias("v")).select("id", "v.first_word", "v.win", "v.own")
-        sketches = windows.select("id", "first_word", "win", F.explode(F.slice(F.sort_array(F.array_distinct("own")), 1, k)).alias("band"))
-        candidates = sketches.join(F.broadcast(bands), "band").select("id", "first_word", "template", "shingles", "win")
-        share = F.size(F.array_intersect("shingles", shingles("win", lambda *five: F.concat_ws(" ", *five)))) / F.size("shingles")
+        windows = hashed.select("id", F.explode(cut_out).alias("v")).select("id", "v.first_word", "v.win", "v.own")
+        most = max(r[2] for r in rows if r[1] == width)
+        sketches = windows.select("id", "first_word", "win", F.posexplode(F.slice(F.sort_array(F.array_distinct("own")), 1, most)).alias("rank", "band"))
+        mine = bands.where(F.col("width") == width).select("template", "k", "shingles", "band")
+        candidates = sketches.join(F.broadcast(mine), "band").where("rank < k").select("id", "first_word", "template", "shingles", "win").distinct()
+        five = F.transform(F.sequence(F.lit(1), F.size("win") - (WORDS - 1)), lambda i: F.concat_ws(" ", *[F.get("win", i + (j - 1)) for j in range(WORDS)]))
+        share = F.size(F.array_intersect("shingles", five)) / F.size("shingles")
         verified = candidates.select("id", "first_word", "template", share.alias("containment")).where(F.col("containment") >= containment)
         found = verified if found is None else found.unionByName(verified)
-    once = found.distinct()  # a window meets a template in several bands
-    return once.groupBy("id", "template").agg(
+    return found.distinct().groupBy("id", "template").agg(
         F.max("containment").alias("containment"), F.min(F.struct(-F.col("containment"), "first_word"))["first_word"].alias("first_word"), F.count_distinct("first_word").alias("windows")
     )

@@ -56,6 +56,15 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", "over_limit")
 
 
+def op4_token_counts_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same counts through a cache that an earlier run has filled: every digest is a hit, nothing is encoded again."""
+    cache = f"{shared_dir(spark)}/varloom-token-cache-{uuid.uuid4().hex}"
+    docs, tokenizer = read_table(spark, sf_dir, "documents"), tokenizer_file(BYTE_BPE)
+    token_counts.fill_cache(docs, tokenizer, cache)
+    counted = token_counts.count_tokens(docs, tokenizer, cache)
+    return counted.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", "over_limit")
+
+
 def op5_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_vectors.near_vectors(read_table(spark, sf_dir, "embeddings"))
     return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", "kept", "audited_recall")
@@ -86,23 +95,23 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _license_sql() -> str:
     """Every template against every text, shingle by shingle: no bands."""
-    values = ", ".join(f"('{name}', '{' '.join(license_scan.template_words(text))}')" for name, text in license_scan.TEMPLATES)
+    values = ", ".join(f"('{name}', '{' '.join(license_scan.template_words(text))}', {license_scan.window_width(text)})" for name, text in license_scan.TEMPLATES)
     shingles = "list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))"
     return f"""
-        WITH t AS (SELECT * FROM (VALUES {values}) v(template, body)),
-        tw AS (SELECT template, string_split(body, ' ') AS w FROM t),
-        ts AS (SELECT DISTINCT template, unnest({shingles}) AS s FROM tw),
-        tn AS (SELECT template, count(*) AS n FROM ts GROUP BY template),
+        WITH t AS (SELECT * FROM (VALUES {values}) v(template, body, width)),
+        tw AS (SELECT template, width, string_split(body, ' ') AS w FROM t),
+        ts AS (SELECT DISTINCT template, width, unnest({shingles}) AS s FROM tw),
+        tn AS (SELECT template, count(*) AS total FROM ts GROUP BY template),
         d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM documents),
         ds AS (SELECT doc_id, len(w) - 4 AS n, unnest({shingles}) AS s, unnest(range(0, len(w) - 4)) AS p FROM d WHERE len(w) >= 5),
-        hit AS (SELECT doc_id, ds.n, p, template, s FROM ds JOIN ts USING (s)),
+        hit AS (SELECT doc_id, ds.n, p, template, width, s FROM ds JOIN ts USING (s)),
         win AS (
-            SELECT DISTINCT doc_id, template, s, unnest([p // 16 * 16, p // 16 * 16 - 16]) AS first_word, n FROM hit
+            SELECT DISTINCT doc_id, template, width, s, unnest([p // width * width, p // width * width - width]) AS first_word, n FROM hit
         ),
         share AS (
-            SELECT doc_id, template, first_word, count(DISTINCT s) / any_value(tn.n) AS containment
+            SELECT doc_id, template, first_word, count(DISTINCT s) / any_value(tn.total) AS containment
             FROM win JOIN tn USING (template)
-            WHERE first_word >= 0 AND first_word <= greatest(0, win.n - 17) GROUP BY doc_id, template, first_word
+            WHERE first_word >= 0 AND first_word <= greatest(0, win.n - 1 - width) GROUP BY doc_id, template, first_word
         )
         SELECT doc_id, template, round(max(containment), 6) AS containment, min_by(first_word, (-containment, first_word))::INTEGER AS first_word, count(*) AS windows
         FROM share WHERE containment >= 0.8 GROUP BY doc_id, template
@@ -115,6 +124,7 @@ QUERIES = {
     "op2_mixing_report": op2_mixing_report,
     "op3_language_id": op3_language_id,
     "op4_token_counts": op4_token_counts,
+    "op4_token_counts_cached": op4_token_counts_cached,
     "op5_near_vectors": op5_near_vectors,
     "op6_packing": op6_packing,
     "op7_exact_dedup": op7_exact_dedup,

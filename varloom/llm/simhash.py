@@ -48,9 +48,14 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("id"), of(F.col(text_col)).alias("fp"))
 
 
-def _links_within(residues: np.ndarray, radius: int) -> np.ndarray:
-    """Pairs of positions (i < j) that connect all residues (16-bit, distinct) which lie within `radius` bits of each other:
-    for each residue the links to its neighbours found through a table of 65,536 places, never all pairs of the list."""
+def tally(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each pair of fingerprints the number of positional bytes that the two share."""
+    return 8 - np.count_nonzero((a ^ b).view(np.uint8).reshape(-1, 8), axis=1)
+
+
+def _candidates(residues: np.ndarray, radius: int) -> np.ndarray:
+    """Pairs of positions (i < j) of residues (16-bit, distinct) that a change of at most `radius` bits takes into each other: for
+    each residue its neighbours are looked up in a table of 65,536 places, never all pairs of the list."""
     place = np.full(65536, -1, np.int32)
     place[residues] = np.arange(len(residues), dtype=np.int32)
     masks = [1 << i for i in range(16)]
@@ -62,8 +67,16 @@ def _links_within(residues: np.ndarray, radius: int) -> np.ndarray:
         i = np.flatnonzero(other > np.arange(len(residues)))
         if len(i):
             found.append(np.stack([i, other[i]], 1))
-    pairs = np.concatenate(found) if found else np.empty((0, 2), np.int64)
-    return _forest(pairs, len(residues))
+    return np.concatenate(found) if found else np.empty((0, 2), np.int64)
+
+
+def checked(fps: np.ndarray, pairs: np.ndarray, radius: int) -> np.ndarray:
+    """Those of the pairs whose tally of shared positional bytes reaches the guaranteed minimum, 8 - radius, and that differ in
+    at most `radius` bits."""
+    a, b = fps[pairs[:, 0]], fps[pairs[:, 1]]
+    enough = tally(a, b) >= 8 - radius
+    pairs, a, b = pairs[enough], a[enough], b[enough]
+    return pairs[np.bitwise_count((a ^ b).view(np.uint64)) <= radius]
 
 
 def _forest(pairs: np.ndarray, n: int) -> np.ndarray:
@@ -92,9 +105,10 @@ def near_links(distinct: DataFrame, radius: int = 2) -> DataFrame:
 
     Count filtering: radius differing bits spoil at most `radius` of the 8 bytes, so a true pair shares at least
     8 - radius (byte, position) entries. Lists of single positional bytes would each hold 1/256 of all rows, so the
-    postings carry the 8 - radius positional bytes together: a pair's tally of shared positional bytes reaches the
-    guaranteed minimum exactly if the two meet in one of the C(8, radius) lists of their own. A list holds at most 65,536
-    distinct fingerprints, as only `radius` bytes are free in it, and is cut to a spanning forest of its verified pairs.
+    postings carry 8 - radius positional bytes together, and a pair that reaches the minimum meets in one of the
+    C(8, radius) lists of its own. Of the pairs that a list proposes, the shared positional bytes are tallied, those below the
+    minimum go, and the rest is verified bit by bit. A list holds at most 65,536 distinct fingerprints, as only `radius`
+    bytes are free in it, and is cut to a spanning forest of its verified pairs.
     """
     keys = []
     for n, free in enumerate(combinations(range(8), radius)):
@@ -105,7 +119,7 @@ def near_links(distinct: DataFrame, radius: int = 2) -> DataFrame:
     postings = postings.repartition("free", "shared").sortWithinPartitions("free", "shared", "fp")
     positions = [np.array(p) for p in combinations(range(8), radius)]
 
-    def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[np.ndarray] = []
         last = None
 
@@ -114,12 +128,11 @@ def near_links(distinct: DataFrame, radius: int = 2) -> DataFrame:
             fps = np.unique(np.concatenate(held))
             if len(fps) < 2:
                 return []
-            tally_bytes = fps.view(np.uint8).reshape(-1, 8)
-            free = positions[last[0]]
+            by_byte = fps.view(np.uint8).reshape(-1, 8)
             residue = np.zeros(len(fps), np.uint16)
-            for i, p in enumerate(free):
-                residue |= tally_bytes[:, p].astype(np.uint16) << np.uint16(8 * i)
-            pairs = _links_within(residue, radius)
+            for i, p in enumerate(positions[last[0]]):
+                residue |= by_byte[:, p].astype(np.uint16) << np.uint16(8 * i)
+            pairs = _forest(checked(fps, _candidates(residue, radius), radius), len(fps))
             return [np.stack([fps[pairs[:, 0]], fps[pairs[:, 1]]], 1)] if len(pairs) else []
 
         for pdf in batches:
@@ -147,7 +160,7 @@ def near_links(distinct: DataFrame, radius: int = 2) -> DataFrame:
         if held and (rest := flush()):
             yield pd.DataFrame({"a": rest[0][:, 0], "b": rest[0][:, 1]})
 
-    return postings.mapInPandas(tally, "a long, b long")
+    return postings.mapInPandas(meet, "a long, b long")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2) -> DataFrame:
@@ -168,10 +181,3 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def hex_fingerprint(fp) -> object:
     """16 lowercase hex digits of a fingerprint column."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
-
-
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 2) -> DataFrame:
-    """docs with one document of each SimHash group, the one with the smallest id (columns unchanged)."""
-    groups = simhash_groups(docs, id_col, text_col, words, radius)
-    dropped = groups.where(F.col("id") != F.col("component_id")).select(F.col("id").alias("__drop")).distinct()
-    return docs.join(dropped, F.col(id_col) == F.col("__drop"), "left_anti")
