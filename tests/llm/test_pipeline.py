@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
-from collections import defaultdict
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from varloom.llm import queries
+from varloom.llm import mixing, queries, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -33,6 +42,168 @@ def test_stages_hand_documents_on(spark):
     assert max(ends.values()) <= 2048
 
 
+def lower(t):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+
+
+def components(nodes, linked):
+    root = {i: i for i in nodes}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in nodes:
+        for j in nodes:
+            if i < j and linked(i, j):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    return {i: find(i) for i in nodes}
+
+
+def brute_mix(rows, budget=0.8):
+    """The kept documents of the default mixture: rates raked under the bound of 1, cell by cell."""
+    topic = lambda t: next((n for n, p in mixing.TOPICS if re.search(p, t or "")), "prose")
+    cell = {r["doc_id"]: (r["source"] or "", r["lang"] or "", topic(r["text"])) for r in rows}
+    size, sums = Counter(), [Counter(), Counter(), Counter()]
+    for r in rows:
+        n = len((r["text"] or "").encode().split())
+        size[cell[r["doc_id"]]] += n
+        for d in range(3):
+            sums[d][cell[r["doc_id"]][d]] += n
+    total = sum(size.values())
+    w, goals = dict.fromkeys(size, budget), []
+    for have in sums:
+        p = {v: n**0.7 for v, n in have.items() if n}
+        goal = {v: x * total / sum(p.values()) for v, x in p.items()}
+        whole = set()
+        while True:
+            level = (budget * total - sum(have[v] for v in whole)) / sum(g for v, g in goal.items() if v not in whole)
+            more = {v for v in goal if v not in whole and goal[v] * level > have[v]}
+            if not more:
+                break
+            whole |= more
+        goals.append({v: have[v] if v in whole else g * level for v, g in goal.items()})
+    for _ in range(2000):
+        off = 0.0
+        for d in range(3):
+            got = Counter()
+            for c, n in size.items():
+                got[c[d]] += n * min(1.0, w[c])
+            off = max([off, *(abs(got[v] - g) for v, g in goals[d].items())])
+            w = {c: min(1e12, x * goals[d].get(c[d], got[c[d]]) / got[c[d]]) if got[c[d]] else x for c, x in w.items()}
+        if off <= 1e-5 * total:
+            break
+    low, high = 0.0, 1e6
+    for _ in range(300):
+        mid = (low + high) / 2 if low else high / 1e3
+        low, high = (mid, high) if sum(n * min(1.0, w[c] * mid) for c, n in size.items()) < budget * total else (low, mid)
+    return {i for i, c in cell.items() if int(hashlib.md5(f"mix:{i}".encode()).hexdigest()[:12], 16) / 16**12 < min(1.0, w[c] * high)}
+
+
+def test_run_equals_brute_force(spark):
+    """run() against plain Python on the same documents; the learned scores alone come from the operator."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    scored = toxicity.score_toxicity(docs, toxicity.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))).collect()
+    rows = [r for r in scored if r["tox_score"] < toxicity.THRESHOLD]
+    largest = {}
+    for r in rows:
+        largest[lower(r["text"])] = max(r["doc_id"], largest.get(lower(r["text"]), r["doc_id"]))
+    rows = [r for r in rows if largest[lower(r["text"])] == r["doc_id"]]
+    sets = {}
+    for r in rows:
+        w = (r["text"] or "").encode().lower().split()
+        sets[r["doc_id"]] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    group = components(list(sets), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    rows = [r for r in rows if group[r["doc_id"]] == r["doc_id"]]
+    want = brute_mix(rows)
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    text = {r["doc_id"]: r["text"] for r in rows}
+    got = corpus_pipeline.run(spark, SF).collect()
+    kept = {r["doc_id"] for r in got}
+    assert 20 < len(want) < len(rows) and len(kept ^ want) <= 1, "but for a draw within the tolerance of the raking"
+    pieces, ends = defaultdict(int), defaultdict(int)
+    for r in sorted(got, key=lambda r: (r["sequence_id"], r["offset"])):
+        ids = np.array([*library.encode(text[r["doc_id"]] or "", add_special_tokens=False).ids, 0], "<u4")
+        assert r["ids_crc32"] == zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes())
+        assert r["offset"] == ends[r["sequence_id"]] and r["start"] == 2048 * r["piece"]
+        ends[r["sequence_id"]] += r["length"]
+        pieces[r["doc_id"]] += r["length"]
+        assert pieces[r["doc_id"]] <= len(ids)
+    assert max(ends.values()) <= 2048 and len(ends) <= -(-sum(ends.values()) // 2048) + 2
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_stages_over_odd_tables(spark, odd, tmp_path, empty):
+    """NULLs, empty and long texts, repeated rows, no rows at all, and columns that carry the operators' own names."""
+    docs = odd.limit(0) if empty else odd
+    clash = [F.lit("mine").alias(c) for c in ("tox_score", "keep_id", "kept", "group_size", "text_sha256", "mix_kept", "mix_topic", "component_id", "sequence_id", "template")]
+    docs = docs.select("*", *clash)
+    spark.read.parquet(f"{SF}/labels.parquet").limit(0 if empty else 100).write.parquet(str(tmp_path / "labels.parquet"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    before = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, before, str(tmp_path))
+        assert after.columns == docs.columns, name
+        rows = after.collect()
+        assert not Counter(map(str, rows)) - Counter(map(str, before.collect())), name
+        before = spark.createDataFrame(rows, docs.schema)
+        if name == "exact_dedup" and not empty:
+            assert sorted(str(r["doc_id"]) for r in before.collect()) == sorted(["-8", "2", "4", "5", "6", "7"])
+    out = corpus_pipeline.STAGES[-1][1](spark, before, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in out} == {r["doc_id"] for r in before.collect()}
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(out)
+
+
+CONTRACTS = {
+    "op1_toxicity": ("documents", "doc_id bigint, held_out boolean, score double, predicted int", (4, 2)),
+    "op3_language_id": ("documents", "doc_id bigint, held_out boolean, lang_pred string, score double", (5, 0)),
+    "op4_token_counts": ("documents", "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean", None),
+    "op5_near_vectors": ("embeddings", "vec_id bigint, n_links bigint, component_id bigint, kept boolean", None),
+    "op7_exact_dedup": ("documents", "doc_id bigint, keep_id bigint, group_size bigint, kept boolean, text_sha256 string", None),
+    "op8_lm_scoring": ("documents", "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double", (5, 1)),
+    "op9_simhash": ("documents", "doc_id bigint, fingerprint string, component_id bigint", None),
+}
+
+
+@pytest.mark.parametrize("name", sorted(CONTRACTS))
+def test_registered_queries_keep_their_contracts(spark, name):
+    """A row for each row of the table, columns and types as agreed, held-out rows by crc32, and plain checks of the values."""
+    table, columns, fold = CONTRACTS[name]
+    got = queries.QUERIES[name](spark, SF)
+    assert columns.split(", ") == [f"{c} {t}" for c, t in got.dtypes][: len(columns.split(", "))]
+    key = columns.split()[0]
+    given = {r[key]: r for r in spark.read.parquet(f"{SF}/{table}.parquet").collect()}
+    rows = {r[key]: r for r in got.collect()}
+    assert set(rows) == set(given) and got.count() == len(given)
+    for i, r in rows.items():
+        if fold:
+            assert r["held_out"] == (zlib.crc32(str(i).encode()) % fold[0] == fold[1])
+        if name in ("op1_toxicity", "op3_language_id"):
+            assert 0 <= r["score"] <= 1
+        if name == "op1_toxicity":
+            assert r["predicted"] == (r["score"] >= 0.3)
+        if name == "op3_language_id":
+            assert r["lang_pred"] in {d["lang"] for d in given.values()} | {"und"}
+        if name == "op4_token_counts":
+            assert r["n_bytes"] == len((given[i]["text"] or "").encode()) and r["over_limit"] == (r["n_tokens"] > 1024)
+    if name == "op4_token_counts":
+        library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+        assert all(r["n_tokens"] == len(library.encode(given[i]["text"] or "", add_special_tokens=False).ids) for i, r in rows.items())
+        assert sorted(queries.op4_token_counts_cached(spark, SF).collect()) == sorted(rows.values())
+    if name == "op5_near_vectors":
+        x = {i: np.array(r["embedding"], float) / np.linalg.norm(r["embedding"]) for i, r in given.items()}
+        group = components(list(x), lambda i, j: x[i] @ x[j] >= 0.95)
+        assert {i: r["component_id"] for i, r in rows.items()} == group
+    if name in ("op1_toxicity", "op3_language_id"):
+        marks = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+        told = [(r["predicted"], marks[i]) for i, r in rows.items() if r["held_out"] and i in marks] if name == "op1_toxicity" else [(r["lang_pred"], given[i]["lang"]) for i, r in rows.items() if r["held_out"] and given[i]["lang"]]
+        assert sum(a == b for a, b in told) >= 0.85 * len(told)
+    if name == "op8_lm_scoring":
+        held = [r for r in rows.values() if r["held_out"] and r["n_tokens"] > 20]
+        assert sum(r["bits_per_byte"] for r in held) < 3 * len(held) and all(r["score"] < 0 for r in rows.values())
+
+
 def test_every_operator_has_a_query():
     assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 11)}
 

@@ -30,9 +30,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         large = _to_minimum(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small = _to_minimum(large)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        pairs = cut(small.where("u <> v").distinct())
+        before, pairs = pairs, cut(small.where("u <> v").distinct())
         now = pairs.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if (now["n"], now["s"]) == state:
+        # Equal sums only suggest that nothing changed; equal sets of equal size settle it.
+        if (now["n"], now["s"]) == state and not pairs.join(before, ["u", "v"], "left_anti").take(1):
             break
         state = (now["n"], now["s"])
     else:

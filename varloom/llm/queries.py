@@ -33,13 +33,13 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(read_table(spark, sf_dir, "documents"))
+    mixed = mixing.mix(read_table(spark, sf_dir, "documents"), carry=["doc_id"])
     return mixed.select("doc_id", F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("n_tokens"), F.round("mix_weight", 6).alias("weight"), F.round("mix_rate", 6).alias("rate"), F.col("mix_kept").alias("kept"), F.col("mix_copies").alias("copies"))
 
 
 def op2_mixing_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target against achieved token share of every source, language and topic."""
-    shares = mixing.report(mixing.mix(read_table(spark, sf_dir, "documents")))
+    shares = mixing.report(mixing.mix(read_table(spark, sf_dir, "documents"), carry=["source", "lang"]))
     return shares.select("dimension", "value", *[F.round(c, 6).alias(c) for c in ("natural", "target", "kept", "copied")])
 
 
