@@ -92,6 +92,11 @@ def csq_fields(description: str) -> list[str]:
     return [f.strip() for f in description.split("Format: ", 1)[1].strip('"').split("|")]
 
 
+def csq_names(description: Column) -> Column:
+    """csq_fields of a description column."""
+    return F.transform(F.split(F.regexp_replace(F.regexp_replace(description, r"^.*?Format: ", ""), '"', ""), r"\|"), lambda f: F.trim(f))
+
+
 def variant_id(pos: Column, identifier: Column, ref: Column, alt: Column) -> Column:
     return F.concat_ws("-", pos.cast("string"), identifier, F.lit("ALT"), alt, F.lit("REF"), ref)
 
@@ -147,8 +152,8 @@ def stand_in(text: Column, numeric: bool = False) -> Column:
 
 
 def capped_low(raw: Column, normalised: Column, low: Column) -> Column:
-    """Whether a raw score lies below the bound at which normalisation caps it, and its normalised score is the cap's, 0."""
-    return (raw < low) & (normalised == 0)
+    """Whether a raw score lies below the bound at which normalisation caps it, and its normalised score is that bound."""
+    return (raw < low) & (normalised == low)
 
 
 def tokens(text: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,10 +12,13 @@ _LOCAL = (1 << 33) - 1
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in spark.checkpoint.dir (a temporary folder only where the session names none)."""
+    """A reliable checkpoint in spark.checkpoint.dir (a temporary folder only where the session names none on one machine)."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="varloom-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="varloom-"))
     return df.checkpoint()
 
 
@@ -45,6 +49,17 @@ def running_sums(df: DataFrame, order: list[Column], sums: dict[str, str]) -> Da
     return out.drop("__p", *[f"__o_{n}" for n in sums])
 
 
+def grouped_positions(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys..., value, n, upto, total): each distinct value of a group with its rows, those up to it, and all of the group's.
+
+    Running sums over all groups in one order, less where each group begins: a group of any size is never sorted in one task
+    or held in memory."""
+    counts = df.groupBy(*keys, value).agg(F.count("*").alias("n"))
+    sums = running_sums(counts, [F.col(k) for k in [*keys, value]], {"__upto": "n"})
+    groups = sums.groupBy(*keys).agg(F.min(F.col("__upto") - F.col("n")).alias("__start"), F.sum("n").alias("total"))
+    return sums.join(groups, keys).select(*keys, value, "n", (F.col("__upto") - F.col("__start")).alias("upto"), "total")
+
+
 def draw(key: Column, seed: str) -> Column:
     """A uniform number in [0, 1) from the md5 of key and seed; the same on every engine and partitioning."""
     text = F.concat(key.cast("string"), F.lit(":" + seed))

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from varloom.operators.base import grouped_positions
+
 
 def long_form(df: DataFrame, keys: list[str], columns) -> DataFrame:
     """(keys..., feature, x): numeric columns stacked, in one scan."""
@@ -34,10 +36,56 @@ def correlations(df: DataFrame, columns) -> DataFrame:
 
 
 def box_summary(df: DataFrame, keys: list[str], columns) -> DataFrame:
-    """Minimum, quartiles, maximum and the 1.5 x IQR fences of each feature and group, exact."""
-    q = long_form(df, keys, columns).where("x IS NOT NULL").groupBy(*keys, "feature").agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.min("x").alias("low"), F.max("x").alias("high"))
-    q1, q3 = F.get("q", 0), F.get("q", 2)
-    return q.select(*keys, "feature", "low", q1.alias("q1"), F.get("q", 1).alias("median"), q3.alias("q3"), "high", (q1 - 1.5 * (q3 - q1)).alias("fence_low"), (q3 + 1.5 * (q3 - q1)).alias("fence_high"))
+    """Minimum, quartiles, maximum and the 1.5 x IQR fences of each feature and group, exact: the values that stand at the two
+    positions around each quartile, interpolated."""
+    placed = grouped_positions(long_form(df, keys, columns).where("x IS NOT NULL"), [*keys, "feature"], "x")
+
+    def at(q: float) -> Column:
+        where = q * (F.col("total") - 1)
+        value = lambda k: F.max(F.when((k < F.col("upto")) & (k >= F.col("upto") - F.col("n")), F.col("x")))
+        low, high = value(F.floor(where)), value(F.ceil(where))
+        return low + (high - low) * F.max(where - F.floor(where))
+
+    q = placed.groupBy(*keys, "feature").agg(F.min("x").alias("low"), at(0.25).alias("q1"), at(0.5).alias("median"), at(0.75).alias("q3"), F.max("x").alias("high"))
+    iqr = F.col("q3") - F.col("q1")
+    return q.withColumns({"fence_low": F.col("q1") - 1.5 * iqr, "fence_high": F.col("q3") + 1.5 * iqr})
+
+
+def ecdf(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys..., value, share): share of the group's rows at or below each distinct value."""
+    return grouped_positions(df, keys, value).select(*keys, value, (F.col("upto") / F.col("total")).alias("share"))
+
+
+def data_histogram(df: DataFrame, x: Column, bins: int, by: list[str] | None = None) -> DataFrame:
+    """(by..., bin, n): equal-width bins between the smallest and the largest value of the data, the last one closed."""
+    rows = df.select(*(by or []), x.cast("double").alias("__x")).where("__x IS NOT NULL")
+    ends = rows.agg(F.min("__x").alias("__lo"), F.max("__x").alias("__hi"))
+    width = (F.col("__hi") - F.col("__lo")) / bins
+    bin_ = F.coalesce(F.least(F.lit(bins - 1), F.floor(F.try_divide(F.col("__x") - F.col("__lo"), width)).cast("int")), F.lit(0))
+    return rows.crossJoin(F.broadcast(ends)).groupBy(*(by or []), bin_.alias("bin")).agg(F.count("*").alias("n"))  # one row
+
+
+def dataset_profile(df: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., column, type, rows, given, bytes): one aggregation for all columns. bytes: of the values as text."""
+    columns = [c for c in df.columns if c not in by]
+    sizes = [F.struct(F.lit(c).alias("column"), F.lit(dict(df.dtypes)[c]).alias("type"), F.count("*").alias("rows"), F.count(c).alias("given"), F.coalesce(F.sum(F.octet_length(F.col(c).cast("string"))), F.lit(0)).alias("bytes")) for c in columns]
+    rows = df.groupBy(*by).agg(F.array(*sizes).alias("p")) if by else df.agg(F.array(*sizes).alias("p"))
+    return rows.select(*by, F.inline("p"))
+
+
+def numeric_columns(df: DataFrame) -> list[str]:
+    """The columns that hold numbers; all others count as text."""
+    from pyspark.sql.types import NumericType
+
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)]
+
+
+def chosen_columns(df: DataFrame, allow: list[str] | None = None, ignore: list[str] = ()) -> DataFrame:
+    """The allowed columns (all if None) without the ignored ones; a name that df does not have is an error."""
+    unknown = [c for c in [*(allow or []), *ignore] if c not in df.columns]
+    if unknown:
+        raise ValueError(f"unknown columns: {', '.join(unknown)}")
+    return df.select(*[c for c in (allow or df.columns) if c not in ignore])
 
 
 def histogram(df: DataFrame, x: Column, bins: int, low: float, high: float, by: list[str] | None = None) -> DataFrame:

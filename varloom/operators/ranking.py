@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,24 +17,33 @@ def rare(limit: float | None, columns=FREQUENCIES) -> Column:
     return F.greatest(*[F.coalesce(F.col(c), F.lit(0.0)) for c in columns]) <= F.lit(limit)
 
 
-def causative_ranks(scored: DataFrame, causative: DataFrame, scores: list[str], limit: float | None = None) -> DataFrame:
-    """(case_id, rank_<score>...): the 0-based rank of the best-ranked causative variant of each case, NULL if none is left.
+def compare(scored: DataFrame, causative: DataFrame, scores: list[str], limits=LIMITS) -> DataFrame:
+    """(case_id, rank_<score>..., max_frq) for every case and frequency limit (NULL: none): the 0-based rank of the best-ranked
+    causative variant among the rows within the limit, NULL if none is left.
 
-    Ties go to the smaller id. A rank is the count of better rows: the one causative row of each case and score is found by
-    a grouped maximum and joined back, so that no case, however large, is sorted in one task.
+    Ties go to the smaller id. A rank is the count of better rows, so no case, however large, is sorted in one task; all limits
+    share one grouping for the causative rows and one for the counts.
     """
-    kept = scored.where(rare(limit))
-    marked = kept.join(causative.select("case_id", "id").distinct().withColumn("hit", F.lit(1)), ["case_id", "id"], "left")
-    best = marked.where("hit = 1").groupBy("case_id").agg(*[F.max(F.struct(F.col(s).alias("s"), (-F.col("id")).alias("i"))).alias(f"b_{s}") for s in scores])
-    ahead = [F.count_if((F.col(s) > F.col(f"b_{s}.s")) | ((F.col(s) == F.col(f"b_{s}.s")) & (-F.col("id") > F.col(f"b_{s}.i")))).alias(f"rank_{s}") for s in scores]
-    ranks = kept.join(best, "case_id").groupBy("case_id").agg(*ahead)
-    return scored.select("case_id").distinct().join(ranks, "case_id", "left")
+    frequency = [c for c in FREQUENCIES if c in scored.columns]
+    inside = [rare(x, frequency) for x in limits]
+    rows = scored.select("case_id", "id", *scores, *[ok.alias(f"in_{i}") for i, ok in enumerate(inside)])
+    marked = rows.join(causative.select("case_id", "id").distinct(), ["case_id", "id"], "left_semi")
+    best = [F.max(F.when(F.col(f"in_{i}"), F.struct(F.col(s).alias("s"), (-F.col("id")).alias("i")))).alias(f"b_{i}_{s}") for i in range(len(limits)) for s in scores]
+    met = rows.join(marked.groupBy("case_id").agg(*best), "case_id", "left")
 
+    def rank(i: int, s: str) -> Column:
+        b = F.col(f"b_{i}_{s}")
+        ahead = F.col(f"in_{i}") & ((F.col(s) > b["s"]) | ((F.col(s) == b["s"]) & (-F.col("id") > b["i"])))
+        return F.when(F.count(b) > 0, F.count_if(ahead)).alias(f"r_{i}_{s}")
 
-def compare(scored: DataFrame, causative: DataFrame, scores: list[str], limits=LIMITS) -> DataFrame:
-    """causative_ranks under every frequency limit, with max_frq naming the limit (NULL: none)."""
-    parts = [causative_ranks(scored, causative, scores, x).withColumn("max_frq", F.lit(x).cast("double")) for x in limits]
-    return reduce(DataFrame.unionByName, parts)
+    counts = met.groupBy("case_id").agg(*[rank(i, s) for i in range(len(limits)) for s in scores])
+    each = [F.struct(*[F.col(f"r_{i}_{s}").alias(f"rank_{s}") for s in scores], F.lit(x).cast("double").alias("max_frq")) for i, x in enumerate(limits)]
+    return counts.select("case_id", F.inline(F.array(*each)))
+
+
+def causative_ranks(scored: DataFrame, causative: DataFrame, scores: list[str], limit: float | None = None) -> DataFrame:
+    """(case_id, rank_<score>...) under one frequency limit (None: none)."""
+    return compare(scored, causative, scores, (limit,)).drop("max_frq")
 
 
 def points(ranks: DataFrame, a: str, b: str) -> DataFrame:

@@ -62,6 +62,32 @@ def trapezoid(points: DataFrame, x: str, y: str, order: str, by: list[str] | Non
     return points.withColumn("__a", part).groupBy(*(by or [])).agg(F.abs(F.sum("__a")).alias("auc"))
 
 
+def stratified(df: DataFrame, strata: dict[str, Column], predicted: Column, label: Column) -> DataFrame:
+    """(term, size, tp, tn, fp, fn, f1): the matrix and F1 of the rows of each stratum, a name and a predicate; any number of them
+    in one aggregation. A row may lie in several strata or none."""
+    cells = [F.struct(F.lit(n).alias("term"), *[F.count_if(inside & (predicted == p) & (label == y)).alias(c) for c, p, y in (("tp", 1, 1), ("tn", 0, 0), ("fp", 1, 0), ("fn", 0, 1))]) for n, inside in strata.items()]
+    rows = df.agg(F.array(*cells).alias("s")).select(F.inline("s"))
+    return rows.withColumns({"size": F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn"), "f1": M.f_beta(F.col("tp"), F.col("fp"), F.col("fn"))})
+
+
+def gate_grid(df: DataFrame, score: str, gate: str, label: str, slopes: list[float], offsets: list[float], cut: float) -> DataFrame:
+    """(w, b, tp, tn, fp, fn) of the gated score for each slope and offset."""
+    grid = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(b).alias("b")) for w in slopes for b in offsets])
+    rows = df.select(score, gate, label, F.inline(grid))
+    gated = F.col(score) * F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("w") * F.col(gate) + F.col("b")))
+    return rows.withColumn("__p", F.when(gated >= cut, 1).otherwise(0)).groupBy("w", "b").agg(*M.confusion(F.col("__p"), F.col(label)))
+
+
+def roc_auc_by(df: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:
+    """(by..., auc): exact areas of all groups from running sums in one order; NULL where a group has one class alone."""
+    rows = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
+    points = rows.groupBy(*by, score).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
+    sums = running_sums(points, [F.col(c) for c in [*by, score]], {"upto": "n"})
+    # What stands before the group counts for each of its positives alike.
+    area = F.sum(F.col("p") * (F.col("upto") - F.col("n") / 2.0)) - F.sum("p") * F.min(F.col("upto") - F.col("n"))
+    return sums.groupBy(*by).agg((area / F.nullif(F.sum("p") * F.sum("n"), F.lit(0))).alias("auc"))
+
+
 def roc_curve(df: DataFrame, score: Column, label: Column) -> DataFrame:
     """(score, cum_tp, cum_fp): one point a distinct score, from the highest down, summed in range partitions."""
     points = df.where(score.isNotNull() & label.isNotNull()).groupBy(score.alias("score")).agg(F.count_if(label == 1).alias("p"), F.count_if(label == 0).alias("n"))

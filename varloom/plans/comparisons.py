@@ -93,9 +93,21 @@ def topn(spark, d):
     return R.top_per_case(scored(spark, d), "score_a", 5).select("case_id", "id", F.col("rank").cast("long").alias("rank"))
 
 
-@query("o02_top_fp", f"WITH {V_SCORED} SELECT id, round(score_a, 6) AS score FROM v_scored WHERE label = 0 ORDER BY score_a DESC, id LIMIT 100")
+@query("o02_top_fp", f"WITH {V_SCORED} SELECT id, round(score_a, 6) AS score FROM v_scored WHERE label = 0 AND score_a >= 0.1 ORDER BY score_a DESC, id LIMIT 10000")
 def top_fp(spark, d):
-    return scored(spark, d).where("label = 0").orderBy(F.desc("score_a"), "id").limit(100).select("id", F.round("score_a", 6).alias("score"))
+    """The highest-scoring false positives at the threshold."""
+    return scored(spark, d).where("label = 0 AND score_a >= 0.1").orderBy(F.desc("score_a"), "id").limit(10_000).select("id", F.round("score_a", 6).alias("score"))
+
+
+@query("o01_top500", f"WITH {V_SCORED}, r AS (SELECT id, row_number() OVER (ORDER BY score_a DESC, id) - 1 AS rank FROM v_scored) SELECT id, rank FROM r WHERE rank < 500")
+def top500(spark, d):
+    """The 500 best of all, ranked anew; each task sends its own 500 at most."""
+    return numbered(scored(spark, d).select("id", "score_a").orderBy(F.desc("score_a"), "id").limit(500), [F.desc("score_a"), F.col("id")], "rank").select("id", "rank")
+
+
+@query("o03_nulls_last", f"WITH {V_SCORED} SELECT row_number() OVER (ORDER BY frq ASC NULLS LAST, id) - 1 AS place, id FROM v_scored")
+def nulls_last(spark, d):
+    return numbered(scored(spark, d).select("id", "frq"), [F.asc_nulls_last("frq"), F.col("id")], "place").select("place", "id")
 
 
 @query("o05_first_benign", f"WITH {V_SCORED} SELECT id FROM v_scored WHERE label = 0 ORDER BY md5(concat(id::VARCHAR, ':bg')), id LIMIT 50")
@@ -133,7 +145,7 @@ def inner_many(spark, d):
 
 @query("j04_lookup_dups", f"WITH {V_LEGACY} SELECT l.id, round(genmod, 6) AS genmod FROM v_legacy l SEMI JOIN (SELECT id FROM v_scored WHERE id % 10 = 0) USING (id)")
 def lookup_dups(spark, d):
-    return legacy(spark, d).join(scored(spark, d).where("id % 10 = 0").select("id"), "id", "left_semi").select("id", F.round("genmod", 6).alias("genmod"))
+    return J.lookup(scored(spark, d).where("id % 10 = 0").select("id"), legacy(spark, d), ["id"]).select("id", F.round("genmod", 6).alias("genmod"))
 
 
 _UID = "concat_ws('-', cast(pos AS string), chrom, 'ALT', alt, 'REF', ref)"
@@ -147,7 +159,7 @@ def full_align(spark, d):
 
 @query("j06_semi", f"WITH {V_CAUSATIVE} SELECT s.id, s.case_id FROM v_scored s SEMI JOIN v_causative USING (id)")
 def semi(spark, d):
-    return scored(spark, d).select("id", "case_id").join(causative(spark, d).select("id"), "id", "left_semi")
+    return J.semi_counted(scored(spark, d).select("id", "case_id"), causative(spark, d).select("id"), "id")
 
 
 @query("j07_isec", f"WITH {V_SITES} SELECT * FROM v_a SEMI JOIN v_b USING (chrom, pos, ref, alt)")
@@ -162,7 +174,7 @@ def complement(spark, d):
 
 @query("j09_lookup", "SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def lookup(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name")
+    return J.lookup(table(spark, d, "customer"), table(spark, d, "nation").withColumnRenamed("n_nationkey", "c_nationkey"), ["c_nationkey"]).select("c_custkey", "n_name")
 
 
 @query("j10_loss_check", f"WITH {V_SITES}, x AS (SELECT DISTINCT chrom, pos FROM v_a), y AS (SELECT DISTINCT chrom, pos FROM v_b) SELECT chrom, pos, 'a' AS side FROM x ANTI JOIN y USING (chrom, pos) UNION ALL SELECT chrom, pos, 'b' FROM y ANTI JOIN x USING (chrom, pos)")
@@ -179,7 +191,8 @@ def zip_rows(spark, d):
 
 @query("j17_case_intersection", f"WITH {V_CAUSATIVE} SELECT s.case_id, count(*) AS common FROM (SELECT DISTINCT case_id, id FROM v_scored WHERE score_a > 0.05) s JOIN v_causative c ON c.case_id = s.case_id AND c.id = s.id GROUP BY s.case_id")
 def case_intersection(spark, d):
-    return scored(spark, d).where("score_a > 0.05").select("case_id", "id").distinct().join(causative(spark, d), ["case_id", "id"]).groupBy("case_id").agg(F.count("*").alias("common"))
+    common = scored(spark, d).where("score_a > 0.05").select("case_id", "id").distinct().join(causative(spark, d), ["case_id", "id"]).groupBy("case_id").agg(F.count("*").alias("common"))
+    return J.one_common(common, "common")
 
 
 @query("u01_concat", f"WITH {V_SITES} SELECT *, 'a' AS file FROM v_a UNION ALL SELECT *, 'b' FROM v_b")

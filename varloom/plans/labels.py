@@ -130,19 +130,50 @@ def rename_keys(spark, d):
     return scored(spark, d).select("id", *[F.col(new).alias(old) for old, new in override.items()])
 
 
-@query("p39_surface", "SELECT i, j, round(a*least(1e0, greatest(0e0, 2*g-0.95e0)), 6) AS score, a*least(1e0, greatest(0e0, 2*g-0.95e0)) > 0.5 AS class FROM (SELECT i, j, i/29e0 AS a, j/29e0 AS g FROM range(30) x(i), range(30) y(j), (SELECT count(*) AS n FROM events) WHERE n > 0)")
+@query(
+    "p39_surface",
+    f"WITH {V_SCORED}, c AS (SELECT least(29, floor(score_a * 30))::INTEGER AS i, least(29, floor(score_b * 30))::INTEGER AS j, count(*) AS n, avg(label) AS share FROM v_scored WHERE score_a >= 0 AND score_b >= 0 GROUP BY ALL) "
+    "SELECT i, j, n, round(share, 6) AS share, round((i+0.5)/30*least(1e0, greatest(0e0, 2*(j+0.5)/30-0.95e0)), 6) AS score, (i+0.5)/30*least(1e0, greatest(0e0, 2*(j+0.5)/30-0.95e0)) > 0.5 AS class FROM c",
+)
 def surface(spark, d):
-    some = table(spark, d, "events").limit(1)
-    grid = some.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(29).cast("long"))).alias("i")).select("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(29).cast("long"))).alias("j"))
-    score = M.gate(F.col("i") / 29.0, F.col("j") / 29.0)
-    return grid.select("i", "j", F.round(score, 6).alias("score"), (score > 0.5).alias("class"))
+    """The decision surface over a 30 x 30 grid, with the rows and the share of positives that lie in each cell."""
+    cell = lambda c: F.least(F.lit(29), F.floor(F.col(c) * 30).cast("int"))
+    rows = scored(spark, d).where("score_a >= 0 AND score_b >= 0")
+    grid = rows.groupBy(cell("score_a").alias("i"), cell("score_b").alias("j")).agg(F.count("*").alias("n"), F.round(F.avg("label"), 6).alias("share"))
+    score = M.gate((F.col("i") + 0.5) / 30, (F.col("j") + 0.5) / 30)
+    return grid.select("i", "j", "n", "share", F.round(score, 6).alias("score"), (score > 0.5).alias("class"))
 
 
-@query("m03_score", f"WITH {V_SCORED}, s AS (SELECT id, 1/(1+exp(-(3*score_a + 2*score_b - 40*coalesce(frq,0) - 1.5))) AS p FROM v_scored) SELECT id, printf('%.5f', p) AS score, CASE WHEN p >= 0.5 THEN printf('%.5f', p) END AS explained FROM s")
+_TERMS3 = {"score_a": 3.0, "score_b": 2.0, "frq": -41.0}
+_POINT = "3*score_a + 2*score_b - 41*coalesce(frq,0) - 1.5"
+
+
+@query("m02_score_table", f"WITH {V_SCORED} SELECT dataset, id, label, round(1/(1+exp(-({_POINT}))), 6) AS score FROM v_scored")
+def score_table(spark, d):
+    """Score and ground truth side by side, for each set."""
+    return scored(spark, d).select("dataset", "id", "label", F.round(_probability(), 6).alias("score"))
+
+
+def _probability():
+    return M.sigmoid(sum((w * F.coalesce(F.col(c), F.lit(0.0)) for c, w in _TERMS3.items()), F.lit(0.0)) - 1.5)
+
+
+@query(
+    "m03_score",
+    f"WITH {V_SCORED}, s AS (SELECT id, score_a, score_b, frq, 1/(1+exp(-({_POINT}))) AS p FROM v_scored) SELECT id, printf('%.5f', p) AS score, CASE WHEN p >= 0.5 THEN '[' || array_to_string(list_transform(list_sort("
+    "[{'minus': -3*score_a, 'name': 'score_a'}, {'minus': -2*score_b, 'name': 'score_b'}, {'minus': 41*coalesce(frq, 0e0), 'name': 'frq'}]), lambda s: s.name || printf('=%.2f,', -s.minus)), '') || ']' END AS explanation FROM s",
+)
 def score(spark, d):
-    p = M.sigmoid(3 * F.col("score_a") + 2 * F.col("score_b") - 40 * F.coalesce("frq", F.lit(0.0)) - 1.5)
-    text = F.format_string("%.5f", "p")
-    return scored(spark, d).select("id", p.alias("p")).select("id", text.alias("score"), F.when(F.col("p") >= 0.5, text).alias("explained"))
+    """Missing features filled, every row scored, and the rows that reach the threshold explained by their contributions."""
+    filled = scored(spark, d).withColumn("frq", F.coalesce("frq", F.lit(0.0))).withColumn("p", _probability())
+    parts = P.explanation({c: w * F.col(c) for c, w in _TERMS3.items()})
+    return filled.select("id", F.format_string("%.5f", "p").alias("score"), F.when(F.col("p") >= 0.5, parts).alias("explanation"))
+
+
+@query("p35_parse_explanation", f"WITH {V_SCORED} SELECT id, printf('%.2f', score_a * 0.9987e0)::DOUBLE AS a, printf('%.2f', score_b)::DOUBLE AS b FROM v_scored")
+def parse_explanation(spark, d):
+    text = P.explanation({"a": F.col("score_a") * 0.9987, "b": F.col("score_b"), "frq": F.col("frq")})
+    return scored(spark, d).select("id", P.parse_explanation(text).alias("m")).select("id", F.col("m")["a"].cast("double").alias("a"), F.col("m")["b"].cast("double").alias("b"))
 
 
 @query("m07_shapley_linear", f"WITH {V_SCORED}, bg AS (SELECT * FROM v_scored WHERE label = 0 ORDER BY md5(concat(id::VARCHAR, ':bg')), id LIMIT 50), m AS (SELECT avg(score_a) AS a, avg(score_b) AS b FROM bg) SELECT id, round(3*(score_a - a), 6) AS phi_a, round(2*(score_b - b), 6) AS phi_b FROM v_scored, m")

@@ -43,18 +43,31 @@ def box_summary(spark, d):
     return O.box_summary(wide(spark, d), ["dataset"], COLS).select("dataset", "feature", "low", *r("q1", "median", "q3"), "high")
 
 
-@query("a22_histogram", f"WITH {V_SCORED} SELECT label, least(99, floor(score_a / 0.01))::INTEGER AS bin, count(*) AS n FROM v_scored WHERE score_a BETWEEN 0 AND 1 GROUP BY ALL")
+@query("a22_histogram", f"WITH {V_SCORED}, e AS (SELECT min(score_a) AS lo, max(score_a) AS hi FROM v_scored) SELECT label, least(999, floor((score_a - lo) / ((hi - lo) / 1000)))::INTEGER AS bin, count(*) AS n FROM v_scored, e WHERE score_a IS NOT NULL GROUP BY ALL")
 def histogram(spark, d):
-    return O.histogram(scored(spark, d), F.col("score_a"), 100, 0.0, 1.0, ["label"])
+    return O.data_histogram(scored(spark, d), F.col("score_a"), 1000, ["label"])
+
+
+@query(
+    "s23_profile",
+    f"WITH {V_SCORED}, s AS (SELECT dataset, id, consequence, label, frq FROM v_scored) SELECT dataset, 'id' AS \"column\", 'bigint' AS type, count(*) AS rows, count(id) AS given, coalesce(sum(strlen(id::VARCHAR)), 0)::BIGINT AS bytes FROM s GROUP BY dataset "
+    "UNION ALL SELECT dataset, 'consequence', 'string', count(*), count(consequence), coalesce(sum(strlen(consequence)), 0)::BIGINT FROM s GROUP BY dataset UNION ALL SELECT dataset, 'label', 'int', count(*), count(label), coalesce(sum(strlen(label::VARCHAR)), 0)::BIGINT FROM s GROUP BY dataset",
+)
+def profile(spark, d):
+    return O.dataset_profile(O.chosen_columns(scored(spark, d), ["dataset", "id", "consequence", "label"]), ["dataset"])
+
+
+@query("f09_column_kinds", "SELECT column_name AS \"column\", CASE WHEN data_type IN ('VARCHAR') THEN 'text' ELSE 'number' END AS kind, (SELECT count(*) FROM orders) AS n FROM (DESCRIBE orders) t(column_name, data_type, a, b, c, e) WHERE data_type NOT LIKE 'TIMESTAMP%' AND data_type NOT LIKE 'DATE%'")
+def column_kinds(spark, d):
+    rows = table(spark, d, "orders")
+    numbers = O.numeric_columns(rows)
+    kinds = [F.struct(F.lit(c).alias("column"), F.lit("number" if c in numbers else "text").alias("kind")) for c, t in rows.dtypes if t not in ("timestamp", "timestamp_ntz", "date")]
+    return rows.agg(F.count("*").alias("n")).select(F.inline(F.array(*kinds)), "n")
 
 
 @query("a23_ecdf", f"WITH {V_SCORED} SELECT DISTINCT consequence, score_b, round(cume_dist() OVER (PARTITION BY consequence ORDER BY score_b), 6) AS share FROM v_scored")
 def ecdf(spark, d):
-    from pyspark.sql import Window
-
-    counts = scored(spark, d).groupBy("consequence", "score_b").agg(F.count("*").alias("n"))  # a row a distinct value
-    up = Window.partitionBy("consequence").orderBy("score_b").rowsBetween(Window.unboundedPreceding, 0)
-    return counts.select("consequence", "score_b", F.round(F.sum("n").over(up) / F.sum("n").over(Window.partitionBy("consequence")), 6).alias("share"))
+    return O.ecdf(scored(spark, d), ["consequence"], "score_b").select("consequence", "score_b", *r("share"))
 
 
 @query(

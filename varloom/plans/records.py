@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from varloom.functions import parsing as P
 from varloom.plans.registry import query
 from varloom.plans.vehicles import choose, table
-from varloom.sources import vcf
+from varloom.sources import tables, vcf
 
 FIELDS = ["Allele", "Consequence", "IMPACT"]
 
@@ -34,13 +34,34 @@ def _base(spark, d):
     return table(spark, d, "part").selectExpr(*[c.format(s="string") for c in _BASE])
 
 
+#: FORMAT values: two alleles called where there are two, and some without depths.
+_BASE += [
+    "CASE WHEN p_partkey % 4 = 0 THEN '1/2' WHEN p_partkey % 4 = 1 THEN '0|1' ELSE '1/1' END AS gt",
+    "CASE WHEN p_partkey % 8 = 0 THEN '.' WHEN p_partkey % 4 = 0 THEN '4,20,6' ELSE '4,26' END AS ad",
+]
+_SQL = "b AS (SELECT " + ", ".join(c.format(s="VARCHAR") for c in _BASE) + " FROM part)"
+_INFO = "concat('RankScore=fam:', score, ';DB;CSQ=T|', c1, '|HIGH,T|', c2, '|LOW', CASE WHEN n % 10 = 0 THEN '' ELSE ';Frq=' || printf('%.4f', (n % 100)/1e4) END)"
+_QUAL = "CASE WHEN n % 3 = 0 THEN '.' ELSE concat(score, '.50') END"
+#: Fixed header lines, the two ends of the header of the files.
+HEAD = ("##fileformat=VCFv4.2", '##INFO=<ID=RankScore,Number=.,Type=String,Description="Score">', '##INFO=<ID=CSQ,Number=.,Type=String,Description="Consequences. Format: Allele|Consequence|IMPACT">', '##INFO=<ID=Frq,Number=1,Type=Float,Description="Frequency">', '##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">')
+COLUMNS = "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tSAMPLE"
+_CUSTOMER = "concat('##INFO=<ID=C', cast(c_custkey AS {s}), ',Number=1,Type=String,Description=\"', c_name, ', ', c_mktsegment, '\">')"
+_HEADER_SQL = (
+    "hd AS (SELECT unnest([" + ", ".join(f"'{h}'" for h in HEAD) + "]) AS value FROM region WHERE r_regionkey = 0 UNION ALL SELECT " + _CUSTOMER.format(s="VARCHAR") + " FROM customer UNION ALL "
+    "SELECT '" + COLUMNS.replace("\t", "' || chr(9) || '") + "' FROM region WHERE r_regionkey = 0)"
+)
+
+
 def lines(spark, d):
-    """Text lines as a file would hold them."""
+    """Text lines as a file would hold them, with their order: a header that has a line a customer, and a record a part."""
     info = F.concat(F.lit("RankScore=fam:"), "score", F.lit(";DB;CSQ=T|"), "c1", F.lit("|HIGH,T|"), "c2", F.lit("|LOW"), F.when(F.col("n") % 10 == 0, "").otherwise(F.concat(F.lit(";Frq="), (F.col("n") % 100 / 1e4).cast("decimal(10,4)").cast("string"))))
-    body = _base(spark, d).select(F.concat_ws("\t", "chrom", F.col("pos").cast("string"), "id", "ref", "alt", F.lit("."), F.lit("PASS"), info).alias("value"))
-    names = [("INFO", "RankScore", ".", "String", "Score"), ("INFO", "CSQ", ".", "String", "Consequences. Format: Allele|Consequence|IMPACT"), ("INFO", "Frq", "1", "Float", "Frequency"), ("FORMAT", "GT", "1", "String", "Genotype")]
-    head = ["##fileformat=VCFv4.2", *[f'##{k}=<ID={i},Number={n},Type={t},Description="{x}">' for k, i, n, t, x in names], "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO"]
-    return table(spark, d, "region").limit(1).select(F.explode(F.array(*[F.lit(h) for h in head])).alias("value")).unionByName(body)
+    qual = F.when(F.col("n") % 3 == 0, ".").otherwise(F.concat("score", F.lit(".50")))
+    sample = F.concat_ws(":", "gt", F.lit("30"), "ad", F.lit("38"))
+    body = _base(spark, d).select(F.concat_ws("\t", "chrom", F.col("pos").cast("string"), "id", "ref", "alt", qual, F.lit("PASS"), info, F.lit("GT:DP:AD:GQ"), sample).alias("value"), F.col("n").alias("at"))
+    one = table(spark, d, "region").where("r_regionkey = 0")
+    top = one.select(F.posexplode(F.array(*[F.lit(h) for h in HEAD])).alias("i", "value")).select("value", (F.col("i") - 4_000_000_000_000).alias("at"))
+    defined = table(spark, d, "customer").select(F.expr(_CUSTOMER.format(s="string")).alias("value"), (F.col("c_custkey") - 3_000_000_000_000).alias("at"))
+    return top.unionByName(defined).unionByName(one.select(F.lit(COLUMNS).alias("value"), F.lit(-1).cast("long").alias("at"))).unionByName(body)
 
 
 @query("s01_vcf_records", f"WITH {_SQL} SELECT chrom, pos, id, ref, alt FROM b")
@@ -48,9 +69,19 @@ def vcf_records(spark, d):
     return vcf.records(lines(spark, d)).select("chrom", "pos", "id", "ref", F.concat_ws(",", "alt").alias("alt"))
 
 
-@query("s02_header", "SELECT * FROM (VALUES ('INFO', 'RankScore', '.', 'String', 'Score'), ('INFO', 'CSQ', '.', 'String', 'Consequences. Format: Allele|Consequence|IMPACT'), ('INFO', 'Frq', '1', 'Float', 'Frequency'), ('FORMAT', 'GT', '1', 'String', 'Genotype')) v(header_type, id, number, type, description)")
+@query(
+    "s02_header",
+    "SELECT * FROM (VALUES ('INFO', 'RankScore', '.', 'String', 'Score'), ('INFO', 'CSQ', '.', 'String', 'Consequences. Format: Allele|Consequence|IMPACT'), ('INFO', 'Frq', '1', 'Float', 'Frequency'), ('FORMAT', 'GT', '1', 'String', 'Genotype')) v(header_type, id, number, type, description) "
+    "UNION ALL SELECT 'INFO', concat('C', c_custkey::VARCHAR), '1', 'String', concat(c_name, ', ', c_mktsegment) FROM customer",
+)
 def header(spark, d):
-    return vcf.header(lines(spark, d))
+    return vcf.header(lines(spark, d)).drop("at")
+
+
+@query("p12_csq_fields", "SELECT c_custkey AS file, unnest(['Allele', 'Consequence', c_mktsegment]) AS field, unnest([0, 1, 2]) AS place FROM customer")
+def csq_fields(spark, d):
+    text = F.concat(F.lit('Consequences. Format: Allele|Consequence|'), "c_mktsegment")
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("file"), F.posexplode(P.csq_names(text)).alias("place", "field"))
 
 
 @query("s03_header_conflict", "SELECT n_name AS id, 'INFO' AS header_type, count(DISTINCT c_mktsegment) AS n_kinds FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1 HAVING count(DISTINCT c_mktsegment) > 1")
@@ -78,19 +109,149 @@ def info_csv(spark, d):
     return vcf.info_csv(rows).select("case_id", "id", "causative", "score_a", "frq")
 
 
-@query("s14_flatten", f"WITH {_SQL} SELECT chrom, pos, id, ref, alt, concat('fam:', score) AS \"RankScore\", CASE WHEN n % 10 = 0 THEN NULL ELSE printf('%.4f', (n % 100)/1e4) END AS \"Frq\" FROM b")
+@query("s14_flatten", f"WITH {_SQL} SELECT chrom, pos, id, ref, alt, concat('T|', c1, '|HIGH,T|', c2, '|LOW') AS \"CSQ\", 'true' AS \"DB\", concat('fam:', score) AS \"RankScore\", CASE WHEN n % 10 = 0 THEN NULL ELSE round((n % 100)/1e4, 6) END AS \"Frq\" FROM b")
 def flatten(spark, d):
-    return vcf.flatten(vcf.records(lines(spark, d)), ["RankScore", "Frq"])
+    """The columns are those that occur; those that hold numbers alone become numbers."""
+    return vcf.flatten(vcf.records(lines(spark, d)), cast=True).withColumn("Frq", F.round("Frq", 6))
+
 
+_FIXED = "chrom, pos::VARCHAR, id, ref, alt"
+_SAMPLE = "concat_ws(':', gt, '30', ad, '38')"
 
-@query("s16_render", f"WITH {_SQL} SELECT concat_ws(chr(9), chrom, pos::VARCHAR, id, ref, alt, '.', 'PASS', concat('CSQ=T|', c1, '|HIGH,T|', c2, '|LOW;DB', CASE WHEN n % 10 = 0 THEN '' ELSE ';Frq=' || printf('%.4f', (n % 100)/1e4) END, ';RankScore=fam:', score)) AS value FROM b")
+
+@query(
+    "s16_render",
+    f"WITH {_SQL}, {_HEADER_SQL} SELECT concat_ws(chr(9), {_FIXED}, {_QUAL}, 'PASS', {_INFO} || ';Score=' || printf('%.5f', score_n / 5e1), 'GT:DP:AD:GQ', {_SAMPLE}) AS value FROM b UNION ALL SELECT value FROM hd "
+    "UNION ALL SELECT '##INFO=<ID=Score,Number=1,Type=Float,Description=\"A score\">' FROM region WHERE r_regionkey = 0",
+)
 def render(spark, d):
-    return vcf.render(vcf.records(lines(spark, d)))
+    """The whole file with one more key and its definition; all else as it was."""
+    score = {"Score": F.format_string("%.5f", P.pair(F.col("info")["RankScore"])["number"] / 50)}
+    return vcf.annotated(lines(spark, d), lambda rows: vcf.with_info(rows, score), [vcf.definition("Score", "Float", "A score", "1")]).select("value")
+
+
+@query("s16_unchanged", f"WITH {_SQL}, {_HEADER_SQL} SELECT concat_ws(chr(9), {_FIXED}, {_QUAL}, 'PASS', {_INFO}, 'GT:DP:AD:GQ', {_SAMPLE}) AS value FROM b UNION ALL SELECT value FROM hd")
+def unchanged(spark, d):
+    return vcf.annotated(lines(spark, d), lambda rows: rows, []).select("value")
+
+
+@query("s17_clinvar_labels", f"WITH {_SQL} SELECT concat_ws(chr(9), {_FIXED}, '.', '.', 'CLINVAR_GROUND_TRUTH=fam:' || score, 'GT:DP:AD:GQ', '1/1:30:4,26:38') AS value FROM b")
+def clinvar_labels(spark, d):
+    return vcf.render(vcf.labelled(vcf.records(lines(spark, d)), "CLINVAR_GROUND_TRUTH", F.col("info")["RankScore"])).select("value")
+
 
+@query("s18_giab_labels", f"WITH {_SQL} SELECT concat_ws(chr(9), {_FIXED}, '.', '.', 'GIAB_GROUND_TRUTH=benign', 'GT:DP:AD:GQ', {_SAMPLE}) AS value FROM b")
+def giab_labels(spark, d):
+    return vcf.render(vcf.labelled(vcf.records(lines(spark, d)), "GIAB_GROUND_TRUTH", F.lit("benign"), genotype=None)).select("value")
 
-@query("s20_split_alleles", f"WITH {_SQL} SELECT id, unnest(string_split(alt, ',')) AS alt FROM b")
+
+@query("s19_mutacc_labels", f"WITH {_SQL} SELECT concat_ws(chr(9), {_FIXED}, {_QUAL}, 'PASS', 'MUTACC_GROUND_TRUTH=pathogenic', 'GT:DP:AD:GQ', '1/1:30:4,26:38') AS value FROM b")
+def mutacc_labels(spark, d):
+    return vcf.render(vcf.labelled(vcf.records(lines(spark, d)), "MUTACC_GROUND_TRUTH", F.lit("pathogenic"), keep_quality=True)).select("value")
+
+
+@query(
+    "s20_split_alleles",
+    f"WITH {_SQL}, e AS (SELECT *, unnest(string_split(alt, ',')) AS one, generate_subscripts(string_split(alt, ','), 1) AS k FROM b) "
+    "SELECT id, one AS alt, concat_ws(':', CASE WHEN n % 4 <> 0 THEN gt WHEN k = 1 THEN '1/0' ELSE '0/1' END, '30', CASE WHEN n % 4 <> 0 OR n % 8 = 0 THEN ad WHEN k = 1 THEN '4,20' ELSE '4,6' END, '38') AS sample FROM e",
+)
 def split_alleles(spark, d):
-    return vcf.split_alleles(vcf.records(lines(spark, d))).select("id", "alt")
+    return vcf.split_alleles(vcf.records(lines(spark, d))).select("id", F.get("alt", 0).alias("alt"), F.get("samples", 0).alias("sample"))
+
+
+@query("s22_ranked_lines", f"WITH {_SQL}, r AS (SELECT *, row_number() OVER (ORDER BY score_n DESC, id) - 1 AS rank FROM b) SELECT rank, concat_ws(chr(9), {_FIXED}, {_QUAL}, 'PASS', {_INFO}, 'GT:DP:AD:GQ', {_SAMPLE}) AS value FROM r WHERE rank < 500")
+def ranked_lines(spark, d):
+    """The 500 best records as lines, for a file of their own."""
+    from varloom.operators.base import numbered
+
+    rows = vcf.records(lines(spark, d)).withColumn("score", P.pair(F.col("info")["RankScore"])["number"])
+    best = rows.orderBy(F.desc("score"), "id").limit(500)
+    return vcf.render(numbered(best, [F.desc("score"), F.col("id")], "rank").drop("score")).select("rank", "value")
+
+
+@query("u08_ordered_lines", f"WITH {_SQL} SELECT row_number() OVER (ORDER BY n) - 1 AS line, id FROM b")
+def ordered_lines(spark, d):
+    """Shards of any order come back in the order of the file."""
+    from varloom.operators.base import numbered
+
+    return numbered(vcf.records(lines(spark, d).repartition(5)).select("at", "id"), [F.col("at")], "line").select("line", "id")
+
+
+@query("s06_read_group", f"WITH {_SQL} SELECT id, [coalesce(CASE WHEN n % 10 = 0 THEN NULL ELSE round((n % 100)/1e4, 6) END, 0), score_n::DOUBLE] AS frq_score, n % 3 = 0 AS label FROM b WHERE n % 2 = 0")
+def read_group(spark, d):
+    rows = vcf.records(lines(spark, d)).select("id", F.round(P.number(F.try_element_at("info", F.lit("Frq"))), 6).alias("frq"), P.pair(F.col("info")["RankScore"])["number"].alias("score"), (F.col("at") % 3 == 0).alias("label"), F.when(F.col("at") % 2 == 0, "train").otherwise("test").alias("set"))
+    return tables.select_group(rows, "set", "train", ["id", ["frq", "score"]], "label", fill=0.0)
+
+
+@query("s09_columns_at", "SELECT concat('v', event_id::VARCHAR) AS id, value AS genmod FROM events")
+def columns_at(spark, d):
+    text = table(spark, d, "events").select(F.concat_ws(",", F.col("user_id").cast("string"), F.lit("x"), F.concat(F.lit("v"), F.col("event_id").cast("string")), F.lit("y"), F.lit("z"), F.col("value").cast("string")).alias("value"))
+    return tables.columns_at(text, {2: "id", 5: "genmod"}).withColumn("genmod", F.col("genmod").cast("double"))
+
+
+@query("s10_equal_counts", "SELECT (SELECT count(*) FROM orders) AS rows_a, (SELECT count(*) FROM orders) AS rows_b")
+def equal_counts(spark, d):
+    rows = table(spark, d, "orders")
+    return tables.equal_counts(rows.select("o_orderkey"), rows.select("o_custkey"))
+
+
+@query("s11_lookup_table", "SELECT c_custkey::VARCHAR AS \"Line_Number\", c_name AS \"Sample_ID\" FROM customer")
+def lookup_table(spark, d):
+    text = table(spark, d, "customer").select(F.concat_ws("\t", F.col("c_custkey").cast("string"), "c_name").alias("value"))
+    top = table(spark, d, "region").where("r_regionkey = 0").select(F.lit("Line_Number\tSample_ID").alias("value"))
+    return tables.lookup_table(top.unionByName(text), ["Line_Number", "Sample_ID"])
+
+
+@query("s13_case_summaries", "SELECT user_id AS case_id, count(*) AS n, max(value) AS top FROM events GROUP BY user_id")
+def case_summaries(spark, d):
+    """Written as JSON, one row a case, and read back."""
+    rows = table(spark, d, "events").groupBy(F.col("user_id").alias("case_id")).agg(F.count("*").alias("n"), F.max("value").alias("top"))
+    return tables.from_summaries(tables.summaries(rows, "case_id"), "case_id", "n long, top double")
+
+
+@query("p01_coerce", f"WITH {_SQL} SELECT id, CASE WHEN n % 10 = 0 THEN NULL ELSE round((n % 100)/1e4, 6) END AS number, concat('fam:', score) AS text FROM b")
+def coerce(spark, d):
+    rows = vcf.records(lines(spark, d), {"Frq": P.typed, "RankScore": P.typed})
+    return rows.select("id", F.round("Frq.number", 6).alias("number"), F.col("RankScore.text").alias("text"))
+
+
+@query("p11_field_types", f"WITH {_SQL} SELECT 'Frq' AS field, 'number' AS type, count(CASE WHEN n % 10 <> 0 THEN 1 END) AS n FROM b UNION ALL SELECT 'RankScore', 'text', count(*) FROM b")
+def field_types(spark, d):
+    rows = vcf.records(lines(spark, d), {"Frq": P.typed, "RankScore": P.typed}).select(F.col("Frq.kind").alias("Frq"), F.col("RankScore.kind").alias("RankScore"))
+    return rows.unpivot([], ["Frq", "RankScore"], "field", "type").where("type IS NOT NULL").groupBy("field", "type").agg(F.count("*").alias("n"))
+
+
+@query("p03_triples", f"WITH {_SQL} SELECT id, 'fam' AS family_id, score_n::DOUBLE AS low, score_n + 1e0 AS high FROM b")
+def triples(spark, d):
+    text = F.concat(F.lit("fam:"), "score", F.lit(":"), (F.col("score_n") + 1).cast("string"))
+    return _base(spark, d).select("id", P.triple(text).alias("t")).select("id", "t.family_id", "t.low", "t.high")
+
+
+@query("p04_two_parts", f"WITH {_SQL} SELECT id, 'fam' AS family_id, concat(c1, '>', c2) AS compounds FROM b")
+def two_parts(spark, d):
+    parts = P.two_parts(F.concat(F.lit("fam:"), "c1", F.lit(">"), "c2"))
+    return _base(spark, d).select("id", parts.alias("p")).select("id", F.get("p", 0).alias("family_id"), F.get("p", 1).alias("compounds"))
+
+
+@query("p05_rank_result", f"WITH {_SQL} SELECT id, concat(score, '|', c1) AS rank_result FROM b")
+def rank_result(spark, d):
+    return _base(spark, d).select("id", P.passed_on(F.concat("score", F.lit("|"), "c1")).alias("rank_result"))
+
+
+@query("p06_unescape", f"WITH {_SQL} SELECT id, concat('p.', c1, ' ', score) AS text FROM b")
+def unescape(spark, d):
+    return _base(spark, d).select("id", P.unescape(F.concat(F.lit("p.%3D"), "c1", F.lit("%2C "), "score", F.lit("%3D"))).alias("text"))
+
+
+@query("p07_alleles", f"WITH {_SQL} SELECT id, alt FROM b")
+def alleles(spark, d):
+    return _base(spark, d).select("id", P.allele(F.concat(F.lit("['"), "alt", F.lit("']"))).alias("alt"))
+
+
+@query("p33_stand_ins", f"WITH {_SQL} SELECT id, CASE WHEN n % 5 = 0 THEN 'N/A' ELSE c1 END AS text, CASE WHEN n % 10 = 0 THEN 'N/A' ELSE 'numtype' END AS frq FROM b")
+def stand_ins(spark, d):
+    frq = P.stand_in(F.when(F.col("n") % 10 != 0, F.col("n") % 100 / 1e4), numeric=True)
+    return _base(spark, d).select("id", P.stand_in(F.when(F.col("n") % 5 != 0, F.col("c1"))).alias("text"), frq.alias("frq"))
 
 
 @query("p02_pairs", f"WITH {_SQL} SELECT id, 'fam' AS family_id, score_n::DOUBLE AS number FROM b")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from varloom.functions import metrics as M
 from varloom.operators import thresholds as T
 from varloom.plans.registry import query
-from varloom.plans.vehicles import V_SCORED, scored
+from varloom.plans.records import TERMS
+from varloom.plans.vehicles import V_CLNSIG, V_SCORED, choose, clnsig, scored, table
 
 CUT = 0.1
 
@@ -187,15 +188,31 @@ def class_balance(spark, d):
     return balance(scored(spark, d), F.col("label")).select("n_pos", "n_neg", *r6("bias", "w_pos", "w_neg"))
 
 
+#: Consequence terms and clinical patterns by which scores are stratified.
+STRATA = (
+    "missense_variant", "downstream_gene_variant", "upstream_gene_variant", "intron_variant", "non_coding_transcript_exon_variant", "splice_donor_variant", "splice_donor_region_variant", "splice_region_variant",
+    "5_prime_UTR_variant", "splice_polypyrimidine_tract_variant", "3_prime_UTR_variant", "synonymous_variant", "frameshift_variant", "stop_gained", "splice_acceptor_variant", "splice_donor_5th_base_variant",
+    "stop_lost", "protein_altering_variant", "inframe_insertion", "inframe_deletion", "transcript_ablation", "start_lost", "stop_retained_variant", "coding_sequence_variant", "mature_miRNA_variant",
+    "incomplete_terminal_codon_variant",
+)
+CLINICAL_STRATA = {"clinvar_pathogenic": "pathogenic|Pathogenic", "clinvar_benign": "benign|Benign"}
+
+
 @query(
     "a30_strata_regex",
-    f"""WITH {_PRED}, t AS (SELECT unnest(['err.*', 'view', '.*i.*', 'nothing']) AS term), cm AS (SELECT term, {_CELLS} FROM p JOIN t ON regexp_full_match(consequence, term) GROUP BY term)
-    SELECT term, tp+tn+fp+fn AS size, round({F1}, 6) AS f1 FROM cm""",
+    "WITH "
+    + V_CLNSIG
+    + f", b AS (SELECT p_partkey AS id, {choose('p_partkey', TERMS)} AS consequence, CASE WHEN p_size >= 25 THEN 1 ELSE 0 END AS pred, CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END AS label FROM part), "
+    + "t AS (SELECT unnest(["
+    + ", ".join(f"'{t}'" for t in STRATA)
+    + "]) AS term), p AS (SELECT term, pred, label FROM b JOIN t ON regexp_full_match(consequence, '.*(' || term || ').*') UNION ALL SELECT 'clinvar_pathogenic', pred, label FROM b JOIN v_clnsig USING (id) WHERE regexp_matches(clnsig, 'pathogenic|Pathogenic') "
+    + f"UNION ALL SELECT 'clinvar_benign', pred, label FROM b JOIN v_clnsig USING (id) WHERE regexp_matches(clnsig, 'benign|Benign')), cm AS (SELECT term, {_CELLS} FROM p GROUP BY term) SELECT term, tp+tn+fp+fn AS size, round({F1}, 6) AS f1 FROM cm",
 )
 def strata_regex(spark, d):
-    terms = F.explode(F.array(*[F.lit(t) for t in ("err.*", "view", ".*i.*", "nothing")])).alias("term")
-    rows = _predicted(spark, d).select("consequence", "pred", "label", terms).where(F.expr("consequence RLIKE concat('^(', term, ')$')"))
-    return rows.groupBy("term").agg(*M.confusion(F.col("pred"), F.col("label"))).select("term", (F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")).alias("size"), F.round(M.f_beta(F.col("tp"), F.col("fp"), F.col("fn")), 6).alias("f1"))
+    rows = table(spark, d, "part").selectExpr("p_partkey AS id", f"{choose('p_partkey', TERMS)} AS consequence", "CASE WHEN p_size >= 25 THEN 1 ELSE 0 END AS pred", "CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END AS label")
+    rows = rows.join(clnsig(spark, d).select("id", "clnsig"), "id")
+    strata = {t: F.col("consequence").contains(t) for t in STRATA} | {n: F.col("clnsig").rlike(p) for n, p in CLINICAL_STRATA.items()}
+    return T.stratified(rows, strata, F.col("pred"), F.col("label")).where("size > 0").select("term", "size", F.round("f1", 6).alias("f1"))
 
 
 @query(
@@ -217,10 +234,34 @@ def rare_unsupported(spark, d):
     return rows.agg(*M.confusion(F.col("pred"), F.col("label"))).select((F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")).alias("size"), F.round(M.f_beta(F.col("tp"), F.col("fp"), F.col("fn")), 6).alias("f1"))
 
 
-@query("a33_baseline_panel", f"""WITH {_PRED}, cm AS (SELECT dataset, {_CELLS} FROM p GROUP BY dataset) SELECT dataset, tp, tn, fp, fn, round({PRECISION}, 6) AS "precision", round({RECALL}, 6) AS recall, round({F1}, 6) AS f1, round({MCC}, 6) AS mcc FROM cm""")
+@query("a33_baseline_panel", f"""WITH {_PRED}, cm AS (SELECT dataset, {_CELLS} FROM p GROUP BY dataset),
+    s AS (SELECT dataset, score_a, sum(label)::DOUBLE AS p, sum(1-label)::DOUBLE AS n FROM v_scored GROUP BY 1, 2), c AS (SELECT *, sum(n) OVER (PARTITION BY dataset ORDER BY score_a) AS upto FROM s),
+    u AS (SELECT dataset, round(sum(p*(upto - n/2))/(sum(p)*sum(n)), 6) AS auc FROM c GROUP BY dataset) SELECT dataset, auc, tp, tn, fp, fn, round({PRECISION}, 6) AS "precision", round({RECALL}, 6) AS recall, round({F1}, 6) AS f1, round({MCC}, 6) AS mcc FROM cm JOIN u USING (dataset)""")
 def baseline_panel(spark, d):
-    cm = _predicted(spark, d).groupBy("dataset").agg(*M.confusion(F.col("pred"), F.col("label")))
-    return T.with_metrics(cm).select("dataset", *T.CELLS, *r6("precision", "recall", "f1", "mcc"))
+    rows = _predicted(spark, d)
+    cm = T.with_metrics(rows.groupBy("dataset").agg(*M.confusion(F.col("pred"), F.col("label"))))
+    return cm.join(T.roc_auc_by(rows, "score_a", "label", ["dataset"]), "dataset").select("dataset", *r6("auc"), *T.CELLS, *r6("precision", "recall", "f1", "mcc"))
+
+
+_CORNERS = "unnest([1e0, 1.5e0, 2e0, 2.5e0, 3e0])"
+
+
+@query(
+    "m06_grid_search",
+    f"""WITH {V_SCORED}, g AS (SELECT w, b FROM (SELECT {_CORNERS} AS w), (SELECT unnest([-1.5e0, -0.95e0, -0.5e0, -0.1e0, 0e0]) AS b)),
+    p AS (SELECT w, b, label, CASE WHEN score_a * least(1e0, greatest(0e0, w*score_b + b)) >= 0.05 THEN 1 ELSE 0 END AS pred FROM v_scored, g), cm AS (SELECT w, b, {_CELLS} FROM p GROUP BY w, b)
+    SELECT w, b, tp, tn, fp, fn, round({MCC}, 6) AS mcc FROM cm""",
+)
+def grid_search(spark, d):
+    """The gate's slope and offset over a grid, each point's Matthews correlation; one pass, partial sums of 25 matrices a task."""
+    return T.with_metrics(T.gate_grid(scored(spark, d), "score_a", "score_b", "label", [1.0, 1.5, 2.0, 2.5, 3.0], [-1.5, -0.95, -0.5, -0.1, 0.0], 0.05)).select("w", "b", *T.CELLS, *r6("mcc"))
+
+
+@query("p21_low_cap", f"WITH {V_SCORED} SELECT id, score_a < 0.2 AND greatest(score_a, 0.2e0) = 0.2 AS capped FROM v_scored")
+def low_cap(spark, d):
+    from varloom.functions import parsing as P
+
+    return scored(spark, d).select("id", P.capped_low(F.col("score_a"), F.greatest("score_a", F.lit(0.2)), F.lit(0.2)).alias("capped"))
 
 
 @query("a42_log_loss", f"WITH {V_SCORED} SELECT dataset, round(-avg(label*ln(least(1-1e-7, greatest(1e-7, score_b))) + (1-label)*ln(1-least(1-1e-7, greatest(1e-7, score_b)))), 6) AS loss FROM v_scored GROUP BY dataset")

@@ -2,27 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from varloom.functions.parsing import number
+
 STATIC = ("chrom", "pos", "id", "ref", "alt", "qual", "filter", "info", "format")
 
 
 def lines(spark: SparkSession, path) -> DataFrame:
-    """(value, file): all lines of one or many files, plain or gzip, read by Spark from any store."""
-    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    """(value, file, at): all lines of one or many files, plain or gzip, read by Spark from any store; at: their order."""
+    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
+
+
+def file_key(text: DataFrame, pattern: str = r"([^/_]+)[^/]*$", name: str = "case_name") -> DataFrame:
+    """text with a key from the file's path: by default what stands before the first underscore of the file name."""
+    return text.withColumn(name, F.regexp_extract("file", pattern, 1))
+
 
+def records(text: DataFrame, parsers: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+    """Record lines to columns: INFO as a map in the order of the file (keys without a value map to NULL), ALT as an array, '.' as
+    NULL; QUAL as a number and as it stood.
 
-def records(text: DataFrame) -> DataFrame:
-    """Record lines to columns: INFO as a map (keys without a value map to NULL), ALT as an array, '.' as NULL."""
+    A key that is given twice is an error. `parsers` adds a column for each named INFO field, parsed by the given function of
+    its text; only those fields are looked up.
+    """
     parts = F.split("value", "\t")
     part = lambda i: F.nullif(F.get(parts, F.lit(i)), F.lit("."))
     rows = text.where(~F.col("value").startswith("#") & (F.col("value") != ""))
-    return rows.select(
-        part(0).alias("chrom"), part(1).cast("long").alias("pos"), part(2).alias("id"), part(3).alias("ref"), F.split(part(4), ",").alias("alt"), part(5).try_cast("double").alias("qual"), part(6).alias("filter"),
-        F.str_to_map(part(7), F.lit(";"), F.lit("=")).alias("info"), part(8).alias("format"), F.slice(parts, 10, F.greatest(F.lit(0), F.size(parts) - 9)).alias("samples"),
+    out = rows.select(
+        part(0).alias("chrom"), F.when(~F.col("value").startswith("#"), part(1)).cast("long").alias("pos"), part(2).alias("id"), part(3).alias("ref"), F.split(part(4), ",").alias("alt"), part(5).try_cast("double").alias("qual"), part(6).alias("filter"),
+        F.str_to_map(part(7), F.lit(";"), F.lit("=")).alias("info"), part(8).alias("format"), F.slice(parts, 10, F.greatest(F.lit(0), F.size(parts) - 9)).alias("samples"), part(5).alias("qual_text"),
         *[c for c in text.columns if c != "value"],
     )
+    for field, parse in (parsers or {}).items():
+        out = out.withColumn(field, parse(F.try_element_at("info", F.lit(field))))
+    return out
 
 
 def header(text: DataFrame) -> DataFrame:
@@ -44,22 +61,91 @@ def count_records(text: DataFrame) -> DataFrame:
 
 
 def render(rows: DataFrame) -> DataFrame:
-    """Records back to lines (value); INFO keys in order of name, flags without a value."""
-    pairs = F.transform(F.array_sort(F.map_entries("info")), lambda e: F.when(e["value"].isNull(), e["key"]).otherwise(F.concat(e["key"], F.lit("="), e["value"])))
-    dot = lambda c: F.coalesce(c, F.lit("."))
-    return rows.select(
-        F.concat_ws("\t", dot(F.col("chrom")), dot(F.col("pos").cast("string")), dot(F.col("id")), dot(F.col("ref")), dot(F.concat_ws(",", "alt")), dot(F.col("qual").cast("string")), dot(F.col("filter")), F.concat_ws(";", pairs)).alias("value")
-    )
+    """Records back to lines (value, and every column that is not of the record): INFO in its own order, flags without a
+    value, QUAL as it stood, FORMAT and samples where there are any."""
+    pairs = F.transform(F.map_entries("info"), lambda e: F.when(e["value"].isNull(), e["key"]).otherwise(F.concat(e["key"], F.lit("="), e["value"])))
+    dot = lambda c: F.coalesce(F.nullif(c, F.lit("")), F.lit("."))
+    qual = F.col("qual_text") if "qual_text" in rows.columns else F.col("qual").cast("string")
+    fixed = [dot(F.col("chrom")), dot(F.col("pos").cast("string")), dot(F.col("id")), dot(F.col("ref")), dot(F.concat_ws(",", "alt")), dot(qual), dot(F.col("filter")), dot(F.concat_ws(";", pairs))]
+    tail = F.when(F.col("format").isNotNull(), F.concat(F.lit("\t"), F.concat_ws("\t", "format", "samples"))).otherwise("") if "format" in rows.columns else F.lit("")
+    rest = [c for c in rows.columns if c not in (*STATIC, "samples", "qual_text")]
+    return rows.select(F.concat(F.concat_ws("\t", *fixed), tail).alias("value"), *rest)
 
 
-def split_alleles(rows: DataFrame) -> DataFrame:
-    """One row for each alternative allele."""
-    return rows.withColumn("alt", F.explode("alt"))
+def with_info(rows: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """Records with further INFO keys after their own; a key whose value is NULL is not added. A key that a record has already
+    is an error."""
+    new = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(k), v.cast("string")) for k, v in values.items()]), lambda e: e["col2"].isNotNull()))
+    return rows.withColumn("info", F.map_concat(F.coalesce("info", F.create_map().cast("map<string,string>")), new))
+
+
+def with_header(text: DataFrame, new: list[str]) -> DataFrame:
+    """Header lines (value, at), the new ones before the column line. A file without a column line keeps its header alone."""
+    head = text.where(F.col("value").startswith("#")).select("value", "at")
+    added = F.when(F.col("value").startswith("#CHROM"), F.array(*[F.lit(n) for n in new], F.col("value"))).otherwise(F.array("value"))
+    return head.select("at", F.posexplode(added).alias("place", "value")).select("value", "at", "place")
+
 
+def definition(name: str, kind: str, description: str, number: str = ".") -> str:
+    return f'##INFO=<ID={name},Number={number},Type={kind},Description="{description}">'
 
-def flatten(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Static columns and the wanted INFO keys as columns of text; only those keys are looked up."""
-    return rows.select("chrom", "pos", "id", "ref", F.concat_ws(",", "alt").alias("alt"), *[F.get(F.array(F.try_element_at("info", F.lit(k))), 0).alias(k) for k in keys])
+
+def annotated(text: DataFrame, change: Callable[[DataFrame], DataFrame], new: list[str]) -> DataFrame:
+    """(value, at, place): the lines of one file with its records changed and the new header lines; in the order of (at, place)."""
+    body = render(change(records(text))).select("value", "at", F.lit(0).alias("place"))
+    return with_header(text, new).unionByName(body)
+
+
+def write(ordered: DataFrame, path: str) -> None:
+    """Lines to text files whose concatenation is the file, in the order of (at, place); an existing path is an error."""
+    ordered.orderBy("at", "place").select("value").write.mode("errorifexists").text(path)
+
+
+def labelled(rows: DataFrame, key: str, label: Column, genotype: str | None = "1/1:30:4,26:38", keep_quality: bool = False) -> DataFrame:
+    """Records stripped to their five fields, the label as the only INFO key, and GT:DP:AD:GQ: a constant sample, or the record's
+    own first one where genotype is None. QUAL and FILTER are dropped unless keep_quality."""
+    keys = ("GT", "DP", "AD", "GQ")
+    own = F.get("samples", 0)
+    at = [F.array_position(F.split("format", ":"), k) for k in keys]
+    kept = F.concat_ws(":", *[F.coalesce(F.get(F.split(own, ":"), F.when(p > 0, p - 1).cast("int")), F.lit(".")) for p in at])
+    none = F.lit(None).cast("string")
+    return rows.withColumns(
+        {"info": F.create_map(F.lit(key), label), "format": F.lit(":".join(keys)), "samples": F.array(F.lit(genotype) if genotype else kept),
+         "qual_text": F.col("qual_text") if keep_quality else none, "filter": F.col("filter") if keep_quality else none}
+    )
+
+
+def split_alleles(rows: DataFrame) -> DataFrame:
+    """One row for each alternative allele. In the samples GT names the row's allele 1 and every other one 0, and AD keeps the
+    depths of REF and of the row's allele (missing depths stay as they are); other fields are copied."""
+    many = rows.select("*", F.posexplode("alt").alias("__k", "__alt"), F.size("alt").alias("__n")).withColumn("__k", F.col("__k") + 1)
+
+    def value(key: Column, v: Column) -> Column:
+        calls = F.transform(F.split(v, "(?=[/|])|(?<=[/|])"), lambda t: F.when(t == F.col("__k").cast("string"), "1").when(t.rlike("^[0-9]+$"), "0").otherwise(t))
+        depths = F.split(v, ",")
+        return F.when(key == "GT", F.concat_ws("", calls)).when((key == "AD") & (F.size(depths) == F.col("__n") + 1), F.concat_ws(",", F.get(depths, 0), F.get(depths, F.col("__k")))).otherwise(v)
+
+    own = F.transform("samples", lambda s: F.concat_ws(":", F.zip_with(F.split("format", ":"), F.split(s, ":"), lambda k, v: F.when(v.isNotNull(), value(k, v)))))
+    parted = many.withColumns({"alt": F.when(F.col("__n") > 1, F.array("__alt")).otherwise(F.col("alt")), "samples": F.when((F.col("__n") > 1) & F.col("format").isNotNull(), own).otherwise(F.col("samples"))})
+    return parted.drop("__k", "__alt", "__n")
+
+
+def info_keys(rows: DataFrame) -> list[str]:
+    """The INFO keys that occur, by name: as many as the header defines, a bounded list."""
+    return [r["k"] for r in rows.select(F.explode(F.map_keys("info")).alias("k")).distinct().orderBy("k").collect()]
+
+
+def flatten(rows: DataFrame, keys: list[str] | None = None, cast: bool = False) -> DataFrame:
+    """Static columns and INFO keys as columns of text: the wanted keys, or all that occur. A flag reads as the text 'true'. With
+    cast, columns whose every value is a number become numbers (missing: NULL), in one pass over all of them."""
+    names = info_keys(rows) if keys is None else keys
+    value = lambda k: F.when(F.array_contains(F.map_keys("info"), k), F.coalesce(F.try_element_at("info", F.lit(k)), F.lit("true")))
+    out = rows.select("chrom", "pos", "id", "ref", F.concat_ws(",", "alt").alias("alt"), *[value(k).alias(k) for k in names])
+    if not cast or not names:
+        return out
+    plain = [F.bool_and(F.col(f"`{k}`").isNull() | (F.col(f"`{k}`") == "") | number(F.col(f"`{k}`")).isNotNull()).alias(k) for k in names]
+    numeric = out.agg(*plain).first()
+    return out.withColumns({k: number(F.col(f"`{k}`")) for k in names if numeric[k]})
 
 
 def info_csv(text: DataFrame) -> DataFrame:
