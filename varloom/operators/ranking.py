@@ -14,7 +14,7 @@ def rare(limit: float | None, columns=FREQUENCIES) -> Column:
     """The largest of the frequencies, NULL counting as 0, is at most `limit`."""
     if limit is None:
         return F.lit(True)
-    return F.greatest(*[F.coalesce(F.col(c), F.lit(0.0)) for c in columns]) <= F.lit(limit)
+    return F.greatest(F.lit(0.0), F.lit(0.0), *[F.coalesce(F.col(c), F.lit(0.0)) for c in columns]) <= F.lit(limit)
 
 
 def compare(scored: DataFrame, causative: DataFrame, scores: list[str], limits=LIMITS) -> DataFrame:
