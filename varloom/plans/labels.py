@@ -144,8 +144,8 @@ def surface(spark, d):
     return grid.select("i", "j", "n", "share", F.round(score, 6).alias("score"), (score > 0.5).alias("class"))
 
 
-_TERMS3 = {"score_a": 3.0, "score_b": 2.0, "frq": -41.0}
-_POINT = "3*score_a + 2*score_b - 41*coalesce(frq,0) - 1.5"
+_TERMS3 = {"score_a": 3.0017, "score_b": 2.0, "frq": -41.0}
+_POINT = "3.0017e0*score_a + 2*score_b - 41*coalesce(frq,0) - 1.5"
 
 
 @query("m02_score_table", f"WITH {V_SCORED} SELECT dataset, id, label, round(1/(1+exp(-({_POINT}))), 6) AS score FROM v_scored")
@@ -161,7 +161,7 @@ def _probability():
 @query(
     "m03_score",
     f"WITH {V_SCORED}, s AS (SELECT id, score_a, score_b, frq, 1/(1+exp(-({_POINT}))) AS p FROM v_scored) SELECT id, printf('%.5f', p) AS score, CASE WHEN p >= 0.5 THEN '[' || array_to_string(list_transform(list_sort("
-    "[{'minus': -3*score_a, 'name': 'score_a'}, {'minus': -2*score_b, 'name': 'score_b'}, {'minus': 41*coalesce(frq, 0e0), 'name': 'frq'}]), lambda s: s.name || printf('=%.2f,', -s.minus)), '') || ']' END AS explanation FROM s",
+    "[{'minus': -3.0017e0*score_a, 'name': 'score_a'}, {'minus': -2*score_b, 'name': 'score_b'}, {'minus': 41*coalesce(frq, 0e0), 'name': 'frq'}]), lambda s: s.name || printf('=%.2f,', -s.minus)), '') || ']' END AS explanation FROM s",
 )
 def score(spark, d):
     """Missing features filled, every row scored, and the rows that reach the threshold explained by their contributions."""
