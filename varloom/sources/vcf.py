@@ -118,7 +118,7 @@ def labelled(rows: DataFrame, key: str, label: Column, genotype: str | None = "1
 def split_alleles(rows: DataFrame) -> DataFrame:
     """One row for each alternative allele. In the samples GT names the row's allele 1 and every other one 0, and AD keeps the
     depths of REF and of the row's allele (missing depths stay as they are); other fields are copied."""
-    many = rows.select("*", F.posexplode("alt").alias("__k", "__alt"), F.size("alt").alias("__n")).withColumn("__k", F.col("__k") + 1)
+    many = rows.select("*", F.size("alt").alias("__n"), F.explode(F.sequence(F.lit(1), F.size("alt"))).alias("__k"))
 
     def value(key: Column, v: Column) -> Column:
         calls = F.transform(F.split(v, "(?=[/|])|(?<=[/|])"), lambda t: F.when(t == F.col("__k").cast("string"), "1").when(t.rlike("^[0-9]+$"), "0").otherwise(t))
@@ -126,7 +126,7 @@ def split_alleles(rows: DataFrame) -> DataFrame:
         return F.when(key == "GT", F.concat_ws("", calls)).when((key == "AD") & (F.size(depths) == F.col("__n") + 1), F.concat_ws(",", F.get(depths, 0), F.get(depths, F.col("__k")))).otherwise(v)
 
     own = F.transform("samples", lambda s: F.concat_ws(":", F.zip_with(F.split("format", ":"), F.split(s, ":"), lambda k, v: F.when(v.isNotNull(), value(k, v)))))
-    parted = many.withColumns({"alt": F.when(F.col("__n") > 1, F.array("__alt")).otherwise(F.col("alt")), "samples": F.when((F.col("__n") > 1) & F.col("format").isNotNull(), own).otherwise(F.col("samples"))})
+    parted = many.withColumns({"alt": F.slice("alt", F.col("__k"), 1), "samples": F.when((F.col("__n") > 1) & F.col("format").isNotNull(), own).otherwise(F.col("samples"))})
     return parted.drop("__k", "__alt", "__n")
 
 
