@@ -17,6 +17,8 @@ ORDER = 3
 ASCII_LETTER = re.compile("[A-Za-z]")
 #: What stands before a text, as context only.
 LEAD = b" " * ORDER
+#: Sampled ids that may be broadcast; more are joined.
+BROADCAST_IDS = 1_000_000
 #: Bytes taken at a time, so that a very long text needs bounded memory.
 BLOCK = 1 << 20
 
@@ -163,7 +165,9 @@ def fit(docs: DataFrame, per_language: int = 300, table_mb: int = 64, id_col: st
     table_mb can serve, so many languages make several models, each of bounded size; predict() asks them all.
     """
     labelled = docs.where(F.col("lang").isNotNull() & F.col(id_col).isNotNull() & (remainder(F.col(id_col), 5) != 0)).select(F.col(id_col).alias("id"), "lang")
-    chosen = first_by_hash(labelled.distinct(), "lang", "id", per_language)
+    chosen = written(first_by_hash(labelled.distinct(), "lang", "id", per_language), "lang-chosen")
+    # At most per_language ids a language; counted before they are sent to the scan of the texts.
+    chosen = F.broadcast(chosen) if chosen.count() <= BROADCAST_IDS else chosen
     sample = written(docs.select(F.col(id_col).alias("id"), "lang", F.col(text_col).alias("text")).join(chosen, ["id", "lang"], "left_semi"), "lang-sample")
     counts = written(count_contexts(sample), "lang-contexts")
     sizes = {r["lang"]: r["n"] for r in counts.where(F.col("depth") == ORDER).groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
