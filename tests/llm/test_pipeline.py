@@ -221,6 +221,18 @@ def test_sql_queries(spark):
         assert sorted(map(str, (tuple(r[n] for n in names) for r in got.collect()))) == sorted(map(str, want.fetchall())), name
 
 
+def test_shingle_sets_equal_the_sketched_ones(spark, odd):
+    """The sets that are compared and those that are sketched have the same sizes and overlaps."""
+    from varloom.llm import near_copies
+
+    texts = [r["text"] for r in odd.collect()] + ["a b c d", "a b c d e", "A b c d e a b c d e", "x\x0by\x0cz q r s", "é É ß a b c"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", near_copies.shingle_set(F.col("t"), 5).alias("s")).collect()
+    native, own = {r["i"]: set(r["s"]) for r in rows}, {i: set(near_copies.shingles(t).tolist()) for i, t in enumerate(texts)}
+    for i in own:
+        for j in own:
+            assert len(native[i] & native[j]) == len(own[i] & own[j]), (texts[i], texts[j])
+
+
 def test_near_copies_leave_by_similarity(spark, odd, none):
     """Groups of the near-copy stage are those of brute-force Jaccard >= 0.8 over five words."""
     rng = random.Random(3)

@@ -57,6 +57,13 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
 
 
+def shingle_hashes(words: Column, size: int) -> Column:
+    """The hash of the `size` words from each place on, from those of its words; the last size - 1 places hold no shingle."""
+    each = lambda v: F.transform(v, lambda x, i: F.xxhash64(x, *[F.get(v, i + j) for j in range(1, size)]))
+    # An array of one, so that the words are hashed once however the expression is moved.
+    return F.get(F.transform(F.array(F.transform(words, lambda x: F.xxhash64(x))), each), 0)
+
+
 def first_by_hash(df: DataFrame, key: str, id_col: str, n: int) -> DataFrame:
     """At most n rows per value of column key, those with the smallest xxhash64 of their id: a bounded sample that does not
     depend on the partitioning. ids must be distinct within a key.

@@ -8,7 +8,7 @@ from math import comb
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from varloom.llm.common import written
+from varloom.llm.common import shingle_hashes, written
 from varloom.llm.license_texts import TEMPLATES
 
 WORDS = 5
@@ -21,13 +21,6 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
-def shingle_hashes(words: Column) -> Column:
-    """The hash of each shingle from those of its five words; the last four places hold no shingle."""
-    each = lambda v: F.transform(v, lambda x, i: F.xxhash64(x, *[F.get(v, i + j) for j in range(1, WORDS)]))
-    # An array of one, so that the words are hashed once however the expression is moved.
-    return F.get(F.transform(F.array(F.transform(words, lambda x: F.xxhash64(x))), each), 0)
-
-
 def sketch_size(width: int, shingles: int, containment: float = 0.8, miss: float = 0.001) -> int:
     """How many smallest hashes a window must keep, so that a window that holds `containment` of a template of that many
     shingles has one of them in common with the template's own but for a chance of `miss`. Each kept hash is a band of one
@@ -93,9 +86,9 @@ def scan(
     sought = [r["band"] for r in bands.select("band").distinct().collect()]  # constants of the call: k hashes a template at most
 
     text = F.coalesce(F.col(text_col), F.lit(""))
-    held = docs.select(F.col(id_col).alias("id"), text.alias("text")).where(F.exists(shingle_hashes(words_of(F.col("text"))), lambda x: x.isin(sought)))
+    held = docs.select(F.col(id_col).alias("id"), text.alias("text")).where(F.exists(shingle_hashes(words_of(F.col("text")), WORDS), lambda x: x.isin(sought)))
     held = written(held, "licence-texts").withColumn("w", words_of(F.col("text")))
-    hashed = held.select("id", "w", shingle_hashes(F.col("w")).alias("h"), F.greatest(F.lit(0), F.size("w") - (WORDS - 1)).alias("n"))
+    hashed = held.select("id", "w", shingle_hashes(F.col("w"), WORDS).alias("h"), F.greatest(F.lit(0), F.size("w") - (WORDS - 1)).alias("n"))
     found = None
     for width in sorted({r[1] for r in rows}):
         starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("n") - 1 - F.lit(width)), F.lit(width))
