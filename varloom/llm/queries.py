@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varloom.llm import exact_dedup, language_id, license_scan, lm_scoring, mixing, near_vectors, packing, simhash, token_counts, toxicity
+from varloom.llm import centroids, exact_dedup, language_id, license_scan, lm_scoring, mixing, near_vectors, packing, simhash, token_counts, toxicity, vector_codes
 from varloom.llm.common import read_table, remainder, shared_dir
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -93,6 +93,61 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "template", F.round("containment", 6).alias("containment"), "first_word", "windows")
 
 
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(read_table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(read_table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+def _whole_vectors(scale: int, more: str) -> str:
+    """(vec_id, label, x): the usable vectors of embeddings as scaled integers."""
+    x = f"list_transform(embedding, lambda v: floor({scale} * v::DOUBLE)::BIGINT)"
+    return f"SELECT vec_id, label, {x} AS x FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0{more}"
+
+
+def _centroids_sql(rounds: int = 3) -> str:
+    """Each round over component rows: distances by differences, no bit planes."""
+    ctes = [
+        f"k AS MATERIALIZED ({_whole_vectors(64, ' AND len(embedding) = 64')})",
+        "e AS MATERIALIZED (SELECT vec_id, unnest(range(1, 65)) AS d, unnest(x) AS v FROM k)",
+        "c0 AS MATERIALIZED (SELECT r - 1 AS c, unnest(range(1, 65)) AS d, unnest(x) AS v FROM (SELECT x, row_number() OVER (ORDER BY sha256('1:' || vec_id)) AS r FROM k) WHERE r <= 16)",
+    ]
+    for n in range(rounds + 1):
+        ctes.append(f"a{n} AS MATERIALIZED (SELECT vec_id, min({{'s': s, 'c': c}}) AS best FROM (SELECT vec_id, c, sum((e.v - c{n}.v) * (e.v - c{n}.v)) AS s FROM e JOIN c{n} USING (d) GROUP BY vec_id, c) GROUP BY vec_id)")
+        if n < rounds:
+            mean = f"SELECT best.c AS c, d, floor(sum(v) / count(*))::BIGINT AS v FROM e JOIN a{n} USING (vec_id) GROUP BY 1, 2"
+            ctes.append(f"c{n + 1} AS MATERIALIZED (SELECT c{n}.c, c{n}.d, coalesce(m.v, c{n}.v) AS v FROM c{n} LEFT JOIN ({mean}) m USING (c, d))")
+    return f"""
+        WITH {", ".join(ctes)},
+        f AS (SELECT vec_id, best.c::INTEGER AS cluster, best.s::BIGINT AS distance FROM a{rounds}),
+        h AS (SELECT c, sha256(string_agg(v::VARCHAR, ',' ORDER BY d)) AS centroid_sha256 FROM c{rounds} GROUP BY c)
+        SELECT vec_id, cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia, centroid_sha256
+        FROM f JOIN h ON cluster = c
+    """
+
+
+def _codes_sql(rounds: int = 6) -> str:
+    """Each round over component rows: distances by differences, no dictionaries."""
+    ctes = [
+        f"k AS MATERIALIZED ({_whole_vectors(4096, '')})",
+        "e AS MATERIALIZED (SELECT vec_id, unnest(range(0, len(x))) AS d, unnest(x) AS v, len(x) // 8 AS w FROM k)",
+        "c0 AS MATERIALIZED (SELECT r - 1 AS c, unnest(range(0, len(x))) AS d, unnest(x) AS v FROM (SELECT x, row_number() OVER (ORDER BY vec_id) AS r FROM k) WHERE r <= 16)",
+    ]
+    for n in range(rounds + 1):
+        ctes.append(f"a{n} AS MATERIALIZED (SELECT vec_id, p, min({{'s': s, 'c': c}}) AS best FROM (SELECT vec_id, d // w AS p, c, sum((e.v - c{n}.v) * (e.v - c{n}.v)) AS s FROM e JOIN c{n} USING (d) GROUP BY vec_id, p, c) GROUP BY vec_id, p)")
+        if n < rounds:
+            mean = f"SELECT best.c AS c, d, floor(sum(v) / count(*))::BIGINT AS v FROM e JOIN a{n} ON e.vec_id = a{n}.vec_id AND d // w = p GROUP BY 1, 2"
+            ctes.append(f"c{n + 1} AS MATERIALIZED (SELECT c{n}.c, c{n}.d, coalesce(m.v, c{n}.v) AS v FROM c{n} LEFT JOIN ({mean}) m USING (c, d))")
+    return f"""
+        WITH {", ".join(ctes)},
+        f AS (SELECT vec_id, string_agg(printf('%02x', best.c), '' ORDER BY p) AS code, sum(best.s)::BIGINT AS error FROM a{rounds} GROUP BY vec_id),
+        h AS (SELECT sha256(string_agg(v::VARCHAR, ',' ORDER BY d // (SELECT max(w) FROM e), c, d)) AS codebooks_sha256 FROM c{rounds})
+        SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM f JOIN k USING (vec_id), h
+    """
+
+
 def _license_sql() -> str:
     """Every template against every text, shingle by shingle: no bands."""
     values = ", ".join(f"('{name}', '{' '.join(license_scan.template_words(text))}', {license_scan.window_width(text)})" for name, text in license_scan.TEMPLATES)
@@ -131,6 +186,8 @@ QUERIES = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_simhash": op9_simhash,
     "op10_license_scan": op10_license_scan,
+    "op12_centroids": op12_centroids,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 ORACLE_SQL = {
@@ -140,4 +197,6 @@ ORACLE_SQL = {
         FROM d WINDOW g AS (PARTITION BY content)
     """,
     "op10_license_scan": _license_sql(),
+    "op12_centroids": _centroids_sql(),
+    "op13_vector_codes": _codes_sql(),
 }
