@@ -135,7 +135,7 @@ def cluster(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     """
     kept = vectors.where((F.size(F.col(vec_col)) == dims) & whole(F.col(vec_col)))
     name = F.sha2(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")).cast("binary"), 256)
-    centroids = first_vectors(kept, [name], clusters, id_col, vec_col, scale).reshape(-1, dims)
+    centroids = first_vectors(kept, [name], clusters, id_col, vec_col, dims, scale)
     packed = written(planes_of(kept, id_col, vec_col, dims, scale), "bit-planes")
     for _ in range(rounds if len(centroids) else 0):
         for (at,), (_, mean) in moved(_sums(packed, centroids), ["cluster"], dims).items():

@@ -24,11 +24,11 @@ def scaled(lists: pa.Array, dims: int, scale: int) -> np.ndarray:
     return x.astype(np.int64)
 
 
-def first_vectors(vectors: DataFrame, order: list[Column], n: int, id_col: str, vec_col: str, scale: int) -> np.ndarray:
+def first_vectors(vectors: DataFrame, order: list[Column], n: int, id_col: str, vec_col: str, dims: int, scale: int) -> np.ndarray:
     """The first n vectors in the given order as long integers; rows with a NULL id come last, ties go by their components."""
     x = F.transform(F.col(vec_col), lambda v: F.floor(v.cast("double") * scale))
     held = vectors.orderBy(F.col(id_col).isNull(), *order, x).limit(n).select(x.alias("x")).collect()
-    return np.array([r["x"] for r in held], np.int64)
+    return np.array([r["x"] for r in held], np.int64).reshape(len(held), dims)
 
 
 def moved(sums: DataFrame, keys: list[str], dims: int) -> dict[tuple, tuple[int, list[int]]]:

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varloom.llm import centroids, exact_dedup, language_id, license_scan, lm_scoring, mixing, near_vectors, packing, simhash, token_counts, toxicity, vector_codes
+from varloom.llm import centroids, exact_dedup, language_id, license_scan, lm_scoring, mixing, near_vectors, packing, repeats, simhash, token_counts, toxicity, vector_codes
 from varloom.llm.common import read_table, remainder, shared_dir
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -93,6 +93,11 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "template", F.round("containment", 6).alias("containment"), "first_word", "windows")
 
 
+def op11_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = repeats.remove_repeats(read_table(spark, sf_dir, "documents"))
+    return left.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(read_table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
 
@@ -186,6 +191,7 @@ QUERIES = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_simhash": op9_simhash,
     "op10_license_scan": op10_license_scan,
+    "op11_repeats": op11_repeats,
     "op12_centroids": op12_centroids,
     "op13_vector_codes": op13_vector_codes,
 }

@@ -161,7 +161,7 @@ def compress(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddi
         if dims % parts:
             coded.append(mine.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.lit(None).cast("string").alias("code"), F.lit(None).cast("long").alias("error"), F.lit(None).cast("string").alias("codebooks_sha256")))
             continue
-        books = first_vectors(mine, [F.col(id_col)], entries, id_col, vec_col, scale).reshape(-1, dims)
+        books = first_vectors(mine, [F.col(id_col)], entries, id_col, vec_col, dims, scale)
         blocks, cuts = written(blocks_of(mine, id_col, vec_col, label_col, dims, scale), "code-blocks"), part_ranges(dims, parts)
         for _ in range(rounds):
             for (p, k), (_, mean) in moved(_sums(blocks, books, cuts), ["part", "entry"], dims // parts).items():
