@@ -161,7 +161,7 @@ def brute_codes(rows, parts=8):
             out += [(str(i), label, None, None, None) for i, label, _ in mine]
             continue
         x, w = np.array([r[2] for r in mine]).reshape(len(mine), dims), dims // parts
-        c = np.array([r[2] for r in sorted(mine, key=lambda r: (r[0] is None, r[0] or 0, r[2].tolist()))[:16]]).reshape(-1, dims)
+        c = np.array([r[2] for r in sorted(mine, key=lambda r: (r[0] is None, r[0] or 0, r[2].tolist()))[:16]]).reshape(min(16, len(mine)), dims)
         for n in range(7):
             best, error = [], 0
             for p in range(parts):

@@ -26,7 +26,7 @@ from varloom.operators.base import numbered
 #: Length of a repeated string, of the strings whose smallest hash is the key, and of the longest run of starts (in strings).
 WINDOW, K, LONGEST = 100, 32, 256
 #: Bytes of text that are hashed in step, bytes of runs in a bucket, shards of a bucket, and bytes of runs from which a key is split by whole strings.
-STEP, BUCKET, SHARDS, HEAVY = 1 << 20, 1 << 20, 4, 1 << 21
+STEP, BUCKET, SHARDS, HEAVY = 1 << 20, 1 << 18, 2, 1 << 21
 
 _MIX = np.random.default_rng(11).integers(0, 2**63, K // 8 + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _RUN = "key long, d0 long, d1 long, doc long, start long, n int, again boolean"
@@ -175,10 +175,14 @@ def transform(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.array([len(t) + 1 for t in texts], np.int64)
     ends = np.cumsum(sizes) - 1
     joined = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
-    rank = joined.astype(np.int64) + len(texts)
-    rank[ends] = np.arange(len(texts))
-    total, span = len(joined), 1
-    order = np.argsort(rank, kind="stable")
+    symbol = joined.astype(np.int64) + len(texts)
+    symbol[ends] = np.arange(len(texts))
+    total, bits = len(joined), (len(texts) + 255).bit_length()
+    rank, span = symbol.copy(), 62 // bits
+    for n in range(1, span):  # as many symbols as fit are compared at once, then twice as many each time
+        rank = rank << bits
+        rank[: total - n] |= symbol[n:]
+    order = np.argsort(rank)
     while True:
         ranked = rank[order]
         new = np.concatenate([[0], np.cumsum(ranked[1:] != ranked[:-1])])
@@ -189,7 +193,7 @@ def transform(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         ahead = np.zeros(total, np.int64)
         ahead[: total - span] = rank[span:] + 1  # past an end mark nothing is compared any more, as marks differ
         rank = rank * (total + 1) + ahead
-        order = np.argsort(rank, kind="stable")
+        order = np.argsort(rank)
         span *= 2
     begins = rank[np.concatenate([[0], ends[:-1] + 1])]
     last = joined[order - 1].copy()
@@ -220,9 +224,11 @@ def places(back: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return text, offset
 
 
-def merge(transforms: list[tuple[np.ndarray, np.ndarray]], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def merge(transforms: list[tuple[np.ndarray, np.ndarray]], depth: int, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rows, intervals, common) of the merged transforms; rows are numbered through all transforms, one after the other.
 
+    The interleave begins with all rows, or with those of start, which then gives the rows `depth` bytes before them (and no common prefixes).
+
     The interleave starts as one transform after the other. Each refinement sorts it, stably, by the last column, which makes it right for one more
     leading byte: the rows of each transform keep their order, no suffix is compared or sorted again. Where neighbours differ, an interval
     ends; a row alone in its interval has its longest common prefix and is left out from then on, as all that starts before it
@@ -230,19 +236,23 @@ def merge(transforms: list[tuple[np.ndarray, np.ndarray]], depth: int) -> tuple[
     longest common prefix with any other row, up to `depth`.
     """
     bases = np.cumsum([0] + [len(last) for last, _ in transforms])
-    back = np.concatenate([np.where((to := steps_back(*t)) >= 0, to + base, -1) for t, base in zip(transforms, bases[:-1], strict=True)])
+    back = np.concatenate([np.where((to := steps_back(*t)) >= 0, to + base, -1) for t, base in zip(transforms, bases[:-1], strict=True)]).astype(np.int32)
     symbol = np.concatenate([last for last, _ in transforms])
     common = np.zeros(bases[-1], np.int64)
-    rows, interval = np.arange(bases[-1]), np.zeros(bases[-1], np.int64)
+    rows = np.arange(bases[-1], dtype=np.int32) if start is None else start.astype(np.int32)
+    interval = np.zeros(len(rows), np.int32)
     for n in range(1, depth + 1):
-        before = back[rows] >= 0
-        rows, interval = rows[before], interval[before]
-        by = np.argsort(symbol[rows], kind="stable")
-        byte, interval, rows = symbol[rows][by], interval[by], back[rows][by]
+        to = back[rows]
+        if (to < 0).any():
+            before = to >= 0
+            rows, interval, to = rows[before], interval[before], to[before]
+        byte = symbol[rows]
+        by = np.argsort(byte, kind="stable")
+        byte, interval, rows = byte[by], interval[by], to[by]
         ends = np.ones(len(rows) + 1, bool)
         ends[1:-1] = (byte[1:] != byte[:-1]) | (interval[1:] != interval[:-1])
         shared = ~(ends[:-1] & ends[1:])
-        rows, interval = rows[shared], np.cumsum(ends[:-1])[shared]
+        rows, interval = rows[shared], np.cumsum(ends[:-1], dtype=np.int32)[shared]
         common[rows] = n
         if not len(rows):
             break
@@ -251,15 +261,16 @@ def merge(transforms: list[tuple[np.ndarray, np.ndarray]], depth: int) -> tuple[
 
 def repeated_starts(shards: list[dict], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(doc, start, n): the runs of starts in the shards' runs whose string of `window` bytes also starts earlier in one of them."""
-    rows, interval, _ = merge([(s["last"], s["begins"]) for s in shards], window)
-    if not len(rows):
-        return (np.empty(0, np.int64),) * 3
-    doc, start = [], []
+    doc, start, inside = [], [], []
     for s in shards:
         text, offset = places(steps_back(s["last"], s["begins"]), s["lengths"])
         doc.append(s["doc"][text])
         start.append(s["start"][text] + offset)
+        inside.append(offset >= window)  # from elsewhere no whole string lies before
+    rows, interval, _ = merge([(s["last"], s["begins"]) for s in shards], window, np.flatnonzero(np.concatenate(inside)))
     doc, start = np.concatenate(doc)[rows], np.concatenate(start)[rows]
+    if not len(rows):
+        return doc, start, start
     order = np.lexsort([start, doc, interval])
     late = np.concatenate([[False], interval[order][1:] == interval[order][:-1]])
     # The same start may stand in two runs; it is no repeat of itself.
