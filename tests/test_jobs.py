@@ -13,7 +13,7 @@ from varloom.operators import profiles as O
 from varloom.sources import tables, vcf
 
 HEAD = [
-    "##fileformat=VCFv4.2", "##contig=<ID=1>", '##INFO=<ID=Frq,Number=1,Type=Float,Description="f">', '##INFO=<ID=CLNSIG,Number=.,Type=String,Description="c">',
+    "##fileformat=VCFv4.2", "##contig=<ID=1>", "##contig=<ID=2,length=9>", '##INFO=<ID=Frq,Number=1,Type=Float,Description="f">', '##INFO=<ID=CLNSIG,Number=.,Type=String,Description="c">',
     '##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">', "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tS1",
 ]
 BODY = [
@@ -46,7 +46,7 @@ def test_scores_and_explanations_are_added_alone(spark, source, tmp_path):
     jobs.predict_on_vcf(spark, source, str(tmp_path / "out"), unsure + frq, {"frq": frq, "base": unsure}, blank_uncertain="CLNSIG")
     got = text_of(tmp_path / "out")
     new = [x for x in got if x not in HEAD and x.startswith("##")]
-    assert [x.split(",")[0] for x in new] == ["##INFO=<ID=Score", "##INFO=<ID=ScoreExplanation"] and got.index(new[0]) == 5
+    assert [x.split(",")[0] for x in new] == ["##INFO=<ID=Score", "##INFO=<ID=ScoreExplanation"] and got.index(new[0]) == 6
     added = [";Score=0.40000", ";Score=0.65000;ScoreExplanation=[base=0.40,frq=0.25,]", ";Score=0.90000;ScoreExplanation=[frq=0.50,base=0.40,]", ";Score=0.00000"]
     want = ["\t".join([*line.split("\t")[:7], line.split("\t")[7] + a, *line.split("\t")[8:]]) for line, a in zip(BODY, added, strict=True)]
     assert got[-4:] == want
@@ -69,7 +69,7 @@ def test_concat_and_csv(spark, source, tmp_path):
     jobs.concat_vcfs(spark, [source, str(other)], str(tmp_path / "all"))
     got = text_of(tmp_path / "all")
     assert got[: len(HEAD)] == HEAD and [x.split("\t")[2] for x in got[len(HEAD) :]] == ["a", "d", "c", "b", "."]
-    other.write_text("\n".join([HEAD[2].replace("Float", "String"), HEAD[-1]]) + "\n")
+    other.write_text("\n".join([HEAD[3].replace("Float", "String"), HEAD[-1]]) + "\n")
     with pytest.raises(ValueError, match="Frq"):
         jobs.concat_vcfs(spark, [source, str(other)], str(tmp_path / "none"))
     jobs.vcf_to_csv(spark, [source], str(tmp_path / "csv"))
@@ -80,7 +80,7 @@ def test_concat_and_csv(spark, source, tmp_path):
 
 
 def test_compile_labels_splits_and_reads_back(spark, source, tmp_path):
-    got = jobs.compile_vcf(spark, [source], str(tmp_path / "set"), {"CLNSIG": "BOTH"}, test_ratio=0.34)
+    got = jobs.compile_vcf(spark, [source], str(tmp_path / "set"), {"CLNSIG": "BOTH"}, test_ratio=0.34, clinical="CLNSIG")
     rows = {r["id"]: r for r in got.collect()}
     assert {i: r["label"] for i, r in rows.items()} == {"a": 1.0, "b": 0.0, "c": 0.0} and dict(got.dtypes)["Frq"] == "double"
     assert sorted(r["set"] for r in rows.values()) == ["test", "test", "train"]
@@ -103,7 +103,108 @@ def test_ranked_views(spark, source, tmp_path):
 def test_labelled_files(spark, source, tmp_path, kind, last):
     jobs.label_vcf(spark, source, str(tmp_path / "l"), kind, "benign")
     got = text_of(tmp_path / "l")
-    assert got[:2] == HEAD[:2] and got[-len(last) :] == last and sum(x.startswith("#CHROM") for x in got) == 1
+    assert got[:3] == HEAD[:3] and got[-len(last) :] == last and sum(x.startswith("#CHROM") for x in got) == 1
+
+
+def test_concat_keeps_the_order_of_the_contigs(spark, tmp_path):
+    """chr2 before chr10 before chrX, whatever the texts' order; a contig that no header names is an error; headers without contigs go by first mention."""
+    names = ["chr1", "chr2", "chr10", "chrX", "chrM"]
+    head = ["##fileformat=VCFv4.2", *[f"##contig=<ID={c},length=100>" for c in names], HEAD[-1].rsplit("\t", 2)[0]]
+    row = lambda c, p, i: f"{c}\t{p}\t{i}\tA\tC\t.\t.\tDB"
+    (tmp_path / "a.vcf").write_text("\n".join([*head, row("chr10", 5, "a1"), row("chrX", 1, "a2"), row("chr2", 7, "a3"), row("chr2", 30, "a4")]) + "\n")
+    (tmp_path / "b.vcf").write_text("\n".join([*head, row("chrM", 1, "b1"), row("chr2", 7, "b2"), row("chr1", 9, "b3"), row("chr10", 4, "b4")]) + "\n")
+    paths = [str(tmp_path / "a.vcf"), str(tmp_path / "b.vcf")]
+    jobs.concat_vcfs(spark, paths, str(tmp_path / "all"))
+    got = text_of(tmp_path / "all")
+    assert got[: len(head)] == head and [x.split("\t")[2] for x in got[len(head) :]] == ["b3", "a3", "b2", "a4", "b4", "a1", "a2", "b1"]
+    (tmp_path / "c.vcf").write_text("\n".join([*head, row("chrUn", 1, "c1")]) + "\n")
+    with pytest.raises(Exception, match="no header names: chrUn"):
+        jobs.concat_vcfs(spark, [str(tmp_path / "c.vcf")], str(tmp_path / "none"))
+    (tmp_path / "d.vcf").write_text("\n".join([head[0], head[-1], row("z", 2, "d1"), row("y", 1, "d2"), row("z", 1, "d3")]) + "\n")
+    jobs.concat_vcfs(spark, [str(tmp_path / "d.vcf")], str(tmp_path / "plain"))
+    assert [x.split("\t")[2] for x in text_of(tmp_path / "plain")[2:]] == ["d3", "d1", "d2"]
+
+
+CSQ = '##INFO=<ID=CSQ,Number=.,Type=String,Description="Consequence annotations. Format: Allele|Consequence|SIFT|REVEL_score|GERP++_RS|CLINVAR_CLNSIG">'
+
+
+def test_compile_expands_transcripts(spark, tmp_path):
+    """Records with 0 to 4 transcripts: the most severe one's fields become typed columns; clinical keywords mask by their own key alone."""
+    info = [
+        "CLINVAR_GROUND_TRUTH=Benign", "CLINVAR_GROUND_TRUTH=Pathogenic;CSQ=T|intron_variant|low|0.1|-3.5|", "GIAB_GROUND_TRUTH=benign;CSQ=T|intron_variant|low|0.1||other,T|stop_gained&splice_region_variant|deleterious|0.9|4.25|uncertain",
+        "MUTACC_GROUND_TRUTH=pathogenic;CSQ=A|missense_variant|a|0.3|1|,B|missense_variant|b|0.4|2|,C|synonymous_variant|c|0.5|3|", "CLINVAR_GROUND_TRUTH=Uncertain_significance;CSQ=T|start_lost|x|1|1|",
+        "GIAB_GROUND_TRUTH=benign;CSQ=" + ",".join(f"T|{c}|{c[:3]}|{i}||" for i, c in enumerate(("intron_variant", "5_prime_UTR_variant", "frameshift_variant", "stop_lost"))),
+    ]
+    body = [f"1\t{10 + i}\tv{i}\tA\tC\t.\t.\t{x}" for i, x in enumerate(info)]
+    (tmp_path / "t.vcf").write_text("\n".join([HEAD[0], HEAD[1], CSQ, HEAD[-1].rsplit("\t", 2)[0], *body]) + "\n")
+    origin = {"CLINVAR_GROUND_TRUTH": "BOTH", "GIAB_GROUND_TRUTH": "TRAIN", "MUTACC_GROUND_TRUTH": "TRAIN"}
+    got = jobs.compile_vcf(spark, [str(tmp_path / "t.vcf")], str(tmp_path / "set"), origin)
+    rows = {r["id"]: r.asDict() for r in got.collect()}
+    assert set(rows) == {"v0", "v1", "v2", "v3", "v5"} and "CSQ" not in got.columns and not any("GROUND_TRUTH" in c for c in got.columns)
+    names = ("CSQ_Consequence", "CSQ_SIFT", "CSQ_REVEL_score", "CSQ_GERP++_RS", "CSQ_CLINVAR_CLNSIG", "label")
+    want = {
+        "v0": (None, None, None, None, None, 0.0), "v1": ("intron_variant", "low", 0.1, -3.5, "", 1.0), "v2": ("stop_gained&splice_region_variant", "deleterious", 0.9, 4.25, "uncertain", 0.0),
+        "v3": ("missense_variant", "a", 0.3, 1.0, "", 1.0), "v5": ("frameshift_variant", "fra", 2.0, None, "", 0.0),
+    }
+    assert {i: tuple(r[n] for n in names) for i, r in rows.items()} == want
+    kinds = tables.read_types(spark, str(tmp_path / "set"))
+    assert kinds["CSQ_REVEL_score"] == kinds["CSQ_GERP++_RS"] == "double" and kinds["CSQ_SIFT"] == "string"
+    assert sum(r["set"] == "test" for r in rows.values()) == 2, "a quarter of five rows, from those of either set"
+    (tmp_path / "u.vcf").write_text("\n".join([CSQ, HEAD[-1], "1\t1\tx\tA\tC\t.\t.\tGIAB_GROUND_TRUTH=affects"]) + "\n")
+    with pytest.raises(Exception, match="unknown label affects"):
+        jobs.compile_vcf(spark, [str(tmp_path / "u.vcf")], str(tmp_path / "bad"), origin)
+    (tmp_path / "w.vcf").write_text("\n".join([CSQ, HEAD[-1], "1\t1\tx\tA\tC\t.\t.\tGIAB_GROUND_TRUTH=benign;CSQ=T|intron_variant"]) + "\n")
+    with pytest.raises(Exception, match="wrong number of fields"):
+        jobs.compile_vcf(spark, [str(tmp_path / "w.vcf")], str(tmp_path / "worse"), origin)
+
+
+def test_train_save_load_and_predict(spark, tmp_path):
+    """A model fitted on a compiled set's train group, loaded by another job: held-out rows right, file unchanged but for the score, renamed and uncertain keys."""
+    import random
+
+    rng = random.Random(4)
+    body = []
+    for i in range(240):
+        bad = i % 3 == 0
+        sift, revel = ("deleterious", rng.uniform(0.5, 1)) if bad else ("tolerated", rng.uniform(0, 0.5))
+        body.append(f"1\t{100 + i}\tv{i}\tA\tC\t.\t.\tGIAB_GROUND_TRUTH={'pathogenic' if bad else 'benign'};Frq={0.0 if bad else rng.random():.3f};CSQ=T|{'stop_gained' if bad else 'intron_variant'}|{sift}|{revel:.3f}|{rng.uniform(-1, 1):.2f}|")
+    head = [HEAD[0], HEAD[1], CSQ, HEAD[-1].rsplit("\t", 2)[0]]
+    (tmp_path / "t.vcf").write_text("\n".join([*head, *body]) + "\n")
+    jobs.compile_vcf(spark, [str(tmp_path / "t.vcf")], str(tmp_path / "set"), {"GIAB_GROUND_TRUTH": "BOTH"})
+    told = {r["set"]: r for r in jobs.train_on_set(spark, str(tmp_path / "set"), str(tmp_path / "model"), ["CSQ_SIFT", "CSQ_CLINVAR_CLNSIG"], ["CSQ_REVEL_score", "CSQ_GERP++_RS", "Frq"]).collect()}
+    assert told["test"]["tp"] + told["test"]["tn"] == 60 and told["test"]["mcc"] == 1.0
+    asked = [
+        "1\t1\ta\tA\tC\t.\t.\tFrq=0.0;CSQ=T|stop_gained|deleterious|0.95|0.1|", "1\t2\tb\tA\tC\t7.0\tPASS\tFrq=0.9;DB;CSQ=T|intron_variant|tolerated|0.1|0.1|", "1\t3\tc\tA\tC\t.\t.\tDB",
+        "1\t4\td\tA\tC\t.\t.\tOther=0.9;Frq=0.0;CSQ=T|intron_variant|tolerated|0.1|0.1|Uncertain_significance",
+    ]
+    (tmp_path / "p.vcf").write_text("\n".join([*head, *asked]) + "\n")
+    assert jobs.main(["predict-on-vcf", str(tmp_path / "p.vcf"), str(tmp_path / "out"), str(tmp_path / "model")]) == 0
+    got = text_of(tmp_path / "out")
+    assert [x for x in got if x.startswith("#") and "Score" not in x] == head
+    rows = [x for x in got if not x.startswith("#")]
+    assert [x.split(";Score=")[0] for x in rows] == asked
+    score = [float(x.split(";Score=")[1].split(";")[0]) for x in rows]
+    assert score[0] > 0.95 and score[1] < 0.05 and "ScoreExplanation" not in rows[1]
+    parts = dict(p.split("=") for p in rows[0].split("ScoreExplanation=[")[1].rstrip(",]").split(","))
+    assert list(map(float, parts.values())) == sorted(map(float, parts.values()), reverse=True) and set(parts) == {"CSQ_SIFT", "CSQ_CLINVAR_CLNSIG", "CSQ_REVEL_score", "CSQ_GERP++_RS", "Frq"}
+    jobs.predict_with_model(spark, str(tmp_path / "p.vcf"), str(tmp_path / "other"), str(tmp_path / "model"), rename="Frq:Other")
+    other = [x for x in text_of(tmp_path / "other") if not x.startswith("#")]
+    assert float(other[3].split(";Score=")[1].split(";")[0]) < score[3], "the frequency was read from the other key"
+    with pytest.raises(ValueError, match="not a feature"):
+        jobs.predict_with_model(spark, str(tmp_path / "p.vcf"), str(tmp_path / "no"), str(tmp_path / "model"), rename="Nothing:Other")
+
+
+def test_ranked_files_by_case(spark, source, tmp_path):
+    other = tmp_path / "case2_x.vcf"
+    other.write_text("\n".join([*HEAD[:4], "##source=other", *HEAD[4:], "1\t20\td\tA\tT\t.\t.\tFrq=0.1\tGT\t0/1", "1\t21\ta\tA\tT\t.\t.\tFrq=0.7\tGT\t0/1", "1\t22\tf\tA\tT\t.\t.\tDB\tGT\t0/1"]) + "\n")
+    jobs.view_ranked_vcf(spark, [source, str(other)], ["a", "b"], ["Frq"], str(tmp_path / "v"), top=2)
+    ids = lambda folder: [x.split("\t")[2] for x in text_of(folder) if not x.startswith("#")]
+    assert [x for x in text_of(tmp_path / "v/Frq-vcf/case_name=case1") if x.startswith("#")] == HEAD
+    assert "##source=other" in text_of(tmp_path / "v/Frq-vcf/case_name=case2")
+    assert ids(tmp_path / "v/Frq-vcf/case_name=case1") == ["b", "a"] and ids(tmp_path / "v/Frq-vcf/case_name=case2") == ["a", "d"]
+    assert ids(tmp_path / "v/causative/case_name=case1") == ["a", "b"] and ids(tmp_path / "v/causative/case_name=case2") == ["a"]
+    lines = [x for x in text_of(tmp_path / "v/causative/case_name=case1") if not x.startswith("#")]
+    assert lines == [BODY[1], BODY[2]]
 
 
 def test_checksums(spark, tmp_path):

@@ -76,7 +76,7 @@ def test_gate_keeps_its_bounds_and_finds_the_scores_order(spark):
     turned, _ = fit_gate(rows.withColumn("y", 1 - F.col("y")), "s", "y", "w")
     assert turned.coefficients[0] >= 0 and turned.intercept <= 0, "a falling score gets no negative slope"
     got = QUERIES["m05_fit_gate"](spark, SF)
-    assert got.columns == ["id", "class"] and got.count() == spark.read.parquet(f"{SF}/events.parquet").count()
+    assert got.columns == ["id", "class", "held_out"] and got.count() == spark.read.parquet(f"{SF}/events.parquet").count()
 
 
 def test_classifier_on_rows_it_has_not_seen(spark):

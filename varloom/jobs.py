@@ -13,51 +13,109 @@ from pyspark.sql import functions as F
 
 from varloom.functions import metrics as M
 from varloom.functions import parsing as P
+from varloom.operators import attribution as S
 from varloom.operators import joins as J
+from varloom.operators import modelling as C
 from varloom.operators import profiles as O
 from varloom.operators import ranking as R
 from varloom.operators import thresholds as T
-from varloom.operators.base import numbered
+from varloom.operators.base import numbered, settled
 from varloom.operators.splits import split_by_source
 from varloom.sources import tables, vcf
 
 
 def concat_vcfs(spark: SparkSession, inputs: list[str], out: str) -> None:
-    """Sorted concatenation of files that may overlap, duplicates kept, under the header of the first. A missing input is an error,
-    as are headers that define an id differently."""
+    """Concatenation of files that may overlap, duplicates kept, in the order of the headers' contigs and of positions, under the header of the first.
+
+    A missing input is an error, as are headers that define an id differently and records on a contig that no header names.
+    """
     text = vcf.lines(spark, inputs)
     if conflicts := [r["id"] for r in vcf.header_conflicts(vcf.header(text)).limit(20).collect()]:
         raise ValueError(f"the inputs define differently: {', '.join(conflicts)}")
-    head = vcf.lines(spark, inputs[0]).where(F.col("value").startswith("#")).select("value", F.lit("").alias("chrom"), F.lit(-1).cast("long").alias("pos"), "at")
     parts = F.split("value", "\t")
     body = text.where(~F.col("value").startswith("#") & (F.col("value") != "")).select("value", F.get(parts, 0).alias("chrom"), F.get(parts, 1).cast("long").alias("pos"), "at")
-    head.unionByName(body).orderBy("chrom", "pos", "at").select("value").write.mode("errorifexists").text(out)
+    ranked = vcf.in_contig_order(body, vcf.contigs(text), ["pos", "at"])
+    head = vcf.lines(spark, inputs[0]).where(F.col("value").startswith("#")).select("value", F.lit(None).cast("string").alias("chrom"), F.lit(-1).cast("long").alias("pos"), "at", F.lit(0).alias("contig_rank"))
+    head.unionByName(ranked).orderBy("contig_rank", "pos", "at").select("value").write.mode("errorifexists").text(out)
 
 
-def compile_vcf(spark: SparkSession, inputs: list[str], out: str, labels: dict[str, str], test_ratio: float = 0.33, ignore: tuple[str, ...] = ()) -> DataFrame:
-    """Variant files to a labelled, split columnar data set (groups train and test); the written table.
+def compile_vcf(spark: SparkSession, inputs: list[str], out: str, labels: dict[str, str], test_ratio: float = 0.25, ignore: tuple[str, ...] = (), clinical: str = "CLINVAR_GROUND_TRUTH") -> DataFrame:
+    """Variant files to a labelled, split columnar data set (groups train and test) with its column types beside it; the written table.
 
-    labels: INFO keys of label texts and their origin, TRAIN, TEST or BOTH. Rows with a masked keyword are dropped, each row must
-    have exactly one label, ids must be unique; columns whose every value is a number become numbers.
+    labels: INFO keys of label texts and their origin, TRAIN, TEST or BOTH. The key `clinical` holds significance keywords: rows with a masked one
+    are dropped, the others are read by the keyword table. All other keys hold benign or pathogenic. Each row must have exactly one
+    label, ids must be unique. Transcripts are expanded to a column for each field that the header's description of CSQ names, of the most
+    severe one; columns whose every value is a number become numbers.
     """
-    rows = vcf.records(vcf.lines(spark, inputs))
-    flat = vcf.flatten(rows, cast=False)
+    text = vcf.lines(spark, inputs)
+    flat = vcf.with_transcripts(vcf.flatten(vcf.records(text), cast=False), vcf.transcript_fields(text))
     own = [c for c in labels if c in flat.columns]
-    given = [F.coalesce(F.col(c), F.lit("")) for c in own]
-    clean = flat.where(~F.coalesce(P.masked(F.concat_ws("|", *[F.nullif(g, F.lit("")) for g in given])), F.lit(False)))
+    if not own:
+        raise ValueError(f"no record has a label: {', '.join(labels)}")
+    clean = flat
+    if clinical in own:
+        clean = flat.where(~F.coalesce(P.masked(F.nullif(F.col(clinical), F.lit(""))), F.lit(False)))
+    read = {c: P.clinical_label(F.col(c)) if c == clinical else P.binary_label(F.col(c)) for c in own}
     clean = clean.withColumns(
-        {"uid": P.variant_id(F.col("pos"), F.col("chrom"), F.col("ref"), F.col("alt")), "label": P.only_label({c: P.clinical_label(F.col(c)) for c in own}), "origin": P.only_label({c: F.lit(labels[c]) for c in own})}
+        {"uid": P.variant_id(F.col("pos"), F.col("chrom"), F.col("ref"), F.col("alt")), "label": P.only_label(read), "origin": P.only_label({c: F.lit(labels[c]) for c in own})}
     ).drop(*own)
     if twice := [r["uid"] for r in clean.groupBy("uid").count().where("count > 1").limit(5).collect()]:
         raise ValueError(f"ids that are not unique: {', '.join(twice)}")
-    kinds = O.promote(clean, [c for c in clean.columns if c not in ("uid", "label", "origin", "chrom", "id", "ref", "alt", "pos")])
-    numeric = [r["column"] for r in kinds.where("type = 'DOUBLE'").collect()]  # a row a column
-    typed = clean.withColumns({c: F.col(c).try_cast("double") for c in numeric})
+    texts = [c for c in clean.columns if c not in ("uid", "label", "origin", "chrom", "id", "ref", "alt", "pos")]
+    plain = lambda c: F.col(f"`{c}`").isNull() | (F.col(f"`{c}`") == "") | P.number(F.col(f"`{c}`")).isNotNull()
+    given = lambda c: F.count(F.nullif(F.col(f"`{c}`"), F.lit(""))) > 0
+    numeric = clean.agg(*[(F.bool_and(plain(c)) & given(c)).alias(c) for c in texts]).first() if texts else {}  # a flag a column
+    typed = clean.withColumns({c: P.number(F.col(f"`{c}`")) for c in texts if numeric[c]})
     split = split_by_source(O.chosen_columns(typed, ignore=list(ignore)), "uid", "origin", test_ratio)
     tables.write_groups(split.withColumnRenamed("dataset", "set"), out, "set", mode="errorifexists")
+    tables.write_types(split.withColumnRenamed("dataset", "set"), out)
     return spark.read.parquet(out)
 
 
+def train_on_set(spark: SparkSession, path: str, model: str, texts: list[str] = C.TEXTS, numbers: list[str] = C.NUMBERS, **settings) -> DataFrame:
+    """A classifier fitted on the train group of a compiled set and saved to `model`, with its background beside it; (set, matrix and metrics) of
+    both groups. Features that the set lacks count as missing."""
+    rows = C.filled(C.without_uncertain(spark.read.parquet(path), texts=texts), texts, numbers)
+    train = rows.where("set = 'train'")
+    fitted = C.fit_variant_classifier(train, texts, numbers, path=f"{model}/classifier", **settings)
+    S.benign_background(train, "uid", [*texts, *numbers], F.col("label") == 0).write.parquet(f"{model}/background")
+    tables.write_types(train.select(*[F.col(f"`{c}`") for c in (*texts, *numbers)]), f"{model}/features")
+    scored = C.probability(fitted, rows).withColumn("__p", F.when(F.col("score") >= 0.5, 1).otherwise(0))
+    return T.with_metrics(scored.groupBy("set").agg(*M.confusion(F.col("__p"), F.col("label"))))
+
+
+def predict_with_model(spark: SparkSession, path: str, out: str, model: str, name: str = "Score", threshold: float = 0.9, rename: str = "", ignore_uncertain: bool = True, permutations: int = 8) -> None:
+    """One file scored by a saved classifier; all else of the file stays as it was.
+
+    Every record gets <name>; those that reach the threshold also <name>Explanation, the Shapley values of their features against
+    the benign background that was saved with the model. rename (FEATURE:KEY, comma-separated) reads a feature from
+    another key and names it so in the explanation; clinical texts that are uncertain are blanked for scoring alone.
+    """
+    kinds = tables.read_types(spark, f"{model}/features")
+    texts, numbers = [c for c, t in kinds.items() if t == "string"], [c for c, t in kinds.items() if t != "string"]
+    keys = {c: c for c in (*texts, *numbers)} | dict(pair.split(":", 1) for pair in filter(None, rename.split(",")))
+    if unknown := [c for c in keys if c not in kinds]:
+        raise ValueError(f"not a feature of the model: {', '.join(unknown)}")
+    fitted, text = C.load_classifier(f"{model}/classifier"), vcf.lines(spark, path)
+    fields = vcf.transcript_fields(text)
+    read = [c for c in {k for v in keys.values() for k in ([v] if not v.startswith("CSQ_") else ["CSQ"])}]
+    rows = vcf.records(text)
+    value = lambda k: F.try_element_at("info", F.lit(k))
+    flat = vcf.with_transcripts(rows.select("at", *[value(k).alias(k) for k in read]), fields)
+    if ignore_uncertain:
+        flat = C.without_uncertain(flat, keys.get("CSQ_CLINVAR_CLNSIG", "CSQ_CLINVAR_CLNSIG"), [keys[c] for c in texts])
+    have = set(flat.columns)
+    named = flat.select("at", *[F.col(f"`{k}`").alias(c) for c, k in keys.items() if k in have])
+    scored = settled(C.probability(fitted, C.filled(named, texts, numbers)))
+    ground = spark.read.parquet(f"{model}/background")
+    why = S.shapley(scored.where(F.col("score") >= threshold), "at", [*texts, *numbers], ground, lambda mixed: C.probability(fitted, mixed, "__score"), permutations)
+    why = why.select(F.col("at").alias("__at"), P.explanation({keys[c]: F.col(f"`phi_{c}`") for c in (*texts, *numbers)}).alias("__why"))
+    told = scored.select(F.col("at").alias("__at"), F.col("score").alias("__score")).join(why, "__at", "left")
+    change = lambda records: vcf.with_info(records.join(told, F.col("at") == F.col("__at")), {name: F.format_string("%.5f", "__score"), f"{name}Explanation": F.col("__why")}).drop("__at", "__score", "__why")
+    new = [vcf.definition(name, "Float", "Score of the variant", "1"), vcf.definition(f"{name}Explanation", "String", "Contributions to the score")]
+    vcf.write(vcf.annotated(text, change, new), out)
+
+
 def predict_on_vcf(spark: SparkSession, path: str, out: str, score: Column, contributions: dict[str, Column], name: str = "Score", threshold: float = 0.5, rename: str = "", blank_uncertain: str | None = None) -> None:
     """One file with a score, and an explanation for the rows that reach the threshold; all else of the file stays as it was.
 
@@ -94,13 +152,16 @@ def explore_inference(df: DataFrame, score: str, label: str, group: str, out: st
 
 
 def view_ranked_vcf(spark: SparkSession, paths: list[str], causative: list[str], scores: list[str], out: str, most_frequent: float | None = None, frequency: str = "Frq", top: int = 500) -> DataFrame:
-    """(case_name, id, rank_<score>...) of the causative variants of each file, by each score; the best rows go to out as text.
+    """(case_name, id, rank_<score>...) of the causative variants of each file, by each score.
 
-    The case is what stands before the first underscore of a file's name. NULL frequencies count as 0.
+    Under out, for each score: the best rows as CSV, and as variant files, one ordered file a case under its own header; causative: one file a case
+    of its causative records, in the file's order; summaries: the ranks as JSON. The case is what stands before the first underscore of
+    a file's name. NULL frequencies count as 0.
     """
-    rows = vcf.records(vcf.file_key(vcf.lines(spark, paths)))
+    text = vcf.file_key(vcf.lines(spark, paths))
+    rows = vcf.records(text)
     value = lambda k: F.coalesce(P.number(F.try_element_at("info", F.lit(k))), P.pair(F.try_element_at("info", F.lit(k)))["number"])
-    table = rows.select("case_name", "chrom", "pos", "id", *[value(s).alias(s) for s in scores], F.coalesce(value(frequency), F.lit(0.0)).alias("__frq"))
+    table = rows.select("case_name", "chrom", "pos", "id", "at", *[value(s).alias(s) for s in scores], F.coalesce(value(frequency), F.lit(0.0)).alias("__frq"))
     kept = table if most_frequent is None else table.where(F.col("__frq") <= most_frequent)
     asked = spark.createDataFrame([(i,) for i in causative], "id string")
     ranked = None
@@ -108,9 +169,12 @@ def view_ranked_vcf(spark: SparkSession, paths: list[str], causative: list[str],
         placed = numbered(kept, [F.col("case_name"), F.desc(s), F.col("id")], "__n")
         first = placed.groupBy("case_name").agg(F.min("__n").alias("__first"))
         placed = placed.join(first, "case_name").withColumn("rank", F.col("__n") - F.col("__first"))
-        placed.where(F.col("rank") < top).select("case_name", "rank", "id", s).write.mode("errorifexists").partitionBy("case_name").option("header", True).csv(f"{out}/{s}")
+        best = placed.where(F.col("rank") < top)
+        vcf.write_cases(rows.join(best.select("at", "rank"), "at"), text, "case_name", [F.col("rank")], f"{out}/{s}-vcf")
+        best.select("case_name", "rank", "id", s).write.mode("errorifexists").partitionBy("case_name").option("header", True).csv(f"{out}/{s}")
         mine = placed.join(asked, "id", "left_semi").select("case_name", "id", F.col("rank").alias(f"rank_{s}"))
         ranked = mine if ranked is None else ranked.join(mine, ["case_name", "id"], "full_outer")
+    vcf.write_cases(rows.join(asked, "id", "left_semi"), text, "case_name", [F.col("at")], f"{out}/causative")
     tables.summaries(ranked, "id").write.mode("errorifexists").parquet(f"{out}/summaries")
     return ranked
 
@@ -184,6 +248,8 @@ COMMANDS: dict[str, Callable[..., object]] = {
     "label-vcf": lambda spark, path, out, kind, *more: label_vcf(spark, path, out, kind, *more),
     "gated-scores": lambda spark, path, out, a, g: gated_scores(spark, path, out, a, g),
     "compile-vcf": lambda spark, out, labels, *paths: compile_vcf(spark, list(paths), out, dict(x.split("=") for x in labels.split(","))),
+    "train": lambda spark, path, model: train_on_set(spark, path, model).show(10, False),
+    "predict-on-vcf": lambda spark, path, out, model, *more: predict_with_model(spark, path, out, model, rename=(more or ("",))[0]),
     "view-ranked-vcf": lambda spark, out, causative, scores, *paths: view_ranked_vcf(spark, list(paths), causative.split(","), scores.split(","), out).show(100, False),
 }
 

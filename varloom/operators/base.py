@@ -4,21 +4,28 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _LOCAL = (1 << 33) - 1
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in spark.checkpoint.dir (a temporary folder only where the session names none on one machine)."""
-    sc = df.sparkSession.sparkContext
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path below spark.checkpoint.dir (a temporary folder only where the session names none on one machine), which all executors reach."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="varloom-"))
+    return f"{sc.getCheckpointDir()}/varloom-{name}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the shared folder."""
+    shared_path(df.sparkSession, "checkpoint")
     return df.checkpoint()
 
 

@@ -65,6 +65,31 @@ def resample(df: DataFrame, key: str, label: str, positive_share: float, seed: s
     return df.where(draw(F.col(key), seed) < keep)
 
 
+def interleave(df: DataFrame, key: str, label: str, share: float, seed: str = "interleave", repeats: int | None = None) -> DataFrame:
+    """(t, key, label, copy): one stream of two class streams. Draw t takes the next row of class 1 with probability share, else of class 0; the first
+    draw that meets an exhausted class ends the stream.
+
+    Each class stream is shuffled; that of class 1 is repeated max(1, (n - p) // p) times, or `repeats` times, shuffled anew each time. Draws
+    are md5 numbers of t. A draw's place in its class is the number of draws of that class before it, by numbering in range
+    partitions, so that streams of any length are merged by one equi-join. A class without rows ends the stream at its first draw; NULL labels are left out.
+    """
+    rows = df.where(F.col(label).isin(0, 1)).select(F.col(key).alias("__id"), F.col(label).cast("int").alias("__y"))
+    n = rows.agg(F.count_if(F.col("__y") == 1).alias("p"), F.count_if(F.col("__y") == 0).alias("n")).first()
+    times = repeats if repeats is not None else max(1, (n["n"] - n["p"]) // max(1, n["p"]))
+    copies = F.when(F.col("__y") == 1, F.sequence(F.lit(0), F.lit(times - 1))).otherwise(F.array(F.lit(0)))
+    stream = rows.select("__id", "__y", F.explode(copies).alias("copy")).withColumn("__u", draw(F.concat_ws("-", F.col("__id").cast("string"), F.col("copy").cast("string")), seed))
+    order = [F.col("copy"), F.col("__u"), F.col("__id")]
+    size = {1: times * n["p"], 0: n["n"]}
+    draws = df.sparkSession.range(size[0] + size[1] + 1).select(F.col("id").alias("t"), (draw(F.col("id"), f"{seed}-class") < share).cast("int").alias("__y"))
+    placed, asked = None, None
+    for y in (0, 1):
+        mine, wanted = numbered(stream.where(F.col("__y") == y), order, "__place"), numbered(draws.where(F.col("__y") == y), [F.col("t")], "__place")
+        placed, asked = (mine, wanted) if placed is None else (placed.unionByName(mine), asked.unionByName(wanted))
+    end = asked.where(F.col("__place") >= F.when(F.col("__y") == 1, size[1]).otherwise(size[0])).agg(F.min("t").alias("__end"))
+    live = asked.crossJoin(F.broadcast(end)).where("__end IS NULL OR t < __end")  # one row
+    return live.join(placed, ["__y", "__place"]).select("t", F.col("__id").alias(key), F.col("__y").alias(label), "copy")
+
+
 def variant_weight(label: Column, frequencies: list[Column], rare: float = 800.0, common: float = 1600.0, limit: float = 1 / 2000) -> Column:
     """800 for rare causative rows (mean frequency at most the limit), 1600 for common benign ones, else 1."""
     mean = sum((F.coalesce(f, F.lit(0.0)) for f in frequencies[1:]), F.coalesce(frequencies[0], F.lit(0.0))) / len(frequencies)

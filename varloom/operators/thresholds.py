@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,12 +73,47 @@ def stratified(df: DataFrame, strata: dict[str, Column], predicted: Column, labe
     return rows.withColumns({"size": F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn"), "f1": M.f_beta(F.col("tp"), F.col("fp"), F.col("fn"))})
 
 
+class MetricSpec(NamedTuple):
+    """A metric of the rows of a stratum: its name, the stratum's predicate (None: all rows), and a function of the four cells."""
+
+    name: str
+    stratum: Column | None
+    metric: Callable[[Column, Column, Column, Column], Column]
+
+
+#: Metrics by name for specs; a spec may hold any other function of (tp, tn, fp, fn).
+METRICS: dict[str, Callable[[Column, Column, Column, Column], Column]] = {
+    "f1": lambda tp, tn, fp, fn: M.f_beta(tp, fp, fn),
+    "mcc": M.mcc,
+    "recall": lambda tp, tn, fp, fn: M.rates(tp, tn, fp, fn)["recall"],
+    "precision": lambda tp, tn, fp, fn: M.rates(tp, tn, fp, fn)["precision"],
+}
+
+
+def metric_specs(df: DataFrame, specs: list[MetricSpec], predicted: Column, label: Column, by: list[str] | None = None) -> DataFrame:
+    """(by..., name, size, value): all specs in one aggregation of one pass, however many; rows with a NULL prediction, label or stratum count nowhere.
+    A name given twice is an error."""
+    if len({s.name for s in specs}) < len(specs):
+        raise ValueError("two metrics have one name")
+    pairs = (("tp", 1, 1), ("tn", 0, 0), ("fp", 1, 0), ("fn", 0, 1))
+    cells = [F.struct(F.lit(i).alias("i"), *[F.count_if((F.lit(True) if s.stratum is None else s.stratum) & (predicted == p) & (label == y)).alias(c) for c, p, y in pairs]) for i, s in enumerate(specs)]
+    rows = df.groupBy(*(by or [])).agg(F.array(*cells).alias("s")).select(*(by or []), F.inline("s"))
+    value = F.coalesce(*[F.when(F.col("i") == i, s.metric(*[F.col(c) for c, _, _ in pairs]).cast("double")) for i, s in enumerate(specs)])
+    name = F.get(F.array(*[F.lit(s.name) for s in specs]), F.col("i"))
+    return rows.select(*(by or []), name.alias("name"), sum((F.col(c) for c, _, _ in pairs[1:]), F.col("tp")).alias("size"), value.alias("value"))
+
+
 def gate_grid(df: DataFrame, score: str, gate: str, label: str, slopes: list[float], offsets: list[float], cut: float) -> DataFrame:
     """(w, b, tp, tn, fp, fn) of the gated score for each slope and offset."""
-    grid = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(b).alias("b")) for w in slopes for b in offsets])
+    return gate_points(df, score, gate, label, [(w, b) for w in slopes for b in offsets], cut).drop("i")
+
+
+def gate_points(df: DataFrame, score: str, gate: str, label: str, points: list[tuple[float, float]], cut: float) -> DataFrame:
+    """(i, w, b, tp, tn, fp, fn) of the gated score at each (slope, offset); all points in one pass, a matrix a point and task leaves it."""
+    grid = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(w)).alias("w"), F.lit(float(b)).alias("b")) for i, (w, b) in enumerate(points)])
     rows = df.select(score, gate, label, F.inline(grid))
     gated = F.col(score) * F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("w") * F.col(gate) + F.col("b")))
-    return rows.withColumn("__p", F.when(gated >= cut, 1).otherwise(0)).groupBy("w", "b").agg(*M.confusion(F.col("__p"), F.col(label)))
+    return rows.withColumn("__p", F.when(gated >= cut, 1).otherwise(0)).groupBy("i", "w", "b").agg(*M.confusion(F.col("__p"), F.col(label)))
 
 
 def roc_auc_by(df: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:

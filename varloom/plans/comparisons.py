@@ -201,6 +201,20 @@ def concat(spark, d):
     return both.repartitionByRange("chrom", "pos").sortWithinPartitions("chrom", "pos")
 
 
+_CONTIGS = [*[f"chr{n}" for n in range(1, 23)], "chrX"]
+
+
+@query("u01_contig_order", f"WITH {V_SITES}, u AS (SELECT *, 'a' AS file FROM v_a UNION ALL SELECT *, 'b' FROM v_b) SELECT *, row_number() OVER (ORDER BY substr(chrom, 4)::INTEGER, pos, file) - 1 AS position FROM u")
+def contig_order(spark, d):
+    """Where each row of the merged files stands: chr2 before chr10, as the header's contig lines say."""
+    from varloom.sources import vcf
+
+    head = table(spark, d, "region").where("r_regionkey = 0").select(F.posexplode(F.array(*[F.lit(f"##contig=<ID={c}>") for c in _CONTIGS])).alias("at", "value"))
+    both = site_a(spark, d).withColumn("file", F.lit("a")).unionByName(site_b(spark, d).withColumn("file", F.lit("b")))
+    ranked = vcf.in_contig_order(both, vcf.contigs(head), ["pos", "file"])
+    return numbered(ranked, [F.col("contig_rank"), F.col("pos"), F.col("file")], "position").drop("contig_rank")
+
+
 @query("u02_ragged_union", f"WITH {V_SITES} SELECT chrom, pos, ref, NULL AS alt FROM v_a UNION ALL SELECT chrom, pos, NULL, alt FROM v_b")
 def ragged_union(spark, d):
     return site_a(spark, d).drop("alt").unionByName(site_b(spark, d).drop("ref"), allowMissingColumns=True)

@@ -184,6 +184,50 @@ def shapley_linear(spark, d):
     return rows.crossJoin(F.broadcast(mean)).select("id", F.round(3 * (F.col("score_a") - F.col("a")), 6).alias("phi_a"), F.round(2 * (F.col("score_b") - F.col("b")), 6).alias("phi_b"))  # one row
 
 
+_FILL = "SELECT id, label, score_a, score_b, coalesce(frq, 0e0) AS frq, label = 0 AS benign FROM v_scored"
+_SURE = "{a} * least(1e0, greatest(0e0, 2e0 * {b} - 0.95e0)) * (1 - 100e0 * {f})"
+
+
+def _weights(j: int) -> str:
+    """A coalition's weight in the Shapley value of the feature j of three."""
+    size = "((mask & 1) + ((mask >> 1) & 1) + ((mask >> 2) & 1))"
+    return f"CASE WHEN (mask >> {j}) & 1 = 1 THEN CASE {size} WHEN 2 THEN 1e0/6 ELSE 1e0/3 END ELSE -CASE {size} WHEN 1 THEN 1e0/6 ELSE 1e0/3 END END"
+
+
+@query(
+    "m07_shapley",
+    f"""WITH {V_SCORED}, r AS ({_FILL}), bg AS (SELECT score_a AS ba, score_b AS bb, frq AS bf FROM r WHERE benign ORDER BY md5(concat(id::VARCHAR, ':bg')), id LIMIT 50),
+    x AS (SELECT * FROM r WHERE {_SURE.format(a='score_a', b='score_b', f='frq')} >= 0.05), m AS (SELECT unnest(range(8)) AS mask),
+    v AS (SELECT id, mask, avg({_SURE.format(a='CASE WHEN mask & 1 = 1 THEN score_a ELSE ba END', b='CASE WHEN (mask >> 1) & 1 = 1 THEN score_b ELSE bb END', f='CASE WHEN (mask >> 2) & 1 = 1 THEN frq ELSE bf END')}) AS v FROM x, m, bg GROUP BY id, mask)
+    SELECT id, round(max(CASE WHEN mask = 0 THEN v END), 6) AS expected, round(max(CASE WHEN mask = 7 THEN v END), 6) AS score, round(sum(v * {_weights(0)}), 6) AS phi_a, round(sum(v * {_weights(1)}), 6) AS phi_b, round(sum(v * {_weights(2)}), 6) AS phi_frq FROM v GROUP BY id""",
+)
+def shapley(spark, d):
+    """Exact Shapley values of a score that is no sum of its features, over all coalitions, for the rows that reach the threshold."""
+    from varloom.operators import attribution as S
+
+    sure = lambda df: df.withColumn("__score", M.gate(F.col("score_a"), F.col("score_b")) * (1 - 100 * F.col("frq")))
+    rows = scored(spark, d).withColumn("frq", F.coalesce("frq", F.lit(0.0)))
+    features = ["score_a", "score_b", "frq"]
+    found = S.shapley(sure(rows).where("__score >= 0.05").drop("__score"), "id", features, S.benign_background(rows, "id", features, F.col("label") == 0), sure)
+    return found.select("id", *[F.round(c, 6).alias(n) for n, c in (("expected", "expected"), ("score", "score"), ("phi_a", "phi_score_a"), ("phi_b", "phi_score_b"), ("phi_frq", "phi_frq"))])
+
+
+@query(
+    "m01_map_shards",
+    f"WITH {V_SCORED}, n AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS position, count(*) OVER () AS total FROM v_scored) SELECT id, position, position // 1000 AS shard, position // 1000 * 1000 AS start, least(total, position // 1000 * 1000 + 1000) AS stop, position % 1000 AS place, round(score_a - avg(score_a) OVER (PARTITION BY position // 1000), 6) AS above_mean FROM n",
+)
+def map_shards(spark, d):
+    """A function of whole shards by ordinal: each row against the mean of its own thousand; outputs in the order of the shards."""
+    from varloom.operators.batches import map_shards as over
+
+    def fn(pdf, start, stop):
+        assert len(pdf) == stop - start
+        return pdf[["id"]].assign(position=range(start, stop), above_mean=(pdf["score_a"] - pdf["score_a"].mean()))
+
+    out = over(scored(spark, d).select("id", "score_a"), [F.col("id")], fn, "id long, position long, above_mean double", 1000)
+    return out.select("id", "position", "shard", "start", "stop", "place", F.round("above_mean", 6).alias("above_mean"))
+
+
 @query("m01_map_batches", f"WITH {V_SCORED} SELECT id, round(score_a*least(1e0, greatest(0e0, 2e0*score_b-0.95e0)), 6) AS combined FROM v_scored")
 def map_batches(spark, d):
     from varloom.operators.batches import map_batches as over

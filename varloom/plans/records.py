@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from varloom.functions import parsing as P
 from varloom.plans.registry import query
-from varloom.plans.vehicles import choose, table
+from varloom.operators.base import shared_path
+from varloom.plans.vehicles import V_SCORED, choose, scored, table
 from varloom.sources import tables, vcf
 
 FIELDS = ["Allele", "Consequence", "IMPACT"]
 
-#: Every consequence term, for the lines below.
+#: Every consequence term, for the lines below.
 TERMS = (
     "transcript_ablation", "splice_acceptor_variant", "splice_donor_variant", "stop_gained", "frameshift_variant", "stop_lost", "start_lost", "transcript_amplification", "feature_elongation",
     "feature_truncation", "inframe_insertion", "inframe_deletion", "missense_variant", "protein_altering_variant", "splice_donor_5th_base_variant", "splice_region_variant",
@@ -189,10 +190,45 @@ def columns_at(spark, d):
     return tables.columns_at(text, {2: "id", 5: "genmod"}).withColumn("genmod", F.col("genmod").cast("double"))
 
 
-@query("s10_equal_counts", "SELECT (SELECT count(*) FROM orders) AS rows_a, (SELECT count(*) FROM orders) AS rows_b")
+@query("s10_equal_counts", "SELECT (SELECT count(*) FROM orders) AS rows_a, (SELECT count(DISTINCT o_orderkey) FROM orders) AS rows_b")
 def equal_counts(spark, d):
-    rows = table(spark, d, "orders")
-    return tables.equal_counts(rows.select("o_orderkey"), rows.select("o_custkey"))
+    """The orders as they were read, and as they come back from a columnar copy, a row a key."""
+    rows, path = table(spark, d, "orders"), shared_path(spark, "orders")
+    rows.dropDuplicates(["o_orderkey"]).select("o_orderkey", "o_custkey").write.parquet(path)
+    return tables.equal_counts(rows.select("o_orderkey"), spark.read.parquet(path))
+
+
+@query("s15_written_groups", "SELECT CASE WHEN event_id % 4 = 0 THEN 'test' ELSE 'train' END AS dataset, event_id::INTEGER AS id, round((value / 5e2)::FLOAT, 5) AS score, event_type AS consequence FROM events")
+def written_groups(spark, d):
+    """A columnar set written group by group with its type map, and read back."""
+    rows, path = scored(spark, d).select("dataset", "id", F.col("score_a").alias("score"), "consequence"), shared_path(spark, "groups")
+    for name in ("train", "test"):
+        tables.write_groups(rows.where(F.col("dataset") == name), path, "dataset", {"score": "float32", "id": "int", "consequence": "utf-8"})
+    return spark.read.parquet(path).select("dataset", "id", F.round("score", 5).alias("score"), "consequence")
+
+
+@query("s21_dumped_rows", f"WITH {V_SCORED} SELECT dataset, id::VARCHAR AS id, label::VARCHAR AS label, CASE WHEN score_a >= 0.1 THEN CASE WHEN label = 1 THEN 'TP' ELSE 'FP' END WHEN label = 1 THEN 'FN' ELSE 'TN' END AS outcome FROM v_scored")
+def dumped_rows(spark, d):
+    """Classified rows as tab-separated text, a folder a set, read back as text."""
+    from varloom.functions import metrics as M
+
+    rows = scored(spark, d).select("dataset", "id", "label", M.outcome(F.when(F.col("score_a") >= 0.1, 1).otherwise(0), F.col("label")).alias("outcome"))
+    tables.dump_groups(rows, path := shared_path(spark, "rows"), "dataset")
+    return spark.read.option("sep", "\t").option("header", True).csv(path).select("dataset", "id", "label", "outcome")
+
+
+@query("s25_export", f"WITH {V_SCORED} SELECT round(score_a::FLOAT, 5) AS first_score, round(score_b::FLOAT, 5) AS second_score, label::FLOAT AS causative FROM v_scored")
+def export(spark, d):
+    """The three columns of a training set as single-precision numbers, written and read back."""
+    tables.export_columns(scored(spark, d), {"first_score": "score_a", "second_score": "score_b", "causative": "label"}, path := shared_path(spark, "export"))
+    return spark.read.parquet(path).select(*[F.round(c, 5).alias(c) for c in ("first_score", "second_score")], "causative")
+
+
+@query("f08_columns", "SELECT o_orderkey, o_totalprice FROM orders")
+def chosen(spark, d):
+    from varloom.operators.profiles import chosen_columns
+
+    return chosen_columns(table(spark, d, "orders"), ["o_orderkey", "o_totalprice", "o_comment"] if "o_comment" in table(spark, d, "orders").columns else ["o_orderkey", "o_totalprice", "o_custkey"], [c for c in ("o_comment",) if c in table(spark, d, "orders").columns] or ["o_custkey"])
 
 
 @query("s11_lookup_table", "SELECT c_custkey::VARCHAR AS \"Line_Number\", c_name AS \"Sample_ID\" FROM customer")

@@ -70,6 +70,20 @@ def interleave(spark, d):
     return rows.select("id", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("label") == 1, F.lit(times - 1)).otherwise(F.lit(0)).cast("long"))).alias("copy"))
 
 
+@query(
+    "t08_weighted_interleave",
+    f"""WITH {V_SCORED}, c AS (SELECT sum(label)::BIGINT AS p, sum(1-label)::BIGINT AS n, greatest(1, (n - p) // p)::BIGINT AS k FROM v_scored),
+    s AS (SELECT id, 0 AS y, 0 AS copy FROM v_scored WHERE label = 0 UNION ALL SELECT id, 1, unnest(range(k))::INTEGER FROM v_scored, c WHERE label = 1),
+    l AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY copy, {_u('interleave', "id::VARCHAR || '-' || copy")}, id) - 1 AS place FROM s),
+    d AS (SELECT t, CASE WHEN {_u('interleave-class', 't')} < 0.5 THEN 1 ELSE 0 END AS y FROM (SELECT unnest(range(n + k * p + 1)) AS t FROM c)),
+    a AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY t) - 1 AS place FROM d), e AS (SELECT min(t) AS e FROM a, c WHERE place >= CASE WHEN y = 1 THEN k * p ELSE n END)
+    SELECT t, id, y::INTEGER AS label, copy::INTEGER AS copy FROM a JOIN l USING (y, place), e WHERE t < e""",
+)
+def weighted_interleave(spark, d):
+    """The two classes as one stream, a draw picks the class, until one of them runs out."""
+    return S.interleave(scored(spark, d), "id", "label", 0.5).select("t", "id", "label", "copy")
+
+
 @query("t09_weights", f"WITH {V_SCORED} SELECT id, CASE WHEN label = 1 AND (coalesce(frq,0)+coalesce(frq2,0)+coalesce(frq3,0))/3 <= 5e-4 THEN 8e2 ELSE 1e0 END * CASE WHEN label = 0 AND coalesce(frq,0) >= 5e-4 THEN 16e2 ELSE 1e0 END AS weight FROM v_scored")
 def weights(spark, d):
     return scored(spark, d).select("id", S.variant_weight(F.col("label"), [F.col("frq"), F.col("frq2"), F.col("frq3")]).alias("weight"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from varloom.functions import metrics as M
 from varloom.operators import thresholds as T
-from varloom.plans.registry import query
+from varloom.plans.registry import ORACLE_SQL, query
 from varloom.plans.records import TERMS
 from varloom.plans.vehicles import V_CLNSIG, V_SCORED, choose, clnsig, scored, table
 
@@ -188,7 +188,7 @@ def class_balance(spark, d):
     return balance(scored(spark, d), F.col("label")).select("n_pos", "n_neg", *r6("bias", "w_pos", "w_neg"))
 
 
-#: Consequence terms and clinical patterns by which scores are stratified.
+#: Consequence terms and clinical patterns by which scores are stratified.
 STRATA = (
     "missense_variant", "downstream_gene_variant", "upstream_gene_variant", "intron_variant", "non_coding_transcript_exon_variant", "splice_donor_variant", "splice_donor_region_variant", "splice_region_variant",
     "5_prime_UTR_variant", "splice_polypyrimidine_tract_variant", "3_prime_UTR_variant", "synonymous_variant", "frameshift_variant", "stop_gained", "splice_acceptor_variant", "splice_donor_5th_base_variant",
@@ -257,6 +257,41 @@ def grid_search(spark, d):
     return T.with_metrics(T.gate_grid(scored(spark, d), "score_a", "score_b", "label", [1.0, 1.5, 2.0, 2.5, 3.0], [-1.5, -0.95, -0.5, -0.1, 0.0], 0.05)).select("w", "b", *T.CELLS, *r6("mcc"))
 
 
+_DRAWS, _SEARCH = 40, {"w": (0.0, 4.0), "b": (-2.0, 0.0)}
+_DRAWN = "(cast('0x' || substr(md5(concat(i::VARCHAR, ':search-{n}')), 1, 8) AS BIGINT) / 4294967296e0)"
+
+
+@query(
+    "m06_random_search",
+    f"""WITH {V_SCORED}, g AS (SELECT i::INTEGER AS draw, 0e0 + {_DRAWN.format(n='w')} * 4e0 AS w, -2e0 + {_DRAWN.format(n='b')} * 2e0 AS b FROM range({_DRAWS}) r(i)),
+    p AS (SELECT draw, w, b, label, CASE WHEN score_a * least(1e0, greatest(0e0, w*score_b + b)) >= 0.05 THEN 1 ELSE 0 END AS pred FROM v_scored, g WHERE dataset = 'test'),
+    cm AS (SELECT draw, w, b, {_CELLS} FROM p GROUP BY draw, w, b), o AS (SELECT draw, w, b, 1 - {MCC} AS objective FROM cm)
+    SELECT draw, round(w, 6) AS w, round(b, 6) AS b, round(objective, 6) AS objective, draw = (SELECT arg_min(draw, (objective, draw)) FROM o) AS best FROM o""",
+)
+def random_search(spark, d):
+    """Slopes and offsets of the gate drawn at random, judged by 1 - MCC on the rows of the other set; the smallest objective wins, the first of equals."""
+    from varloom.operators.modelling import drawn_parameters
+
+    points = [(p["w"], p["b"]) for p in drawn_parameters(_SEARCH, _DRAWS)]
+    tried = T.with_metrics(T.gate_points(scored(spark, d).where("dataset = 'test'"), "score_a", "score_b", "label", points, 0.05))
+    tried = tried.select(F.col("i").alias("draw"), "w", "b", (1 - F.col("mcc")).alias("objective"))
+    best = tried.agg(F.min(F.struct("objective", "draw")).alias("top"))
+    return tried.crossJoin(F.broadcast(best)).select("draw", *r6("w", "b", "objective"), (F.col("draw") == F.col("top.draw")).alias("best"))  # one row
+
+
+_SPECS = {"mcc_all": ("TRUE", MCC), "f1_all": ("TRUE", F1), "recall_rare": ("frq <= 5e-4", RECALL), "mcc_rare": ("frq <= 5e-4", MCC), "precision_unsupported": ("frq > 0 AND frq2 IS NULL", PRECISION), "recall_purchase": ("consequence LIKE 'purch%'", RECALL)}
+
+
+@query(
+    "x05_metric_specs",
+    f"WITH {_PRED} " + " UNION ALL ".join(f"SELECT dataset, '{n}' AS name, tp+tn+fp+fn AS size, round(({m})::DOUBLE, 6) AS value FROM (SELECT dataset, {_CELLS} FROM (SELECT dataset, pred, CASE WHEN {w} THEN label END AS label FROM p) GROUP BY dataset)" for n, (w, m) in _SPECS.items()),
+)
+def metric_specs(spark, d):
+    """Different metrics of different strata, for each set, in one pass."""
+    specs = [T.MetricSpec(n, None if where == "TRUE" else F.expr(where), T.METRICS[n.split("_")[0]]) for n, (where, _) in _SPECS.items()]
+    return T.metric_specs(_predicted(spark, d), specs, F.col("pred"), F.col("label"), ["dataset"]).select("dataset", "name", "size", *r6("value"))
+
+
 @query("p21_low_cap", f"WITH {V_SCORED} SELECT id, score_a < 0.2 AND greatest(score_a, 0.2e0) = 0.2 AS capped FROM v_scored")
 def low_cap(spark, d):
     from varloom.functions import parsing as P
@@ -334,3 +369,11 @@ def stream_counters(spark, d):
     from varloom.streaming.counters import batch_counters
 
     return batch_counters(spark.read.parquet(f"{d}/events.parquet"))
+
+
+@query("m09_stream_updates", ORACLE_SQL["m09_stream_counters"])
+def stream_updates(spark, d):
+    """The same counters by the stream itself, run over all events that are there, its sink read back."""
+    from varloom.streaming.counters import drained_counters
+
+    return drained_counters(spark, f"{d}/events.parquet")

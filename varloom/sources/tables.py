@@ -34,6 +34,20 @@ def write_groups(df: DataFrame, path: str, group: str, types: dict[str, str] | N
     df.withColumns(cast).write.mode(mode).partitionBy(group).parquet(path)
 
 
+def write_types(df: DataFrame, path: str) -> None:
+    """The column types of a data set beside its groups, as JSON lines that its readers skip."""
+    df.sparkSession.createDataFrame(df.dtypes, "column string, type string").coalesce(1).write.mode("errorifexists").json(f"{path}/_types")
+
+
+def read_types(spark: SparkSession, path: str) -> dict[str, str]:
+    return {r["column"]: r["type"] for r in spark.read.schema("column string, type string").json(f"{path}/_types/*.json").collect()}
+
+
+def export_columns(df: DataFrame, columns: dict[str, str], path: str, kind: str = "float") -> None:
+    """The given columns under the names of a training set, as numbers of one kind; missing values stay missing, a text that is no number is an error."""
+    df.select(*[F.col(f"`{c}`").cast(kind).alias(name) for name, c in columns.items()]).write.mode("errorifexists").parquet(path)
+
+
 def read_group(spark: SparkSession, path: str, group: str, name: str, columns: list[str | list[str]], label: str | None = None, most: int | None = None, fill: float | None = None) -> DataFrame:
     """The rows of one group: columns, or nested lists of them as arrays, and the label; at most `most` rows; NULL and NaN numbers
     replaced by `fill`. Only the group's folder and the columns asked for are read; an unknown group or column is an error."""

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from varloom.functions.parsing import number
+from varloom.functions.parsing import csq_fields, number, worst_transcript
+
+#: Contigs up to which their ranks are sent to every task.
+MOST_CONTIGS = 100_000
 
 STATIC = ("chrom", "pos", "id", "ref", "alt", "qual", "filter", "info", "format")
 
@@ -86,6 +89,44 @@ def with_header(text: DataFrame, new: list[str]) -> DataFrame:
     return head.select("at", F.posexplode(added).alias("place", "value")).select("value", "at", "place")
 
 
+def contigs(text: DataFrame, inputs: list[str] | None = None) -> DataFrame:
+    """(contig, rank): the order of the ##contig lines, over several files that of their first mention; where no header names one, the order
+    in which records name them. A header has as many lines as an assembly has sequences, so this table is small."""
+    named = text.where(F.col("value").startswith("##contig=")).select(F.regexp_extract("value", r"[<,]ID=([^,>]+)", 1).alias("contig"), "at")
+    if not named.take(1):
+        named = text.where(~F.col("value").startswith("#") & (F.col("value") != "")).select(F.get(F.split("value", "\t"), 0).alias("contig"), "at")
+    first = named.groupBy("contig").agg(F.min("at").alias("__at"))
+    return first.select("contig", F.row_number().over(Window.orderBy("__at", "contig")).alias("rank"))  # a row a contig
+
+
+def in_contig_order(rows: DataFrame, order: DataFrame, then: list[str], chrom: str = "chrom", name: str = "contig_rank") -> DataFrame:
+    """rows with the rank of their contig (contig, rank), range-partitioned and sorted by it and by `then`; a contig that has no rank is an error."""
+    ranks = order.select(F.col("contig").alias("__contig"), F.col("rank").alias("__rank"))
+    if order.count() <= MOST_CONTIGS:
+        ranks = F.broadcast(ranks)
+    ranked = rows.join(ranks, F.col(chrom) == F.col("__contig"), "left")
+    known = F.coalesce(F.col("__rank"), F.raise_error(F.concat(F.lit("a contig that no header names: "), F.coalesce(F.col(chrom), F.lit("NULL")))).cast("int"))
+    return ranked.withColumn(name, known).drop("__contig", "__rank").orderBy(name, *then)
+
+
+def transcript_fields(text: DataFrame, key: str = "CSQ") -> list[str]:
+    """The names of the transcript fields in the header's description of `key`; empty where no header describes it. Descriptions that differ are an error."""
+    told = [r["description"] for r in header(text).where((F.col("header_type") == "INFO") & (F.col("id") == key)).select("description").distinct().limit(2).collect()]
+    if len(told) > 1:
+        raise ValueError(f"the headers describe {key} differently")
+    return csq_fields(told[0]) if told and "Format: " in told[0] else []
+
+
+def with_transcripts(flat: DataFrame, fields: list[str], key: str = "CSQ", strict: bool = True) -> DataFrame:
+    """flat with the column `key` (transcripts, comma-separated) replaced by a column <key>_<field> of its most severe one for each field, as text; NULL
+    where a record has no transcript. An unknown consequence (if strict) or another number of fields is an error."""
+    if not fields or key not in flat.columns:
+        return flat
+    worst = F.when(F.coalesce(F.col(key), F.lit("")) != "", worst_transcript(F.col(key), fields, strict))
+    held = flat.withColumn("__worst", worst)
+    return held.select(*[F.col(f"`{c}`") for c in flat.columns if c != key], *[F.col("__worst").getField(f).alias(f"{key}_{f}") for f in fields])
+
+
 def definition(name: str, kind: str, description: str, number: str = ".") -> str:
     return f'##INFO=<ID={name},Number={number},Type={kind},Description="{description}">'
 
@@ -96,6 +137,21 @@ def annotated(text: DataFrame, change: Callable[[DataFrame], DataFrame], new: li
     return with_header(text, new).unionByName(body)
 
 
+def write_cases(rows: DataFrame, text: DataFrame, case: str, order: list[Column], path: str) -> None:
+    """One ordered file for each case: rows (records with the case and what orders them) below the header of the case's own input, in text
+    with the same case column.
+
+    A case's rows meet in one task, sorted and streamed to its folder; they are what a report keeps of a case (its best or its causative
+    records), not the case itself. Cases without a row get no file; an existing path is an error.
+    """
+    body = render(rows.withColumn("__order", F.struct(*order))).select(case, "value", F.lit(1).alias("__part"), "__order", F.lit(0).cast("long").alias("__at"))
+    cases = rows.select(case).distinct()
+    none = F.lit(None).cast(body.schema["__order"].dataType)
+    head = text.where(F.col("value").startswith("#")).join(cases, case, "left_semi").select(case, "value", F.lit(0).alias("__part"), none.alias("__order"), F.col("at").alias("__at"))
+    every = head.unionByName(body).repartition(case).sortWithinPartitions(case, "__part", "__at", "__order")
+    every.select(case, "value").write.mode("errorifexists").partitionBy(case).text(path)
+
+
 def write(ordered: DataFrame, path: str) -> None:
     """Lines to text files whose concatenation is the file, in the order of (at, place); an existing path is an error."""
     ordered.orderBy("at", "place").select("value").write.mode("errorifexists").text(path)
