@@ -221,16 +221,35 @@ def test_sql_queries(spark):
         assert sorted(map(str, (tuple(r[n] for n in names) for r in got.collect()))) == sorted(map(str, want.fetchall())), name
 
 
-def test_shingle_sets_equal_the_sketched_ones(spark, odd):
-    """The sets that are compared and those that are sketched have the same sizes and overlaps."""
+def test_near_links_equal_brute_force(spark):
+    """Chains, templates with words of their own, copies and blank texts: the components of the links are those of all pairs at 0.8."""
     from varloom.llm import near_copies
-
-    texts = [r["text"] for r in odd.collect()] + ["a b c d", "a b c d e", "A b c d e a b c d e", "x\x0by\x0cz q r s", "é É ß a b c"]
-    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", near_copies.shingle_set(F.col("t"), 5).alias("s")).collect()
-    native, own = {r["i"]: set(r["s"]) for r in rows}, {i: set(near_copies.shingles(t).tolist()) for i, t in enumerate(texts)}
-    for i in own:
-        for j in own:
-            assert len(native[i] & native[j]) == len(own[i] & own[j]), (texts[i], texts[j])
+    from varloom.llm.components import connected_components
+
+    rng = random.Random(11)
+    plate = [f"b{i}" for i in range(60)]
+    texts = ["", " ", "a b", "a b", "a b c d e", "A B c d e"]
+    for _ in range(60):  # one boilerplate, few words of one's own: below the threshold, though lists are long
+        own = list(plate)
+        for at in rng.sample(range(60), 4):
+            own[at] = f"o{rng.randrange(10**6)}"
+        texts.append(" ".join(own))
+    chain = [f"c{i}" for i in range(80)]
+    for step in range(12):  # each near the one before, the ends far apart
+        chain = [*chain[2:], f"d{step}a", f"d{step}b"]
+        texts.append(" ".join(chain))
+    for _ in range(25):
+        copy = list(plate) * 2
+        copy[rng.randrange(120)] = f"e{rng.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").withColumn("node", near_copies.text_key(F.col("text"))).repartition(4)
+    links = near_copies.similar_links(rows.select("node", "text"))
+    named = {bytes(r["node"]): bytes(r["component"]) for r in connected_components(links).collect()}
+    label = {r["i"]: named.get(bytes(r["node"]), bytes(r["node"])) for r in rows.collect()}
+    sets = [set(near_copies.shingles(t).tolist()) for t in texts]
+    group = components(range(len(texts)), lambda i, j: texts[i] == texts[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    assert {(i, j) for i in label for j in label if label[i] == label[j]} == {(i, j) for i in group for j in group if group[i] == group[j]}
+    assert 10 < len(set(group.values())) < len(texts)
 
 
 def test_near_copies_leave_by_similarity(spark, odd, none):
