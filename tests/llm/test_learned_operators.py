@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from varloom.llm import language_id, lm_scoring, mixing, near_vectors, toxicity
+from varloom.llm import language_id, lm_scoring, mixing, near_vectors, topics, toxicity
 
 
 def brute_segments(scores):
@@ -328,7 +328,7 @@ def test_mixing_rates_equal_brute_force(spark):
             w = {c: x * budget * goals[d][c[d]] / got[c[d]] for c, x in w.items()}
     assert all(x < 1 for x in w.values()), "a budget that all targets can be met within"
     want = {i: int(hashlib.md5(f"mix:{i}".encode()).hexdigest()[:12], 16) / 16**12 < w[c] for i, c in cell.items()}
-    got = {r["doc_id"]: r for r in mixing.mix(docs.withColumn("mix_kept", F.lit("clash")), budget=budget).collect()}
+    got = {r["doc_id"]: r for r in mixing.mix(docs.withColumn("mix_kept", F.lit("clash")).withColumn("kind", F.when(F.col("text").contains("!!"), "loud").otherwise("prose")), budget=budget, topic_col="kind").collect()}
     assert all(abs(got[i]["mix_rate"] - w[c]) < 1e-3 for i, c in cell.items())
     assert sum(got[i]["mix_kept"] != k for i, k in want.items()) <= 2 and {i: r["mix_tokens"] for i, r in got.items()} == tokens
     for d, name in enumerate(("source", "lang", "mix_topic")):
@@ -366,10 +366,49 @@ def test_mixing_meets_targets_under_the_bound(spark):
             assert abs(sum(r["rate"] * r["tokens"] for r in rows if r[d] == v) - 0.79 * goal) < 2, (d, v)
 
 
+def test_many_cells_are_raked_alike(spark, monkeypatch):
+    """Above and below the bound of cells on the driver: the same factors and rates, also where targets can't be reached."""
+    rng = np.random.default_rng(5)
+    tokens = {(s, la, t): int(rng.integers(1, 400)) for s in "abc" for la in "xy" for t in "pqr"} | {("z", "x", "p"): 9000}
+    rows = [(i, "w " * n, la, s, t) for i, ((s, la, t), n) in enumerate(tokens.items())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, kind string")
+    monkeypatch.setattr(mixing, "TOLERANCE", 1e-3)
+    out = []
+    for bound in (500_000, 0):
+        monkeypatch.setattr(mixing, "DRIVER_CELLS", bound)
+        out.append({r["doc_id"]: r for r in mixing.mix(docs, topic_col="kind").collect()})
+    for i, r in out[0].items():
+        assert abs(r["mix_rate"] - out[1][i]["mix_rate"]) < 1e-6 and abs(r["mix_weight"] - out[1][i]["mix_weight"]) < 1e-6
+        assert (r["mix_kept"], r["mix_copies"]) == (out[1][i]["mix_kept"], out[1][i]["mix_copies"])
+    assert any(r["mix_rate"] == 1.0 for r in out[0].values()) and any(r["mix_rate"] < 0.9 for r in out[0].values())
+
+
+def test_topics_are_learned_within_languages(spark, none):
+    """Two subjects in two languages: learned from words, the same in any partitioning; blank texts have none."""
+    rng = np.random.default_rng(8)
+    words = {(s, la): [f"{la}{s}{k}" for k in range(40)] for s in ("sea", "law") for la in ("en", "de")}
+    common = {la: [f"{la}the{k}" for k in range(15)] for la in ("en", "de")}
+    rows = []
+    for i in range(600):
+        la, s = ("en", "de")[i % 2], ("sea", "law")[i // 2 % 2]
+        rows.append((i, " ".join(rng.choice([*words[s, la], *common[la]], 60)), la, f"{la}-{s}"))
+    rows += [(1000, None, "en", "-"), (1001, " ", None, "-")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, subject string")
+    named = lambda df: {r["doc_id"]: r["t"] for r in df.select("doc_id", topics.fit_topics(df, 4).column(F.col("text"), F.coalesce("lang", F.lit(""))).alias("t")).collect()}
+    got = named(docs)
+    assert got == named(docs.repartition(7)) and got[1000] == got[1001] == "none"
+    pairs = Counter((got[i], subject) for i, _, _, subject in rows[:600])
+    assert sum(max(n for (t, _), n in pairs.items() if t == topic) for topic in {t for t, _ in pairs}) >= 570, "a topic holds one subject"
+    assert topics.fit_topics(none).names(["a b"], ["en"]) == ["none"]
+    with pytest.warns(UserWarning, match="left out"):
+        mixing.mix(docs, targets={"lang": spark.createDataFrame([("en", 1.0), ("xx", 1.0)], "lang string, target double")}, topic_col="subject")
+
+
 def test_copies_meet_targets_and_budget(spark):
     """Where a value has fewer tokens than its share of the budget, repeats reach the target; the report says what the draw misses."""
     rows = [(i, "w " * 20 + ("!!" if i % 20 == 0 else "."), "es" if i % 11 == 0 else "en", "hot" if i % 3 else f"s{i % 7}", 40) for i in range(6000)]
-    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).cache()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = mixing.mix(docs.withColumn("kind", F.when(F.col("text").contains("!!"), "loud").otherwise("prose")), topic_col="kind").cache()
     sums = got.agg(F.sum("mix_tokens"), F.sum(F.col("mix_tokens") * F.col("mix_copies")), F.sum(F.col("mix_tokens") * F.col("mix_rate"))).first()
     assert abs(sums[1] / sums[0] - 0.8) < 0.02 and abs(sums[2] / sums[0] - 0.8) < 1e-6
     for r in mixing.report(got).collect():
@@ -425,6 +464,22 @@ def test_vectors_over_several_shards_and_groups(spark):
     assert [got[i]["n_links"] for i in range(len(x))] == near.sum(1).tolist()
 
 
+def test_rare_links_are_audited(spark):
+    """Ten planted pairs among thousands of vectors: random probes see none, the audit measures recall from the pairs; links at the threshold count."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(4000, 32))
+    for k in range(10):
+        x[3000 + k] = x[k] + 0.02 * rng.normal(size=32)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["id"]: r for r in near_vectors.near_vectors(table).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hit = unit @ unit.T >= 0.95
+    assert {i: r["n_links"] for i, r in got.items()} == {i: int(hit[i].sum()) - 1 for i in range(4000)}
+    assert got[0]["audited_links"] >= 20 and got[0]["audited_recall"] >= 0.97 and got[3003]["component_id"] == 3
+    lone = near_vectors.near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x[:300])], "vec_id long, embedding array<double>")).first()
+    assert lone["audited_recall"] is None and lone["audited_links"] == 0
+
+
 def test_vectors_empty(spark):
     assert near_vectors.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from varloom.llm import mixing, queries, toxicity
+from varloom.llm import queries, topics, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -61,10 +61,11 @@ def components(nodes, linked):
     return {i: find(i) for i in nodes}
 
 
-def brute_mix(rows, budget=0.8):
-    """The kept documents of the default mixture: rates raked under the bound of 1, cell by cell."""
-    topic = lambda t: next((n for n, p in mixing.TOPICS if re.search(p, t or "")), "prose")
-    cell = {r["doc_id"]: (r["source"] or "", r["lang"] or "", topic(r["text"])) for r in rows}
+def brute_mix(spark, rows, budget=0.8):
+    """The kept documents of the default mixture: rates raked under the bound of 1, cell by cell; the topics come from the model."""
+    model = topics.fit_topics(spark.createDataFrame([(r["doc_id"], r["text"], r["lang"]) for r in rows], "doc_id long, text string, lang string"))
+    named = model.names([r["text"] for r in rows], [r["lang"] or "" for r in rows])
+    cell = {r["doc_id"]: (r["source"] or "", r["lang"] or "", t) for r, t in zip(rows, named, strict=True)}
     size, sums = Counter(), [Counter(), Counter(), Counter()]
     for r in rows:
         n = len((r["text"] or "").encode().split())
@@ -116,7 +117,7 @@ def test_run_equals_brute_force(spark):
         sets[r["doc_id"]] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
     group = components(list(sets), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
     rows = [r for r in rows if group[r["doc_id"]] == r["doc_id"]]
-    want = brute_mix(rows)
+    want = brute_mix(spark, rows)
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     text = {r["doc_id"]: r["text"] for r in rows}
     got = corpus_pipeline.run(spark, SF).collect()
@@ -195,6 +196,7 @@ def test_registered_queries_keep_their_contracts(spark, name):
         x = {i: np.array(r["embedding"], float) / np.linalg.norm(r["embedding"]) for i, r in given.items()}
         group = components(list(x), lambda i, j: x[i] @ x[j] >= 0.95)
         assert {i: r["component_id"] for i, r in rows.items()} == group
+        assert {i: r["n_links"] for i, r in rows.items()} == {i: sum(x[i] @ x[j] >= 0.95 for j in x) - 1 for i in x}
     if name in ("op1_toxicity", "op3_language_id"):
         marks = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
         told = [(r["predicted"], marks[i]) for i, r in rows.items() if r["held_out"] and i in marks] if name == "op1_toxicity" else [(r["lang_pred"], given[i]["lang"]) for i, r in rows.items() if r["held_out"] and given[i]["lang"]]

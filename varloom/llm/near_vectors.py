@@ -267,22 +267,25 @@ def near_links(nodes: DataFrame, graphs: DataFrame, shards: int, threshold: floa
     return dealt.mapInPandas(stream, "a long, near long, b long")
 
 
-#: The audit asks this many vectors first, and eight times as many each time, up to the last, until it has seen LINKS_SEEN true
-#: links of at least PROBES_SEEN vectors.
-FIRST_PROBES, MOST_PROBES, LINKS_SEEN, PROBES_SEEN = 128, 8192, 400, 40
+#: The audit asks so many random vectors and so many that a link was found for, from either of its ends; recall counts as measured from LINKS_SEEN true
+#: links on.
+RANDOM_PROBES, LINKED_PROBES, LINKS_SEEN = 1024, 4096, 20
 
 
-def audit(nodes: DataFrame, near: DataFrame, threshold: float) -> float | None:
-    """Recall of the counts `near` (a, near) against brute force over all nodes, averaged over the probes that have a true link;
-    None if MOST_PROBES probes have none. Found links are verified, so a count falls short by what was missed."""
-    probes = FIRST_PROBES
-    while True:
-        held = nodes.orderBy(F.xxhash64("node", F.lit("audit"))).limit(probes).select("node", "v").toPandas()  # at most MOST_PROBES rows
-        truth = _true_counts(nodes, held["node"].to_numpy(np.int64), list(held["v"]), threshold)
-        rows = truth.join(near.groupBy("a").agg(F.sum("near").alias("near")), "a", "left").select("true", F.coalesce("near", F.lit(0)).alias("near")).collect()
-        if probes >= MOST_PROBES or len(held) < probes or (sum(r["true"] for r in rows) >= LINKS_SEEN and len(rows) >= PROBES_SEEN):
-            return sum(min(1.0, r["near"] / r["true"]) for r in rows) / len(rows) if rows else None
-        probes = min(MOST_PROBES, 8 * probes)
+def audit(nodes: DataFrame, near: DataFrame, threshold: float) -> tuple[float | None, int]:
+    """(recall, true links seen) of the counts `near` (a, near, b) against brute force over all nodes; recall is averaged over the probes that have
+    a true link, None if none has.
+
+    Where links are rare random probes see none, so the ends of links that were found are probed as well: a node that another one's search
+    has found tells whether its own search found that one. Found links are verified, so a count falls short by what was missed.
+    """
+    ends = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
+    first = lambda rows, n: rows.orderBy(F.xxhash64("node", F.lit("audit"))).limit(n)
+    asked = first(nodes.select("node"), RANDOM_PROBES).unionByName(first(ends, LINKED_PROBES)).distinct()
+    held = nodes.join(asked, "node", "left_semi").select("node", "v").toPandas()  # at most 5,120 rows
+    truth = _true_counts(nodes, held["node"].to_numpy(np.int64), list(held["v"]), threshold)
+    rows = truth.join(near.groupBy("a").agg(F.sum("near").alias("near")), "a", "left").select("true", F.coalesce("near", F.lit(0)).alias("near")).collect()
+    return sum(min(1.0, r["near"] / r["true"]) for r in rows) / len(rows) if rows else None, sum(r["true"] for r in rows)
 
 
 def _true_counts(nodes: DataFrame, names: np.ndarray, vectors: list, threshold: float) -> DataFrame:
@@ -295,10 +298,12 @@ def _true_counts(nodes: DataFrame, names: np.ndarray, vectors: list, threshold:
                 mine = np.array([i for i, v in enumerate(vectors) if len(v) == dim], np.int64)
                 if not len(mine):
                     continue
-                rows = pdf[dims == dim]
-                hit = np.stack(rows["v"].to_list()) @ np.stack([vectors[i] for i in mine]).T >= threshold
-                hit &= rows["node"].to_numpy(np.int64)[:, None] != names[mine][None, :]
-                total = rows["copies"].to_numpy(np.int64) @ hit
+                rows, total, probes = pdf[dims == dim], np.zeros(len(mine), np.int64), np.stack([vectors[i] for i in mine]).T
+                for at in range(0, len(rows), 1000):  # at most 1,000 rows by all probes at once
+                    part = rows.iloc[at : at + 1000]
+                    hit = np.stack(part["v"].to_list()) @ probes >= threshold
+                    hit &= part["node"].to_numpy(np.int64)[:, None] != names[mine][None, :]
+                    total += part["copies"].to_numpy(np.int64) @ hit
                 yield pd.DataFrame({"a": names[mine][total > 0], "true": total[total > 0]})
 
     return nodes.mapInPandas(count, "a long, true long").groupBy("a").agg(F.sum("true").alias("true"))
@@ -314,12 +319,13 @@ def near_vectors(
     beam: int = 24,
     recall: float = 0.97,
 ) -> DataFrame:
-    """(id, n_links, component_id, kept, audited_recall) for every row of vectors.
+    """(id, n_links, component_id, kept, audited_recall, audited_links) for every row of vectors.
 
     Rows with the same direction are one node of the graphs, so that copies of one vector cost nothing; they link with each
     other and share their node's links. NULL, zero and non-finite vectors link with nothing. Vectors of different length
-    never link. Beams double until an audit finds `recall` of the true links; audited_recall is what it found at the last, NULL
-    where no probe had a link. Components are joined over nodes; the smallest id names them. A NULL id is a row that links
+    never link. Beams double until an audit that has seen LINKS_SEEN true links finds `recall` of them, or, where there are too few
+    links to measure, until a beam twice as wide finds no link more than the one before. audited_recall is what the last audit found (NULL
+    where no probe had a link), from audited_links true links. A pair at the threshold counts. Components are joined over nodes; the smallest id names them. A NULL id is a row that links
     like any other but names no component unless all ids of it are NULL; repeated rows and ids are rows each for itself. A
     shard holds shard_mb of vectors, so every vector is sent to all vectors / shard_mb shards.
     """
@@ -329,12 +335,15 @@ def near_vectors(
     size = nodes.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("v") * 8), F.lit(0)).alias("bytes")).first()
     n, shards = int(size["n"]), max(least_shards, -(-int(size["bytes"]) // (shard_mb << 20)))
     graphs = written(build_graphs(nodes.select("node", "v", "copies"), shards), "vector-graphs")
+    before = None
     while True:
         links = written(near_links(nodes.select("node", "v"), graphs, shards, threshold, beam), "vector-links")
-        found = audit(nodes, links, threshold)
-        if found is None or found >= recall or beam >= n:
+        total = links.agg(F.coalesce(F.sum("near"), F.lit(0))).first()[0]
+        found, seen = audit(nodes, links, threshold)
+        good = found is None or found >= recall
+        if beam >= n or (good and (seen >= LINKS_SEEN or total == before)):
             break
-        beam *= 2
+        beam, before = 2 * beam, total
     groups = connected_components(links)
     degree = links.groupBy(F.col("a").alias("node")).agg(F.sum("near").alias("near"))
     placed = nodes.join(groups, "node", "left").join(degree, "node", "left")
@@ -343,4 +352,4 @@ def near_vectors(
     by_node = placed.join(named, "label").select("v", "component_id", (F.col("near") + F.col("copies") - 1).alias("n_links"))
     linked = good.join(by_node, "v").select("id", "n_links", "component_id")
     alone = units.where("v IS NULL").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    return linked.unionByName(alone).withColumns({"kept": F.col("id").eqNullSafe(F.col("component_id")), "audited_recall": F.lit(found).cast("double")})
+    return linked.unionByName(alone).withColumns({"kept": F.col("id").eqNullSafe(F.col("component_id")), "audited_recall": F.lit(found).cast("double"), "audited_links": F.lit(seen).cast("long")})

@@ -142,7 +142,7 @@ def pack(
     shards = max(1, -(-small.count() // per_shard))
     small = small.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)))
 
-    def place(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def place(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "piece", "ids_crc32"], kind="stable").reset_index(drop=True)
         lengths = pdf["length"].to_numpy(np.int64)
         alone = (lengths.astype(float) ** 2 > cost_limit) & (lengths > 0)

@@ -67,7 +67,7 @@ def op4_token_counts_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_vectors.near_vectors(read_table(spark, sf_dir, "embeddings"))
-    return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", "kept", "audited_recall")
+    return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", "kept", "audited_recall", "audited_links")
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
