@@ -340,8 +340,8 @@ def near_vectors(
         links = written(near_links(nodes.select("node", "v"), graphs, shards, threshold, beam), "vector-links")
         total = links.agg(F.coalesce(F.sum("near"), F.lit(0))).first()[0]
         found, seen = audit(nodes, links, threshold)
-        good = found is None or found >= recall
-        if beam >= n or (good and (seen >= LINKS_SEEN or total == before)):
+        enough = found is None or found >= recall
+        if beam >= n or (enough and (seen >= LINKS_SEEN or total == before)):
             break
         beam, before = 2 * beam, total
     groups = connected_components(links)

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varloom.llm.common import written
+from varloom.llm.common import releasing, written
 
 #: Bytes of text encoded together (a longer text alone), which bounds a task's memory.
 TEXT_AT_ONCE = 8 << 20
@@ -37,7 +37,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, id_col: str
             for at, to in zip(np.r_[0, 1 + np.flatnonzero(np.diff(share))], np.r_[1 + np.flatnonzero(np.diff(share)), len(sizes)], strict=True):
                 yield _pieces(batch["doc_id"][at:to], *table.encode_column(batch["text"][at:to]), capacity, end_id)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(encode, PIECES)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(releasing(encode), PIECES)
 
 
 def _pieces(doc_ids: pa.Array, ids: np.ndarray, counts: np.ndarray, capacity: int, end_id: int) -> pa.RecordBatch:

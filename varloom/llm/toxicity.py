@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varloom.llm.common import cut, first_by_hash, remainder, written
+from varloom.llm.common import cut, first_by_hash, release, remainder, written
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Characters of a word's stem, whose statistics are the prior of the word's own.
@@ -211,7 +211,9 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel | None, text_col: str =
 
     @F.pandas_udf("score double, segments int")
     def judge(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([shared.value.score(t) for t in texts], columns=["score", "segments"])
+        told = pd.DataFrame([shared.value.score(t) for t in texts], columns=["score", "segments"])
+        release()
+        return told
 
     judged = named.withColumn("__tox_judged", judge(F.col(text_col)))
     return judged.select(*named.columns, F.col("__tox_judged.score").alias("tox_score"), F.col("__tox_judged.segments").alias("tox_segments"))
