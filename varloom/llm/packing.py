@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varloom.llm.common import releasing, written
+from varloom.llm.tokens import MEMORY, word_ids
 
 #: Bytes of text encoded together (a longer text alone), which bounds a task's memory.
 TEXT_AT_ONCE = 8 << 20
@@ -23,14 +24,12 @@ WEIGHTS = np.array([1.0, 0.25, 0.25])
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, text_at_once: int = TEXT_AT_ONCE) -> DataFrame:
+def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, text_at_once: int = TEXT_AT_ONCE, words: int = MEMORY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): the ids of every whole text and one end id, cut only where longer than
-    capacity. A worker codes text_at_once bytes of texts in step: fewer take less memory and more time. The texts stay in the tasks that read them; what leaves is a few numbers a piece."""
+    capacity. A worker codes text_at_once bytes of texts in step and remembers some `words`: fewer take less memory and more time. The texts stay in the tasks that read them; what leaves is a few numbers a piece."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from varloom.llm.tokens import word_ids
-
-        table = word_ids(tokenizer_path)
+        table = word_ids(tokenizer_path, words)
         for batch in batches:
             sizes = np.nan_to_num(pc.binary_length(batch["text"]).to_numpy(zero_copy_only=False).astype(float))
             share = np.floor(np.cumsum(sizes) / text_at_once)
@@ -163,10 +162,10 @@ def pack(
     return packed.unionByName(whole)
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", text_at_once: int = TEXT_AT_ONCE, **limits) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", text_at_once: int = TEXT_AT_ONCE, words: int = MEMORY, **limits) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for every document.
 
     NULL and empty texts are the end id alone. NULL ids are packed like any other. Very long texts are cut to pieces of the
     capacity. An empty table gives no rows. Other columns of docs are ignored.
     """
-    return pack(cut_pieces(docs, tokenizer_path, capacity, id_col, text_col, text_at_once=text_at_once), capacity, **limits)
+    return pack(cut_pieces(docs, tokenizer_path, capacity, id_col, text_col, text_at_once=text_at_once, words=words), capacity, **limits)

@@ -39,7 +39,8 @@ def specials(path: str) -> list[str]:
 class WordIds:
     """Token ids of texts for a tokenizer that drops white space, and so encodes each blank-separated word by itself."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, words: int = MEMORY):
+        self.words = words
         self.library = tokenizer(path)
         self.specials = specials(path)
         self.known: dict[str, bytes] = {}
@@ -85,7 +86,7 @@ class WordIds:
     def lookup(self, words: list[str]) -> list[bytes]:
         """The ids of each word as bytes; unknown ones are encoded together. When the table is full it becomes the older
         one, from which words that occur again come back, so that frequent words are never forgotten."""
-        if len(self.known) > MEMORY:
+        if len(self.known) > self.words:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
         missing = [w for w in words if w not in known]
@@ -137,15 +138,15 @@ class PieceCounts:
         return sum([known[p] for p in pieces])
 
 
-_word_ids: dict[str, WordIds] = {}
+_word_ids: dict[tuple[str, int], WordIds] = {}
 _piece_counts: dict[str, PieceCounts] = {}
 
 
-def word_ids(path: str) -> WordIds:
-    """One table a process, so that later tasks of the same worker find the words of earlier ones."""
-    if path not in _word_ids:
-        _word_ids[path] = WordIds(path)
-    return _word_ids[path]
+def word_ids(path: str, words: int = MEMORY) -> WordIds:
+    """One table a process, so that later tasks of the same worker find the words of earlier ones; it holds at most twice so many words."""
+    if (path, words) not in _word_ids:
+        _word_ids[path, words] = WordIds(path, words)
+    return _word_ids[path, words]
 
 
 def piece_counts(path: str) -> PieceCounts:
