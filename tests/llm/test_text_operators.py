@@ -98,6 +98,26 @@ def test_simhash_equals_brute_force(odd, none, sample):
     assert simhash.simhash_groups(none).count() == 0
 
 
+@pytest.mark.parametrize("radius", [1, 2])
+def test_simhash_tally_turns_pairs_away_and_long_lists_lose_nothing(spark, radius):
+    rng = np.random.default_rng(5)
+    base = rng.integers(-(2**63), 2**63, 40, dtype=np.int64)
+    near = np.concatenate([base, *[base ^ np.int64(1 << int(i)) for i in rng.integers(0, 62, 6)], *[base ^ np.int64((1 << int(i)) | 3) for i in rng.integers(2, 62, 6)]])
+    one_block = (base[0] & ~np.int64(0xFFFFFFFF)) | rng.integers(0, 2**32, 3_000, dtype=np.int64)
+    fps = np.unique(np.r_[near, one_block])
+    bits = np.bitwise_count((fps[:, None] ^ fps[None, :]).view(np.uint64))
+    want = {(int(fps[i]), int(fps[j])) for i, j in np.argwhere(bits <= radius) if i < j}
+    table = spark.createDataFrame([(int(f),) for f in fps], "fp long").repartition(3)
+    whole = lambda links: {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(sorted(links), "a long, b long")).collect()}
+    true = whole(want)
+    for longest in (8, 10_000):
+        links = {tuple(sorted(r)) for r in simhash.near_links(table, radius, longest).collect()}
+        assert links <= want and whole(links) == true
+    mine = np.sort(one_block)
+    pairs, low = simhash.counted(mine, np.zeros(len(mine), np.int64), np.full(len(mine), [f.tolist() for f in simhash.FREE].index([0, 1, 2, 3])), radius)
+    assert low > 10_000 and (np.bitwise_count((mine[pairs[:, 0]] ^ mine[pairs[:, 1]]).view(np.uint64)) <= radius).all()
+
+
 def test_simhash_links_of_random_fingerprints(spark):
     rng = np.random.default_rng(5)
     base = rng.integers(-(2**62), 2**62, 40)
