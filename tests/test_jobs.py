@@ -235,6 +235,44 @@ def test_reports(spark, tmp_path):
         jobs.case_rank_report(scored, scored.select("case_id", "id"), ["a", "b"], names.limit(1))["ranks"].collect()
 
 
+def test_rank_score_statistics(spark):
+    rows = spark.createDataFrame([(i, (i * 37 % 100) / 100, int(i * 37 % 100 >= 60)) for i in range(100)], "id int, score double, label int")
+    got = {k: v.collect() for k, v in jobs.rank_score_statistics(rows, "id", "score", "label", bins=10).items()}
+    assert len(got["sweep"]) == len(got["folds"]) == 100 and {r["folds"] for r in got["folds"]} == {10}
+    at = {r["i"]: r for r in got["sweep"]}
+    for i in (0, 30, 70):
+        assert at[i]["tp"] == sum(r["score"] >= at[i]["threshold"] and r["label"] for r in rows.collect())
+    best = {r["metric"]: r for r in got["optimum"]}
+    assert best["f1"]["best"] == best["mcc_score"]["best"] == 1 and all(0.59 < v <= 0.6 for v in best["f1"]["thresholds"])
+    assert got["auc"][0][0] == 1 and sum(r["n"] for r in got["histogram"]) == 100
+
+
+def test_report_has_histograms_sizes_and_rows(spark):
+    rows = spark.createDataFrame([(i, "train" if i % 3 else "test", i / 10, i % 2, "w") for i in range(60)], "id int, set string, score double, label int, word string")
+    report = jobs.data_report(rows, "set", "label", ignore=["id"], bins=5, shown=7)
+    assert sum(r["n"] for r in report["histogram_score"].collect()) == 60 and report["profile"].count() > 0
+    shown = report["sample"].collect()
+    assert len(shown) == 7 and sorted(map(str, shown)) == sorted(map(str, jobs.data_report(rows.repartition(5), "set", "label", ignore=["id"], shown=7)["sample"].collect()))
+
+
+def test_calls_are_confirmed_and_losses_told(spark, source, tmp_path):
+    (tmp_path / "known.vcf").write_text("\n".join([*HEAD, BODY[1], "2\t7\tz\tA\tC\t.\t.\tDB\tGT\t0/1"]) + "\n")
+    lost = jobs.confirm_calls(spark, source, str(tmp_path / "known.vcf"), str(tmp_path / "o")).collect()
+    kept, rest = (text_of(tmp_path / "o" / n) for n in ("kept", "rest"))
+    assert kept[: len(HEAD)] == rest[: len(HEAD)] == HEAD and [x.split("\t")[2] for x in kept[len(HEAD) :]] == ["a"]
+    left = {tuple(x.split("\t")[i] for i in (0, 1, 3, 4)) for x in rest[len(HEAD) :]}
+    assert {(r["chrom"], str(r["pos"]), r["ref"], ",".join(r["alt"])) for r in lost if r["side"] == "a"} == left
+    assert [r["pos"] for r in lost if r["side"] == "b"] == [7]
+
+
+def test_negatives_join_the_labelled_file(spark, source, tmp_path):
+    (tmp_path / "neg.vcf").write_text("\n".join([*HEAD, "1\t20\tn\tA\tC\t5\tPASS\tDB\tGT\t0/1"]) + "\n")
+    jobs.label_with_negatives(spark, source, str(tmp_path / "neg.vcf"), str(tmp_path / "o"))
+    body = [x.split("\t") for x in text_of(tmp_path / "o/all") if not x.startswith("#")]
+    assert [(x[0], x[1]) for x in body] == [("1", "10"), ("1", "20"), ("1", "30"), ("2", "5"), ("2", "9")]
+    assert [x[2] for x in body if "benign" in x[7]] == ["n"]
+
+
 def test_commands(spark, source, tmp_path, capsys):
     assert jobs.main(["nothing"]) == 2 and "vcf2csv" in capsys.readouterr().out
     assert jobs.main(["vcf2csv", str(tmp_path / "c"), source]) == 0 and list(Path(tmp_path / "c").glob("part-*"))

@@ -20,7 +20,7 @@ from varloom.operators import profiles as O
 from varloom.operators import ranking as R
 from varloom.operators import thresholds as T
 from varloom.operators.base import numbered, settled
-from varloom.operators.splits import split_by_source
+from varloom.operators.splits import folds, split_by_source
 from varloom.sources import tables, vcf
 
 
@@ -186,8 +186,31 @@ def rank_score_report(reference: DataFrame, test: DataFrame, key: str, raw: str,
     return {"integrity": s, "drift": joined.where(F.col("drift").isNull() | (F.abs("drift") >= tolerance)).select(key, "drift")}
 
 
-def data_report(df: DataFrame, group: str, label: str, allow: list[str] | None = None, ignore: list[str] = ()) -> dict[str, DataFrame]:
-    """Label shares, missing values, correlations, quartiles and word counts of a data set."""
+def rank_score_statistics(df: DataFrame, key: str, score: str, label: str, steps: int = 100, bins: int = 1000) -> dict[str, DataFrame]:
+    """How well a score tells the classes apart, by threshold over its own range.
+
+    sweep: matrix and metrics at each threshold; folds: mean and deviation of MCC and F1 over ten folds in the order of the key;
+    optimum: for both metrics the best value and all thresholds that reach it; auc: exact; histogram: by label.
+    """
+    x, y = F.col(score), F.col(label)
+    rows = settled(df.select(key, score, label))
+    grid = F.broadcast(T.data_grid(rows, x, steps))  # one row
+    whole = T.with_metrics(T.sweep(rows.crossJoin(grid), x, y, F.col("steps")))
+    parts = T.with_metrics(T.sweep(folds(rows, [F.col(key)]).crossJoin(grid), x, y, F.col("steps"), by=["fold"]))
+    spread = [f(m).alias(f"{m}_{n}") for m in ("mcc_score", "f1") for n, f in (("mean", F.avg), ("std", F.stddev_pop))]
+    best = [T.optimum(whole, m).withColumn("metric", F.lit(m)) for m in ("mcc_score", "f1")]
+    return {
+        "sweep": whole,
+        "folds": parts.groupBy("i", "threshold").agg(F.count("*").alias("folds"), *spread),
+        "optimum": best[0].unionByName(best[1]),
+        "auc": T.roc_auc(rows, x, y),
+        "histogram": O.data_histogram(rows, x, bins, [label]),
+    }
+
+
+def data_report(df: DataFrame, group: str, label: str, allow: list[str] | None = None, ignore: list[str] = (), bins: int = 1000, shown: int = 20) -> dict[str, DataFrame]:
+    """Label shares, missing values, correlations, quartiles, histograms, word counts, sizes and `shown` rows of a data set. The rows
+    are those of the smallest digests, so the same ones each time."""
     rows = O.chosen_columns(df, allow, [c for c in ignore if c not in (group, label)])
     numbers = [c for c in O.numeric_columns(rows) if c not in (group, label)]
     texts = [c for c, t in rows.dtypes if t == "string" and c not in (group, label)]
@@ -196,6 +219,9 @@ def data_report(df: DataFrame, group: str, label: str, allow: list[str] | None =
         "missing": O.missing_ratio(rows, [*numbers, *texts], group, label),
         **({"correlation": O.correlations(rows, numbers)} if len(numbers) > 1 else {}),
         "quartiles": O.box_summary(rows, [group], numbers),
+        "profile": O.dataset_profile(rows, [group]),
+        "sample": rows.orderBy(F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns])))).limit(shown),
+        **{f"histogram_{c}": O.data_histogram(rows, F.col(c), bins, [group]) for c in numbers},
         **{f"words_{c}": O.word_occurrence(rows, c, label) for c in texts},
     }
 
@@ -229,6 +255,23 @@ def label_vcf(spark: SparkSession, path: str, out: str, kind: str, label: str =
     vcf.write(head.unionByName(top).unionByName(vcf.render(made).select("value", "at", F.lit(0).alias("place"))), out)
 
 
+def confirm_calls(spark: SparkSession, path: str, confirmed: str, out: str) -> DataFrame:
+    """One file split by allele and parted: out/kept holds the records whose site the confirmed file has, out/rest the others, both in
+    order under the file's header. Returned: the sites that only one of the two files has (side a: this file, b: the confirmed one)."""
+    text = vcf.lines(spark, path)
+    known = settled(vcf.split_alleles(vcf.records(vcf.lines(spark, confirmed))).select(*J.SITE).distinct())
+    for name, how in (("kept", "left_semi"), ("rest", "left_anti")):
+        vcf.write(vcf.annotated(text, lambda rows, how=how: vcf.split_alleles(rows).join(known, J.SITE, how), []), f"{out}/{name}")
+    return J.only_one_side(vcf.split_alleles(vcf.records(text)), known, J.SITE)
+
+
+def label_with_negatives(spark: SparkSession, positives: str, negatives: str, out: str, kind: str = "mutacc") -> None:
+    """Both files labelled, pathogenic and benign (out/positives, out/negatives), and their sorted concatenation (out/all)."""
+    for path, name, label in ((positives, "positives", "pathogenic"), (negatives, "negatives", "benign")):
+        label_vcf(spark, path, f"{out}/{name}", kind, label)
+    concat_vcfs(spark, [f"{out}/positives", f"{out}/negatives"], f"{out}/all")
+
+
 def vcf_to_csv(spark: SparkSession, paths: list[str], out: str) -> None:
     """All annotations that occur as columns, with a header; missing ones empty, number columns as numbers."""
     vcf.flatten(vcf.records(vcf.lines(spark, paths)), cast=True).write.mode("errorifexists").option("header", True).csv(out)
@@ -246,6 +289,8 @@ COMMANDS: dict[str, Callable[..., object]] = {
     "concat-vcfs": lambda spark, out, *paths: concat_vcfs(spark, list(paths), out),
     "vcf2csv": lambda spark, out, *paths: vcf_to_csv(spark, list(paths), out),
     "label-vcf": lambda spark, path, out, kind, *more: label_vcf(spark, path, out, kind, *more),
+    "confirm-calls": lambda spark, path, confirmed, out: confirm_calls(spark, path, confirmed, out).show(100, False),
+    "label-with-negatives": lambda spark, positives, negatives, out: label_with_negatives(spark, positives, negatives, out),
     "gated-scores": lambda spark, path, out, a, g: gated_scores(spark, path, out, a, g),
     "compile-vcf": lambda spark, out, labels, *paths: compile_vcf(spark, list(paths), out, dict(x.split("=") for x in labels.split(","))),
     "train": lambda spark, path, model: train_on_set(spark, path, model).show(10, False),
