@@ -255,6 +255,31 @@ def test_near_links_equal_brute_force(spark):
     assert 10 < len(set(group.values())) < len(texts)
 
 
+@pytest.mark.parametrize("stars", [0, 2])
+def test_copies_that_are_only_just_similar(spark, monkeypatch, stars):
+    """One group whose pairs lie on both sides of the threshold, and texts of other sizes around it: the components are those of brute
+    force, whether lists draw further heads or leave all to the rare shingles."""
+    from varloom.llm import near_copies
+    from varloom.llm.components import connected_components
+
+    monkeypatch.setattr(near_copies, "STARS", stars)
+    rng = random.Random(11)
+    base, texts = [f"b{i}" for i in range(220)], []
+    for k in range(90):
+        words = list(base)
+        for at in rng.sample(range(len(words)), rng.randrange(1, 9)):
+            words[at] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(words[: rng.choice([220, 220, 200, 170, 150])] + [f"y{k}"] * (k % 3)))
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").withColumn("node", near_copies.text_key(F.col("text"))).repartition(4)
+    links = near_copies.similar_links(rows.select("node", "text"))
+    named = {bytes(r["node"]): bytes(r["component"]) for r in connected_components(links).collect()}
+    label = {r["i"]: named.get(bytes(r["node"]), bytes(r["node"])) for r in rows.collect()}
+    sets = [set(near_copies.shingles(t).tolist()) for t in texts]
+    group = components(range(len(texts)), lambda i, j: texts[i] == texts[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    assert {(i, j) for i in label for j in label if label[i] == label[j]} == {(i, j) for i in group for j in group if group[i] == group[j]}
+    assert 1 < len(set(group.values())) < len(texts)
+
+
 def test_near_copies_leave_by_similarity(spark, odd, none):
     """Groups of the near-copy stage are those of brute-force Jaccard >= 0.8 over five words."""
     rng = random.Random(3)
