@@ -221,3 +221,31 @@ def test_stream_equals_batch(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("counters").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(map(tuple, spark.table("counters").collect())) == sorted(map(tuple, batch_counters(events).collect()))
+
+
+def test_equal_texts_are_compared_once(spark):
+    """Rows of few texts, NULL tokens among them: the links of the texts are spread over their rows (4,000,000 pairs of rows took minutes each by itself)."""
+    import time
+
+    texts = [["a", "b", "c"], ["a", "b", "d"], ["x", "y"], ["a", None, "b"], [None, None], ["y", "x"], []]
+    rows = [(i, texts[i % 7]) for i in range(2100)]
+    df = spark.createDataFrame([*rows, (None, ["a", "b", "c"]), (5000, None)], "id int, t array<string>")
+    began = time.monotonic()
+    got = J.near_texts(df, "id", "t", asked=F.col("id") % 10 == 0)
+    by = {(r["a"], r["b"]): (r["n"], r["f"]) for r in got.groupBy((F.col("src") % 7).alias("a"), (F.col("dst") % 7).alias("b")).agg(F.count("*").alias("n"), F.max("f").alias("f")).collect()}
+    same, two = (30 * 299, 1.0), (30 * 300, 4 / 6)
+    assert by == {(0, 0): same, (1, 1): same, (2, 2): same, (5, 5): same, (3, 3): (30 * 299, 4 / 6)} | {(i, j): two for i in (0, 1, 3) for j in (0, 1, 3) if i != j}
+    everything = J.near_texts(df, "id", "t").count()
+    assert everything == 900 * 899 + 2 * 300 * 299 and time.monotonic() - began < 90
+
+
+def test_a_frequent_key_is_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(J, "PIECE", 50)
+    monkeypatch.setattr(J, "PAIRS_A_TASK", 1000)
+    rows = spark.range(1000).selectExpr("id AS dst", "if(id < 900, 0, id) AS k")
+    asked = spark.range(20).selectExpr("id AS src", "if(id < 15, 0, 900 + id) AS k")
+    got = J.met(asked, rows, ["k"], "dst").withColumn("p", F.spark_partition_id()).collect()
+    assert sorted((r["src"], r["dst"]) for r in got) == sorted([(i, j) for i in range(15) for j in range(900)] + [(i, 900 + i) for i in range(15, 20)])
+    most = max(sum(r["p"] == p for r in got) for p in {r["p"] for r in got})
+    assert most < len(got) / 2, "no task makes most of the pairs"
+    assert J.met(asked.limit(0), rows, ["k"], "dst").count() == 0
