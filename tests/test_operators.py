@@ -249,3 +249,38 @@ def test_a_frequent_key_is_dealt_over_tasks(spark, monkeypatch):
     most = max(sum(r["p"] == p for r in got) for p in {r["p"] for r in got})
     assert most < len(got) / 2, "no task makes most of the pairs"
     assert J.met(asked.limit(0), rows, ["k"], "dst").count() == 0
+
+
+def test_dot_links_meet_in_blocks(spark, monkeypatch):
+    """Small blocks, NULLs, other lengths and empty vectors: the products are those of plain sums, over the largest."""
+    import random
+
+    monkeypatch.setattr(J, "BLOCK", (3, 5))
+    rng = random.Random(4)
+    vectors = {i: [rng.uniform(-1, 1) for _ in range(6)] for i in range(30)} | {30: None, 31: [1.0, None, 2.0], 32: [1.0, 2.0, 3.0], 33: [], 34: [0.5, -0.5, 0.25]}
+    df = spark.createDataFrame(list(vectors.items()), "id int, v array<double>")
+
+    def dot(a, b):
+        if a is None or b is None or len(a) != len(b) or None in [*a, *b]:
+            return None
+        total = 0.0
+        for x, y in zip(a, b, strict=True):
+            total += x * y
+        return total
+
+    dots = {(i, j): dot(vectors[i], vectors[j]) for i in vectors if i % 3 == 0 for j in vectors}
+    most = max(x for x in dots.values() if x is not None)
+    got = J.dot_links(df.repartition(4), "id", "v", F.col("id") % 3 == 0)
+    assert {(r["src"], r["dst"]): r["strength"] for r in got.collect()} == {k: None if x is None else x / most for k, x in dots.items()}
+    groups = [r["p"] for r in got.select(F.spark_partition_id().alias("p"), "src").where("src = 0").distinct().collect()]
+    assert len(groups) > 1, "one query's links come from several groups"
+    assert J.dot_links(df.limit(0), "id", "v").count() == 0 and J.dot_links(df.where("id = 30"), "id", "v").collect()[0]["strength"] is None
+
+
+def test_rounded_is_round(spark):
+    from varloom.functions.metrics import rounded
+
+    values = [0.0, -0.0, 0.5, 0.1234565, -0.1234565, 2.5e-6, -1e-9, 0.9999995, 1 / 3, -2 / 3, 123456.7890125, 1e300, float("inf"), float("nan"), None]
+    df = spark.createDataFrame([(v,) for v in values], "x double").unionByName(spark.range(20000).select((F.sin(F.col("id")) * 3).alias("x"))).unionByName(spark.range(2000).select((F.col("id") / 2e6).alias("x")))
+    same = rounded(F.col("x"), 6).eqNullSafe(F.round("x", 6)) & (rounded(F.col("x"), 6).cast("string").eqNullSafe(F.round("x", 6).cast("string")))
+    assert df.where(~same).count() == 0
