@@ -284,3 +284,18 @@ def test_rounded_is_round(spark):
     df = spark.createDataFrame([(v,) for v in values], "x double").unionByName(spark.range(20000).select((F.sin(F.col("id")) * 3).alias("x"))).unionByName(spark.range(2000).select((F.col("id") / 2e6).alias("x")))
     same = rounded(F.col("x"), 6).eqNullSafe(F.round("x", 6)) & (rounded(F.col("x"), 6).cast("string").eqNullSafe(F.round("x", 6).cast("string")))
     assert df.where(~same).count() == 0
+
+
+def test_near_numbers_deal_a_frequent_value(spark, monkeypatch):
+    """Most rows share one value: its pairs come from many tasks, and all are those of brute force."""
+    monkeypatch.setattr(J, "PIECE", 20)
+    monkeypatch.setattr(J, "PAIRS_A_TASK", 500)
+    xs = {i: 1.0 if i < 240 else float(i % 17) * 0.05 for i in range(300)} | {300: None, 301: 40.0}
+    df = spark.createDataFrame(list(xs.items()), "id int, x double")
+    got = J.near_numbers(df, "id", ["x"], asked=F.col("id") % 10 == 0).withColumn("p", F.spark_partition_id()).collect()
+    known = [x for x in xs.values() if x is not None]
+    mean = sum(known) / len(known)
+    width = 0.05 * (sum((x - mean) ** 2 for x in known) / (len(known) - 1)) ** 0.5
+    want = {(i, j) for i in xs if i % 10 == 0 and xs[i] is not None for j in xs if i != j and xs[j] is not None and abs(xs[i] - xs[j]) <= width}
+    assert len(got) == len(want) and {(r["src"], r["dst"]) for r in got} == want
+    assert max(sum(r["p"] == p for r in got) for p in {r["p"] for r in got}) < len(got) / 3
