@@ -299,3 +299,18 @@ def test_near_numbers_deal_a_frequent_value(spark, monkeypatch):
     want = {(i, j) for i in xs if i % 10 == 0 and xs[i] is not None for j in xs if i != j and xs[j] is not None and abs(xs[i] - xs[j]) <= width}
     assert len(got) == len(want) and {(r["src"], r["dst"]) for r in got} == want
     assert max(sum(r["p"] == p for r in got) for p in {r["p"] for r in got}) < len(got) / 3
+
+
+def test_record_lines_are_compiled(spark, capsys):
+    """The JVM never compiles a method of over 8,000 bytes: a line that is made again for each mention took 100 microseconds and more a record."""
+    import re
+
+    from varloom.plans import records
+
+    rows = vcf.records(records.lines(spark, "/root/testdata/sf0.001"))
+    for df in (rows.select("chrom", "pos", "id"), vcf.flatten(rows, ["CSQ", "DB", "Frq", "RankScore"])):
+        df.explain("codegen")
+        sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+        assert sizes and max(sizes) < 8000
+    odd = spark.createDataFrame([("",), ("#x",), (None,), ("##INFO=<ID=a>",), ("1\t5\t.\tA\tT,C\t.\t.\tDB;X=1",)], "value string")
+    assert [(r["chrom"], r["pos"], r["id"], r["alt"], r["info"]) for r in vcf.records(odd).where("pos > 0").collect()] == [("1", 5, None, ["T", "C"], {"DB": None, "X": "1"})]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from varloom.functions import parsing as P
 from varloom.plans.registry import query
 from varloom.operators.base import shared_path
-from varloom.plans.vehicles import V_SCORED, choose, scored, table
+from varloom.plans.vehicles import V_SCORED, choose, from_array, scored, table
 from varloom.sources import tables, vcf
 
 FIELDS = ["Allele", "Consequence", "IMPACT"]
@@ -22,17 +22,20 @@ TERMS = (
     "regulatory_region_ablation", "regulatory_region_amplification", "regulatory_region_variant", "intergenic_variant", "sequence_variant",
 )
 
-#: A line and the values behind it; {s} is the engine's string type.
+#: A line and the values behind it; {s} is the engine's string type, {first} and {second} are terms.
 _BASE = [
     "p_partkey AS n", "concat('chr', cast(1 + p_partkey % 22 AS {s})) AS chrom", "p_partkey + 1000 AS pos", "concat('v', cast(p_partkey AS {s})) AS id",
     "CASE p_partkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'AC' ELSE 'G' END AS ref", "CASE p_partkey % 4 WHEN 0 THEN 'T,C' ELSE 'T' END AS alt", "cast(p_size AS {s}) AS score", "p_size AS score_n",
-    f"concat({choose('p_partkey', TERMS)}, CASE p_partkey % 6 WHEN 0 THEN '&splice_region_variant' WHEN 1 THEN '&NMD_transcript_variant' ELSE '' END) AS c1", f"{choose('p_partkey * 7 + p_partkey / 41', TERMS)} AS c2",
+    "concat({first}, CASE p_partkey % 6 WHEN 0 THEN '&splice_region_variant' WHEN 1 THEN '&NMD_transcript_variant' ELSE '' END) AS c1", "{second} AS c2",
 ]
-_SQL = "b AS (SELECT " + ", ".join(c.format(s="VARCHAR") for c in _BASE) + " FROM part)"
+
+
+def _filled(string: str, pick) -> list[str]:
+    return [c.format(s=string, first=pick("p_partkey", TERMS), second=pick("p_partkey * 7 + p_partkey / 41", TERMS)) for c in _BASE]
 
 
 def _base(spark, d):
-    return table(spark, d, "part").selectExpr(*[c.format(s="string") for c in _BASE])
+    return table(spark, d, "part").selectExpr(*_filled("string", from_array))
 
 
 #: FORMAT values: two alleles called where there are two, and some without depths.
@@ -40,7 +43,7 @@ _BASE += [
     "CASE WHEN p_partkey % 4 = 0 THEN '1/2' WHEN p_partkey % 4 = 1 THEN '0|1' ELSE '1/1' END AS gt",
     "CASE WHEN p_partkey % 8 = 0 THEN '.' WHEN p_partkey % 4 = 0 THEN '4,20,6' ELSE '4,26' END AS ad",
 ]
-_SQL = "b AS (SELECT " + ", ".join(c.format(s="VARCHAR") for c in _BASE) + " FROM part)"
+_SQL = "b AS (SELECT " + ", ".join(_filled("VARCHAR", choose)) + " FROM part)"
 _INFO = "concat('RankScore=fam:', score, ';DB;CSQ=T|', c1, '|HIGH,T|', c2, '|LOW', CASE WHEN n % 10 = 0 THEN '' ELSE ';Frq=' || printf('%.4f', (n % 100)/1e4) END)"
 _QUAL = "CASE WHEN n % 3 = 0 THEN '.' ELSE concat(score, '.50') END"
 #: Fixed header lines, the two ends of the header of the files.

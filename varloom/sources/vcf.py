@@ -25,6 +25,11 @@ def file_key(text: DataFrame, pattern: str = r"([^/_]+)[^/]*$", name: str = "cas
     return text.withColumn(name, F.regexp_extract("file", pattern, 1))
 
 
+def is_record() -> Column:
+    """Whether a line (value) is a record: neither blank nor of the header; reads it once."""
+    return ~F.substring("value", 1, 1).isin("", "#")
+
+
 def records(text: DataFrame, parsers: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
     """Record lines to columns: INFO as a map in the order of the file (keys without a value map to NULL), ALT as an array, '.' as
     NULL; QUAL as a number and as it stood.
@@ -32,11 +37,12 @@ def records(text: DataFrame, parsers: dict[str, Callable[[Column], Column]] | No
     A key that is given twice is an error. `parsers` adds a column for each named INFO field, parsed by the given function of
     its text; only those fields are looked up.
     """
-    parts = F.split("value", "\t")
+    parts = F.col("__parts")
     part = lambda i: F.nullif(F.get(parts, F.lit(i)), F.lit("."))
-    rows = text.where(~F.col("value").startswith("#") & (F.col("value") != ""))
+    # Split once, and only the lines that are records: what makes the line may be long, and each mention of it would be made again.
+    rows = text.where(is_record()).select(F.when(is_record(), F.split("value", "\t")).alias("__parts"), *[c for c in text.columns if c != "value"])
     out = rows.select(
-        part(0).alias("chrom"), F.when(~F.col("value").startswith("#"), part(1)).cast("long").alias("pos"), part(2).alias("id"), part(3).alias("ref"), F.split(part(4), ",").alias("alt"), part(5).try_cast("double").alias("qual"), part(6).alias("filter"),
+        part(0).alias("chrom"), part(1).cast("long").alias("pos"), part(2).alias("id"), part(3).alias("ref"), F.split(part(4), ",").alias("alt"), part(5).try_cast("double").alias("qual"), part(6).alias("filter"),
         F.str_to_map(part(7), F.lit(";"), F.lit("=")).alias("info"), part(8).alias("format"), F.slice(parts, 10, F.greatest(F.lit(0), F.size(parts) - 9)).alias("samples"), part(5).alias("qual_text"),
         *[c for c in text.columns if c != "value"],
     )
