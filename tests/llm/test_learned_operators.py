@@ -404,6 +404,26 @@ def test_topics_are_learned_within_languages(spark, none):
         mixing.mix(docs, targets={"lang": spark.createDataFrame([("en", 1.0), ("xx", 1.0)], "lang string, target double")}, topic_col="subject")
 
 
+def test_topics_are_counted_over_all_documents(spark):
+    """Slot weights, means and centroids are those of every document, however few the search begins with."""
+    rng = np.random.default_rng(5)
+    words = [[f"{s}{k}" for k in range(30)] for s in ("sea", "law", "art")]
+    rows = [(i, " ".join(rng.choice(words[i % 3], 40)), ("en", None)[i % 2]) for i in range(240)]
+    docs = spark.createDataFrame([*rows, (500, "", "en")], "doc_id long, text string, lang string").repartition(5)
+    model = topics.fit_topics(docs, 3, sample=12)
+    texts, langs = [t for _, t, _ in rows] + [""], [la or "" for _, _, la in rows] + ["en"]
+    vectors = np.stack([topics.word_vector(t) for t in texts]).astype(float)
+    weights = np.log((1 + len(texts)) / (1 + (vectors > 0).sum(0))) + 1
+    assert np.allclose(model.weights, weights)
+    for name in ("en", ""):
+        assert np.allclose(model.means[name], (vectors * weights)[[la == name for la in langs]].mean(0), atol=1e-6)
+    unit, named = model.residuals(vectors, langs), model.names(texts, langs)
+    for k, centroid in enumerate(model.centroids):
+        own = unit[[t == f"t{k}" for t in named]].sum(0)
+        assert np.allclose(centroid, own / np.linalg.norm(own), atol=1e-3)
+    assert named[-1] == "none" and len({named[i] for i in range(3)}) == 3
+
+
 def test_copies_meet_targets_and_budget(spark):
     """Where a value has fewer tokens than its share of the budget, repeats reach the target; the report says what the draw misses."""
     rows = [(i, "w " * 20 + ("!!" if i % 20 == 0 else "."), "es" if i % 11 == 0 else "en", "hot" if i % 3 else f"s{i % 7}", 40) for i in range(6000)]

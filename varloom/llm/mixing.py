@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varloom.llm.common import written
-from varloom.llm.topics import fit_topics
+from varloom.llm.topics import fit_vectors, place_column, vector_column
 
 DIMENSIONS = ("source", "lang", "topic")
 
@@ -201,12 +201,12 @@ def mix(
     Token weights are raked to the marginals of source, language and topic, given as `targets` (a table of value and target
     for each dimension, in any unit: they are scaled to one total) or, by default, as the token shares to the power `power` (the
     hot source shrinks, small languages grow); a target of a value that no document has is left out, with a warning. The topic is topic_col where docs has
-    one, else one of `topics` clusters over hashed word counts, fitted on a bounded sample (module topics). Every
+    one, else one of `topics` clusters over hashed word counts, learned from all documents (module topics). Every
     document of a cell is kept with the cell's probability, which is raked under the bound of 1: values that have fewer tokens
     than their share of the budget are kept whole. mix_copies, how often a document is taken if it may be taken repeatedly,
     meets the targets and the budget at once.
 
-    NULL source, lang or topic is a value of its own, ''; NULL and empty texts have no tokens and are kept with their cell's
+    NULL source, lang or topic, or a table without that column, is a value of its own, ''; NULL and empty texts have no tokens and are kept with their cell's
     probability; a NULL id is drawn as the text "null". Repeated rows share one draw. Columns of docs with the new names are
     replaced; `carry` names the columns to return, all by default. An empty table gives no rows. Texts are measured once: the
     columns to return and the measures are written, and cells and rates work on those. Nothing is capped: a cell that holds a
@@ -214,13 +214,17 @@ def mix(
     """
     new = ("mix_topic", "mix_tokens", "mix_weight", "mix_rate", "mix_kept", "mix_copies")
     if topic_col is None:
-        topic = fit_topics(docs, topics, id_col, text_col).column(F.col(text_col), F.coalesce("lang", F.lit("")))
+        held = {"__place": place_column(id_col, text_col), "__vector": vector_column(F.col(text_col))}
     else:
-        topic = F.coalesce(F.col(topic_col).cast("string"), F.lit(""))
+        held = {"__topic": F.coalesce(F.col(topic_col).cast("string"), F.lit(""))}
     names = [c for c in (docs.columns if carry is None else carry) if c not in new]
     ids = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    measures = {"__source": F.coalesce("source", F.lit("")), "__lang": F.coalesce("lang", F.lit("")), "__topic": topic, "__tokens": n_words(F.col(text_col)), "__draw": uniform(ids)}
+    value = lambda c: F.coalesce(F.col(c), F.lit("")) if c in docs.columns else F.lit("")
+    measures = {"__source": value("source"), "__lang": value("lang"), **held, "__tokens": n_words(F.col(text_col)), "__draw": uniform(ids)}
     rows = written(docs.select(*names, *[c.alias(n) for n, c in measures.items()]), "mix-rows")
+    if topic_col is None:
+        model = fit_vectors(rows.select(F.col("__place").alias("place"), F.col("__lang").alias("lang"), F.col("__vector").alias("vector")), topics)
+        rows = rows.withColumn("__topic", model.of_vectors(F.col("__vector"), F.col("__lang"))).drop("__place", "__vector")
     cells = written(rows.groupBy(F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic")).agg(F.sum("__tokens").alias("tokens")), "mix-cells")
     goals = {d: written(tempered(cells, d, power) if targets is None else scaled(cells, d, targets[d]), f"mix-{d}") for d in (DIMENSIONS if targets is None else targets)}
     few = cells.limit(DRIVER_CELLS + 1).count() <= DRIVER_CELLS

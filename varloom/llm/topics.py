@@ -1,27 +1,47 @@
-"""Topics of documents that have none: clusters over hashed word counts, fitted on a bounded sample, every document assigned."""
+"""Topics of documents that have none: clusters over hashed word counts, learned from every document."""
 
 from __future__ import annotations
 
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from varloom.llm.common import release
+from varloom.llm.common import release, releasing, written
 
-#: Documents that the clusters are fitted on at most, slots of a word vector, rounds of a fit, and fits of which the best stays.
+#: Documents among which the first centroids are sought at most, slots of a word vector, rounds of a fit, and searches of which the best starts it.
 SAMPLE, SLOTS, ROUNDS, STARTS = 4000, 256, 25, 8
+#: Sums over documents are taken of whole numbers, this many to one, so that their order does not matter; centroids that move less than MOVED have settled.
+UNIT, MOVED = 1 << 24, 1e-4
 
 
 def word_vector(text: str | None) -> np.ndarray:
-    """log(1 + count) of the words of a whole text by slot; nought for NULL and blank texts."""
+    """log(1 + count) of the words of a whole text by slot, as 32-bit numbers hold it; nought for NULL and blank texts."""
     out = np.zeros(SLOTS)
     for word, n in Counter((text or "").lower().split()).items():
         out[zlib.crc32(word.encode("utf-8", "surrogatepass")) % SLOTS] += n
-    return np.log1p(out)
+    return np.log1p(out).astype("<f4")
+
+
+def vector_column(text: Column) -> Column:
+    """The packed word vector of each text, by Arrow batches."""
+
+    @F.pandas_udf("binary")
+    def vector(texts: pd.Series) -> pd.Series:
+        packed = pd.Series([word_vector(t).tobytes() for t in texts.where(texts.notna(), None)], dtype=object)
+        release()
+        return packed
+
+    return vector(text)
+
+
+def _unpacked(vectors: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(vectors), "<f4").reshape(len(vectors), SLOTS).astype(np.float64)
 
 
 def _spherical_means(unit: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
@@ -45,18 +65,8 @@ def _spherical_means(unit: np.ndarray, k: int, rng: np.random.Generator) -> np.n
 class TopicModel:
     """Slot weights, the mean vector of each language, and unit centroids: what a language has in common is no topic."""
 
-    def __init__(self, vectors: np.ndarray, langs: list[str], topics: int, seed: int = 3):
-        used = (vectors > 0).sum(0)
-        self.weights = np.log((1 + len(vectors)) / (1 + used)) + 1 if len(vectors) else np.ones(SLOTS)
-        weighted = vectors * self.weights
-        names = np.array(langs, dtype=object)
-        self.means = {name: weighted[names == name].mean(0) for name in sorted(set(langs))}
-        self.means[None] = weighted.mean(0) if len(vectors) else np.zeros(SLOTS)
-        unit = self.residuals(vectors, langs)
-        unit = unit[np.abs(unit).sum(1) > 0]
-        rng = np.random.default_rng(seed)
-        fits = [_spherical_means(unit, topics, rng) for _ in range(STARTS if len(unit) else 0)]
-        self.centroids = max(fits, key=lambda c: float((unit @ c.T).max(1).sum()), default=unit)
+    def __init__(self, weights: np.ndarray, means: dict[str | None, np.ndarray], centroids: np.ndarray):
+        self.weights, self.means, self.centroids = weights, means, centroids
 
     def residuals(self, vectors: np.ndarray, langs: list[str]) -> np.ndarray:
         out = vectors * self.weights - np.stack([self.means.get(name, self.means[None]) for name in langs]) if len(vectors) else np.zeros((0, SLOTS))
@@ -64,42 +74,118 @@ class TopicModel:
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, norm, out=np.zeros_like(out), where=norm > 1e-9)
 
-    def names(self, texts: list[str | None], langs: list[str]) -> list[str]:
+    def nearest(self, vectors: np.ndarray, langs: list[str]) -> list[str]:
         """t0, t1, ...: the nearest centroid; none for texts without words, or where nothing was learned."""
         if not len(self.centroids):
-            return ["none"] * len(texts)
+            return ["none"] * len(vectors)
+        unit = self.residuals(vectors, langs)
+        best = (unit @ self.centroids.T).round(9).argmax(1)
+        return [f"t{k}" if v else "none" for k, v in zip(best, unit.any(1), strict=True)]
+
+    def names(self, texts: list[str | None], langs: list[str]) -> list[str]:
         out: list[str] = []
         for at in range(0, len(texts), 500):
-            unit = self.residuals(np.stack([word_vector(t) for t in texts[at : at + 500]]), langs[at : at + 500])
-            best = (unit @ self.centroids.T).round(9).argmax(1)
-            out += [f"t{k}" if v.any() else "none" for k, v in zip(best, unit, strict=True)]
+            out += self.nearest(np.stack([word_vector(t) for t in texts[at : at + 500]]).astype(np.float64), langs[at : at + 500])
         return out
 
     def column(self, text: Column, lang: Column) -> Column:
         """The topic of each row, by Arrow batches."""
+        return self.of_vectors(vector_column(text), lang)
 
-        @F.pandas_udf("string")
-        def topic(texts: pd.Series, langs: pd.Series) -> pd.Series:
-            named = pd.Series(self.names(texts.where(texts.notna(), None).tolist(), langs.tolist()), dtype=object)
-            release()
-            return named
+    def of_vectors(self, vector: Column, lang: Column) -> Column:
+        """The topic of each row from its packed word vector."""
 
-        return topic(text, lang)
+        @F.pandas_udf("string")
+        def topic(vectors: pd.Series, langs: pd.Series) -> pd.Series:
+            held, names, out = vectors.tolist(), langs.tolist(), []
+            for at in range(0, len(held), 2000):
+                out += self.nearest(_unpacked(held[at : at + 2000]), names[at : at + 2000])
+            return pd.Series(out, dtype=object)
+
+        return topic(vector, lang)
+
+
+def _summed(rows: DataFrame, add) -> dict[str, tuple[int, np.ndarray]]:
+    """For each name the count and the sums of whole numbers that add(vectors, langs) gives as (name, n, numbers): summed inside tasks, then by
+    Spark. A name is a language or a centroid, so what comes back is a few hundred numbers for each."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list] = {}
+        for batch in batches:
+            vectors, langs = batch["vector"].to_pylist(), batch["lang"].to_pylist()
+            for at in range(0, len(vectors), 2000):
+                for name, n, numbers in add(_unpacked(vectors[at : at + 2000]), langs[at : at + 2000]):
+                    if name in held:
+                        held[name][0] += n
+                        held[name][1] += numbers
+                    else:
+                        held[name] = [n, numbers.astype(np.int64)]
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(list(held)), pa.array([n for n, _ in held.values()], pa.int64()), pa.array([x.tolist() for _, x in held.values()], pa.list_(pa.int64()))], ["name", "n", "sums"])
+
+    each = rows.mapInArrow(releasing(partial), "name string, n long, sums array<long>").select("name", "n", F.posexplode("sums").alias("at", "x"))
+    out: dict[str, tuple[int, np.ndarray]] = {}
+    for r in each.groupBy("name", "at").agg(F.sum("n").alias("n"), F.sum("x").alias("x")).groupBy("name").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("at", "x"))).alias("xs")).collect():
+        out[r["name"]] = (r["n"], np.array([x["x"] for x in r["xs"]], np.int64))
+    return out
+
+
+def fit_vectors(rows: DataFrame, topics: int = 8, sample: int = SAMPLE) -> TopicModel:
+    """A model of `topics` clusters from all rows (place, lang, vector), which are read once a round and must be written.
+
+    Slot weights, the mean of each language and the centroids are counts and means over every row. Only where the search begins is taken
+    from `sample` rows, those with the smallest place: spherical means of them, the best of STARTS, are the first centroids, and then every
+    round assigns all rows and moves the centroids to the means of theirs, until they have settled. Sums are of whole numbers, so the model is
+    the same on every partitioning. To the driver come SLOTS numbers a language and centroid, and the sample's vectors.
+    """
 
+    def spread(vectors: np.ndarray, langs: list[str]) -> list:
+        names = np.array(langs, dtype=object)
+        return [(name, int(own.sum()), np.r_[np.rint(vectors[own] * UNIT).astype(np.int64).sum(0), (vectors[own] > 0).sum(0)]) for name in set(langs) for own in [names == name]]
+
+    rows = rows.select("place", "lang", "vector")
+    found = _summed(rows, spread)
+    n = sum(c for c, _ in found.values())
+    if not n:
+        return TopicModel(np.ones(SLOTS), {None: np.zeros(SLOTS)}, np.zeros((0, SLOTS)))
+    total = sum(x for _, x in found.values())
+    weights = np.log((1 + n) / (1 + total[SLOTS:])) + 1
+    means: dict[str | None, np.ndarray] = {name: x[:SLOTS] / UNIT / c * weights for name, (c, x) in found.items()}
+    means[None] = total[:SLOTS] / UNIT / n * weights
+    model = TopicModel(weights, means, np.zeros((0, SLOTS)))
+    share = min(1.0, (1.25 * sample + 100) / n)
+    few = rows.where(F.col("place") <= F.lit(share * 2.0**64 - 2.0**63)).orderBy("place", "lang", "vector").limit(sample).collect()
+    unit = model.residuals(_unpacked([bytes(r["vector"]) for r in few]), [r["lang"] for r in few])
+    unit = unit[unit.any(1)]
+    rng = np.random.default_rng(3)
+    fits = [_spherical_means(unit, topics, rng) for _ in range(STARTS if len(unit) else 0)]
+    model.centroids = max(fits, key=lambda c: float((unit @ c.T).max(1).sum()), default=np.zeros((0, SLOTS)))
+    for _ in range(ROUNDS if len(model.centroids) else 0):
+
+        def assigned(vectors: np.ndarray, langs: list[str], model: TopicModel = model) -> list:
+            unit = model.residuals(vectors, langs)
+            unit = unit[unit.any(1)]
+            best, whole = (unit @ model.centroids.T).round(9).argmax(1), np.rint(unit * UNIT).astype(np.int64)
+            return [(str(k), int((best == k).sum()), whole[best == k].sum(0)) for k in np.unique(best)]
+
+        sums = _summed(rows, assigned)
+        moved = np.stack([sums[str(k)][1] / UNIT if str(k) in sums else c for k, c in enumerate(model.centroids)])
+        norm = np.linalg.norm(moved, axis=1, keepdims=True)
+        moved = np.where(norm > 1e-9, moved / np.maximum(1e-12, norm), model.centroids)
+        settled = np.abs(moved - model.centroids).max() <= MOVED
+        model = TopicModel(weights, means, moved)
+        if settled:
+            break
+    return model
 
-def fit_topics(docs: DataFrame, topics: int = 8, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> TopicModel:
-    """A model of `topics` clusters from at most `sample` documents, those with the smallest hash of id and length: the same on every partitioning.
 
-    Only the sample's word vectors come to the driver, SLOTS numbers each. NULL languages are a language of their own; an empty
-    table gives a model that names every text none.
-    """
+def place_column(id_col: str, text_col: str) -> Column:
+    """The hash of id and length that orders documents the same on every partitioning."""
+    return F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.octet_length(F.coalesce(F.col(text_col), F.lit(""))))
 
-    @F.pandas_udf("array<double>")
-    def vector(texts: pd.Series) -> pd.Series:
-        return pd.Series([word_vector(t).tolist() for t in texts.where(texts.notna(), None)])
 
-    share = min(1.0, (1.25 * sample + 100) / max(1, docs.count()))
-    place = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.octet_length(F.coalesce(F.col(text_col), F.lit(""))))
-    few = docs.select(place.alias("h"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.col(text_col).alias("text")).where(F.col("h") <= F.lit(share * 2.0**64 - 2.0**63))
-    rows = few.select("h", "lang", vector("text").alias("v")).orderBy("h", "lang", "v").limit(sample).collect()
-    return TopicModel(np.array([r["v"] for r in rows]).reshape(len(rows), SLOTS), [r["lang"] for r in rows], topics)
+def fit_topics(docs: DataFrame, topics: int = 8, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> TopicModel:
+    """fit_vectors of the word vectors of all documents. NULL languages are a language of their own; an empty table gives a model that names
+    every text none."""
+    lang = F.coalesce(F.col(lang_col), F.lit("")).alias("lang")
+    return fit_vectors(written(docs.select(place_column(id_col, text_col).alias("place"), lang, vector_column(F.col(text_col)).alias("vector")), "topic-vectors"), topics, sample)
