@@ -310,3 +310,28 @@ def test_near_copies_leave_by_similarity(spark, odd, none):
     assert sorted(r["doc_id"] for r in stage(spark, docs, SF).collect()) == sorted(want)
     assert stage(spark, none, SF).count() == 0
     assert {r["doc_id"] for r in stage(spark, odd, SF).collect()} == {1, 3, 6, 7, -8}
+
+
+def test_near_copies_are_retrieved_by_simhash(spark, monkeypatch):
+    """The stage asks the index of fingerprints: what its pairs connect is what all pairs of at most two differing bits connect, and its links are verified."""
+    from varloom.llm import near_copies, simhash
+    from varloom.llm.components import connected_components
+
+    rng = random.Random(6)
+    texts = ["", "  ", "a b", "A b"]
+    for _ in range(30):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+        texts.append(" ".join(words))
+        for n in (1, 2):
+            words[rng.randrange(400)] = f"x{n}"
+            texts.append(" ".join(words))
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").withColumn("node", near_copies.text_key(F.col("text"))).repartition(3)
+    named = {bytes(r["node"]): bytes(r["component"]) for r in connected_components(near_copies.simhash_pairs(rows.select("node", "text"), 5)).collect()}
+    label = {r["i"]: named.get(bytes(r["node"]), bytes(r["node"])) for r in rows.collect()}
+    fps = [simhash.fingerprint(t, 5) for t in texts]
+    group = components(range(len(texts)), lambda i, j: ((fps[i] ^ fps[j]) & (2**64 - 1)).bit_count() <= 2)
+    assert {(i, j) for i in label for j in label if label[i] == label[j]} == {(i, j) for i in group for j in group if group[i] == group[j]}
+    assert len(set(group.values())) < len(texts) - 5
+    near_pairs, asked = near_copies.simhash_pairs, []
+    monkeypatch.setattr(near_copies, "simhash_pairs", lambda *a: asked.append(a) or near_pairs(*a))
+    assert dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, rows.select(F.col("i").cast("long").alias("doc_id"), "text"), SF).count() == 32 and len(asked) == 1

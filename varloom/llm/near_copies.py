@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from varloom.llm.common import cut, releasing, written
 from varloom.llm.components import connected_components
-from varloom.llm.simhash import BLOCK, SEED
+from varloom.llm.simhash import BLOCK, SEED, fingerprints, near_links
 
 #: A pair of similarity s shares a band with probability 1 - (1 - s^ROWS)^BANDS: 0.99995 at 0.8.
 BANDS, ROWS = 25, 5
@@ -79,6 +79,17 @@ def sketches_of(texts: DataFrame, words: int) -> DataFrame:
     return texts.select("node", "text").mapInArrow(releasing(sketch), "node binary, n int, keys array<bigint>, " + ", ".join(f"{m} bigint" for m in _MARKS))
 
 
+def simhash_pairs(texts: DataFrame, words: int, radius: int = 2) -> DataFrame:
+    """(a, b): pairs of the texts (node, text; a node may repeat), enough to connect all whose SimHash differs in at most `radius` bits: the inverted
+    index and count filter of module simhash over distinct fingerprints, and the smallest node of each fingerprint against its others."""
+    rows = written(fingerprints(texts, "node", "text", words).withColumnRenamed("id", "node").dropDuplicates(["node"]), "copy-fingerprints")
+    heads = cut(rows.groupBy("fp").agg(F.min("node").alias("head")))
+    same = rows.join(heads, "fp").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    head = lambda x: heads.select(F.col("fp").alias(x), F.col("head").alias(f"h{x}"))
+    near = near_links(heads.select("fp"), radius).join(head("a"), "a").join(head("b"), "b")
+    return same.unionByName(near.select(F.least("ha", "hb").alias("a"), F.greatest("ha", "hb").alias("b"))).distinct()
+
+
 def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
     """(node, s): the distinct shingles of each text as sorted 64-bit hashes, packed."""
 
@@ -181,6 +192,8 @@ def star_pairs(labelled: DataFrame, turn: int) -> DataFrame:
 def similar_links(texts: DataFrame, words: int = 5, similar: float = 0.8) -> DataFrame:
     """(a, b): verified links between the texts (node, text; a node may repeat), enough to connect what the pairs that share a band connect.
 
+    Pairs of near fingerprints come first (SimHash, simhash_pairs) and are verified like all others. A similarity of 0.8 leaves about ten of 64 bits
+    apart, which no index of fingerprints reaches; the pairs that SimHash so misses are found by bands of min-hashes.
     Every member of a band's list is first compared with the list's smallest node: a large group of copies is connected by one comparison a
     member. Groups whose members are only just similar need more heads: up to STARS times each list draws another one, which the members of
     other components are compared with, until no link is new. That takes links early and changes no result.
@@ -192,12 +205,14 @@ def similar_links(texts: DataFrame, words: int = 5, similar: float = 0.8) -> Dat
     postings = sketches.select("node", F.explode("keys").alias("key"))
     lists = postings.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head <> last").select("key", "head")
     members = written(postings.join(lists, "key"), "copy-members")
-    marks = sketches.select("node", "n", *_MARKS).join(members.select("node").distinct(), "node", "left_semi")
+    near = written(simhash_pairs(texts, words), "copy-simhash")
+    asked = members.select("node").unionByName(near.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
+    marks = sketches.select("node", "n", *_MARKS).join(asked, "node", "left_semi")
     marks = written(marks, "copy-marks")
     sets = written(shingle_sets(texts.join(marks.select("node"), "node", "left_semi").dropDuplicates(["node"]), words), "copy-sets")
     sides = {x: _sided(marks.withColumnRenamed("node", x), x, ["n", *_MARKS]) for x in "ab"}
     allowed = lambda pairs: pairs.join(sides["b"], "b").join(sides["a"], "a").where(alike("a", "b", similar)).select("a", "b")
-    stars = members.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    stars = members.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).unionByName(near).distinct()
     links = written(verified(allowed(stars), sets, similar), "copy-links")
     label = lambda: written(members.join(connected_components(links), "node", "left").select("key", "node", F.coalesce("component", "node").alias("label")), "copy-labels")
     labelled = label()
@@ -218,8 +233,7 @@ def similar_links(texts: DataFrame, words: int = 5, similar: float = 0.8) -> Dat
 def keep_one_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similar: float = 0.8) -> DataFrame:
     """docs with one document of each group of similar texts, the one with the smallest id, NULL last (columns unchanged).
 
-    Groups are the connected components of the links of similar_links (MinHash bands retrieve; the pipeline's stage keeps SimHash in its name, but
-    SimHash at two bits finds no pair of this similarity). A row is judged by its id and text together, so that other
+    Groups are the connected components of the links of similar_links (SimHash retrieves, MinHash bands what it misses; all links are verified). A row is judged by its id and text together, so that other
     texts of the same id stay; rows equal in both stay repeated. Texts are told apart by 128 bits of their MD5.
     """
     rows = docs.withColumn("__node", text_key(F.col(text_col)))
