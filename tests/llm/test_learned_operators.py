@@ -512,3 +512,14 @@ def test_graph_recall_over_clusters():
     graph = near_vectors.SmallWorld(x)
     found = sum(len(f) for _, f in graph.search(x, 0.95, 24))
     assert found >= 0.97 * int((x @ x.T >= 0.95).sum())
+
+
+def test_rounds_over_topics_read_blocks(spark):
+    """What a round reads is a row for many vectors of one language; none is lost or mixed up, and many languages are not held at once."""
+    rows = [(i, " ".join(f"w{i * k % 997}" for k in range(1 + i % 30)), f"l{i % 2 if i < 1500 else i}") for i in range(1700)] + [(5000, "", "l0"), (5001, None, "l1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    blocks = topics._blocks(docs.select("lang", topics.vector_column(F.col("text")).alias("vector"))).collect()
+    got = Counter((r["lang"], v) for r in blocks for v in (bytes(r["vectors"][at : at + 4 * topics.SLOTS]) for at in range(0, len(r["vectors"]), 4 * topics.SLOTS)))
+    assert got == Counter((la, topics.word_vector(t).tobytes()) for _, t, la in rows)
+    assert len(blocks) <= 200 + 3 * 2 + len(rows) // topics.BLOCK, "a row a block, not a row a document"
+    assert all(len(r["vectors"]) <= 4 * topics.SLOTS * topics.BLOCK for r in blocks)

@@ -35,10 +35,10 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written once as Parquet in the shared folder and read back: lineage ends there, any executor can reread it."""
+def written(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
+    """df written once as Parquet (with the writer's options) in the shared folder and read back: lineage ends there, any executor can reread it."""
     path = f"{shared_dir(df.sparkSession)}/varloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -18,14 +18,28 @@ from varloom.llm.common import release, releasing, written
 SAMPLE, SLOTS, ROUNDS, STARTS = 4000, 256, 25, 8
 #: Sums over documents are taken of whole numbers, this many to one, so that their order does not matter; centroids that move less than MOVED have settled.
 UNIT, MOVED = 1 << 24, 1e-4
+#: Vectors of one language that a row holds while centroids are sought.
+BLOCK = 256
+
+
+class _Slots(dict):
+    """The slot of each word; those of the first short words that a process meets are remembered."""
+
+    def __missing__(self, word: str) -> int:
+        slot = zlib.crc32(word.encode("utf-8", "surrogatepass")) % SLOTS
+        if len(word) <= 32 and len(self) < 1 << 16:
+            self[word] = slot
+        return slot
+
+
+_slots = _Slots()
 
 
 def word_vector(text: str | None) -> np.ndarray:
     """log(1 + count) of the words of a whole text by slot, as 32-bit numbers hold it; nought for NULL and blank texts."""
-    out = np.zeros(SLOTS)
-    for word, n in Counter((text or "").lower().split()).items():
-        out[zlib.crc32(word.encode("utf-8", "surrogatepass")) % SLOTS] += n
-    return np.log1p(out).astype("<f4")
+    counts = Counter((text or "").lower().split())
+    at = np.fromiter(map(_slots.__getitem__, counts), np.int64, len(counts))
+    return np.log1p(np.bincount(at, np.fromiter(counts.values(), np.float64, len(counts)), SLOTS)).astype("<f4")
 
 
 def vector_column(text: Column) -> Column:
@@ -69,8 +83,13 @@ class TopicModel:
         self.weights, self.means, self.centroids = weights, means, centroids
 
     def residuals(self, vectors: np.ndarray, langs: list[str]) -> np.ndarray:
-        out = vectors * self.weights - np.stack([self.means.get(name, self.means[None]) for name in langs]) if len(vectors) else np.zeros((0, SLOTS))
-        out[~(vectors > 0).any(1)] = 0
+        return self._unit(vectors, np.stack([self.means.get(name, self.means[None]) for name in langs])) if len(vectors) else np.zeros((0, SLOTS))
+
+    def _unit(self, vectors: np.ndarray, mean: np.ndarray) -> np.ndarray:
+        """The weighted vectors less their mean (one for all, or one each) at length 1; 0 for those without words."""
+        out = vectors * self.weights
+        out -= mean
+        out[vectors.max(1) <= 0] = 0
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, norm, out=np.zeros_like(out), where=norm > 1e-9)
 
@@ -82,6 +101,10 @@ class TopicModel:
         best = (unit @ self.centroids.T).round(9).argmax(1)
         return [f"t{k}" if v else "none" for k, v in zip(best, unit.any(1), strict=True)]
 
+    def of_language(self, vectors: np.ndarray, lang: str) -> np.ndarray:
+        """The residuals of vectors of one language."""
+        return self._unit(vectors, self.means.get(lang, self.means[None]))
+
     def names(self, texts: list[str | None], langs: list[str]) -> list[str]:
         out: list[str] = []
         for at in range(0, len(texts), 500):
@@ -105,16 +128,44 @@ class TopicModel:
         return topic(vector, lang)
 
 
-def _summed(rows: DataFrame, add) -> dict[str, tuple[int, np.ndarray]]:
-    """For each name the count and the sums of whole numbers that add(vectors, langs) gives as (name, n, numbers): summed inside tasks, then by
-    Spark. A name is a language or a centroid, so what comes back is a few hundred numbers for each."""
+def _blocks(rows: DataFrame) -> DataFrame:
+    """(lang, vectors): the vectors of rows, up to BLOCK of one language packed side by side, so that a round over all of them moves few rows."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[bytes]] = {}
+        n = 0
+
+        def flush(names: list[str]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([b"".join(held.pop(name)) for name in names], pa.binary())], ["lang", "vectors"])
+
+        for batch in batches:
+            for name, vector in zip(batch["lang"].to_pylist(), batch["vector"].to_pylist(), strict=True):
+                own = held.setdefault(name, [])
+                own.append(vector)
+                n += 1
+                if len(own) == BLOCK:
+                    n -= BLOCK
+                    yield flush([name])
+                elif n == 32 * BLOCK:  # of many languages
+                    n = 0
+                    yield flush(list(held))
+        if held:
+            yield flush(list(held))
+
+    # Small row groups, so that a reader has few blocks in hand.
+    return written(rows.select("lang", "vector").mapInArrow(releasing(pack), "lang string, vectors binary"), "topic-blocks", {"parquet.block.size": str(8 << 20)})
+
+
+def _summed(blocks: DataFrame, add) -> dict[str, tuple[int, np.ndarray]]:
+    """For each name the count and the sums of whole numbers that add(vectors, lang) gives as (name, n, numbers) for each block: summed inside tasks,
+    then by Spark. A name is a language or a centroid, so what comes back is a few hundred numbers for each."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
         for batch in batches:
-            vectors, langs = batch["vector"].to_pylist(), batch["lang"].to_pylist()
-            for at in range(0, len(vectors), 2000):
-                for name, n, numbers in add(_unpacked(vectors[at : at + 2000]), langs[at : at + 2000]):
+            for lang, packed in zip(batch["lang"], batch["vectors"], strict=True):
+                vectors = np.frombuffer(packed.as_buffer(), "<f4").reshape(-1, SLOTS).astype(np.float64)
+                for name, n, numbers in add(vectors, lang.as_py()):
                     if name in held:
                         held[name][0] += n
                         held[name][1] += numbers
@@ -123,15 +174,17 @@ def _summed(rows: DataFrame, add) -> dict[str, tuple[int, np.ndarray]]:
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(list(held)), pa.array([n for n, _ in held.values()], pa.int64()), pa.array([x.tolist() for _, x in held.values()], pa.list_(pa.int64()))], ["name", "n", "sums"])
 
-    each = rows.mapInArrow(releasing(partial), "name string, n long, sums array<long>").select("name", "n", F.posexplode("sums").alias("at", "x"))
-    out: dict[str, tuple[int, np.ndarray]] = {}
-    for r in each.groupBy("name", "at").agg(F.sum("n").alias("n"), F.sum("x").alias("x")).groupBy("name").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("at", "x"))).alias("xs")).collect():
-        out[r["name"]] = (r["n"], np.array([x["x"] for x in r["xs"]], np.int64))
-    return out
+    each = blocks.mapInArrow(releasing(partial), "name string, n long, sums array<long>").select("name", "n", F.posexplode("sums").alias("at", "x"))
+    found: dict[str, dict[int, int]] = {}
+    counts: dict[str, int] = {}
+    for name, at, n, x in each.groupBy("name", "at").agg(F.sum("n"), F.sum("x")).collect():
+        found.setdefault(name, {})[at] = x
+        counts[name] = n
+    return {name: (counts[name], np.array([x for _, x in sorted(xs.items())], np.int64)) for name, xs in found.items()}
 
 
 def fit_vectors(rows: DataFrame, topics: int = 8, sample: int = SAMPLE) -> TopicModel:
-    """A model of `topics` clusters from all rows (place, lang, vector), which are read once a round and must be written.
+    """A model of `topics` clusters from all rows (place, lang, vector), which must be written; their vectors are packed into blocks, which are read once a round.
 
     Slot weights, the mean of each language and the centroids are counts and means over every row. Only where the search begins is taken
     from `sample` rows, those with the smallest place: spherical means of them, the best of STARTS, are the first centroids, and then every
@@ -139,12 +192,12 @@ def fit_vectors(rows: DataFrame, topics: int = 8, sample: int = SAMPLE) -> Topic
     the same on every partitioning. To the driver come SLOTS numbers a language and centroid, and the sample's vectors.
     """
 
-    def spread(vectors: np.ndarray, langs: list[str]) -> list:
-        names = np.array(langs, dtype=object)
-        return [(name, int(own.sum()), np.r_[np.rint(vectors[own] * UNIT).astype(np.int64).sum(0), (vectors[own] > 0).sum(0)]) for name in set(langs) for own in [names == name]]
+    def spread(vectors: np.ndarray, lang: str) -> list:
+        return [(lang, len(vectors), np.r_[np.rint(vectors * UNIT).astype(np.int64).sum(0), (vectors > 0).sum(0)])]
 
     rows = rows.select("place", "lang", "vector")
-    found = _summed(rows, spread)
+    blocks = _blocks(rows)
+    found = _summed(blocks, spread)
     n = sum(c for c, _ in found.values())
     if not n:
         return TopicModel(np.ones(SLOTS), {None: np.zeros(SLOTS)}, np.zeros((0, SLOTS)))
@@ -162,13 +215,16 @@ def fit_vectors(rows: DataFrame, topics: int = 8, sample: int = SAMPLE) -> Topic
     model.centroids = max(fits, key=lambda c: float((unit @ c.T).max(1).sum()), default=np.zeros((0, SLOTS)))
     for _ in range(ROUNDS if len(model.centroids) else 0):
 
-        def assigned(vectors: np.ndarray, langs: list[str], model: TopicModel = model) -> list:
-            unit = model.residuals(vectors, langs)
-            unit = unit[unit.any(1)]
-            best, whole = (unit @ model.centroids.T).round(9).argmax(1), np.rint(unit * UNIT).astype(np.int64)
-            return [(str(k), int((best == k).sum()), whole[best == k].sum(0)) for k in np.unique(best)]
+        def assigned(vectors: np.ndarray, lang: str, model: TopicModel = model) -> list:
+            unit = model.of_language(vectors, lang)
+            best = (unit @ model.centroids.T).round(9).argmax(1)
+            unit *= UNIT
+            mine = best == np.arange(len(model.centroids))[:, None]
+            # Whole numbers below 2^24, BLOCK of them to a sum: exact as products of floats. Rows without words are noughts.
+            sums = (mine.astype(np.float64) @ np.rint(unit, out=unit)).astype(np.int64)
+            return [(str(k), int(n), sums[k]) for k, n in enumerate(mine.sum(1)) if n]
 
-        sums = _summed(rows, assigned)
+        sums = _summed(blocks, assigned)
         moved = np.stack([sums[str(k)][1] / UNIT if str(k) in sums else c for k, c in enumerate(model.centroids)])
         norm = np.linalg.norm(moved, axis=1, keepdims=True)
         moved = np.where(norm > 1e-9, moved / np.maximum(1e-12, norm), model.centroids)
