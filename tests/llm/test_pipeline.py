@@ -335,3 +335,34 @@ def test_near_copies_are_retrieved_by_simhash(spark, monkeypatch):
     near_pairs, asked = near_copies.simhash_pairs, []
     monkeypatch.setattr(near_copies, "simhash_pairs", lambda *a: asked.append(a) or near_pairs(*a))
     assert dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, rows.select(F.col("i").cast("long").alias("doc_id"), "text"), SF).count() == 32 and len(asked) == 1
+
+
+def test_components_stop_when_they_are_settled(spark, monkeypatch):
+    """Stars and empty tables take no round; paths, rings and hubs are joined as brute force joins them, and a table of later links joins what they connect."""
+    from varloom.llm import components, near_copies
+
+    wrote = []
+    write = components.written
+    monkeypatch.setattr(components, "written", lambda df, name: wrote.append(name) or write(df, name))
+    table = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    named = lambda df: {r["node"]: r["component"] for r in df.collect()}
+    assert named(components.connected_components(table([]))) == {} and len(wrote) == 1
+    assert named(components.connected_components(table([(1, 5), (7, 1), (1, 9), (2, 2), (None, 3), (4, 6)]))) == {1: 1, 5: 1, 7: 1, 9: 1, 4: 4, 6: 4} and len(wrote) == 2, "one write each, no round"
+    rng = random.Random(4)
+    first = [(i, i + 1) for i in range(100, 140)] + [(200 + i, 200 + (i + 1) % 9) for i in range(9)] + [(300, 300 + i) for i in range(1, 30)] + [(rng.randrange(400, 500), rng.randrange(400, 500)) for _ in range(70)]
+    later = [(139, 305), (201, 600), (600, 601), (700, 701), (410, 101), (5, 700)]
+
+    def of(rows):
+        least = {x: x for r in rows for x in r}
+        for _ in least:  # far enough for the longest path
+            for a, b in rows:
+                least[a] = least[b] = min(least[a], least[b])
+        return least
+
+    apart = [r for r in first if r[0] != r[1]]
+    got = components.connected_components(table(first))
+    assert named(got) == of(apart)
+    assert named(near_copies.joined_labels(got, table(later))) == of(apart + later)
+    assert named(near_copies.joined_labels(got, table([]))) == of(apart)
+    with pytest.raises(RuntimeError, match="settle"):
+        components.connected_components(table([(i, i + 1) for i in range(60)]), max_rounds=1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varloom.llm.common import cut
+from varloom.llm.common import written
 
 
 def _to_minimum(directed: DataFrame) -> DataFrame:
@@ -15,29 +15,31 @@ def _to_minimum(directed: DataFrame) -> DataFrame:
     return directed.join(least, "u")
 
 
+def _settled(pairs: DataFrame) -> bool:
+    """Whether pairs (u, v), v < u, are stars: no u has two v, and no v is a u. Then v is the smallest node of its component, and a round would change nothing."""
+    ends = pairs.select(F.col("u").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("in")).unionByName(pairs.select(F.col("v").alias("x"), F.lit(0).alias("out"), F.lit(1).alias("in")))
+    return ends.groupBy("x").agg(F.sum("out").alias("out"), F.max("in").alias("in")).where("out > 1 OR (out = 1 AND `in` = 1)").isEmpty()
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, component): for every node of an edge, the smallest node that it reaches.
 
-    Self-links and repeated links are fine; rows with a NULL end are ignored; an empty table gives an empty table. Each
-    round is checkpointed, so the plan stays short and a lost executor costs one round. The number of rounds grows with the
-    logarithm of the longest path; a component that is not settled after max_rounds raises an error.
+    Self-links and repeated links are fine; rows with a NULL end are ignored; an empty table gives an empty table. Each half of a
+    round is written, so plans stay short, Spark knows the sizes of what it joins, and a lost executor costs half a round. The
+    number of rounds grows with the logarithm of the longest path; a component that is not settled after max_rounds raises an error.
     """
     pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull()).where("u <> v").distinct()
-    pairs = cut(pairs)
-    state = None
-    for _ in range(max_rounds):
+    pairs = written(pairs, "component-pairs")
+    rounds = 0
+    while not _settled(pairs):
+        if rounds == max_rounds:
+            raise RuntimeError("components did not settle")
+        rounds += 1
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _to_minimum(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small = _to_minimum(large)
+        small = _to_minimum(written(large, "component-pairs"))
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        before, pairs = pairs, cut(small.where("u <> v").distinct())
-        now = pairs.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        # Equal sums only suggest that nothing changed; equal sets of equal size settle it.
-        if (now["n"], now["s"]) == state and not pairs.join(before, ["u", "v"], "left_anti").take(1):
-            break
-        state = (now["n"], now["s"])
-    else:
-        raise RuntimeError("components did not settle")
+        pairs = written(small.where("u <> v").distinct(), "component-pairs")
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

@@ -17,7 +17,7 @@ from varloom.llm.simhash import BLOCK, SEED, fingerprints, near_links
 
 #: A pair of similarity s shares a band with probability 1 - (1 - s^ROWS)^BANDS: 0.99995 at 0.8.
 BANDS, ROWS = 25, 5
-#: Further heads that a list may draw before its members meet by rare shingles.
+#: Further heads that a list draws before its members meet by rare shingles.
 STARS = 4
 _draw = np.random.default_rng(SEED)
 _FACTORS = _draw.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -180,23 +180,45 @@ def prefix_pairs(prefixes: DataFrame, similar: float) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def star_pairs(labelled: DataFrame, turn: int) -> DataFrame:
-    """(a, b): in each list of labelled (key, node, label) that holds more than one label, the node that this turn's hash puts first against the nodes
-    of other labels; never more pairs than rows."""
-    head = F.min_by(F.struct("node", "label"), F.xxhash64("node", "key", F.lit(turn))).alias("head")
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), head).where("lo <> hi").select("key", "head")
-    met = labelled.join(mixed, "key").where("label <> head.label")
+def star_pairs(labelled: DataFrame, turns: int) -> DataFrame:
+    """(a, b): in each list of labelled (key, node, label) that holds more than one label, the nodes that each turn's hash puts first against the nodes
+    of other labels; never more pairs than rows a turn."""
+    heads = F.array(*[F.min_by(F.struct("node", "label"), F.xxhash64("node", "key", F.lit(turn))) for turn in range(turns)])
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), heads.alias("heads")).where("lo <> hi")
+    met = labelled.join(mixed.select("key", F.explode(F.array_distinct("heads")).alias("head")), "key").where("label <> head.label")
     return met.select(F.least("head.node", "node").alias("a"), F.greatest("head.node", "node").alias("b")).distinct()
 
 
+def joined_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) as connected_components gives it, of the links of labels (node, component) and the links (a, b) together. Only the links
+    between different components are followed, so that later links cost what they join and not what was joined before."""
+    of = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"l{x}"))
+    across = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    over = written(connected_components(across), "copy-joined")
+    moved = labels.withColumnRenamed("component", "was").join(over.select(F.col("node").alias("was"), F.col("component").alias("now")), "was", "left")
+    return written(moved.select("node", F.coalesce("now", "was").alias("component")).unionByName(over.join(labels, "node", "left_anti")), "copy-labels")
+
+
 def similar_links(texts: DataFrame, words: int = 5, similar: float = 0.8) -> DataFrame:
-    """(a, b): verified links between the texts (node, text; a node may repeat), enough to connect what the pairs that share a band connect.
+    """(a, b): verified links between the texts (node, text; a node may repeat), enough to connect what the pairs that share a band connect."""
+    _, *found = _joined(texts, words, similar)
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+def similar_groups(texts: DataFrame, words: int = 5, similar: float = 0.8) -> DataFrame:
+    """(node, component): the connected components of similar_links, for every node that has a link."""
+    labels, _, _, last = _joined(texts, words, similar)
+    return joined_labels(labels, last)
+
+
+def _joined(texts: DataFrame, words: int, similar: float) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The components of the first two tables of links, and three tables of links, the last of which is not followed yet.
 
     Pairs of near fingerprints come first (SimHash, simhash_pairs) and are verified like all others. A similarity of 0.8 leaves about ten of 64 bits
     apart, which no index of fingerprints reaches; the pairs that SimHash so misses are found by bands of min-hashes.
     Every member of a band's list is first compared with the list's smallest node: a large group of copies is connected by one comparison a
-    member. Groups whose members are only just similar need more heads: up to STARS times each list draws another one, which the members of
-    other components are compared with, until no link is new. That takes links early and changes no result.
+    member. Groups whose members are only just similar need more heads: each list draws up to STARS others, which the members of
+    other components are compared with. That takes links early and changes no result.
     Lists whose members this leaves in different components are not compared pair by pair: their nodes meet only where they share
     one of their rarest shingles, which every similar pair does, so the work is bounded by what texts truly have in common, not
     by the length of the lists. Of the pairs that meet, those whose sizes and min-hashes allow the similarity are verified by their shingles.
@@ -214,20 +236,19 @@ def similar_links(texts: DataFrame, words: int = 5, similar: float = 0.8) -> Dat
     allowed = lambda pairs: pairs.join(sides["b"], "b").join(sides["a"], "a").where(alike("a", "b", similar)).select("a", "b")
     stars = members.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).unionByName(near).distinct()
     links = written(verified(allowed(stars), sets, similar), "copy-links")
-    label = lambda: written(members.join(connected_components(links), "node", "left").select("key", "node", F.coalesce("component", "node").alias("label")), "copy-labels")
-    labelled = label()
-    for turn in range(STARS):
-        more = written(verified(allowed(star_pairs(labelled, turn)), sets, similar), "copy-links")
-        if more.isEmpty():
-            break
-        links = links.unionByName(more)
+    labels = written(connected_components(links), "copy-labels")
+    label = lambda: written(members.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label")), "copy-labelled")
+    labelled, more = label(), links.limit(0)
+    if STARS:
+        more = written(verified(allowed(star_pairs(labelled, STARS)), sets, similar), "copy-links")
+        labels = joined_labels(labels, more)
         labelled = label()
     mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
     apart = labelled.join(mixed, "key", "left_semi").select("node", "label").distinct().join(marks, "node")
     apart = written(apart.withColumn("num", F.monotonically_increasing_id()), "copy-apart")
     apart = written(apart.join(apart.groupBy("label").agg(F.min("num").alias("lab")), "label").drop("label"), "copy-apart")
     rest = written(prefix_pairs(rare_prefixes(apart, sets, similar), similar), "copy-rest")
-    return links.unionByName(verified(rest, sets, similar))
+    return labels, links, more, verified(rest, sets, similar)
 
 
 def keep_one_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similar: float = 0.8) -> DataFrame:
@@ -238,7 +259,7 @@ def keep_one_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     rows = docs.withColumn("__node", text_key(F.col(text_col)))
     place = F.struct(F.col(id_col).isNull().alias("no"), F.col(id_col).alias("id"), F.col("__node").alias("node"))
-    nodes = connected_components(similar_links(rows.select(F.col("__node").alias("node"), F.col(text_col).alias("text")), words, similar))
+    nodes = similar_groups(rows.select(F.col("__node").alias("node"), F.col(text_col).alias("text")), words, similar)
     by_node = rows.select("__node", place.alias("p")).groupBy("__node").agg(F.min("p").alias("lo"), F.max("p").alias("hi"))
     found = by_node.join(nodes, F.col("__node") == F.col("node"), "left").where("component IS NOT NULL OR lo <> hi")
     found = cut(found.select("__node", F.coalesce("component", "__node").alias("label"), "lo"))
