@@ -366,3 +366,14 @@ def test_components_stop_when_they_are_settled(spark, monkeypatch):
     assert named(near_copies.joined_labels(got, table([]))) == of(apart)
     with pytest.raises(RuntimeError, match="settle"):
         components.connected_components(table([(i, i + 1) for i in range(60)]), max_rounds=1)
+
+
+def test_rare_shingles_meet_where_enough_is_left(spark):
+    """Nodes that share a shingle behind which too few are left for the similarity do not meet there; those at the bound do, within labels of many nodes too."""
+    from varloom.llm import near_copies
+
+    rows = [(1, left, bytes([node]), lab, 90) for node, lab, left in ((1, 1, 80), (2, 2, 80), (3, 3, 79), (4, 4, 90), (5, 4, 79), (6, 4, 80))]
+    marks = [F.lit(0).cast("long").alias(m) for m in near_copies._MARKS]
+    prefixes = spark.createDataFrame(rows, "h long, left int, node binary, lab long, n int").select("*", *marks)
+    got = {(r["a"][0], r["b"][0]) for r in near_copies.prefix_pairs(prefixes, 0.8).collect()}
+    assert got == {(1, 2), (1, 4), (1, 6), (2, 4), (2, 6)}

@@ -140,11 +140,11 @@ def verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
 
 
 def rare_prefixes(apart: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
-    """(h, own, node, lab, ...): for each node of apart (node, lab, n, ...) the rarest of its shingles, as many as two similar sets cannot both miss.
+    """(h, left, node, lab, ...): for each node of apart (node, lab, n, ...) the rarest of its shingles, as many as two similar sets cannot both miss.
 
     Rare means in few labels. A shingle of one label alone links nothing and is not kept, but counts as one of the rarest, so a text with enough words of its own
     has no row at all, however much boilerplate it shares. Two sets of a similarity t share one of the n - ceil(t n) + 1 first of each, in any
-    common order; so no similar pair is lost. own is the number of shingles that no other label has.
+    common order; so no similar pair is lost. left is the number of the text's shingles from h on, in the order of rarity.
     """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,22 +161,27 @@ def rare_prefixes(apart: DataFrame, sets: DataFrame, similar: float) -> DataFram
     own = F.col("n") - F.size("hs")
     room = F.col("n") - F.ceil(F.lit(similar) * F.col("n") - 1e-9) + 1 - own
     first = apart.join(mixed, "num").withColumns({"__room": room.cast("int"), "own": own}).where("__room > 0")
-    return first.select("*", F.explode(F.slice("hs", 1, F.col("__room"))).alias("__h")).select(F.col("__h.h").alias("h"), "own", *apart.columns)
+    each = first.select("*", F.posexplode(F.slice("hs", 1, F.col("__room"))).alias("__pos", "__h"))
+    return each.select(F.col("__h.h").alias("h"), (F.col("n") - F.col("own") - F.col("__pos")).alias("left"), *apart.columns)
 
 
 def prefix_pairs(prefixes: DataFrame, similar: float) -> DataFrame:
     """(a, b): pairs of different labels that share a rare shingle and whose sketches allow the similarity. Labels meet first and then their nodes, so
     that the nodes of one label, a group of copies of any size, are never paired with each other. They meet by shingle and class of size: two sets of
     a similarity t differ in size by a factor of 1/t at most, so they lie in one class of that width or in neighbouring ones, and texts of
-    other sizes that share a passage never meet. What only one label has can't be shared with another, which bounds the similarity of a pair."""
-    own = F.floor(F.log(F.col("n").cast("double")) / F.lit(max(-math.log(similar), 1e-6)) + F.lit(1e-9)).cast("int")
-    sized = prefixes.withColumn("size", own)
-    reach = lambda x: sized.select("h", F.col("lab").alias(f"l{x}"), "size").distinct()
-    near = reach("b").select("h", "lb", F.explode(F.array(*[F.col("size") + i for i in (-1, 0, 1)])).alias("size"))
-    met = reach("a").join(near, ["h", "size"]).where("la < lb").select("h", "la", "lb").distinct()
-    sides = {x: _sided(prefixes.select("h", F.col("lab").alias(f"l{x}"), F.col("node").alias(x), "n", "own", *_MARKS), x, ["n", "own", *_MARKS]) for x in "ab"}
-    shared = F.least(F.col("na") - F.col("owna"), F.col("nb") - F.col("ownb"))  # at most
-    pairs = met.join(sides["a"], ["h", "la"]).join(sides["b"], ["h", "lb"]).where((shared >= F.lit(similar / (1 + similar)) * (F.col("na") + F.col("nb")) - 1e-6) & alike("a", "b", similar))
+    other sizes that share a passage never meet. The first shingle that two sets share, in the order of rarity, has all others that they share
+    behind it; where too few are left in either for the similarity, it is not the first or they are not similar, and they do not meet there. Labels
+    are turned away by the fewest shingles and the most that are left of any of their nodes."""
+    size = F.floor(F.log(F.col("n").cast("double")) / F.lit(max(-math.log(similar), 1e-6)) + F.lit(1e-9)).cast("int")
+    sized = prefixes.withColumn("size", size)
+    enough = lambda left_a, left_b, na, nb: F.least(left_a, left_b) >= F.lit(similar / (1 + similar)) * (F.col(na) + F.col(nb)) - 1e-6
+    reach = lambda x: sized.groupBy("h", F.col("lab").alias(f"l{x}"), F.col("size").alias(f"size{x}")).agg(F.min("n").alias(f"lo{x}"), F.max("left").alias(f"most{x}"))
+    near = reach("b").withColumn("sizea", F.explode(F.array(*[F.col("sizeb") + i for i in (-1, 0, 1)])))
+    met = reach("a").join(near, ["h", "sizea"]).where((F.col("la") < F.col("lb")) & enough("mosta", "mostb", "loa", "lob"))
+    met = met.select("h", "la", "sizea", "lb", "sizeb", "lob", "mostb")
+    sides = {x: _sided(sized.select("h", F.col("lab").alias(f"l{x}"), F.col("node").alias(x), "size", "n", "left", *_MARKS), x, ["size", "n", "left", *_MARKS]) for x in "ab"}
+    ones = met.join(sides["a"], ["h", "la", "sizea"]).where(enough("lefta", "mostb", "na", "lob")).drop("lob", "mostb")
+    pairs = ones.join(sides["b"], ["h", "lb", "sizeb"]).where(enough("lefta", "leftb", "na", "nb") & alike("a", "b", similar))
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
