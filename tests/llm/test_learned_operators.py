@@ -424,6 +424,19 @@ def test_topics_are_counted_over_all_documents(spark):
     assert named[-1] == "none" and len({named[i] for i in range(3)}) == 3
 
 
+def test_mixing_names_topics_once_a_row(spark):
+    """What a filter on the draw needs of a topic is no second pass through Python, and rates come from the driver without Python workers."""
+    docs = spark.createDataFrame([(i, f"w{i % 5} v{i % 3}", ("en", "de")[i % 2], f"s{i % 2}") for i in range(60)], "doc_id long, text string, lang string, source string")
+    plan = lambda df: df._jdf.queryExecution().toString()
+    kept = mixing.mix(docs, carry=["doc_id"]).where("mix_kept")
+    assert plan(kept).partition("== Physical Plan ==")[2].count("ArrowEvalPython") == 1
+    cells = spark.createDataFrame([("a", "x", "p", 30), ("a", "y", "p", 10), ("b", "x", "p", 0)], "source string, lang string, topic string, tokens long")
+    rates = mixing.bounded_rates(cells, {"source": mixing.tempered(cells, "source", 0.7)}, 0.8)
+    assert "ExistingRDD" not in plan(rates) and rates.schema.names == [*cells.columns, "w", "rate"]
+    assert sorted(tuple(r)[:4] for r in rates.collect()) == sorted(tuple(r) for r in cells.collect())
+    assert mixing.bounded_rates(cells.limit(0), {}, 0.8).count() == 0
+
+
 def test_copies_meet_targets_and_budget(spark):
     """Where a value has fewer tokens than its share of the budget, repeats reach the target; the report says what the draw misses."""
     rows = [(i, "w " * 20 + ("!!" if i % 20 == 0 else "."), "es" if i % 11 == 0 else "en", "hot" if i % 3 else f"s{i % 7}", 40) for i in range(6000)]

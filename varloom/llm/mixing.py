@@ -6,6 +6,7 @@ import warnings
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -166,7 +167,8 @@ def bounded_rates(cells: DataFrame, targets: dict[str, DataFrame], budget: float
             break
     held["rate"] = np.minimum(1.0, w * high)
     schema = cells.select("*", F.lit(0.0).alias("w"), F.lit(0.0).alias("rate")).schema
-    return cells.sparkSession.createDataFrame(held, schema)
+    # As an Arrow table, which the JVM reads itself: rows of pandas would start Python workers of another kind, which stay beside the others.
+    return cells.sparkSession.createDataFrame(pa.Table.from_pandas(held, preserve_index=False), schema)
 
 
 def uniform(doc_id: Column, seed: str = "mix") -> Column:

@@ -116,7 +116,8 @@ class TopicModel:
         return self.of_vectors(vector_column(text), lang)
 
     def of_vectors(self, vector: Column, lang: Column) -> Column:
-        """The topic of each row from its packed word vector."""
+        """The topic of each row from its packed word vector. Not deterministic to the planner, which would else copy it into the null check of a join on it: a second
+        Python worker for each task."""
 
         @F.pandas_udf("string")
         def topic(vectors: pd.Series, langs: pd.Series) -> pd.Series:
@@ -125,7 +126,7 @@ class TopicModel:
                 out += self.nearest(_unpacked(held[at : at + 2000]), names[at : at + 2000])
             return pd.Series(out, dtype=object)
 
-        return topic(vector, lang)
+        return topic.asNondeterministic()(vector, lang)
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
