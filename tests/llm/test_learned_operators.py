@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -513,6 +514,22 @@ def test_rare_links_are_audited(spark):
     assert lone["audited_recall"] is None and lone["audited_links"] == 0
 
 
+def test_probes_choose_the_first_beam(spark, monkeypatch):
+    """Where random probes see that a beam is too narrow, not all vectors search with it."""
+    rng = np.random.default_rng(21)
+    centres = rng.normal(size=(40, 16))
+    x = np.concatenate([c + rng.normal(scale=0.04, size=(30, 16)) for c in centres])
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    rounds, write = [], near_vectors.written
+    monkeypatch.setattr(near_vectors, "written", lambda df, name, *more: rounds.append(name) or write(df, name, *more))
+    monkeypatch.setattr(near_vectors, "PILOT_FROM", 0)
+    got = {r["id"]: r for r in near_vectors.near_vectors(table, least_shards=2, beam=1).collect()}
+    assert rounds.count("vector-links") == 1
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    true = int((unit @ unit.T >= 0.95).sum()) - len(x)
+    assert 0.95 * true <= sum(r["n_links"] for r in got.values()) <= true and got[0]["audited_recall"] >= 0.97
+
+
 def test_vectors_empty(spark):
     assert near_vectors.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
@@ -527,6 +544,62 @@ def test_graph_recall_over_clusters():
     assert found >= 0.97 * int((x @ x.T >= 0.95).sum())
 
 
+def test_no_value_holds_a_graph(spark, monkeypatch):
+    """What tasks hand on is a row a vector: no row grows with its shard, on the way through the JVM neither."""
+    longest, write = {}, near_vectors.written
+
+    def watched(df, name, *more):
+        out = write(df, name, *more)
+        for c, kind in out.dtypes:
+            if kind == "binary" or kind.startswith("array"):
+                longest[name, c] = out.agg(F.max(F.length(c) if kind == "binary" else F.size(c) * 8)).first()[0]
+        return out
+
+    monkeypatch.setattr(near_vectors, "written", watched)
+    x = np.random.default_rng(4).normal(size=(1500, 16))
+    near_vectors.near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), least_shards=2)
+    assert longest and max(longest.values()) <= 4 * near_vectors.LINKS * 10, longest
+
+
+def test_a_search_of_a_large_shard_holds_little():
+    """What marks seen nodes is bounded, and upper levels have rows only for the nodes that reach them."""
+    x = np.random.default_rng(6).normal(size=(3000, 8)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    graph = near_vectors.SmallWorld(x)
+    assert sum(t.nbytes for t in graph.levels[1:]) <= 0.1 * graph.levels[0].nbytes
+    want = {r: f.tolist() for r, f in graph.search(x[:512], 0.95, 24)}
+    far = 600_000  # nodes that nothing leads to
+    graph.unit = np.concatenate([graph.unit, np.zeros((far, 8), np.float32)])
+    graph.levels[0] = np.concatenate([graph.levels[0], np.full((far, graph.levels[0].shape[1]), -1, np.int32)])
+    tracemalloc.start()
+    got = {r: f.tolist() for r, f in graph.search(x[:512], 0.95, 24)}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == want and len(want) == 512
+    assert peak < 100e6, peak
+
+
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_vectors_in_small_batches_equal_brute_force(spark, partitions):
+    """Vectors of three lengths with copies; graphs and the nodes that ask come in batches of 7 rows, which hold the ends of some shards and lengths."""
+    rng = np.random.default_rng(15)
+    vectors = [v for d, n in ((3, 90), (8, 120), (1, 6)) for v in rng.normal(size=(n, d)).tolist()]
+    vectors += [(2.0 * np.array(v)).tolist() for v in vectors[::9]] + [None, [], [0.0, 0.0, 0.0], [0.0, -1.0, 0.0], [-0.0, -1.0, 0.0]]
+    table = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>").repartition(partitions)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = {r["id"]: r for r in near_vectors.near_vectors(table, recall=1.0).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v in enumerate(vectors) if v and np.any(v)}
+    links = {i: [j for j in unit if j != i and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= 0.95] for i in unit}
+    assert {i: r["n_links"] for i, r in got.items()} == {i: len(links.get(i, ())) for i in range(len(vectors))}
+    label = {i: i for i in range(len(vectors))}
+    while (new := {i: min([label[i], *(label[j] for j in links.get(i, ()))]) for i in label}) != label:
+        label = new
+    assert {i: r["component_id"] for i, r in got.items()} == label
+
+
 def test_rounds_over_topics_read_blocks(spark):
     """What a round reads is a row for many vectors of one language; none is lost or mixed up, and many languages are not held at once."""
     rows = [(i, " ".join(f"w{i * k % 997}" for k in range(1 + i % 30)), f"l{i % 2 if i < 1500 else i}") for i in range(1700)] + [(5000, "", "l0"), (5001, None, "l1")]
