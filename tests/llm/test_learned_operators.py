@@ -561,6 +561,22 @@ def test_no_value_holds_a_graph(spark, monkeypatch):
     assert longest and max(longest.values()) <= 4 * near_vectors.LINKS * 10, longest
 
 
+def test_graphs_go_to_no_more_tasks_than_shards(spark):
+    """Many shuffle partitions make no more copies of a graph than there are of a vector."""
+    x = np.random.default_rng(5).normal(size=(200, 4))
+    nodes = near_vectors.unit_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    nodes = nodes.selectExpr("id node", "v", "1L copies").cache()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 90)
+    try:
+        links = near_vectors.near_links(nodes, near_vectors.build_graphs(nodes, 3), 3, 0.95, 24)
+        assert links.rdd.getNumPartitions() == 9
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    assert {r["a"]: r["near"] for r in links.groupBy("a").agg(F.sum("near").alias("near")).collect()} == {i: int(n) - 1 for i, n in enumerate((unit @ unit.T >= 0.95).sum(1)) if n > 1}
+
+
 def test_a_search_of_a_large_shard_holds_little():
     """What marks seen nodes is bounded, and upper levels have rows only for the nodes that reach them."""
     x = np.random.default_rng(6).normal(size=(3000, 8)).astype(np.float32)

@@ -364,10 +364,10 @@ def near_links(nodes: DataFrame, graphs: DataFrame, shards: int, threshold: floa
     """(a, near, b): for every node (a) and shard the copies of the shard's nodes with cosine >= threshold, verified in double,
     and with b links that connect whatever these do: at most a row a node and one a union of the shard's nodes.
 
-    A graph goes to `parts` tasks, or as many as it takes to keep all shuffle partitions busy, and each node to one task a shard; both
-    are sorted so that the graph's vectors come first, then its links, and the nodes stream past it.
+    A graph goes to `parts` tasks, or as many as it takes to keep all shuffle partitions busy, but to no more than there are shards, so that
+    graphs take about as much of the shuffle as nodes do; each node goes to one task a shard. Both are sorted so that the graph's vectors come first, then its links, and the nodes stream past it.
     """
-    parts = parts or max(1, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")) // shards)
+    parts = parts or max(1, min(shards, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")) // shards))
     each = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
     index = graphs.select("shard", each(parts, "part"), F.col("links").isNotNull().cast("int").alias("kind"), "at", "node", "copies", F.coalesce("v", "links").alias("v"))
     asked = nodes.select("node", "v", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(parts)).cast("int").alias("part"))
